@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_engine.llm.byte_bpe import decode, encode
 from evidence_engine.llm.exact_dedup import exact_dedup
 from evidence_engine.llm.line_dedup import line_dedup
 from evidence_engine.llm.mixing import mix
+from evidence_engine.llm.spotsigs import fingerprint, likeness, with_edits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +33,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup}
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_edits(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("signatures")).alias("fingerprint"),
+        fingerprint(F.col("edited_signatures")).alias("edited_fingerprint"),
+        likeness(F.col("signatures"), F.col("edited_signatures")).alias("near_edited"),
+        likeness(F.col("signatures"), F.col("next_signatures")).alias("near_next"),
+    )
+
+
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    rows = decode(encode(documents(spark, sf_dir), *vocabulary), *vocabulary)
+    return rows.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
