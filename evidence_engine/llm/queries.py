@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidence_engine.llm import langid_ecoc
+from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm.byte_bpe import decode, encode
 from evidence_engine.llm.exact_dedup import exact_dedup
 from evidence_engine.llm.line_dedup import line_dedup
@@ -56,7 +58,33 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe}
+def op4_langid_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = langid_ecoc.held_out(F.col("doc_id"), 4, 2)
+    model = langid_ecoc.fit(docs.filter(~held))
+    return langid_ecoc.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op5_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets_cnn.scan(documents(spark, sf_dir))
+
+    def of(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def written(spans_of):
+        return F.array_join(F.transform(spans_of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+    return spans.select(
+        "doc_id",
+        of("assign").alias("n_assign"),
+        of("access").alias("n_access"),
+        of("hex").alias("n_hex"),
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
