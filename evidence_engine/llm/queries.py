@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import langid_ecoc
+from evidence_engine.llm import quality_pu
 from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm.byte_bpe import decode, encode
 from evidence_engine.llm.exact_dedup import exact_dedup
@@ -84,7 +85,14 @@ def op5_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn}
+def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = langid_ecoc.held_out(F.col("doc_id"), 3, 1)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = quality_pu.quality(documents(spark, sf_dir), labels, ~held)
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
