@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine.llm import langid_ecoc
+from evidence_engine.llm import probminhash
 from evidence_engine.llm import quality_pu
 from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm.byte_bpe import decode, encode
@@ -92,7 +93,11 @@ def op6_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu}
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
