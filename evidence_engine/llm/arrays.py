@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -25,7 +26,7 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about so many bytes; a longer text is a run of its own."""
-    sizes = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)
     at = 0
     while at < batch.num_rows:

@@ -16,6 +16,7 @@ from evidence_engine.llm.exact_dedup import exact_dedup
 from evidence_engine.llm.line_dedup import line_dedup
 from evidence_engine.llm.mixing import mix
 from evidence_engine.llm.spotsigs import fingerprint, likeness, with_edits
+from evidence_engine.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -97,7 +98,12 @@ def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash}
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
