@@ -214,3 +214,25 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, body binary")
+
+
+def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs with all its columns but text, and n_tokens, ids (binary), round_trip: whether the ids decode to the text's bytes.
+
+    Columns of docs with these names are replaced.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(ranks_path, pattern)
+        for batch in batches:
+            texts = batch.column("__text").to_pylist()
+            ids = [x for block in _blocks(texts) for x in bpe.encode(block)]
+            same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            out = [*(batch.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(out, [*columns, "n_tokens", "ids", "round_trip"])
+
+    docs = docs.drop("n_tokens", "ids", "round_trip")
+    columns = [c for c in docs.columns if c != "text"]
+    source = docs.select(*columns, text_or_empty(F.col("text")).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return source.mapInArrow(run, f"{schema}, n_tokens long, ids binary, round_trip boolean")
