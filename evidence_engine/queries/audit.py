@@ -44,9 +44,9 @@ b AS (SELECT source_id, check_date, item_count, ok, tier0, typical, last_value(f
 h AS (SELECT source_id, check_date, tier0, item_count, CASE WHEN NOT ok THEN 'failed' WHEN typical IS NULL THEN 'unlearned' WHEN item_count < coalesce(minimum, 0) THEN 'below_minimum' WHEN item_count < typical * 0.2 THEN 'degraded' ELSE 'healthy' END AS verdict FROM b)"""
 
 
-@query("f3_learn_baselines", with_views(_BASE + " SELECT source_id, check_date::VARCHAR AS check_date, typical, minimum FROM b", "checks"))
+@query("f3_learn_baselines", with_views(_BASE + " SELECT source_id, check_date::VARCHAR AS check_date, coalesce(typical, -1) AS typical, coalesce(minimum, -1) AS minimum FROM b", "checks"))
 def learn_baselines(spark: SparkSession, d: str) -> DataFrame:
-    return dated(A.learn_baselines(X.checks(spark, d)))
+    return dated(A.learn_baselines(X.checks(spark, d)).fillna(-1, ["typical", "minimum"]))
 
 
 @query("e16_source_health", with_views(_BASE + " SELECT * REPLACE (check_date::VARCHAR AS check_date) FROM h", "checks"))
