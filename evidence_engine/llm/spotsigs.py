@@ -62,21 +62,23 @@ def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
     return F.when(F.least(F.size(a), F.size(b)) < threshold * F.greatest(F.size(a), F.size(b)), F.lit(0.0)).otherwise(full)
 
 
+#: Stands for a null id in joins, so that both sides of a join are dealt by the same plain column.
+_NO_ID = -(2**63)
+
+
 def following(ids: DataFrame) -> DataFrame:
-    """ids(doc_id, ...) with distinct ids -> with prev_id and prev_n_chars: of the id before, the first after the last.
+    """ids(key, n_chars) with distinct keys -> key, prev_key, prev_n_chars: of the key before, for the first key the last.
 
-    The ids are dealt by ranges. A window orders each range; the last row of each range goes to the next range through
+    The keys are dealt by ranges. A window orders each range; the last row of each range goes to the next range through
     a table with a row for each range.
     """
-    ranged = materialize(ids.repartitionByRange(F.col("doc_id").asc_nulls_first()).withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first())
-    me = F.struct("doc_id", "n_chars")
-    last = ranged.groupBy("part").agg(F.max_by(me, F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("end"))
-    over = Window.orderBy("part")
+    ranged = materialize(ids.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    me, over = F.struct("key", "n_chars"), Window.orderBy("part")
+    last = ranged.groupBy("part").agg(F.max(me).alias("end"))
     # the range before; for the first range the last one
     last = last.select("part", F.coalesce(F.lag("end").over(over), F.last("end").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("end"))
-    chained = ranged.withColumn("before", F.lag(me).over(inside)).join(last, "part").withColumn("before", F.coalesce("before", "end"))
-    return chained.select("doc_id", "pick", F.col("before.doc_id").alias("prev_id"), F.col("before.n_chars").alias("prev_n_chars"))
+    chained = ranged.withColumn("before", F.lag(me).over(Window.partitionBy("part").orderBy("key"))).join(last, "part").withColumn("before", F.coalesce("before", "end"))
+    return chained.select("key", F.col("before.key").alias("prev_key"), F.col("before.n_chars").alias("prev_n_chars"))
 
 
 def fingerprints(docs: DataFrame, chain_length: int = 2, anchors: Sequence[str] = ANCHORS) -> DataFrame:
@@ -88,22 +90,22 @@ def with_edits(docs: DataFrame, chain_length: int = 2, anchors: Sequence[str] =
     """For each row: doc_id, n_chars, signatures, edited (text), edited_signatures, next_signatures.
 
     edited: the last floor(n_chars / 4) code points give way to as many first ones of the next document's text (or all).
-    Whole texts move once, to their id; of the next document only that beginning and its signatures move on.
+    Whole texts move once, to their id, with their signatures; both uses of that read the same exchange. Of the next
+    document only the beginning that is wanted and the signatures move on.
     """
-    body = text_or_empty(F.col("text"))
-    ids = docs.select("doc_id", F.length(body).alias("n_chars"), F.xxhash64(body).alias("pick")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"), F.min("pick").alias("pick"))
-    chain = following(ids).withColumnRenamed("doc_id", "chain_id")
-    prints = fingerprints(docs, chain_length, anchors)
-    placed = prints.join(chain, F.col("doc_id").eqNullSafe(F.col("chain_id")))
-    ahead = placed.filter(F.xxhash64("text") == F.col("pick")).select(
-        F.col("prev_id").alias("goes_to"), F.struct(F.substring("text", 1, F.floor(F.col("prev_n_chars") / 4).cast("int")).alias("start"), F.col("signatures")).alias("next")
-    )
-    ahead = ahead.groupBy("goes_to").agg(F.min("next").alias("next"))
-    both = placed.join(ahead, F.col("doc_id").eqNullSafe(F.col("goes_to")))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    ids = docs.select(key.alias("key"), F.length(text_or_empty(F.col("text"))).alias("n_chars")).groupBy("key").agg(F.max("n_chars").alias("n_chars"))
+    chain = following(ids)
+    prints = fingerprints(docs, chain_length, anchors).select(key.alias("key"), "text", "signatures")
+    placed = prints.join(chain, "key")
+    start = F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n_chars") / 4).cast("int"))
+    ahead = placed.select(F.col("prev_key").alias("to_key"), F.struct(F.xxhash64("text").alias("h"), start.alias("start"), "signatures").alias("next"))
+    ahead = ahead.groupBy("to_key").agg(F.min("next").alias("next"))
+    both = placed.join(ahead, F.col("key") == F.col("to_key"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.start"), F.lit(1), cut))
-    both = both.select("doc_id", n.cast("long").alias("n_chars"), "signatures", edited.alias("edited"), F.col("next.signatures").alias("next_signatures"))
+    both = both.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), "signatures", edited.alias("edited"), F.col("next.signatures").alias("next_signatures"))
     return both.withColumn("edited_signatures", signatures(F.col("edited"), chain_length, anchors))
 
 
