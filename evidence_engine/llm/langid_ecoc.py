@@ -61,8 +61,8 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
     Up to six languages get the exhaustive code of 2**(n-1) - 1 bits; more get about 10 log2(n) columns, random but for
     these rules, of which the draw with the largest least distance is taken.
     """
-    if n == 1:
-        return np.ones((1, 1), np.int8)
+    if n <= 1:
+        return np.ones((n, 1), np.int8)
     if n <= 6:
         columns = np.arange(1, 2 ** (n - 1))
         return ((columns[None, :] >> np.arange(n)[:, None]) & 1).astype(np.int8)
@@ -88,6 +88,8 @@ class Model:
 
 def _fit_counts(languages: list[str], counts: np.ndarray) -> Model:
     code = codewords(len(languages))
+    if not languages:
+        return Model([], code, np.zeros((2**HASH_BITS, 1), np.float32), np.ones(1))
     smooth = counts + 0.5
     share = smooth / smooth.sum(1, keepdims=True)  # each language counts alike, however many texts it has
     ones, zeros = code.T @ share, (1 - code).T @ share
