@@ -6,11 +6,16 @@ arrives first. Two registers agree with the probability Jaccard of the two sets.
 arrival is later than the latest first arrival of its text. Bands of ROWS registers make buckets: 32 bands of 4 miss a
 pair at 0.8 with a chance under 1e-7.
 
-A node is a distinct text (by the hash of its words); copies cost no pairs. In a bucket the members are first
-compared with one pivot, which the bucket's hash chooses, so that a large group has a different pivot in each bucket. What
-is verified at THRESHOLD (exact Jaccard of the shingle sets) is joined into components. Then, again and again, members
-that are still apart from their bucket's new pivot are compared with it, and at last all pairs of a bucket whose ends
-lie in different components and whose sizes allow the threshold. So no bucket is capped, no link between components is lost, and no pairs within a component are made.
+A node is a distinct text (by the hash of its words); copies cost no pairs. A node's shingles that no other node has
+cannot be shared, which bounds its likeness to any other: with n shingles, v of them held elsewhere, two nodes are at
+most m / (n1 + n2 - m) alike, m the lesser v. A member that cannot reach the threshold with any size in its bucket leaves
+the bucket, which clears large groups of those that were edited too much to belong.
+
+In a bucket the members are first compared with one pivot, the one with the largest share of common shingles, hence
+near the text that all derive from. What is verified at THRESHOLD (exact Jaccard of the shingle sets) is joined into
+components. Then members still apart are compared with another pivot. What is still apart goes through an exact join by
+prefixes: two nodes alike enough share one of their rarest shingles at places that leave enough to share. So no bucket
+is capped, no link between components is lost, and no pairs within a component are made.
 
 Nulls: a null text counts as empty; all texts without words are one node. Texts of fewer than WIDTH words are one shingle.
 Ids may be null or repeated; the class of null ids alone is null. An empty table gives an empty result.
@@ -32,7 +37,7 @@ from evidence_engine.plans.materialize import materialize
 
 WIDTH, THRESHOLD, REGISTERS, ROWS = 5, 0.8, 128, 4
 #: Rounds of comparison with pivots before the rest is compared pair by pair.
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 
 
 def prob_minhash(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -126,22 +131,28 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (shared / (F.size("sa") + F.size("sb") - shared)).alias("likeness"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes(node), edges(a, b) -> node, label: the least node of its component.
+def _few(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many rows in no more parts than they need."""
+    return df.coalesce(1 + rows // 50_000)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """edges(a, b) -> node, label for each end of an edge: the least node of its component.
 
     Each round takes the least label among the neighbours and jumps to that label's own label, until none changes.
     """
-    both = materialize(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct())
-    labels = nodes.select("node", F.col("node").alias("label"))
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct()
+    both = materialize(both)
+    rows = both.count()
+    labels = materialize(_few(both.groupBy("node").agg(F.least("node", F.min("to")).alias("label")), rows))
     while True:
         near = both.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("least"))
-        lower = labels.join(near, "node", "left").select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        lower = labels.join(near, "node").select("node", F.least("label", "least").alias("label"), F.col("label").alias("was"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
         lower = lower.join(jump, "label", "left").select("node", F.least("label", "further").alias("label"), "was")
-        lower = materialize(lower)
-        changed = lower.filter(F.col("label") != F.col("was")).limit(1).count()
+        lower = materialize(_few(lower, rows))
         labels = lower.select("node", "label")
-        if not changed:
+        if lower.filter(F.col("label") != F.col("was")).isEmpty():
             return labels
 
 
@@ -156,29 +167,45 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     chosen = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     source = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
     sets = materialize(shingle_sets(source, width).dropDuplicates(["node"]).join(nodes, "node", "left_semi"))
-    sizes = sets.select("node", F.size("items").alias("n"))
-
-    labels, tested, links = nodes.select("node", F.col("node").alias("label")), None, None
+    # a shingle that one node alone has: counted once, its least node is that node
+    alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+    alone = alone.filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("u"))
+    sizes = sets.select("node", F.size("items").alias("n")).join(alone, "node", "left").select("node", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("v"))
+    active = materialize(members.join(sizes, "node"))
+    n_nodes = nodes.count()
+
+    # two sets that are threshold alike share this part of the sum of their sizes
+    share = threshold / (1 + threshold) - 1e-9
+    labels, tested = nodes.select("node", F.col("node").alias("label")), None
     for turn in range(PIVOT_ROUNDS + 1):
-        labelled = members.join(labels, "node").join(sizes, "node")
-        apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("at"), F.col("n").alias("pn")), F.xxhash64("node", "key", F.lit(turn))).alias("p"))
-        apart = materialize(apart.filter("low < high").select("key", "p.*"))
-        if apart.isEmpty():
-            break
+        labelled = active.join(labels, "node")
+        central = F.col("v") / F.col("n") if turn == 0 else F.lit(0.0)
+        pivot = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("at"), F.col("n").alias("pn"), F.col("v").alias("pv")), F.struct(central, F.xxhash64("node", "key", F.lit(turn))))
+        apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), pivot.alias("p")).filter("low < high").select("key", "least", "p.*")
+        # buckets that are one component stay so: they are done; so are members that can have no partner in the bucket
+        held = materialize(labelled.join(apart, "key").filter(F.col("v") >= share * (F.col("n") + F.col("least"))))
+        active = held.select("node", "key", "n", "v")
         if turn < PIVOT_ROUNDS:
-            pairs = labelled.join(apart, "key").filter((F.col("label") != F.col("at")) & _sizes_allow("n", "pn", threshold)).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            pairs = held.filter((F.col("label") != F.col("at")) & (F.least("v", "pv") >= share * (F.col("n") + F.col("pn")))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         else:
-            pairs = _across(labelled, apart, threshold)
+            pairs = _across(held.select("node", "label", "n").distinct(), sets, share, threshold)
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         scored = materialize(verified(pairs, sets))
         if scored.isEmpty():
+            if held.isEmpty():
+                break
             continue
-        new = scored.filter(F.col("likeness") >= threshold).select("a", "b")
-        links = new if links is None else links.union(new)
         tested = scored if tested is None else tested.union(scored)
-        labels = components(nodes, links)
+        new = scored.filter(F.col("likeness") >= threshold)
+        if new.isEmpty():
+            continue
+        # the new links as links between components
+        ends = new.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+        joined_to = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b")).filter("a <> b"))
+        moved = joined_to.select(F.col("node").alias("label"), F.col("label").alias("now"))
+        labels = materialize(_few(labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), n_nodes))
 
     of = texts.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
     of = materialize(of)
@@ -187,16 +214,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     return of.join(classes, "label").select("doc_id", "class_id", "class_size", "class_texts")
 
 
-def _sizes_allow(a: str, b: str, threshold: float):
-    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
-
+def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -> DataFrame:
+    """(a, b) of different components that may be threshold alike, by a prefix join that misses none. nodes: node, label, n.
 
-def _across(labelled: DataFrame, apart: DataFrame, threshold: float) -> DataFrame:
-    """The pairs of buckets that still hold several components, their ends in different ones."""
-    left = labelled.join(apart.select("key"), "key", "left_semi")
-    right = left.select("key", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("other_n"))
-    pairs = left.join(right, "key").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _sizes_allow("n", "other_n", threshold))
-    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
+    The shingles of a node are ranked, the rarest first. Two nodes alike enough share one of their first
+    n - ceil(threshold n) + 1; where the first that they share is the i-th of one and the j-th of the other, they share at most
+    min(n1 - i, n2 - j) + 1. Entries that cannot reach what the smallest node with that shingle needs go before the
+    join, and so do shingles that one component alone still has; this empties the shingles of the text that a group derives from.
+    """
+    items = sets.join(nodes, "node").select("node", "label", "n", F.explode("items").alias("item"))
+    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
+    ranked = items.join(seen, "item").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("rare"))
+    width = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    prefix = materialize(ranked.select("node", "label", "n", F.posexplode(F.slice("rare", F.lit(1), width)).alias("i", "r")).select("node", "label", "n", "i", F.col("r.item").alias("item")))
+    reach = F.col("n") - F.col("i")
+    smallest = prefix.groupBy("item").agg(F.min("n").alias("least"))
+    able = prefix.join(smallest, "item").filter(reach >= share * (F.col("n") + F.col("least"))).drop("least")
+    mixed_items = able.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("item")
+    able = materialize(able.join(mixed_items, "item", "left_semi"))
+    other = able.select("item", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "i")])
+    enough = F.least(reach, F.col("other_n") - F.col("other_i")) >= share * (F.col("n") + F.col("other_n"))
+    pairs = able.join(other, "item").filter((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & enough)
+    return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
