@@ -13,6 +13,15 @@ from evidence_engine.functions.text import canonical_url
 from evidence_engine.plans.merge import merge_table
 
 
+#: State of several variables needs a store with column families.
+_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _with_state(stream: DataFrame) -> DataFrame:
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
+    return stream
+
+
 def stream_ingest(stream: DataFrame, column: str = "published_at", late: str = "96 hours", ahead_hours: int = 12) -> DataFrame:
     """Late items fall behind the watermark; items further ahead of the clock than the tolerance, and undated ones, go."""
     soon = F.current_timestamp() + F.expr(f"INTERVAL {ahead_hours} HOURS")
@@ -64,7 +73,7 @@ class _Baseline(StatefulProcessor):
 
 def stream_baseline(checks: DataFrame, last: int = 30) -> DataFrame:
     """checks(source_id, check_date, item_count, ok) as a stream -> baselines after each sample. A source's samples must come in order of their days."""
-    return checks.groupBy("source_id").transformWithStateInPandas(_Baseline(last), "source_id long, check_date date, typical long, minimum long", "append", "none")
+    return _with_state(checks).groupBy("source_id").transformWithStateInPandas(_Baseline(last), "source_id long, check_date date, typical long, minimum long", "append", "none")
 
 
 class _Visits(StatefulProcessor):
@@ -86,7 +95,7 @@ class _Visits(StatefulProcessor):
 
 def stream_new_since_visit(events: DataFrame) -> DataFrame:
     """events(user_id, event_id, ts) as a stream -> those newer than the user's last seen one."""
-    return events.groupBy("user_id").transformWithStateInPandas(_Visits(), "user_id long, event_id long, ts timestamp", "append", "none")
+    return _with_state(events).groupBy("user_id").transformWithStateInPandas(_Visits(), "user_id long, event_id long, ts timestamp", "append", "none")
 
 
 def stream_conversation_attach(media: DataFrame, public: DataFrame, within: str = "24 hours", late: str = "96 hours") -> DataFrame:
