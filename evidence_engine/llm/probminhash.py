@@ -164,8 +164,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     members = materialize(bands.join(shared, "key", "left_semi"))
     nodes = materialize(members.select("node").distinct())
     # one document stands for each node; only its text is read again
-    chosen = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    source = docs.select("doc_id", "text").join(chosen, "doc_id", "left_semi")
+    chosen = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("chosen")).select("chosen").distinct()
+    source = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
     sets = materialize(shingle_sets(source, width).dropDuplicates(["node"]).join(nodes, "node", "left_semi"))
     # a shingle that one node alone has: counted once, its least node is that node
     alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
@@ -239,8 +239,8 @@ def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The rows of docs that stand for their class (its least id), with all their columns; of repeated rows, one."""
+    """The rows of docs that stand for their class (its least id), with all their columns; of rows that repeat id and text, one."""
     kept = near_duplicates(docs, threshold, width).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return rows.withColumn("__first", first).filter(F.col("__first") == 1).select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("doc_id"))
+    return rows.withColumn("__text", F.xxhash64("text")).withColumn("__first", first).filter(F.col("__first") == 1).select(*docs.columns)

@@ -26,7 +26,7 @@ def hard_rows() -> list[tuple]:
     near = " ".join([*words[:60], "changed", *words[61:]])
     rows = [
         (1, base, "en", "a", 1), (2, base.upper(), "en", "a", 1), (3, near, "en", None, 1), (4, None, None, "b", None), (5, "", "en", "b", 0),
-        (6, "héllo wörld ñandú", "es", "c", 1), (7, prose(2, 4000), "en", "a", 1), (8, "x", "en", "a", 1), (8, "x", "en", "a", 1), (None, "no id here at all", "en", "a", 1),
+        (6, "héllo wörld ñandú", "es", "c", 1), (7, prose(2, 4000), "en", "a", 1), (8, "x", "en", "a", 1), (8, "x", "en", "a", 1), (None, near + " end", "en", "a", 1),
         (9, "line one\nLINE two  \n\nline one", "en", "d", 1), (10, prose(3, 80) + " " + base[:300], "en", "d", 1), (11, "漢字 only 😀 text", None, "d", 1), (12, " \n\t ", "en", "d", 1),
     ]
     return rows
