@@ -16,18 +16,18 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts and where each starts and, last, ends."""
-    texts = texts.cast(pa.large_binary())
+    """The bytes of all texts, nulls as empty, and where each starts and, last, ends."""
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     body = np.frombuffer(data, np.uint8) if data and data.size else np.zeros(0, np.uint8)
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, column: str, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts hold about so many bytes; a longer text is a run of its own."""
-    sizes = pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(sizes)
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

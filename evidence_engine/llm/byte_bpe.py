@@ -20,17 +20,21 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidence_engine.llm.arrays import parts
 from evidence_engine.llm.columns import text_or_empty
 
 #: Pieces that a task remembers; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 250_000
+
+#: Bytes of text that a task encodes at a time, about; a longer text goes alone.
+BLOCK = 1 << 20
 
 #: Outside Latin-1, so no token holds it.
 _GAP = "Ā"
@@ -40,21 +44,27 @@ class Bpe:
     """Encoder and decoder for one rank file (base64 token and rank on each line) and one pattern."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        import ahocorasick
         import regex
 
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.automaton = ahocorasick.Automaton()
-        for token, rank in self.ranks.items():
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def automaton(self):
+        """Over all tokens; decoding does without."""
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            automaton.add_word(token.decode("latin-1"), rank)
+        automaton.make_automaton()
+        return automaton
+
     @lru_cache(maxsize=1 << 16)  # noqa: B019  one encoder lives as long as its worker
     def _shorter(self, token: int) -> tuple[int, ...]:
         """The tokens that begin this one, longest first, itself included."""
@@ -176,26 +186,13 @@ def encoder(ranks_path: str, pattern: str) -> Bpe:
     return Bpe(ranks_path, pattern)
 
 
-def _blocks(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters; a longer text is a run of its own."""
-    run, n = [], 0
-    for t in texts:
-        run.append(t)
-        n += len(t)
-        if n >= chars:
-            yield run
-            run, n = [], 0
-    if run:
-        yield run
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs(doc_id, text) -> doc_id, ids (binary: little-endian unsigned 32-bit integers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
-            ids = [x for block in _blocks(batch.column("text").to_pylist()) for x in bpe.encode(block)]
+        for batch in (p for whole in batches for p in parts(whole, "text", BLOCK)):
+            ids = bpe.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
@@ -208,7 +205,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole, "ids", BLOCK)):
             bodies = [bpe.decode(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(bodies, pa.binary())], ["doc_id", "ids", "body"])
 
@@ -224,9 +221,9 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole, "__text", BLOCK)):
             texts = batch.column("__text").to_pylist()
-            ids = [x for block in _blocks(texts) for x in bpe.encode(block)]
+            ids = bpe.encode(texts)
             same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
             out = [*(batch.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, [*columns, "n_tokens", "ids", "round_trip"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.arrays import joined
+from evidence_engine.llm.arrays import joined, parts
 from evidence_engine.llm.columns import text_or_empty
 
 UNKNOWN = "und"
@@ -31,7 +31,7 @@ HASH_BITS = 15
 SHARPNESS = 12.0
 #: A second codeword with at least this share of the best one's makes a text ambiguous.
 AMBIGUOUS = 0.5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 def trigrams(body: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ def fit(labelled: DataFrame) -> Model:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size, totals = 2**HASH_BITS, {}
-        for batch in batches:
+        for batch in (p for whole in batches for p in parts(whole, "text")):
             body, at = joined(batch.column("text"))
             langs = batch.column("lang").to_pylist()
             for i, lang in enumerate(langs):
@@ -168,12 +168,12 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return best, score, near.max(1) >= AMBIGUOUS * score
 
 
-def predict(docs: DataFrame, model: Model, text: Column | None = None) -> DataFrame:
-    """docs with all its columns and lang_pred, score, ambiguous (columns of these names are replaced)."""
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with all its columns, text among them, and lang_pred, score, ambiguous (columns of these names are replaced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            body, at = joined(batch.column("__text"))
+        for batch in (p for whole in batches for p in parts(whole, "text")):
+            body, at = joined(batch.column("text"))
             known = batch.column("__letter").to_numpy(zero_copy_only=False)
             n = batch.num_rows
             if model.languages:
@@ -187,8 +187,7 @@ def predict(docs: DataFrame, model: Model, text: Column | None = None) -> DataFr
 
     docs = docs.drop("lang_pred", "score", "ambiguous")
     columns = docs.columns
-    body = text_or_empty(F.col("text") if text is None else text)
-    source = docs.withColumns({"__text": body, "__letter": body.rlike(r"\p{L}")})
+    source = docs.withColumn("__letter", text_or_empty(F.col("text")).rlike(r"\p{L}"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return source.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
 
