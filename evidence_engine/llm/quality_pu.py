@@ -9,8 +9,8 @@ where a step that makes the second part negative climbs back instead. The prior
 among the labelled rows that training may see. The margin's offset is then set so that the share p of the unlabelled sample
 scores over one half.
 
-P and U are at most SAMPLE rows each, those with the least hash of the text's features; everything else, features and
-scores, covers all rows. Without a positive all texts score the prior (one half if that is unknown too).
+P and U are about SAMPLE rows each at most, those whose hash of the text's features falls below a cut that the counts set;
+everything else, features and scores, covers all rows. Without a positive all texts score the prior (one half if that is unknown too).
 
 Nulls: a null text counts as empty, whose features are zeros. Ids may be null or repeated; of several labels of an id
 the largest counts. An empty table gives an empty result.
@@ -86,9 +86,8 @@ def features(body: np.ndarray, at: np.ndarray) -> np.ndarray:
     np.maximum.at(top, o[first], times)
     distinct = np.bincount(o[first], minlength=n)
     # lines: spans between line feeds, the borders of the texts being line feeds too
-    line_ends = np.union1d(np.flatnonzero(body == 10), at[1:] - 1).astype(np.int64)
-    line_ends = line_ends[line_ends >= 0]
-    line_starts = np.concatenate([[0], line_ends[:-1] + 1])
+    line_ends = np.union1d(np.flatnonzero(body == 10), at[1:][np.diff(at) > 0] - 1).astype(np.int64)
+    line_starts = np.concatenate([[0], line_ends[:-1] + 1]).astype(np.int64)[: len(line_ends)]
     line_of = np.searchsorted(at, line_starts, side="right") - 1
     lines = np.maximum(np.bincount(line_of, minlength=n), 1)
     line_hash = span_hashes(body, line_starts, np.maximum(line_ends, line_starts))
@@ -177,13 +176,18 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(mean, spread, p[0], p[1], p[2], float(p[3][0]) - cut, 4.0 / max(float(np.std(g)), 1e-3))
 
 
+def _sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """About sample rows at most, chosen by a hash of their features; each task sends its share only."""
+    share = min(1.0, sample / max(1, rows.count()))
+    return rows.filter(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("x").orderBy("x")
+
+
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, float]:
     """rows(doc_id, x) are unlabelled texts; labels(doc_id, quality) of those that training may see. The model and the prior."""
     prior = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     prior = 0.5 if prior is None else min(max(prior, 0.02), 0.98)
-    marked = rows.withColumn("h", F.xxhash64("x"))
-    good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
-    p, u = (np.array([r["x"] for r in side.orderBy("h").limit(sample).select("x").collect()], np.float64) for side in (marked.join(good, "doc_id", "left_semi"), marked))
+    good = rows.join(labels.filter(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
+    p, u = (np.array([r["x"] for r in _sampled(side, sample).collect()], np.float64).reshape(-1, len(FEATURES)) for side in (good, rows))
     return (train(p, u, prior) if len(p) and len(u) else None), prior
 
 
