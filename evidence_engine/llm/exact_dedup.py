@@ -54,12 +54,12 @@ def exact_dedup(docs: DataFrame, salts: int = 32) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     digests = materialize(docs.select("doc_id", F.sha2(normalised(F.col("text")), 256).alias("digest")))
     groups = duplicate_groups(digests, docs, salts)
-    report = digests.join(groups, "digest").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("won"), F.col("digest").alias("text_sha256")
-    )
-    # rows that repeat id and text are alike in all columns here; the key is as fine as the ids, so it has no skew
-    again = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("keep_id"))
-    return report.select("doc_id", "keep_id", "group_size", (F.col("won") & (again == 1)).alias("kept"), "text_sha256")
+    # rows that repeat id and text are alike in all columns here; the key is as fine as the ids, so it has no skew. It
+    # comes before the join, which then can split a hot digest
+    again = F.row_number().over(Window.partitionBy("digest", "doc_id").orderBy("doc_id"))
+    marked = digests.withColumn("again", again)
+    won = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)
+    return marked.join(groups, "digest").select("doc_id", "keep_id", "group_size", won.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, salts: int = 32) -> DataFrame:
