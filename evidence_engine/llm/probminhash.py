@@ -3,8 +3,10 @@
 A text is the weighted set of its runs of WIDTH lower-cased words; a run's weight is how often it occurs. Each element
 sends a Poisson process of arrivals, its rate the weight, to REGISTERS registers; a register keeps the element that
 arrives first. Two registers agree with the probability Jaccard of the two sets. An element stops as soon as its next
-arrival is later than the latest first arrival of its text. Bands of ROWS registers make buckets: 32 bands of 4 miss a
-pair at 0.8 with a chance under 1e-7.
+arrival is later than the latest first arrival of its text. Links are defined by the plain Jaccard of the sets, which a
+line repeated often can take far from the probability Jaccard; so texts with repeats send a second signature in which every
+weight is 1 (without repeats the two are the same). Bands of ROWS registers make buckets: the 32 bands of 4 with weight 1 miss
+a pair at 0.8 with a chance under 1e-7, whatever the weights are.
 
 A node is a distinct text (by the hash of its words); copies cost no pairs. A node's shingles that no other node has
 cannot be shared, which bounds its likeness to any other: with n shingles, v of them held elsewhere, two nodes are at
@@ -95,6 +97,22 @@ def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
+def all_band_keys(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys sorted by text, and each text's first place among them: of the bands with weight 1, then with the weights where they differ."""
+    plain = band_keys(prob_minhash(elements, owner, np.ones(len(elements)), n))
+    repeats = np.zeros(n, bool)
+    repeats[owner[weight > 1]] = True
+    some = np.flatnonzero(repeats)
+    inside = repeats[owner]
+    weighted = band_keys(prob_minhash(elements[inside], np.searchsorted(some, owner[inside]), weight[inside], len(some)))
+    # a band in which both signatures agree has one key
+    own = weighted != plain[some]
+    keys = np.concatenate([plain.ravel(), weighted[own]])
+    of = np.concatenate([np.repeat(np.arange(n), plain.shape[1]), np.repeat(some, own.sum(1))])
+    order = np.argsort(of, kind="stable")
+    return keys[order], np.searchsorted(of[order], np.arange(n + 1))
+
+
 def signed_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """docs(doc_id, text) -> doc_id, node, bands (array<long>)."""
 
@@ -102,8 +120,8 @@ def signed_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for whole in batches:
             for batch in parts(whole, "text"):
                 elements, owner, weight, node = weighted_sets(batch.column("text"), width)
-                keys = band_keys(prob_minhash(elements, owner, weight, batch.num_rows))
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(keys.view(np.int64).ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))
+                keys, at = all_band_keys(elements, owner, weight, batch.num_rows)
+                bands = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), bands], ["doc_id", "node", "bands"])
 
     source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))

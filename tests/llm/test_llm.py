@@ -209,6 +209,20 @@ def test_prefix_join_misses_none(spark, monkeypatch):
     assert {tuple(sorted(g)) for g in got.values()} == classes(rows)
 
 
+def test_near_duplicates_with_a_repeated_line(spark):
+    # sets nearly equal, weights far apart: one text holds one of its lines 300 times
+    rows = []
+    for i in range(10):
+        words = prose(700 + i, 400).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words + words[100:124] * 300))]
+    want = classes(rows)
+    assert len(want) == 10
+    got: dict = {}
+    for r in probminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.class_id, []).append(r.doc_id)
+    assert {tuple(sorted(g)) for g in got.values()} == want
+
+
 def test_language_id(docs, empty, spark):
     english, german = "the quick brown fox and the lazy dog were over there with that thing", "der schnelle braune fuchs und die faule katze waren nicht dort mit dem ding"
     rows = [(i, " ".join(random.Random(i).sample((english if i % 2 else german).split(), 8)), "en" if i % 2 else "de") for i in range(60)]
