@@ -18,7 +18,11 @@ longer shared prefix wins without a look at the bytes, and equal ones are compar
 with its shared prefixes tells, for each offset of a window from its anchor, which entries hold the same
 window, hence its least document. The spans return to the chunks of their documents.
 
-A chunk is a function of the document's id, so texts move once. The number of chunks and ranges grows with the input; a
+A gram so frequent that it would fill a range alone is in no range: entries that differ after it can still share windows
+that lie mostly before it. Its entries send each of their windows instead, as a 64-bit hash of the window's bytes, to hash
+ranges; of a chunk's equal windows only those of its least document go on, so a frequent window costs a record a chunk.
+
+A chunk is a function of the document's id and text, so texts move once and rows of equal or null ids are spread. The number of chunks and ranges grows with the input; a
 chunk is CHUNK bytes, or one document if that is longer.
 
 Nulls: a null text counts as empty; a null id ranks below all others. Rows of equal id do not remove each other's
@@ -41,6 +45,9 @@ CHUNK = 8 << 20
 SAMPLE = 2000
 _PLACE = np.uint64((1 << 28) - 1)
 _HASH_BITS, _LOW_BITS = 48, 32
+_LOWEST = -(2**63)
+#: Entries whose windows are hashed at once.
+_SLICE = 1 << 15
 
 
 class Shape:
@@ -202,6 +209,23 @@ def repeated(rows: np.ndarray, lcp: np.ndarray, doc: np.ndarray, shape: Shape) -
     return least, most
 
 
+def windows_of(rows: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window of the entries: the entry, the offset of the window's start before the anchor, the hash of its bytes."""
+    wide = shape.before + shape.length
+    power, inverse = powers(wide + 1)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for first in range(0, len(rows), _SLICE):
+        some = rows[first : first + _SLICE]
+        line = np.concatenate([some[:, shape.length : -2][:, ::-1], some[:, : shape.length]], axis=1)
+        sums = np.zeros((len(some), wide + 1), np.uint64)
+        np.cumsum(_BYTE[line] * power[:wide], axis=1, out=sums[:, 1:])
+        for offset in range(shape.before + 1):
+            on = np.flatnonzero((some[:, -2] <= offset) & (offset <= some[:, -1]))
+            h = mixed((sums[on, wide - offset] - sums[on, shape.before - offset]) * inverse[shape.before - offset])
+            found.append((on + first, np.full(len(on), offset), h))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def union(start: np.ndarray, stop: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Overlapping or touching spans of the same owner as one, sorted."""
     if not len(start):
@@ -290,8 +314,11 @@ def _table(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Table
 _RUN = [("part", pa.int32()), ("chunk", pa.int32()), ("lcp", pa.binary()), ("tails", pa.binary()), ("ids", pa.binary()), ("nth", pa.binary()), ("place", pa.binary()), ("done", pa.binary())]
 
 
-def runs_sent(texts: pa.Table, answers: pa.Table, bits: int, cuts: np.ndarray, shape: Shape) -> pa.Table:
-    """The sorted, front-coded runs of a chunk, one row for each range, with what is settled within the chunk."""
+def runs_sent(texts: pa.Table, answers: pa.Table, bits: int, cuts: np.ndarray, hot: np.ndarray, shape: Shape) -> pa.Table:
+    """The sorted, front-coded runs of a chunk, one row for each range, with what is settled within the chunk.
+
+    The windows of hot grams go to as many hash ranges, numbered after the others: hashes as tails, window starts as places.
+    """
     if not texts.num_rows:
         return _table([], _RUN)
     chunk = _Chunk(texts, shape)
@@ -322,15 +349,39 @@ def runs_sent(texts: pa.Table, answers: pa.Table, bits: int, cuts: np.ndarray, s
     settled = ids > smallest[group]
     start = place[settled] - rows[settled, -1]
     stop = place[settled] - rows[settled, -2] + shape.length
-    done = np.stack(union(start, stop, nth[settled])).astype(np.int64)
-    rows, ids, nth, place = rows[~settled], ids[~settled], nth[~settled], place[~settled]
-    which = np.searchsorted(cuts, np.ascontiguousarray(rows[:, : shape.gram]).view(f"S{shape.gram}").ravel(), side="right")
+    owner = nth[settled]
+    # nothing ranks below the lowest id, so one of its equal entries is enough
+    again = ids == _LOWEST
+    again[head] = False
+    go_on = ~settled & ~again
+    rows, ids, nth, place = rows[go_on], ids[go_on], nth[go_on], place[go_on]
+    grams = np.ascontiguousarray(rows[:, : shape.gram]).view(f"S{shape.gram}").ravel()
+    frequent = np.isin(grams, hot)
+    of, offset, window = windows_of(rows[frequent], shape)
+    w_ids, w_nth, w_place = ids[frequent][of], nth[frequent][of], place[frequent][of] - offset
+    ranges = len(cuts) + 1
+    target = (window % np.uint64(ranges)).astype(np.int64)
+    order = np.lexsort((w_ids, window, target))
+    target, window, w_ids, w_nth, w_place = target[order], window[order], w_ids[order], w_nth[order], w_place[order]
+    new = np.ones(len(window), bool)
+    new[1:] = window[1:] != window[:-1]
+    larger = w_ids > w_ids[np.maximum.accumulate(np.where(new, np.arange(len(window)), 0))]
+    start, stop, owner = np.concatenate([start, w_place[larger]]), np.concatenate([stop, w_place[larger] + shape.length]), np.concatenate([owner, w_nth[larger]])
+    done = np.stack(union(start, stop, owner)).astype(np.int64)
+    go_on = ~larger & (new | (w_ids != _LOWEST))
+    target, window, w_ids, w_nth, w_place = target[go_on], window[go_on], w_ids[go_on], w_nth[go_on], w_place[go_on]
+    rows, ids, nth, place, grams = rows[~frequent], ids[~frequent], nth[~frequent], place[~frequent], grams[~frequent]
+    which = np.searchsorted(cuts, grams, side="right")
     number = texts.column("chunk")[0].as_py()
     bounds = np.searchsorted(which, np.arange(len(cuts) + 2))
     out = []
     for k in np.flatnonzero(np.diff(bounds)):
         s = slice(bounds[k], bounds[k + 1])
         out.append((int(k), number, *front_coded(rows[s]), ids[s].astype(np.int64).tobytes(), nth[s].astype(np.int32).tobytes(), place[s].astype(np.int32).tobytes(), b""))
+    bounds = np.searchsorted(target, np.arange(ranges + 1))
+    for k in np.flatnonzero(np.diff(bounds)):
+        s = slice(bounds[k], bounds[k + 1])
+        out.append((int(k) + ranges, number, b"", window[s].tobytes(), w_ids[s].astype(np.int64).tobytes(), w_nth[s].astype(np.int32).tobytes(), w_place[s].astype(np.int32).tobytes(), b""))
     out[0] = (*out[0][:-1], done.tobytes())
     return _table(out, _RUN)
 
@@ -338,19 +389,28 @@ def runs_sent(texts: pa.Table, answers: pa.Table, bits: int, cuts: np.ndarray, s
 _SPANS = [("chunk", pa.int32()), ("nth", pa.binary()), ("start", pa.binary()), ("stop", pa.binary())]
 
 
-def range_merged(table: pa.Table, shape: Shape) -> pa.Table:
-    """The spans that a range finds repeated, one row for each chunk."""
-    runs = [from_front_coded(a, b, shape.row) for a, b in zip(table.column("lcp").to_pylist(), table.column("tails").to_pylist(), strict=True)]
+def range_merged(table: pa.Table, ranges: int, shape: Shape) -> pa.Table:
+    """The spans that a range finds repeated, one row for each chunk. Ranges from number ranges on hold windows."""
+    hashed = table.column("part")[0].as_py() >= ranges
+    runs = [] if hashed else [from_front_coded(a, b, shape.row) for a, b in zip(table.column("lcp").to_pylist(), table.column("tails").to_pylist(), strict=True)]
     ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()])
     nth, place = (np.concatenate([np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()]) for c in ("nth", "place"))
     chunks = table.column("chunk").to_numpy()
-    chunk = np.repeat(chunks, [len(r) for r, _ in runs])
-    order, lcp = merge(runs)
-    rows = np.concatenate([r for r, _ in runs])[order]
-    least, most = repeated(rows, lcp, ids[order], shape)
-    hit = most >= 0
-    of = order[hit]
-    found = [(chunk[of], nth[of], place[of] - most[hit], place[of] - least[hit] + shape.length)]
+    chunk = np.repeat(chunks, [len(x) // 8 for x in table.column("ids").to_pylist()])
+    if hashed:
+        window = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tails").to_pylist()])
+        order = np.argsort(window, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], window[order[1:]] != window[order[:-1]]]))
+        smallest = np.repeat(np.minimum.reduceat(ids[order], head), np.diff(np.append(head, len(order))))
+        of = order[ids[order] > smallest]
+        found = [(chunk[of], nth[of], place[of], place[of] + shape.length)]
+    else:
+        order, lcp = merge(runs)
+        rows = np.concatenate([r for r, _ in runs])[order]
+        least, most = repeated(rows, lcp, ids[order], shape)
+        hit = most >= 0
+        of = order[hit]
+        found = [(chunk[of], nth[of], place[of] - most[hit], place[of] - least[hit] + shape.length)]
     for number, done in zip(chunks, table.column("done").to_pylist(), strict=True):
         if done:
             start, stop, owner = np.frombuffer(done, np.int64).reshape(3, -1)
@@ -388,12 +448,20 @@ def chunk_cut(texts: pa.Table, spans: pa.Table, shape: Shape) -> pa.Table:
     return _table(out, _KEPT)
 
 
+def ranges_of(grams: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts of the alphabet at quantiles of the sorted sample, and the grams that are several quantiles: too frequent for a range."""
+    if not len(grams):
+        return grams, grams
+    cuts, times = np.unique(grams[np.linspace(0, len(grams), chunks, endpoint=False).astype(int)[1:]], return_counts=True)
+    return cuts, cuts[times > 1]
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK, sample: int = SAMPLE) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_bytes, n_removed, spans (array<struct<start, stop>>, bytes), kept (binary).
 
     The ids of chunks and ranges depend on the size of the input alone; the result does not depend on them.
     """
-    shape, lowest = Shape(length, gram), -(2**63)
+    shape, lowest = Shape(length, gram), _LOWEST
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("id"), text_or_empty(F.col("text")).alias("body"))
     n, total = source.agg(F.count(F.lit(1)), F.sum(F.octet_length("body"))).first()
     chunks = max(1, -(-(total or 0) // chunk_bytes))
@@ -409,16 +477,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
     # about sample documents, chosen by a hash of their id, cut the alphabet into as many ranges as there are chunks
     few = source.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0)
     grams = np.sort(np.array(few.mapInArrow(sampled, "gram binary").toArrow()["gram"].to_pylist(), f"S{gram}"))
-    cuts = np.unique(grams[np.linspace(0, len(grams), chunks, endpoint=False).astype(int)[1:]]) if len(grams) else grams
+    cuts, hot = ranges_of(grams, chunks)
 
-    texts = source.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), "id", "body")
+    texts = source.select(F.pmod(F.xxhash64("id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "id", "body")
     sent = texts.groupBy("chunk").applyInArrow(lambda t: fingerprints_sent(t, bits, shape), "bucket int, chunk int, low binary, counts binary")
     answers = sent.groupBy("bucket").applyInArrow(fingerprints_met, "chunk int, bucket int, bits binary")
     runs = (
         texts.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(lambda a, b: runs_sent(a, b, bits, cuts, shape), "part int, chunk int, lcp binary, tails binary, ids binary, nth binary, place binary, done binary")
+        .applyInArrow(lambda a, b: runs_sent(a, b, bits, cuts, hot, shape), "part int, chunk int, lcp binary, tails binary, ids binary, nth binary, place binary, done binary")
     )
-    spans = runs.groupBy("part").applyInArrow(lambda t: range_merged(t, shape), "chunk int, nth binary, start binary, stop binary")
+    spans = runs.groupBy("part").applyInArrow(lambda t: range_merged(t, len(cuts) + 1, shape), "chunk int, nth binary, start binary, stop binary")
     cut = texts.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(lambda a, b: chunk_cut(a, b, shape), "id long, n_bytes long, n_removed long, spans array<struct<start:long,stop:long>>, kept binary")
     return cut.select(F.when(F.col("id") != lowest, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "spans", "kept")

@@ -301,6 +301,49 @@ def test_suffix_dedup(docs, empty, chunk_bytes):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+def template_rows() -> list[tuple]:
+    # a line of 32 bytes in surroundings that vary, some of them shared by several documents; ids null and repeated
+    line = "\nTerms apply, see the last page.\n"
+    return [(None if i % 5 == 0 else i // 2, f"{prose(i % 40, 6)}{line}{prose(900 + i % 23, 6)}{line}{prose(i, 4)}") for i in range(150)]
+
+
+def test_suffix_dedup_frequent_gram(spark):
+    rows = template_rows()
+    first: dict = {}
+    rank = [-1 if i is None else i for i, _ in rows]
+    for r, (_, text) in zip(rank, rows, strict=True):
+        for k in range(len(text) - 49):
+            first[text[k : k + 50]] = min(r, first.get(text[k : k + 50], r))
+    want = []
+    for r, (i, text) in zip(rank, rows, strict=True):
+        gone = [False] * len(text)
+        for k in range(len(text) - 49):
+            if first[text[k : k + 50]] < r:
+                gone[k : k + 50] = [True] * 50
+        want.append((i or -1, "".join(c for c, g in zip(text, gone, strict=True) if not g).encode()))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=1500).collect()
+    assert sorted((r.doc_id or -1, bytes(r.kept)) for r in got) == sorted(want)
+
+
+def test_suffix_dedup_splits_a_frequent_gram():
+    import numpy as np
+    import pyarrow as pa
+
+    shape = suffix_dedup.Shape()
+    bodies = [t.encode() for _, t in template_rows()]
+    texts = pa.table({"chunk": pa.array([0] * len(bodies), pa.int32()), "id": pa.array(range(len(bodies)), pa.int64()), "body": pa.array([b.decode() for b in bodies])})
+    grams = []
+    for b in bodies:
+        p = suffix_dedup.anchors(np.frombuffer(b, np.uint8), np.array([0, len(b)]), shape)[0]
+        grams += [b[x : x + shape.gram] for x in p]
+    cuts, hot = suffix_dedup.ranges_of(np.sort(np.array(grams, "S20")), 32)
+    assert len(hot)
+    none = pa.table({"bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    sent = suffix_dedup.runs_sent(texts, none, 2, cuts, hot, shape)
+    sizes = [len(x) // 8 for x in sent.column("ids").to_pylist()]
+    assert max(sizes) < sum(sizes) / 8
+
+
 def test_loser_tree_merges_in_order():
     import numpy as np
 
