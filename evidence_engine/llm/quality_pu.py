@@ -9,8 +9,9 @@ where a step that makes the second part negative climbs back instead. The prior
 among the labelled rows that training may see. The margin's offset is then set so that the share p of the unlabelled sample
 scores over one half.
 
-P and U are about SAMPLE rows each at most, those whose hash of the text's features falls below a cut that the counts set;
-everything else, features and scores, covers all rows. Without a positive all texts score the prior (one half if that is unknown too).
+P and U are about SAMPLE rows each at most. Rows of equal features are counted, and each such group is in the sample as often
+as its share says, its fraction rounded up or down by a hash of the features: so copies and empty texts weigh in the sample as
+in the table, and its size differs from SAMPLE by chance alone. Everything else, features and scores, covers all rows. Without a positive all texts score the prior (one half if that is unknown too).
 
 Nulls: a null text counts as empty, whose features are zeros. Ids may be null or repeated; of several labels of an id
 the largest counts. An empty table gives an empty result.
@@ -176,10 +177,15 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(mean, spread, p[0], p[1], p[2], float(p[3][0]) - cut, 4.0 / max(float(np.std(g)), 1e-3))
 
 
-def _sampled(rows: DataFrame, sample: int) -> DataFrame:
-    """About sample rows at most, chosen by a hash of their features; each task sends its share only."""
+def _sampled(rows: DataFrame, sample: int) -> np.ndarray:
+    """About sample rows at most, sorted; each distinct row comes to the driver once, with the times that it counts."""
     share = min(1.0, sample / max(1, rows.count()))
-    return rows.filter(F.pmod(F.xxhash64("x"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select("x").orderBy("x")
+    even = F.shiftrightunsigned(F.xxhash64("x"), 11) * F.lit(2.0**-53)
+    times = F.col("n") if share == 1 else F.floor(F.col("n") * F.lit(share) + even)
+    taken = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n")).select("x", times.alias("times")).filter("times > 0")
+    found = sorted((r["x"], r["times"]) for r in taken.collect())
+    x = np.array([x for x, _ in found], np.float64).reshape(-1, len(FEATURES))
+    return np.repeat(x, np.array([n for _, n in found], np.int64), axis=0)
 
 
 def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model | None, float]:
@@ -187,7 +193,7 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model
     prior = labels.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
     prior = 0.5 if prior is None else min(max(prior, 0.02), 0.98)
     good = rows.join(labels.filter(F.col("quality") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
-    p, u = (np.array([r["x"] for r in _sampled(side, sample).collect()], np.float64).reshape(-1, len(FEATURES)) for side in (good, rows))
+    p, u = (_sampled(side, sample) for side in (good, rows))
     return (train(p, u, prior) if len(p) and len(u) else None), prior
 
 

@@ -279,6 +279,20 @@ def test_quality(docs, empty, spark):
     assert all(0 <= r.score <= 1 for r in quality_pu.quality(docs, labels.limit(0), F.lit(True)).collect())
 
 
+def test_quality_sample_keeps_the_share_of_copies(spark):
+    # a third of the rows are one row; the sample has them by their share, whatever their hash, and is no larger than asked
+    width = len(quality_pu.FEATURES)
+    for hot in (1.0, 2.0, 3.0, 4.0):
+        x = F.array(*[F.when(F.col("id") % 3 == 0, F.lit(-hot)).otherwise(F.col("id") + k).cast("float") for k in range(width)])
+        rows = quality_pu._sampled(spark.range(30000).select(x.alias("x")), 300)
+        assert abs(len(rows) - 300) < 60
+        assert 99 <= sum(r[0] == -hot for r in rows) <= 101
+    # a share far below one in a million still takes rows
+    x = F.array(*[(F.col("id") + k).cast("float") for k in range(width)])
+    few = quality_pu._sampled(spark.range(3_000_000).select(F.when(F.col("id") < 1000, x).otherwise(F.array(*[F.lit(0.0).cast("float")] * width)).alias("x")), 2)
+    assert 1 <= len(few) <= 10
+
+
 @pytest.mark.parametrize("chunk_bytes", [1 << 20, 2000])
 def test_suffix_dedup(docs, empty, chunk_bytes):
     rows = hard_rows()
