@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import string
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,17 @@ from pyspark.sql import functions as F
 SPACES = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
+def free_names(taken: Sequence[str], *wanted: str) -> list[str]:
+    """The wanted column names, with as many underscores before them as keep them apart from those taken (case does not tell names apart)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
