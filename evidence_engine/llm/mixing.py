@@ -12,7 +12,8 @@ rows, and only the rows within a range are ordered by a window. So neither a sou
 global order meets in one task.
 
 Nulls: a null text has size 0; null sources form one source, ranked last; a null id is ordered as the empty string.
-Repeated rows each count. An empty table gives an empty result.
+Rows of size 0 change no total, so they stay out of the queues and are taken once. Rows that share an id (or have none) are
+spread by their texts. Repeated rows each count. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_engine.llm.columns import free_names, text_or_empty
 from evidence_engine.plans.materialize import materialize
 
 
@@ -31,13 +33,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _mark(doc_id: Column, seed: str) -> Column:
-    """32 hex digits that order the documents within their source."""
-    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":" + seed)))
+def _mark(doc_id: Column, text: Column, seed: str) -> Column:
+    """32 hex digits, of the id and the text, that order the documents within their source."""
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(f":{seed}:"), text_or_empty(text)))
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _mark(F.col("doc_id"), seed).alias("mark"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _mark(F.col("doc_id"), F.col("text"), seed).alias("mark"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2) -> DataFrame:
@@ -71,16 +73,19 @@ def _same(left: list[str], right: list[str]) -> Column:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
     """docs(doc_id, source, text) -> doc_id, source, size, source_size, target, epochs (times taken), taken (words), mark."""
-    spark = docs.sparkSession
     sizes = materialize(sized(docs, seed))
     per = materialize(targets(sizes, weights, share, max_epochs))
-    budget, all_weights, n = per.agg(F.max("budget"), F.sum("weight")).crossJoin(sizes.agg(F.count(F.lit(1)))).first()
+    queued = sizes.filter("size > 0")
+    n = queued.count()
+    idle = sizes.filter("size = 0").join(per.select(F.col("source").alias("s"), "source_size", "target"), _same(["source"], ["s"]))
+    idle = idle.select("doc_id", "source", "size", "source_size", "target", F.lit(1).alias("epochs"), F.lit(0).cast("long").alias("taken"), "mark")
     if not n:
-        return spark.createDataFrame([], "doc_id long, source string, size long, source_size long, target double, epochs int, taken long, mark string")
+        return idle
+    budget, all_weights = per.agg(F.max("budget"), F.sum("weight")).first()
     ranges = int(n**0.5)
 
     # within a source: the first 32 bits of the mark, spread evenly, give the range
-    marked = sizes.withColumn("range", F.floor(F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") * F.lit(ranges) / F.lit(2.0**32)))
+    marked = queued.withColumn("range", F.floor(F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") * F.lit(ranges) / F.lit(2.0**32)))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = marked.groupBy("source", "range").agg(F.sum("size").alias("in_range")).withColumn("ahead", F.coalesce(F.sum("in_range").over(ahead), F.lit(0)))
     sums = sums.join(per.withColumnRenamed("source", "s"), _same(["source"], ["s"])).select(F.col("source").alias("s"), F.col("range").alias("r"), "ahead", "source_size", "weight", "target")
@@ -98,17 +103,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     ranked = passes.withColumn("total", F.sum("size").over(inside)).join(bands, _same(["band"], ["b"]))
     taken = F.when(F.col("total") + F.col("ahead") <= F.lit(budget), 1).otherwise(0)
     won = ranked.groupBy("doc_id", "source", "range", "nth", "size", "source_size", "target", "mark").agg(F.sum(taken).cast("int").alias("epochs"))
-    return won.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), "mark")
+    won = won.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).alias("taken"), "mark")
+    return won.unionByName(idle)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as mix() takes them, with all their columns. Options are those of mix()."""
     seed = options.get("seed", "mix")
     report = mix(docs, **options).filter(F.col("epochs") > 0)
-    # rows that repeat id, source and size are alike to mix(); the totals of such rows are dealt to them in any order
-    times = report.groupBy(F.col("mark").alias("__mark"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.sort_array(F.collect_list("epochs"), asc=False).alias("__epochs"))
-    marked = docs.withColumns({"__m": _mark(docs["doc_id"], seed), "__n": n_words(docs["text"])})
-    joined = marked.join(times, (F.col("__m") == F.col("__mark")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    nth = F.when(F.size("__epochs") == 1, 1).otherwise(F.row_number().over(Window.partitionBy("__mark", "__source", "__size").orderBy("doc_id")))
-    joined = joined.withColumn("__times", F.get("__epochs", nth - 1))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    mark, source, size, epochs, m, n, times, copy = free_names(docs.columns, "mark", "of_source", "size", "epochs", "own_mark", "own_size", "times", "copy")
+    # rows that repeat id, text and source are alike to mix(); the totals of such rows are dealt to them in any order
+    counts = report.groupBy(F.col("mark").alias(mark), F.col("source").alias(source), F.col("size").alias(size)).agg(F.sort_array(F.collect_list("epochs"), asc=False).alias(epochs))
+    marked = docs.withColumns({m: _mark(docs["doc_id"], docs["text"], seed), n: n_words(docs["text"])})
+    joined = marked.join(counts, (F.col(m) == F.col(mark)) & F.col("source").eqNullSafe(F.col(source)) & (F.col(n) == F.col(size)))
+    nth = F.when(F.size(epochs) == 1, 1).otherwise(F.row_number().over(Window.partitionBy(mark, source, size).orderBy("doc_id")))
+    joined = joined.withColumn(times, F.get(epochs, nth - 1))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
