@@ -1,8 +1,8 @@
 """SpotSigs document fingerprints, in DataFrame operations only.
 
 A signature is a common word (an anchor) with the chain_length content words that follow it, whatever anchors stand in
-between. The fingerprint of a text is the set of hashes of its signatures, sorted and written as hexadecimal digits. A
-text without any signature has one, the hash of all its words, so that equal texts are alike and others are not.
+between. The fingerprint of a text is the set of 64-bit hashes of its signatures, sorted and written as hexadecimal digits.
+A text without any chain has its runs of chain_length + 1 words as signatures; one of fewer words, the hash of them all.
 
 Likeness is the Jaccard measure of two sets. near_pairs() deals the sets by their length into ranges so wide that sets
 as alike as the threshold stand in the same or in neighbouring ranges, looks for partners by the rarest signatures of
@@ -15,9 +15,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,25 +32,34 @@ ANCHORS = (
 ).split()
 
 
-def _one_of(words: Sequence[str]) -> str:
-    """A pattern for any of the words, grouped by their first letter so that a mismatch ends early."""
-    groups = ((k, [re.escape(w[1:]) for w in g]) for k, g in groupby(sorted(set(words)), key=lambda w: w[0]))
-    return "(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(sorted(g, key=len, reverse=True))})" for k, g in groups) + ")"
+def signatures(text: Column, chain_length: int = 2, anchors: Sequence[str] = ANCHORS) -> Column:
+    """The sorted set of signature hashes of a text, array<long>.
 
+    The j-th anchor, at word i, has i - j content words before it; so its chain starts at that place of the content words.
+    """
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
-def signatures(text: Column, chain_length: int = 2, anchors: Sequence[str] = ANCHORS) -> Column:
-    """The sorted set of signature hashes of a text, array<int>."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-    # anchors are marked by U+0001, which no word holds
-    marked = F.regexp_replace(words, f"(?<= )({_one_of(anchors)})(?= )", "\x01$1")
-    chain = rf"(?=(\x01[^ ]++(?:(?: \x01[^ ]++)*+ [^\x01 ][^ ]*+){{{chain_length}}}))\x01"
-    found = F.transform(F.regexp_extract_all(marked, F.lit(chain), 1), lambda x: F.hash(F.regexp_replace(x, " \x01[^ ]+", "")))
-    return F.when(F.size(found) > 0, F.array_sort(F.array_distinct(found))).otherwise(F.array(F.hash(words)))
+    def chains(ws: Column, p: Column) -> Column:
+        whole = F.filter(p["at"], lambda at, j: at - j + chain_length <= F.size(p["content"]))
+        return F.transform(whole, lambda at, j: F.xxhash64(F.get(ws, at), *[F.get(p["content"], at - j + k) for k in range(chain_length)]))
+
+    def runs(ws: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.size(ws) - chain_length - 1), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(chain_length + 1)]))
+        return F.when(F.size(ws) > chain_length, some).otherwise(F.array(F.xxhash64(ws)))
+
+    def found(ws: Column) -> Column:
+        content = F.filter(ws, lambda w: ~w.isin(*anchors))
+        at = F.filter(F.transform(ws, lambda w, i: F.when(w.isin(*anchors), i).otherwise(-1)), lambda i: i >= 0)
+        chained = F.transform(F.array(F.struct(content.alias("content"), at.alias("at"))), lambda p: chains(ws, p))[0]
+        return F.transform(F.array(chained), lambda c: F.when(F.size(c) > 0, c).otherwise(runs(ws)))[0]
+
+    # each intermediate array is a variable of an outer function, so that it is made once
+    return F.array_sort(F.array_distinct(F.transform(F.array(words), found)[0]))
 
 
 def fingerprint(signature_set: Column) -> Column:
-    """Eight hexadecimal digits for each signature, comma-joined."""
-    return F.array_join(F.transform(signature_set, lambda x: F.lpad(F.lower(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), 8, "0")), ",")
+    """Sixteen hexadecimal digits for each signature, comma-joined."""
+    return F.array_join(F.transform(signature_set, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), ",")
 
 
 def likeness(a: Column, b: Column, threshold: float = 0.0) -> Column:
@@ -90,23 +97,24 @@ def with_edits(docs: DataFrame, chain_length: int = 2, anchors: Sequence[str] =
     """For each row: doc_id, n_chars, signatures, edited (text), edited_signatures, next_signatures.
 
     edited: the last floor(n_chars / 4) code points give way to as many first ones of the next document's text (or all).
-    Whole texts move once, to their id, with their signatures; both uses of that read the same exchange. Of the next
-    document only the beginning that is wanted and the signatures move on.
+    Whole texts move once, to their id; both uses of that read the same exchange. Signatures are made where they are
+    used, which costs less than moving them with the texts. Of the next document only the beginning that is wanted and
+    the signatures move on.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
-    ids = docs.select(key.alias("key"), F.length(text_or_empty(F.col("text"))).alias("n_chars")).groupBy("key").agg(F.max("n_chars").alias("n_chars"))
-    chain = following(ids)
-    prints = fingerprints(docs, chain_length, anchors).select(key.alias("key"), "text", "signatures")
-    placed = prints.join(chain, "key")
+    rows = docs.select(key.alias("key"), text_or_empty(F.col("text")).alias("text"))
+    ids = rows.select("key", F.length("text").alias("n_chars")).groupBy("key").agg(F.max("n_chars").alias("n_chars"))
+    placed = rows.join(following(ids), "key")
     start = F.substring(F.col("text"), F.lit(1), F.floor(F.col("prev_n_chars") / 4).cast("int"))
-    ahead = placed.select(F.col("prev_key").alias("to_key"), F.struct(F.xxhash64("text").alias("h"), start.alias("start"), "signatures").alias("next"))
+    ahead = placed.select(F.col("prev_key").alias("to_key"), F.struct(F.xxhash64("text").alias("h"), start.alias("start"), signatures(F.col("text"), chain_length, anchors).alias("signatures")).alias("next"))
     ahead = ahead.groupBy("to_key").agg(F.min("next").alias("next"))
     both = placed.join(ahead, F.col("key") == F.col("to_key"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next.start"), F.lit(1), cut))
-    both = both.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), "signatures", edited.alias("edited"), F.col("next.signatures").alias("next_signatures"))
-    return both.withColumn("edited_signatures", signatures(F.col("edited"), chain_length, anchors))
+    both = both.select(F.when(F.col("key") != _NO_ID, F.col("key")).alias("doc_id"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"), F.col("next.signatures").alias("next_signatures"))
+    made = {name: signatures(F.col(column), chain_length, anchors) for name, column in (("signatures", "text"), ("edited_signatures", "edited"))}
+    return both.withColumns(made).drop("text")
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, chain_length: int = 2, anchors: Sequence[str] = ANCHORS) -> DataFrame:
