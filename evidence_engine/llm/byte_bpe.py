@@ -221,8 +221,8 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
-        for batch in (p for whole in batches for p in parts(whole, "__text", BLOCK)):
-            texts = batch.column("__text").to_pylist()
+        for batch in (p for whole in batches for p in parts(whole, "text", BLOCK)):
+            texts = batch.column("text").to_pylist()
             ids = bpe.encode(texts)
             same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
             out = [*(batch.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
@@ -230,6 +230,6 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     docs = docs.drop("n_tokens", "ids", "round_trip")
     columns = [c for c in docs.columns if c != "text"]
-    source = docs.select(*columns, text_or_empty(F.col("text")).alias("__text"))
+    source = docs.select(*columns, text_or_empty(F.col("text")).alias("text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     return source.mapInArrow(run, f"{schema}, n_tokens long, ids binary, round_trip boolean")
