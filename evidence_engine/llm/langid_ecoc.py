@@ -6,7 +6,9 @@ from counts over all training texts: tasks add up counts for their own rows, and
 2**HASH_BITS) are summed by Spark, so training reads every labelled row and needs no sample. Decoding sums, over the bits,
 a logistic loss of the classifier's margin times the bit's weight (its reliability on the training counts) and takes
 the codeword of least loss. The score is the share of that codeword in a softmax over the losses; a text is ambiguous when
-the second best is nearly as close.
+the second best is nearly as close. The loss itself tells, whatever the number of languages is, how well the text fits any
+of them: near 0 for a text of a learned language, near log 2 for letters that speak for no side of any bit. loss_limit()
+is the loss up to which a text counts as of a learned language, taken from the labelled rows.
 
 Nulls: a null text, an empty one or one without a letter gets UNKNOWN and score 0. Rows without language train nothing.
 Without any training row all texts are UNKNOWN. Ties go to the language that comes first by code point.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.arrays import joined, parts
-from evidence_engine.llm.columns import text_or_empty
+from evidence_engine.llm.columns import free_names, text_or_empty
 
 UNKNOWN = "und"
 HASH_BITS = 15
@@ -31,6 +33,8 @@ HASH_BITS = 15
 SHARPNESS = 12.0
 #: A second codeword with at least this share of the best one's makes a text ambiguous.
 AMBIGUOUS = 0.5
+#: Share of the labelled rows within the limit of the loss, and a limit that no table goes below.
+WITHIN, LEAST_LIMIT = 0.999, 0.2
 _CHUNK = 1 << 18
 
 
@@ -155,8 +159,8 @@ def _margins(model: Model, body: np.ndarray, at: np.ndarray) -> np.ndarray:
     return sums / np.maximum(np.diff(at) - 2, 1)[:, None]
 
 
-def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the nearest codeword, its score, and whether the next is nearly as close."""
+def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the nearest codeword, its score, whether the next is nearly as close, and its loss."""
     z = margins * SHARPNESS
     lost1, lost0 = np.logaddexp(0, -z), np.logaddexp(0, z)
     loss = (lost1 * model.reliability) @ model.code.T + (lost0 * model.reliability) @ (1 - model.code).T
@@ -165,31 +169,43 @@ def decode(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     best = loss.argmin(1)
     score = near[np.arange(len(best)), best]
     near[np.arange(len(best)), best] = 0
-    return best, score, near.max(1) >= AMBIGUOUS * score
+    return best, score, near.max(1) >= AMBIGUOUS * score, loss.min(1)
+
+
+_TOLD = ["lang_pred", "score", "ambiguous", "loss"]
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with all its columns, text among them, and lang_pred, score, ambiguous (columns of these names are replaced)."""
+    """docs with all its columns, text among them, and lang_pred, score, ambiguous, loss (columns of these names are replaced)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for whole in batches for p in parts(whole, "text")):
             body, at = joined(batch.column("text"))
-            known = batch.column("__letter").to_numpy(zero_copy_only=False)
+            known = batch.column(letter).to_numpy(zero_copy_only=False)
             n = batch.num_rows
             if model.languages:
-                best, score, ambiguous = decode(model, _margins(model, body, at))
+                best, score, ambiguous, loss = decode(model, _margins(model, body, at))
                 langs = np.where(known, np.asarray(model.languages, object)[best], UNKNOWN)
                 score, ambiguous = np.where(known, score, 0.0), np.where(known, ambiguous, False)
             else:
-                langs, score, ambiguous = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool)
+                langs, score, ambiguous, loss = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n, bool), np.full(n, np.log(2))
             keep = [batch.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(langs.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous)], [*columns, "lang_pred", "score", "ambiguous"])
+            told = [pa.array(langs.tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(ambiguous), pa.array(loss, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*keep, *told], [*columns, *_TOLD])
 
-    docs = docs.drop("lang_pred", "score", "ambiguous")
+    docs = docs.drop(*_TOLD)
     columns = docs.columns
-    source = docs.withColumn("__letter", text_or_empty(F.col("text")).rlike(r"\p{L}"))
+    (letter,) = free_names(columns, "letter")
+    source = docs.withColumn(letter, text_or_empty(F.col("text")).rlike(r"\p{L}"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    return source.mapInArrow(run, f"{schema}, lang_pred string, score double, ambiguous boolean, loss double")
+
+
+def loss_limit(labelled: DataFrame, model: Model) -> float:
+    """The loss that WITHIN of the labelled texts with a letter do not exceed, or LEAST_LIMIT if that is more."""
+    rows = labelled.filter(F.col("lang").isNotNull()).select("text")
+    limit = predict(rows, model).filter(F.col("lang_pred") != UNKNOWN).agg(F.percentile_approx("loss", WITHIN, 100_000)).first()[0]
+    return max(LEAST_LIMIT, limit or 0.0)
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
