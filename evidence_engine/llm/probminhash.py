@@ -34,12 +34,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.llm.arrays import joined, mixed, parts, powers, shingles, span_hashes, words
-from evidence_engine.llm.columns import text_or_empty
+from evidence_engine.llm.columns import free_names, text_or_empty
 from evidence_engine.plans.materialize import materialize
 
 WIDTH, THRESHOLD, REGISTERS, ROWS = 5, 0.8, 128, 4
 #: Rounds of comparison with pivots before the rest is compared pair by pair.
 PIVOT_ROUNDS = 2
+#: A shingle is hot when more than one entry in so many holds it; so there are fewer hot shingles than this.
+HOT_SHARE = 1024
+#: Parts into which the entries of a hot shingle are dealt where they meet.
+SALTS = 16
 
 
 def prob_minhash(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n: int, registers: int = REGISTERS) -> np.ndarray:
@@ -114,7 +118,7 @@ def all_band_keys(elements: np.ndarray, owner: np.ndarray, weight: np.ndarray, n
 
 
 def signed_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, node, bands (array<long>)."""
+    """docs(doc_id, text) -> doc_id, mark (hash of the whole text), node, bands (array<long>)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -122,10 +126,10 @@ def signed_texts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 elements, owner, weight, node = weighted_sets(batch.column("text"), width)
                 keys, at = all_band_keys(elements, owner, weight, batch.num_rows)
                 bands = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node.view(np.int64)), bands], ["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(node.view(np.int64)), bands], ["doc_id", "mark", "node", "bands"])
 
-    source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
-    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, node long, bands array<long>")
+    source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, mark long, node long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -174,8 +178,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, class_id (least id of the class), class_size (rows), class_texts (distinct texts)."""
+def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, mark (hash of the text), node, label: the least node of the class of each row, written."""
     texts = materialize(signed_texts(docs, width))
     bands = texts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").count().filter("count > 1").select("key")
@@ -225,8 +229,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
         moved = joined_to.select(F.col("node").alias("label"), F.col("label").alias("now"))
         labels = materialize(_few(labels.join(moved, "label", "left").select("node", F.coalesce("now", "label").alias("label")), n_nodes))
 
-    of = texts.select("doc_id", "node").join(labels, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
-    of = materialize(of)
+    return materialize(texts.select("doc_id", "mark", "node").join(labels, "node", "left").select("doc_id", "mark", "node", F.coalesce("label", "node").alias("label")))
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, class_id (least id of the class), class_size (rows), class_texts (distinct texts)."""
+    of = classed(docs, threshold, width)
     counted = of.groupBy("label", "node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = counted.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
     return of.join(classes, "label").select("doc_id", "class_id", "class_size", "class_texts")
@@ -241,8 +249,13 @@ def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -
     join, and so do shingles that one component alone still has; this empties the shingles of the text that a group derives from.
     """
     items = sets.join(nodes, "node").select("node", "label", "n", F.explode("items").alias("item"))
-    seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("c"))
-    ranked = items.join(seen, "item").groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("rare"))
+    seen = materialize(items.groupBy("item").agg(F.count(F.lit(1)).alias("c")))
+    total = seen.agg(F.sum("c")).first()[0] or 0
+    is_hot = F.col("c") * HOT_SHARE > total
+    hot, others = F.broadcast(seen.filter(is_hot)), seen.filter(~is_hot)
+    # the count of a hot shingle comes to its entries, so that they do not meet in one task
+    counted = items.join(hot, "item").unionByName(items.join(hot, "item", "left_anti").join(others, "item"))
+    ranked = counted.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("rare"))
     width = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     prefix = materialize(ranked.select("node", "label", "n", F.posexplode(F.slice("rare", F.lit(1), width)).alias("i", "r")).select("node", "label", "n", "i", F.col("r.item").alias("item")))
     reach = F.col("n") - F.col("i")
@@ -250,15 +263,26 @@ def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -
     able = prefix.join(smallest, "item").filter(reach >= share * (F.col("n") + F.col("least"))).drop("least")
     mixed_items = able.groupBy("item").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("item")
     able = materialize(able.join(mixed_items, "item", "left_semi"))
-    other = able.select("item", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "i")])
+    # the entries of one hot shingle are dealt into parts; each part meets all of them, part by part
+    often = able.groupBy("item").count()
+    entries = able.count()
+    often = F.broadcast(often.filter(F.col("count") * HOT_SHARE > entries).select("item", F.lit(True).alias("often")))
+    able = able.join(often, "item", "left").withColumn("often", F.coalesce("often", F.lit(False)))
+    parts_of = F.when(F.col("often"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    other = able.select("item", F.explode(parts_of).alias("salt"), *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "n", "i")])
+    able = able.withColumn("salt", F.when(F.col("often"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0))
     enough = F.least(reach, F.col("other_n") - F.col("other_i")) >= share * (F.col("n") + F.col("other_n"))
-    pairs = able.join(other, "item").filter((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & enough)
+    pairs = able.join(other, ["item", "salt"]).filter((F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & enough)
     return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
-    """The rows of docs that stand for their class (its least id), with all their columns; of rows that repeat id and text, one."""
-    kept = near_duplicates(docs, threshold, width).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("doc_id"))
-    return rows.withColumn("__text", F.xxhash64("text")).withColumn("__first", first).filter(F.col("__first") == 1).select(*docs.columns)
+    """The rows of docs that stand for their class, with all their columns: of the least id and, where rows repeat it, of one text and row."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    chosen = classed(docs, threshold, width).groupBy("label").agg(F.min(own).alias("least")).select("least.doc_id", "least.mark")
+    kept_id, kept_mark, mark, first = free_names(docs.columns, "kept_id", "kept_mark", "mark", "first")
+    chosen = chosen.select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
+    marked = docs.withColumn(mark, F.xxhash64(text_or_empty(F.col("text"))))
+    rows = marked.join(chosen, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy("doc_id"))
+    return rows.withColumn(first, nth).filter(F.col(first) == 1).select(*docs.columns)
