@@ -70,6 +70,23 @@ def test_exact_dedup_hot_digest(spark):
     assert got[0].keep_id == 2997 and got[0].group_size == 1000 and sum(r.kept for r in got.values()) == 2001
 
 
+def test_exact_dedup_repeated_rows(spark):
+    # a third of the rows have no id and one text; some ids repeat with the same and with other texts
+    rows = [(None, "Same")] * 40 + [(1, "same"), (1, "same"), (1, "other"), (2, "Other"), (2, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.exact_dedup(table).collect()
+    assert len(got) == len(rows) and sorted((r.keep_id, r.group_size) for r in got if r.kept) == [(1, 42), (2, 1), (2, 2)]
+    assert sorted((r.doc_id, r.text.lower()) for r in exact_dedup.keep_one(table).collect()) == [(1, "same"), (2, "other"), (2, "x")]
+
+
+def test_line_dedup_long_texts(spark):
+    # 200 000 lines in each of ten texts: work that grows with the square of the lines would not end
+    lines = F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda i: F.when(i % 2 == 0, F.concat(F.lit("common "), i.cast("string"))).otherwise(F.concat(F.lit("own "), F.col("id").cast("string"), F.lit(" "), i.cast("string"))))
+    table = spark.range(10).select(F.col("id").alias("doc_id"), F.array_join(lines, "\n").alias("text"))
+    got = line_dedup.line_dedup(table).select("n_lines", "n_dropped", F.md5("kept_text").alias("h"), F.size(F.split("kept_text", "\n")).alias("left")).collect()
+    assert all((r.n_lines, r.n_dropped, r.left) == (200_000, 100_000, 100_000) for r in got) and len({r.h for r in got}) == 10
+
+
 def test_line_dedup(docs, empty):
     rows = hard_rows()
     spaces = " \t\n\v\f\r"
@@ -100,6 +117,17 @@ def test_mixing(docs, empty):
     assert taken.columns == docs.columns and taken.count() == sum(r.epochs for r in got)
 
 
+def test_mixing_empty_texts_and_ids(spark):
+    rows = [(None, None, "a")] * 30 + [(None, f"word {i}", "b") for i in range(40)] + [(str(i), "one two three", "c") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    got = mixing.mix(table)
+    assert got.schema["doc_id"].dataType.simpleString() == mixing.mix(table.limit(0)).schema["doc_id"].dataType.simpleString() == "string"
+    got = got.collect()
+    assert len(got) == len(rows) and all(r.epochs == 1 and r.taken == 0 for r in got if r.source == "a")
+    assert len({r.mark for r in got if r.source == "b"}) == 40
+    assert mixing.take(table).count() == sum(r.epochs for r in got)
+
+
 def test_mixing_reaches_targets(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 7 % 4).cast("string")).alias("source"), F.repeat(F.lit("w "), (F.col("id") % 13 + 1).cast("int")).alias("text"))
     per = mixing.mix(rows).groupBy("source").agg(F.max("target").alias("target"), F.sum("taken").alias("taken"), F.max("source_size").alias("size")).collect()
@@ -181,6 +209,14 @@ def test_near_duplicates(docs, empty, spark):
     assert probminhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_keep_one_of_repeated_ids(spark):
+    # id 2 has a copy of id 1's text and a text of its own; id 3 repeats a row
+    a, b, c = prose(31, 60), prose(32, 60), prose(33, 60)
+    rows = [(1, a), (2, a + " end"), (2, b), (3, c), (3, c), (None, b + " end"), (None, None)]
+    kept = probminhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept if r.text) == sorted([(1, a), (2, b), (3, c)]) and len(kept) == 4
+
+
 def test_near_duplicates_chain(spark):
     # a group edited step by step: the ends are not alike, yet one class; and one that was edited too much
     rng, words = random.Random(4), prose(9, 200).split()
@@ -266,6 +302,58 @@ def test_secrets(docs, empty, spark):
     assert secrets_cnn.scan(docs).count() == len(hard_rows())
 
 
+def test_secrets_that_no_pattern_knows(spark):
+    # the patterns teach on hex values and assignments; planted are values of other kinds, among prose, dates, addresses and numbers
+    rng = random.Random(5)
+
+    def value(alphabet: str, n: int) -> str:
+        return "".join(rng.choice(alphabet) for _ in range(n))
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    rows, planted = [], {}
+    for i in range(400):
+        text = f"{prose(i, 30)} 20{i % 90 + 10}-01-02 user{i}@mail.example.com https://www.example.com/page/{i} {rng.randrange(10**12)} 10.0.{i % 250}.7 "
+        kind = i % 8
+        if kind < 3:
+            text += f'token = "{value("0123456789abcdef", 40)}" '
+        elif kind == 3:
+            text += f"password: {value(letters + '0123456789+/', rng.randint(10, 30))} "
+        elif kind == 4:
+            lead = rng.choice(["Bearer ", "pwd ", "key is "])
+            secret = value("0123456789ABCDEF", 40) if i % 16 == 4 else value(letters + "0123456789", 36)
+            planted[i] = (len(text) + len(lead), len(text) + len(lead) + len(secret))
+            text += lead + secret + " "
+        rows.append((i, text + prose(i + 1000, 30)))
+    got = {r.doc_id: r.spans for r in secrets_cnn.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    extra = {(i, s.start, s.stop) for i in got for s in got[i] if s.kind == "model"}
+    right = {(i, *span) for i, span in planted.items()}
+    assert len(extra & right) / len(right) >= 0.8
+    assert len(extra & right) / max(1, len(extra)) >= 0.8
+
+
+def test_secrets_long_texts(spark):
+    # 20 000 findings and as many candidates in one text, and one candidate of five megabytes
+    text = "é " + " ".join(f"token={i:08d} zz{i:06d}-x" for i in range(20_000))
+    rows = [(1, text), (2, "a1B+" * 1_250_000), (3, "password=s3cretvalue")]
+    got = {r.doc_id: r.spans for r in secrets_cnn.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.start, s.stop) for s in got[1] if s.kind == "assign"] == [m.span() for m in re.finditer("token=[0-9]{8}", text)]
+    assert [s.kind for s in got[3]] == ["assign"] and all(s.kind == "model" and (s.start, s.stop) == (0, 5_000_000) for s in got[2])
+
+
+def test_secrets_features_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    body = np.frombuffer(" ".join(prose(k, 5) + " " + "x9Y" * int(rng.integers(2, 60)) for k in range(40)).encode(), np.uint8)
+    at = np.array([0, 300, len(body)])
+    starts, ends, of = secrets_cnn.candidates(body, at)
+    lows, highs = np.maximum(starts - 24, at[of]), np.minimum(ends + 24, at[of + 1])
+    kernel, bias = rng.normal(size=(5, secrets_cnn._CHANNELS, 24)).astype(np.float32), rng.normal(size=24).astype(np.float32)
+    whole = secrets_cnn.pooled(kernel, bias, body, starts, ends, lows, highs)
+    monkeypatch.setattr(secrets_cnn, "_BLOCK", 32)
+    assert np.allclose(whole, secrets_cnn.pooled(kernel, bias, body, starts, ends, lows, highs), atol=1e-5)
+
+
 def test_quality(docs, empty, spark):
     good = [(i, prose(i, 60) + ". " + prose(i + 99, 40) + ".") for i in range(150)]
     bad = [(i, " ".join(f"{w}$$$" for w in prose(i, 60).split())) for i in range(150, 200)]

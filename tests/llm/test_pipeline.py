@@ -65,6 +65,33 @@ def test_stages_stand_hard_rows(spark):
             docs = spark.createDataFrame(docs.collect(), docs.schema)
 
 
+def test_language_stage_rejects_what_is_in_no_language(spark):
+    import random
+
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = ["".join(rng.choice("bcdfghjklmnpqrstvwxz ") for _ in range(400)) for _ in range(20)]
+    planted = spark.createDataFrame([(-1 - i, t, None, "noise", len(t)) for i, t in enumerate(noise)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs.unionByName(planted), SF).collect()}
+    assert sum(i < 0 for i in kept) <= 2
+    letters = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert kept >= letters
+
+
+def test_stages_stand_columns_named_like_their_own(spark):
+    names = "score ambiguous loss lang_pred letter row mark size epochs times copy digest own own_mark own_size keep_id kept_id kept_mark first node key body of_source __digest __size __text".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.lit(f"<{n}>"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        got = out.select(*names).distinct().collect()
+        assert [r.asDict() for r in got] == [{n: f"<{n}>" for n in names}]
+        docs = out
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
 def test_run_gives_the_same_rows_again(spark):
     first, second = (corpus_pipeline.run(spark, SF).select("doc_id", "n_tokens").groupBy("doc_id", "n_tokens").count() for _ in range(2))
     assert first.exceptAll(second).isEmpty() and second.exceptAll(first).isEmpty()
