@@ -11,22 +11,27 @@ from pyspark.sql import functions as F
 from evidence_engine.llm import byte_bpe, exact_dedup, langid_ecoc, mixing, probminhash
 from evidence_engine.plans.materialize import shared_dir
 
-#: A text whose language is told with less than this, and is ambiguous, is rejected, as is one without a letter.
-LEAST_SCORE = 0.3
+#: Texts of fewer bytes hold too few trigrams to be told from noise; they stay if they have a letter.
+LEAST_BYTES = 20
+
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a language: null, without a letter, or too ambiguous. lang becomes the predicted one where it was null.
+    """Drop texts without a language: null, without a letter, or too far from every codeword. lang becomes the predicted one where it was null.
 
-    The classifiers learn from the rows that have a language; without any, all texts with a letter stay.
+    The classifiers learn from the rows that have a language, and so does the limit: texts like nearly all of those stay.
+    Without any such row, all texts with a letter stay.
     """
-    columns = docs.columns
     model = langid_ecoc.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    told = langid_ecoc.predict(docs, model)
-    kept = told.filter((F.col("lang_pred") != langid_ecoc.UNKNOWN) & ~(F.col("ambiguous") & (F.col("score") < LEAST_SCORE)))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    # the row goes through as one column, so that no name of it can clash with those of the prediction
+    told = langid_ecoc.predict(docs.select("text", F.struct(*docs.columns).alias("row")), model)
+    limit = langid_ecoc.loss_limit(docs, model)
+    fits = (F.col("loss") <= limit) | (F.octet_length("text") < LEAST_BYTES)
+    kept = told.filter((F.col("lang_pred") != langid_ecoc.UNKNOWN) & fits)
+    lang = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
+    return kept.select(*[lang if c.lower() == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
