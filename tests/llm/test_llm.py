@@ -348,7 +348,7 @@ def test_secrets_features_do_not_depend_on_blocks(monkeypatch):
     at = np.array([0, 300, len(body)])
     starts, ends, of = secrets_cnn.candidates(body, at)
     lows, highs = np.maximum(starts - 24, at[of]), np.minimum(ends + 24, at[of + 1])
-    kernel, bias = rng.normal(size=(5, secrets_cnn._CHANNELS, 24)).astype(np.float32), rng.normal(size=24).astype(np.float32)
+    kernel, bias = rng.normal(size=(5, secrets_cnn._CHANNELS, secrets_cnn._FILTERS)).astype(np.float32), rng.normal(size=secrets_cnn._FILTERS).astype(np.float32)
     whole = secrets_cnn.pooled(kernel, bias, body, starts, ends, lows, highs)
     monkeypatch.setattr(secrets_cnn, "_BLOCK", 32)
     assert np.allclose(whole, secrets_cnn.pooled(kernel, bias, body, starts, ends, lows, highs), atol=1e-5)
