@@ -56,7 +56,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("ord"),
         F.array_join(F.slice(words, 1, 12), " ").alias("title"),
-        F.array_join(F.slice(words, 13, 48), " ").alias("description"),
+        F.array_join(F.slice(words, 13, F.greatest(F.size(words), F.lit(1))), " ").alias("description"),
         F.concat(F.lit("https://www."), "source", F.lit(".example.com/a/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x")).alias("url"),
         F.concat(F.lit("www."), "source", F.lit(".example.com")).alias("host"),
         F.expr(f"timestampadd(HOUR, -CAST((doc_id * 7) % 720 AS INT), TIMESTAMP '{NOW}')").alias("published_at"),
@@ -167,7 +167,7 @@ _STAMP = f"TIMESTAMP '{NOW}' - to_hours(CAST((doc_id * 7) % 720 AS INTEGER))"
 SQL: dict[str, str] = {
     "entities": "SELECT * FROM (VALUES " + ", ".join(str(tuple(x if x is not None else "" for x in e)) for e in ENTITIES) + ") t(entity_id, name, type, tier, parent_id, ambiguous)",
     "articles": rf"""SELECT doc_id AS ord, array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 1, 12), ' ') AS title,
-        array_to_string(list_slice(string_split_regex(trim(text), '\s+'), 13, 60), ' ') AS description,
+        array_to_string((string_split_regex(trim(text), '\s+'))[13:], ' ') AS description,
         'https://www.' || source || '.example.com/a/' || doc_id || '?utm_source=x' AS url, 'www.' || source || '.example.com' AS host,
         {_STAMP} AS published_at, CASE WHEN doc_id % 5 = 0 THEN 'public-conversation' ELSE 'news' END AS channel,
         lang AS language, source AS source_name, n_chars % 100 AS engagement, doc_id % 10 = 1 AS official FROM documents""",

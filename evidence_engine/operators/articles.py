@@ -97,13 +97,14 @@ def match_entities(docs: DataFrame, entities: DataFrame, params: Params = DEFAUL
     body = docs.select("ord", F.concat(F.lit(" "), normalize_text(F.col("text")), F.lit(" ")).alias("body"))
     # the generator keeps the words a column of their own: inlined, each run would split the text anew
     words = F.filter(F.split("body", "[^a-z0-9]+"), lambda w: w != "")
-    body = body.select("ord", F.inline(F.array(F.struct(F.col("body"), words.alias("words")))))
+    split = body.select("ord", F.inline(F.array(F.struct(words.alias("words")))))
 
     def runs(n: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
 
     grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
-    hits = body.withColumn("key", F.explode(grams)).join(small(aliases.drop("words")), "key")
+    # a run of words travels with the document's number alone; the texts of documents with a hit come back once for each
+    hits = split.select("ord", F.explode(grams).alias("key")).join(small(aliases.drop("words")), "key").join(body, "ord")
     at = F.regexp_replace(F.col("alias"), r"([.+*?^${}()|\[\]\\\-])", r"\\$1")
     found = F.expr("regexp_like(body, concat('(^|[^a-z0-9])', __at, '([^a-z0-9]|$)'))")
     in_context = F.exists("context", lambda c: F.col("body").contains(c))

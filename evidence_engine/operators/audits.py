@@ -33,22 +33,6 @@ def learn_baselines(checks: DataFrame, last: int = 30) -> DataFrame:
     return rows.select("source_id", "check_date", "typical", F.last("floor", ignorenulls=True).over(by).alias("minimum"))
 
 
-def source_health(checks: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Each check with its verdict: failed, below_minimum, degraded (under a fifth of typical), healthy or unlearned."""
-    rows = checks.join(baselines, ["source_id", "check_date"], "left")
-    verdict = (
-        F.when(~F.col("ok"), "failed").when(F.col("typical").isNull(), "unlearned").when(F.col("item_count") < F.coalesce("minimum", F.lit(0)), "below_minimum").when(F.col("item_count") < F.col("typical") * 0.2, "degraded").otherwise("healthy")
-    )
-    return rows.select("source_id", "check_date", "tier0", "item_count", verdict.alias("verdict"))
-
-
-def health_summary(health: DataFrame) -> DataFrame:
-    """One row for each day: success in percent, failures of tier 0, gates."""
-    rows = health.groupBy("check_date").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "failed").alias("failed"), F.count_if((F.col("verdict") == "failed") & F.col("tier0")).alias("tier0_failed"), F.count_if(F.col("verdict").isin("degraded", "below_minimum")).alias("weak"))
-    success = percent(F.col("n") - F.col("failed"), F.col("n"), 2)
-    return rows.select("check_date", "n", "failed", "tier0_failed", "weak", success.alias("success"), (success >= 90).alias("gate_success"), (F.col("tier0_failed") == 0).alias("gate_tier0"))
-
-
 def reconcile_counts(checks: DataFrame, declared: DataFrame) -> DataFrame:
     """declared(check_date, checks, successes) against the checks: rule, check_date of each violation."""
     real = checks.groupBy("check_date").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"), F.countDistinct("source_id").alias("names"))
@@ -110,24 +94,6 @@ def false_positives(references: DataFrame, detections: DataFrame) -> DataFrame:
 # Registries and history.
 
 
-def registry_diff(expected: DataFrame, observed: DataFrame) -> DataFrame:
-    """(change, id, name, from_title, to_title): addition, removal, role_change, unchanged, by normalised name.
-
-    A name with several candidates takes the one of equal title, else the first id; an observed row serves one expected row.
-    """
-    e = expected.select(F.col("id").alias("e_id"), F.col("name").alias("e_name"), F.col("title").alias("e_title"), normalize_text(F.col("name"), "registry").alias("k"))
-    o = observed.select(F.col("id").alias("o_id"), F.col("name").alias("o_name"), F.col("title").alias("o_title"), normalize_text(F.col("name"), "registry").alias("k"))
-    tried = e.join(o, "k").withColumn("n", F.row_number().over(Window.partitionBy("e_id").orderBy((F.col("e_title") == F.col("o_title")).desc(), "o_id"))).filter("n = 1")
-    first = tried.withColumn("m", F.row_number().over(Window.partitionBy("o_id").orderBy("e_id")))
-    met = first.filter("m = 1")
-    same = F.when(F.col("e_title") == F.col("o_title"), "unchanged").otherwise("role_change")
-    matched = met.select(same.alias("change"), F.col("e_id").alias("id"), F.col("e_name").alias("name"), F.col("e_title").alias("from_title"), F.col("o_title").alias("to_title"))
-    ambiguous = first.filter("m > 1").select(F.lit("ambiguous").alias("change"), F.col("e_id").alias("id"), F.col("e_name").alias("name"), F.col("e_title").alias("from_title"), F.lit(None).cast("string").alias("to_title"))
-    gone = e.join(tried.select("e_id"), "e_id", "left_anti").select(F.lit("removal").alias("change"), F.col("e_id").alias("id"), F.col("e_name").alias("name"), F.col("e_title").alias("from_title"), F.lit(None).cast("string").alias("to_title"))
-    new = o.join(met.select("o_id"), "o_id", "left_anti").select(F.lit("addition").alias("change"), F.col("o_id").alias("id"), F.col("o_name").alias("name"), F.lit(None).cast("string").alias("from_title"), F.col("o_title").alias("to_title"))
-    return matched.unionByName(ambiguous).unionByName(gone).unionByName(new)
-
-
 def effective_date_suggestions(diff: DataFrame, as_of: str) -> DataFrame:
     action = F.when(F.col("change") == "addition", "add").when(F.col("change") == "removal", "close").when(F.col("change") == "role_change", "change_role")
     return diff.withColumn("action", action).filter("action IS NOT NULL").select("action", "id", F.lit(as_of).cast("date").alias("effective"))

@@ -238,38 +238,3 @@ def priority_union(*tables: DataFrame) -> DataFrame:
 
 def new_since(events: DataFrame, known: DataFrame, least: int = 55) -> DataFrame:
     return events.filter(F.col("materiality") >= least).join(known.select("event_id"), "event_id", "left_anti")
-
-
-# Search.
-
-
-def search(queries: DataFrame, events: DataFrame) -> DataFrame:
-    """queries(qid, text) x events -> qid, event_id, overlap, by an inverted token table: at least half of the query's tokens."""
-    words = F.filter(F.array_distinct(F.split(normalize_text(F.col("text")), " ")), lambda w: w != "")
-    asked = queries.select("qid", words.alias("words")).select("qid", F.size("words").alias("n"), F.explode("words").alias("token"))
-    told = events.select("event_id", F.explode(F.array_distinct(F.split(normalize_text(F.col("headline")), " "))).alias("token"))
-    hits = told.join(F.broadcast(asked) if queries.limit(1001).count() <= 1000 else asked, "token").groupBy("qid", "n", "event_id").agg(F.count(F.lit(1)).alias("overlap"))
-    return hits.filter(F.col("overlap") >= F.greatest(F.lit(1), F.ceil(F.col("n") / 2))).select("qid", "event_id", "overlap")
-
-
-def answer(questions: DataFrame, events: DataFrame, k: int = 5) -> DataFrame:
-    """The k best events for each question: by what it asks for, else by overlap of words; materiality breaks ties."""
-    ask = normalize_text(F.col("text"))
-    intent = F.when(ask.rlike("must|urgent|important"), "must").when(ask.rlike("narrative|reputation"), "narrative").when(ask.rlike("unconfirmed|uncertain"), "unconfirmed").when(ask.rlike("positive|good news"), "positive").otherwise("words")
-    asked = questions.select("qid", "text", intent.alias("intent"))
-    scored = events.withColumn("rank", F.lit(0))
-    kinds = {
-        "must": (F.col("bucket") == "must", F.col("materiality")),
-        "narrative": (F.col("drift") > 0, F.col("drift")),
-        "unconfirmed": (F.col("status") == "developing", F.col("materiality")),
-        "positive": (F.col("tone") > 20, F.col("tone")),
-    }
-    # the same few events answer every question of a kind
-    canned = None
-    for kind, (condition, by) in kinds.items():
-        top = scored.filter(condition).orderBy(by.desc(), "event_id").limit(k).select(F.lit(kind).alias("intent"), "event_id", by.alias("score"), "materiality")
-        canned = top if canned is None else canned.union(top)
-    fixed = asked.join(F.broadcast(canned), "intent").select("qid", "event_id", "score", "materiality")
-    found = search(asked.filter("intent = 'words'"), events).join(events.select("event_id", "materiality"), "event_id").select("qid", "event_id", F.col("overlap").alias("score"), "materiality")
-    ranked = fixed.union(found).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("materiality").desc(), "event_id")))
-    return ranked.filter(F.col("rank") <= k).select("qid", "rank", "event_id", F.col("score").cast("long").alias("score"))

@@ -28,11 +28,6 @@ def dated(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(n).cast("string").alias(n) if t == "date" else F.col(n) for n, t in df.dtypes])
 
 
-def _health(spark: SparkSession, d: str) -> DataFrame:
-    c = X.checks(spark, d)
-    return A.source_health(c, A.learn_baselines(c))
-
-
 def pct(part: str, whole: str, digits: int = 1) -> str:
     return f"CASE WHEN {whole} > 0 THEN floor(({part}) * 100 * {10**digits}::DOUBLE / ({whole}) + 0.5) / {10**digits} ELSE 0.0 END"
 
@@ -40,8 +35,7 @@ def pct(part: str, whole: str, digits: int = 1) -> str:
 _BASE = """+ w AS (SELECT source_id, check_date, item_count, ok, tier0, list(CASE WHEN ok THEN item_count END) OVER (PARTITION BY source_id ORDER BY check_date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS seen FROM checks),
 g AS (SELECT *, list_sort(list_filter(seen, lambda x: x IS NOT NULL)) AS good, list_sort(list_filter(seen, lambda x: x > 0)) AS above FROM w),
 b0 AS (SELECT *, good[CAST(floor(len(good) / 2) AS INT) + 1] AS typical, CASE WHEN len(above) >= 5 THEN greatest(1, CAST(floor(above[CAST(floor(len(above) * 0.1) AS INT) + 1] * 0.5) AS BIGINT)) END AS fl FROM g),
-b AS (SELECT source_id, check_date, item_count, ok, tier0, typical, last_value(fl IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY check_date ROWS UNBOUNDED PRECEDING) AS minimum FROM b0),
-h AS (SELECT source_id, check_date, tier0, item_count, CASE WHEN NOT ok THEN 'failed' WHEN typical IS NULL THEN 'unlearned' WHEN item_count < coalesce(minimum, 0) THEN 'below_minimum' WHEN item_count < typical * 0.2 THEN 'degraded' ELSE 'healthy' END AS verdict FROM b)"""
+b AS (SELECT source_id, check_date, item_count, ok, tier0, typical, last_value(fl IGNORE NULLS) OVER (PARTITION BY source_id ORDER BY check_date ROWS UNBOUNDED PRECEDING) AS minimum FROM b0)"""
 
 
 @query("f3_learn_baselines", with_views(_BASE + " SELECT source_id, check_date::VARCHAR AS check_date, coalesce(typical, -1) AS typical, coalesce(minimum, -1) AS minimum FROM b", "checks"))
@@ -49,17 +43,6 @@ def learn_baselines(spark: SparkSession, d: str) -> DataFrame:
     return dated(A.learn_baselines(X.checks(spark, d)).fillna(-1, ["typical", "minimum"]))
 
 
-@query("e16_source_health", with_views(_BASE + " SELECT * REPLACE (check_date::VARCHAR AS check_date) FROM h", "checks"))
-def source_health(spark: SparkSession, d: str) -> DataFrame:
-    return dated(_health(spark, d))
-
-
-@query("e16_health_summary", with_views(_BASE + f""", s AS (SELECT check_date, count(*) AS n, count(*) FILTER (verdict = 'failed') AS failed, count(*) FILTER (verdict = 'failed' AND tier0) AS tier0_failed, count(*) FILTER (verdict IN ('degraded', 'below_minimum')) AS weak FROM h GROUP BY check_date)
-SELECT check_date::VARCHAR AS check_date, n, failed, tier0_failed, weak, {pct("n - failed", "n", 2)} AS success, {pct("n - failed", "n", 2)} >= 90 AS gate_success, tier0_failed = 0 AS gate_tier0 FROM s""", "checks"))
-def health_summary(spark: SparkSession, d: str) -> DataFrame:
-    return dated(A.health_summary(_health(spark, d)))
-
-
 @query("e12_reconcile_counts", with_views("SELECT check_date::VARCHAR AS check_date, 'count' AS rule FROM checks WHERE day(check_date) % 5 = 0 GROUP BY check_date", "checks"))
 def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
     c = X.checks(spark, d)
@@ -106,25 +89,10 @@ def false_positives(spark: SparkSession, d: str) -> DataFrame:
     return A.false_positives(X.reference_events(spark, d), X.detections(spark, d))
 
 
-_DIFF = """+ j AS (SELECT e.id, e.name, e.title AS from_title, o.title AS to_title, o.id AS oid FROM registry_expected e LEFT JOIN registry_observed o ON o.name = e.name || ' Ltd'),
-diff AS (SELECT CASE WHEN oid IS NULL THEN 'removal' WHEN from_title = to_title THEN 'unchanged' ELSE 'role_change' END AS change, id, name, from_title, to_title FROM j
-UNION ALL SELECT 'addition', id, name, NULL, title FROM registry_observed WHERE id >= 1000000)"""
-
-
-@query("d10_registry_diff", with_views(_DIFF + " SELECT * FROM diff", "registry_expected", "registry_observed"))
-def registry_diff(spark: SparkSession, d: str) -> DataFrame:
-    return A.registry_diff(X.registry_expected(spark, d), X.registry_observed(spark, d))
-
-
-@query("l2_effective_date_suggestions", with_views(_DIFF + " SELECT CASE change WHEN 'addition' THEN 'add' WHEN 'removal' THEN 'close' ELSE 'change_role' END AS action, id, '2024-01-31' AS effective FROM diff WHERE change <> 'unchanged'", "registry_expected", "registry_observed"))
-def effective_dates(spark: SparkSession, d: str) -> DataFrame:
-    return A.effective_date_suggestions(registry_diff(spark, d), "2024-01-31").transform(dated)
-
-
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Ownership and leadership records from orders, with faults at known places."""
     k = F.col("o_orderkey")
-    return X.table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(
+    return X.table(spark, d, "orders").select(
         k.alias("id"), F.when(k % 30 == 0, "leadership").when(k % 70 == 0, "rumour").otherwise("ownership").alias("kind"), F.concat(F.lit("c"), (k % 40).cast("string")).alias("subject_id"),
         F.when(k % 30 != 0, (k % 110).cast("double")).alias("percentage"), F.col("o_orderdate").cast("date").alias("effective_from"), F.expr("date_add(CAST(o_orderdate AS DATE), CAST(o_orderkey % 70 - 10 AS INT))").alias("effective_to"),
         F.col("o_orderdate").cast("date").alias("as_of"), F.when(k % 200 == 0, k - 100).alias("previous_id"), (k % 60).alias("source_id"),
@@ -133,7 +101,7 @@ def history(spark: SparkSession, d: str) -> DataFrame:
 
 _HISTORY = """hist AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 30 = 0 THEN 'leadership' WHEN o_orderkey % 70 = 0 THEN 'rumour' ELSE 'ownership' END AS kind, 'c' || o_orderkey % 40 AS subject_id,
  CASE WHEN o_orderkey % 30 <> 0 THEN (o_orderkey % 110)::DOUBLE END AS percentage, o_orderdate::DATE AS effective_from, o_orderdate::DATE + CAST(o_orderkey % 70 - 10 AS INT) AS effective_to,
- o_orderdate::DATE AS as_of, CASE WHEN o_orderkey % 200 = 0 THEN o_orderkey - 100 END AS previous_id, o_orderkey % 60 AS source_id FROM orders WHERE o_orderkey % 10 = 0)"""
+ o_orderdate::DATE AS as_of, CASE WHEN o_orderkey % 200 = 0 THEN o_orderkey - 100 END AS previous_id, o_orderkey % 60 AS source_id FROM orders)"""
 
 
 @query("l1_validate_history", f"""WITH {_HISTORY}
@@ -230,10 +198,3 @@ def latest_run(spark: SparkSession, d: str) -> DataFrame:
 def quality_rules(spark: SparkSession, d: str) -> DataFrame:
     e = X.served(spark, d)
     return A.quality_rules(e, e.filter("entity_id <> 'e8'").select("entity_id").distinct())
-
-
-@query("e26_tier_health", with_views(_BASE + " SELECT tier0, count(DISTINCT source_id) AS sources, count(*) FILTER (verdict = 'failed') AS failed FROM h GROUP BY tier0", "checks"))
-def tier_health(spark: SparkSession, d: str) -> DataFrame:
-    return _health(spark, d).groupBy("tier0").agg(F.countDistinct("source_id").alias("sources"), F.count_if(F.col("verdict") == "failed").alias("failed"))
-
-

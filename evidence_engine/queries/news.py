@@ -322,24 +322,3 @@ def priority_union(spark: SparkSession, d: str) -> DataFrame:
 def new_since(spark: SparkSession, d: str) -> DataFrame:
     rows = X.served(spark, d)
     return E.new_since(rows, rows.filter("event_id % 4 = 0")).select("event_id", "materiality")
-
-
-def _questions(spark: SparkSession, d: str) -> DataFrame:
-    """Queries drawn from the table: the first four words of every hundredth headline."""
-    return X.served(spark, d).filter("event_id % 100 = 0").select(F.col("event_id").alias("qid"), F.array_join(F.slice(F.split("headline", " "), 1, 4), " ").alias("text"))
-
-
-_SEARCH = f"""+ q AS (SELECT event_id AS qid, list_filter(list_distinct(string_split({T.normalized("array_to_string(list_slice(string_split(headline, ' '), 1, 4), ' ')")}, ' ')), lambda w: w <> '') AS words FROM served WHERE event_id % 100 = 0),
-t AS (SELECT event_id, list_distinct(string_split({T.normalized("headline")}, ' ')) AS words, materiality FROM served),
-f AS (SELECT qid, event_id, len(list_intersect(q.words, t.words)) AS overlap, len(q.words) AS n, materiality FROM q, t),
-hit AS (SELECT qid, event_id, overlap, materiality FROM f WHERE overlap >= greatest(1, ceil(n / 2)))"""
-
-
-@query("j1_search", with_views(_SEARCH + " SELECT qid, event_id, overlap FROM hit", "served"))
-def search(spark: SparkSession, d: str) -> DataFrame:
-    return E.search(_questions(spark, d), X.served(spark, d))
-
-
-@query("j2_answer", with_views(_SEARCH + """ SELECT qid, rank, event_id, score FROM (SELECT qid, event_id, overlap AS score, CAST(row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, materiality DESC, event_id) AS INT) AS rank FROM hit) WHERE rank <= 5""", "served"))
-def answer(spark: SparkSession, d: str) -> DataFrame:
-    return E.answer(_questions(spark, d), X.served(spark, d))
