@@ -47,7 +47,7 @@ def now() -> F.Column:
 
 
 def entities(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(ENTITIES, "entity_id string, name string, type string, tier int, parent_id string, ambiguous boolean")
+    rows = spark.createDataFrame([(*e, k) for k, e in enumerate(ENTITIES)], "entity_id string, name string, type string, tier int, parent_id string, ambiguous boolean, position int")
     return rows.withColumn("aliases", F.array("name")).withColumn("context", F.array().cast("array<string>"))
 
 

@@ -8,8 +8,8 @@ from operator import add
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.text import clamp, jaccard, normalize_text, round_half_up, title_tokens
-from evidence_engine.params import DEFAULT, Params
+from evidence_engine.functions.text import clamp, jaccard, normalize_text, round_half_up, title_tokens, truncate_words
+from evidence_engine.params import CLARIFY, COVERAGE_GROUP, DEFAULT, MONITOR, SOURCE_CLASS, SUMMARY_COVERAGE, SUMMARY_END, SUMMARY_OFFICIAL, TIER_CLASS, WHY, WHY_MATERIAL, WHY_MOMENTUM, WHY_OTHERWISE, Params
 
 
 def _terms(text: Column, weights: dict[str, float]) -> Column:
@@ -85,17 +85,44 @@ def infer_category(normalized: Column, params: Params = DEFAULT) -> Column:
     return F.coalesce(*[F.when(normalized.rlike(p), F.lit(name)) for name, p in params.categories], F.lit("Corporate"))
 
 
-def explain_why(headline: Column, entity: Column, material: Column, momentum: Column) -> Column:
-    h, who = normalize_text(headline), F.coalesce(entity, F.lit("the subject"))
-    return (
-        F.when(h.rlike("court|sebi|rbi|trai|cci|regulator|nclt|tax"), F.concat(F.lit("May affect the regulatory, legal or financial position of "), who))
-        .when(h.rlike("acquisition|merger|stake|financing|loan|investment"), F.concat(F.lit("May alter capital allocation, ownership or growth of "), who))
-        .when(h.rlike("ceo|cfo|chairman|director|resign|appointed"), F.concat(F.lit("May change governance and accountability at "), who))
-        .when(h.rlike("accident|fire|fraud|probe|strike|protest"), F.lit("May create operational or reputation exposure"))
-        .when(momentum >= 65, F.lit("Coverage is accelerating across independent sources"))
-        .when(material >= 65, F.concat(F.lit("Has consequence enough to change the picture of "), who))
-        .otherwise(F.lit("Relevant to the record, without material change"))
-    )
+def _filled(template: str, who: Column) -> Column:
+    before, _, after = template.partition("{}")
+    return F.concat(F.lit(before), who, F.lit(after)) if "{}" in template else F.lit(template)
+
+
+def explain_why(headline: Column, entity: Column, material: Column, momentum: Column, params: Params = DEFAULT) -> Column:
+    """Why an event matters: the sentence of the first pattern that its headline fits, else by momentum and materiality."""
+    h, who = normalize_text(headline), F.coalesce(entity, F.lit(params.subject))
+    by_pattern = F.coalesce(*[F.when(h.rlike(p), _filled(t, who)) for p, t in WHY])
+    return F.coalesce(by_pattern, F.when(momentum >= 65, F.lit(WHY_MOMENTUM)).when(material >= 65, _filled(WHY_MATERIAL, who)).otherwise(F.lit(WHY_OTHERWISE)))
+
+
+def event_summary(title: Column, description: Column, n_domains: Column, official: Column, entity: Column, params: Params = DEFAULT) -> Column:
+    """Who reports, the lead's first 38 words unless they repeat its title, and a caution."""
+    who = F.coalesce(entity, F.lit(params.subject))
+    first, middle, last = SUMMARY_COVERAGE
+    coverage = F.concat(F.lit(first), n_domains.cast("string"), F.lit(middle), F.when(n_domains == 1, "").otherwise("s"), _filled(last, who))
+    snippet = truncate_words(F.coalesce(description, F.lit("")), 38)
+    repeats = normalize_text(snippet).contains(F.substring(normalize_text(title), 1, 36))
+    detail = F.when((snippet != "") & ~repeats, F.concat(F.lit(" "), snippet)).otherwise("")
+    return F.concat(F.when(official, _filled(SUMMARY_OFFICIAL, who)).otherwise(coverage), detail, _filled(SUMMARY_END, F.lit(params.service)))
+
+
+def recommendation(drift: Column) -> Column:
+    return F.when(drift >= 72, F.lit(CLARIFY)).otherwise(F.lit(MONITOR))
+
+
+def source_class(kind: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_CLASS.items() for x in kv]), kind), F.lit("discovery"))
+
+
+def class_from_tier(tier: Column) -> Column:
+    return F.coalesce(*[F.when(tier == k, F.lit(v)) for k, v in TIER_CLASS.items()], F.lit("discovery-index"))
+
+
+def coverage_group(kind: Column, tier: Column) -> Column:
+    known = F.coalesce(F.nullif(kind, F.lit("")), class_from_tier(tier))
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in COVERAGE_GROUP.items() for x in kv]), known), F.lit("Other evidence"))
 
 
 def reputation_impact(tone: Column, material: Column) -> Column:

@@ -131,4 +131,4 @@ def stable_id(*parts: Column, digits: int = 24) -> Column:
 
 
 def tone_label(score: Column) -> Column:
-    return F.when(score >= 25, "positive").when(score <= -25, "negative").otherwise("neutral")
+    return F.when(score >= 25, "Positive").when(score <= -25, "Negative").otherwise("Neutral / mixed")

@@ -115,14 +115,20 @@ def match_entities(docs: DataFrame, entities: DataFrame, params: Params = DEFAUL
 
 
 def assess_relevance(articles: DataFrame, entities: DataFrame, sources: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """ord, include_as_news, include_as_sentiment, reason, entity_ids of each article."""
+    """ord, include_as_news, include_as_sentiment, reason, entity_ids of each article.
 
-    def ids(text: Column, name: str) -> DataFrame:
-        found = match_entities(articles.select("ord", text.alias("text")), entities, params).filter("type <> 'stakeholder'")
+    articles may have hints (entity ids that their feed stands for); they count like names in the text, but not in the title.
+    """
+
+    def ids(text: Column, name: str, hinted: bool = False) -> DataFrame:
+        found = match_entities(articles.select("ord", text.alias("text")), entities, params).filter("type <> 'stakeholder'").select("ord", "entity_id")
+        if hinted and "hints" in articles.columns:
+            known = entities.filter("type <> 'stakeholder'").select("entity_id")
+            found = found.union(articles.select("ord", F.explode("hints").alias("entity_id")).join(small(known), "entity_id", "left_semi").select("ord", "entity_id"))
         return found.groupBy("ord").agg(F.array_sort(F.collect_set("entity_id")).alias(name))
 
     rows = source_tier(articles, sources, params)
-    rows = rows.join(ids(F.col("title"), "in_title"), "ord", "left").join(ids(F.concat_ws(" ", "title", "description"), "in_text"), "ord", "left")
+    rows = rows.join(ids(F.col("title"), "in_title"), "ord", "left").join(ids(F.concat_ws(" ", "title", "description"), "in_text", hinted=True), "ord", "left")
     title = normalize_text(F.col("title"))
     both = F.trim(F.concat_ws(" ", title, normalize_text(F.col("description"))))
     official = F.col("official") | (F.col("tier") == 0)

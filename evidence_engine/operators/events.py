@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import scores as S
-from evidence_engine.functions.text import clamp, normalize_text, round_half_up
+from evidence_engine.functions.text import clamp, fnv36, normalize_text, round_half_up
+from evidence_engine.operators.articles import small
 from evidence_engine.params import DEFAULT, Params
 
 
@@ -58,12 +59,13 @@ def _sum_bits(columns: list[str], weights: list[float]) -> Column:
 
 
 def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, entities: DataFrame, now: Column, params: Params = DEFAULT) -> DataFrame:
-    """Clusters to events. members(cluster_id, ord, title, description, host, published_at, channel, official, engagement).
+    """Clusters to events. members(cluster_id, ord, title, description, url, host, published_at, channel, official, engagement).
 
     matches(ord, entity_id, type, tier) are the entities of each article's text, tiers(ord, tier) its source's tier. A
     cluster's terms and entities are those of its media articles, united by partial aggregation; no cluster's text is
     ever gathered. Clusters without media article or non-stakeholder entity give no event. Public items count for
-    sentiment only.
+    sentiment only. entities(entity_id, name, position): the first by position that is no stakeholder leads. sources are the
+    addresses of the first 16 items, media before public ones, by tier, newest first.
     """
     rows = members.join(tiers.withColumnRenamed("tier", "source_tier"), "ord").withColumn("public", F.col("channel") == "public-conversation")
     rows = rows.withColumn("body", normalize_text(F.concat_ws(" ", "title", "description"))).withColumn("tone", S.media_tone(F.col("body"), params))
@@ -78,6 +80,7 @@ def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, enti
     per = media.groupBy("cluster_id").agg(
         *agg,
         F.min_by("title", rank).alias("headline"),
+        F.min_by("description", rank).alias("lead_text"),
         F.min_by(F.when(is_official, F.col("title")), F.when(is_official, rank)).alias("official_title"),
         F.min_by(F.when(~is_official, F.col("title")), F.when(~is_official, rank)).alias("other_title"),
         F.min("source_tier").alias("best_tier"),
@@ -89,18 +92,23 @@ def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, enti
         *[F.max(F.col("body").rlike(p)).alias(f"cat{i}") for i, (_, p) in enumerate(params.categories)],
     )
     named = media.select("cluster_id", "ord").join(matches.select("ord", "entity_id", "type", F.col("tier").alias("entity_tier")), "ord")
+    named = named.join(small(entities.select("entity_id", "name", "position")), "entity_id", "left")
     people = F.when(F.col("type") == "person", F.lit(5) - F.coalesce("entity_tier", F.lit(4))).otherwise(0)
     who = named.groupBy("cluster_id").agg(
         F.min(F.when(F.col("type") != "stakeholder", F.col("entity_tier"))).alias("entity_tier"),
         F.count_if(F.col("type") != "stakeholder").alias("primary"),
         F.max(people).alias("seniority"),
+        F.min_by(F.when(F.col("type") != "stakeholder", F.col("name")), F.when(F.col("type") != "stakeholder", F.col("position"))).alias("lead_entity"),
         F.count_if(F.col("type") == "person").alias("people"),
         F.count_if(F.col("type").isin("group", "company", "business")).alias("institutions"),
         F.array_join(F.array_sort(F.collect_set("entity_id")), ",").alias("entity_ids"),
     )
     mood = public_sentiment(rows.filter("public"), "cluster_id", F.col("tone"), F.col("engagement"), F.col("host"))
     mood = mood.select("cluster_id", F.col("score").alias("public_score"), F.col("sample_size").alias("public_n"))
-    events = per.join(who.filter("primary > 0"), "cluster_id").join(momentum(media, now), "cluster_id").join(mood, "cluster_id", "left")
+    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("public", "source_tier", F.col("published_at").desc(), "ord"))
+    first = rows.select("cluster_id", "url", place.alias("place")).filter(F.col("place") <= 16)
+    links = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]), " ").alias("sources"))
+    events = per.join(who.filter("primary > 0"), "cluster_id").join(momentum(media, now), "cluster_id").join(mood, "cluster_id", "left").join(links, "cluster_id", "left")
     parts = {k: [n for n in columns if n[0] == k] for k in sets}
     entity = F.element_at(F.array(*[F.lit(x) for x in (24, 18, 13, 8, 3, 0)]), F.least(F.coalesce("entity_tier", F.lit(4)), F.lit(5)) + 1)
     source = F.when(F.col("best_tier") == 0, 18).when(F.col("best_tier") == 1, 10).when(F.col("best_tier") == 2, 5).otherwise(0)
@@ -115,8 +123,12 @@ def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, enti
     events = events.withColumn("drift", F.when(differs, drift).otherwise(0)).withColumn("tone", round_half_up(F.col("mean_tone")))
     events = events.withColumn("forecast", S.forecast(F.col("materiality"), F.col("momentum"), F.col("certainty"), F.col("n_domains"), F.col("seniority"), F.col("drift")))
     category = F.coalesce(*[F.when(F.col(f"cat{i}"), F.lit(n)) for i, (n, _) in enumerate(params.categories)], F.lit("Corporate"))
+    heard, framed = F.coalesce("public_n", F.lit(0)) > 0, F.col("official_title").isNotNull() & (F.col("drift") >= 35)
     return events.select(
-        "cluster_id", "headline", "entity_ids", "published_at", "updated_at", F.col("n_domains").alias("source_count"), "materiality", "certainty", "momentum", "trend_change", "tone", "drift",
+        "cluster_id", F.concat(F.lit("live-"), fnv36(normalize_text(F.col("headline")))).alias("event_id"),
+        S.event_summary(F.col("headline"), F.col("lead_text"), F.col("n_domains"), F.col("official"), F.col("lead_entity"), params).alias("summary"),
+        S.explain_why(F.col("headline"), F.col("lead_entity"), F.col("materiality"), F.col("momentum"), params).alias("why"), F.coalesce("sources", F.lit("")).alias("sources"),
+        F.concat(F.lit("live-signal headline-derived"), F.when(heard, " open-public-sentiment").otherwise("")).alias("flags"), F.when(framed, S.recommendation(F.col("drift"))).alias("recommendation"), "headline", "entity_ids", "published_at", "updated_at", F.col("n_domains").alias("source_count"), "materiality", "certainty", "momentum", "trend_change", "tone", "drift",
         F.col("forecast.p6").alias("p6"), F.col("forecast.p24").alias("p24"), F.col("forecast.p72").alias("p72"), F.col("forecast.posture").alias("posture"), F.array_join("forecast.drivers", "; ").alias("drivers"),
         S.bucket(F.col("materiality"), F.col("certainty"), F.col("momentum"), F.col("forecast.p24"), F.col("immediate")).alias("bucket"), S.status_of(F.col("certainty"), F.col("official")).alias("status"),
         category.alias("category"), S.reputation_impact(F.col("tone"), F.col("materiality")).alias("reputation_impact"), S.narrative_alignment(F.col("drift")).alias("narrative_alignment"),

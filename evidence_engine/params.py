@@ -43,6 +43,7 @@ CANONICAL = {
     "precipitated": "ppt", "aluminium": "aluminum", "cities": "city",
 }
 
+# Headlines of routine market talk, of mere price moves, of corporate events and of questions.
 _MOVES = "rise|rises|rose|fall|falls|fell|jump|jumps|surge|surges|slip|slips|gain|gains|drop|drops"
 ROUTINE_MARKET = [
     r"\b(stocks?|shares?)\s+to\s+(buy|sell|watch)\b",
@@ -71,6 +72,7 @@ PUBLIC_QUESTION = [
     r"\b(anyone|thoughts|opinion|review|experience|help|advice)\b",
     r"\?$",
 ]
+# Categories by pattern, the first that fits counts, and what needs attention at once.
 CATEGORIES = [
     ("Leadership", "chairman|ceo|cfo|md |director|appointed|resign"),
     ("Regulatory", "sebi|rbi|trai|cci|regulator|court|nclt|nclat|tax"),
@@ -84,6 +86,39 @@ CATEGORIES = [
 ]
 IMMEDIATE = "court|regulator|resign|accident|fatal|fraud|probe|fire|strike"
 
+# Why a headline matters, by pattern; {} is the leading entity. Then for momentum, materiality and the rest.
+WHY = [
+    ("court|sebi|rbi|trai|cci|regulator|nclt|tax", "This could affect {}'s regulatory, legal or financial position and merits verified senior-level awareness."),
+    ("acquisition|merger|stake|financing|loan|investment", "This may alter {}'s capital allocation, ownership or strategic growth trajectory."),
+    ("ceo|cfo|chairman|director|resign|appointed", "Senior-leadership developments can change governance, accountability and external narrative around {}."),
+    ("accident|fire|fraud|probe|strike|protest", "The development may create operational or reputation exposure; facts and response posture should be reviewed quickly."),
+]
+WHY_MOMENTUM = "Coverage is accelerating across independent sources and may become more consequential even if the underlying facts remain unchanged."
+WHY_MATERIAL = "The subject has sufficient strategic, financial or reputation consequence to change today's picture of {}."
+WHY_OTHERWISE = "Relevant to the Group record, but it does not yet materially change today's operating or reputation picture."
+
+# The summary of an event; {} is the leading entity, then the number of domains and their plural.
+SUMMARY_OFFICIAL = "An official source has published this development concerning {}."
+SUMMARY_COVERAGE = ("Published coverage across ", " distinct source domain", " identifies this development concerning {}.")
+SUMMARY_END = (
+    " {} has grouped the available items as one event and retained every source link for verification. Live discovery may expose only headlines or short extracts, "
+    "so details that are not consistent across the evidence remain unconfirmed rather than being completed by the system."
+)
+# What to do about a narrative that drifts far, or less far.
+CLARIFY = "Clarify the verified institutional frame before the shorthand hardens."
+MONITOR = "Monitor the framing and prepare a fact-based clarification if divergence accelerates."
+
+# Classes of sources by their registry name, by tier, and the groups that reports show.
+SOURCE_CLASS = {
+    "official": "official", "official-filing": "official", "exchange": "exchange", "regulator": "regulator", "court": "court", "ratings": "rating", "major-media": "major_media", "specialist-media": "specialist_media",
+    "regional": "regional", "international": "international", "wire": "major_media", "discovery-index": "discovery", "public-conversation": "signal", "closed-social-optional": "signal",
+}
+TIER_CLASS = {0: "official", 1: "major-media", 2: "specialist-media"}
+COVERAGE_GROUP = {
+    "official": "Official company / IR", "official-filing": "Official company / IR", "exchange": "Exchanges & regulators", "regulator": "Exchanges & regulators", "major-media": "Major journalism",
+    "specialist-media": "Specialist & regional media", "regional": "Specialist & regional media", "discovery-index": "Open discovery",
+}
+
 
 @dataclass(frozen=True)
 class Params:
@@ -95,6 +130,9 @@ class Params:
     certainty_up: list[str] = field(default_factory=lambda: list(CERTAINTY_UP))
     certainty_down: list[str] = field(default_factory=lambda: list(CERTAINTY_DOWN))
     context_phrase: str = ""
+    #: How texts call the service and, where no entity leads, the subject.
+    service: str = "This service"
+    subject: str = "the Group"
     categories: list[tuple[str, str]] = field(default_factory=lambda: list(CATEGORIES))
     immediate: str = IMMEDIATE
     routine_market: list[str] = field(default_factory=lambda: list(ROUTINE_MARKET))

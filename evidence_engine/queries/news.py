@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine import fixtures as X
+from evidence_engine import params as P
 from evidence_engine.fixtures import LEXICON, with_views
 from evidence_engine.operators import articles as A
 from evidence_engine.operators import cluster as C
@@ -84,7 +85,7 @@ def source_tier(spark: SparkSession, d: str) -> DataFrame:
 
 _RELEVANCE = f"""+ {T.matches("mt", "articles", "title")}, {T.matches("mx", "articles", "title || ' ' || description")},
 it AS (SELECT ord, count(*) AS n FROM mt WHERE type <> 'stakeholder' GROUP BY ord),
-ix AS (SELECT ord, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS ids FROM mx WHERE type <> 'stakeholder' GROUP BY ord),
+ix AS (SELECT ord, string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS ids FROM (SELECT ord, entity_id FROM mx WHERE type <> 'stakeholder' UNION ALL SELECT ord, 'e_group' FROM articles WHERE ord % 7 = 0) GROUP BY ord),
 r AS (SELECT a.ord, channel = 'public-conversation' AS public, coalesce(it.n, 0) > 0 AS named, coalesce(ix.ids, '') AS ids, official OR s.tier = 0 AS official,
   {T.normalized("title")} AS t, {T.normalized("title || ' ' || description")} AS b
   FROM articles a LEFT JOIN it USING (ord) LEFT JOIN ix USING (ord) LEFT JOIN sources s ON replace(host, 'www.', '') = s.domain),
@@ -97,7 +98,8 @@ q AS (SELECT ord, ids, CASE WHEN ids = '' THEN 'no_entity' WHEN public AND {T.an
 
 @query("c3_assess_relevance", with_views(_RELEVANCE + " SELECT ord, reason IN ('official', 'direct_entity_news') AS include_as_news, reason = 'public_sentiment_only' AS include_as_sentiment, reason, ids AS entity_ids FROM q", "articles", "sources"))
 def assess_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return A.assess_relevance(X.articles(spark, d), X.entities(spark), X.sources(spark, d), LEXICON)
+    hints = F.when(F.col("ord") % 7 == 0, F.array(F.lit("e_group"), F.lit("e_stake"), F.lit("unknown"))).otherwise(F.array().cast("array<string>"))
+    return A.assess_relevance(X.articles(spark, d).withColumn("hints", hints), X.entities(spark), X.sources(spark, d), LEXICON)
 
 
 @query("e10_rejection_reasons", with_views(_RELEVANCE + " SELECT reason, count(*) AS n FROM q WHERE reason NOT IN ('official', 'direct_entity_news') GROUP BY reason", "articles", "sources"))
@@ -231,9 +233,47 @@ def derive_events(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("cluster_id", "headline", "published_at", "updated_at", "source_count", "materiality", "certainty", "momentum", "tone")
 
 
-@query("e8_event_forecasts")
+_POSITIONS = ", ".join(f"({T.quoted(e[0])}, {T.quoted(e[1])}, {k})" for k, e in enumerate(X.ENTITIES))
+_RANK = "(stier, -epoch_us(published_at), ord)"
+_EVERY = f"""
+, {T.matches("mx", "articles", "title || ' ' || description")}, pos(entity_id, name, position) AS (VALUES {_POSITIONS}),
+a AS (SELECT a.*, cluster_id, coalesce(s.tier, 3) AS stier, official OR coalesce(s.tier, 3) = 0 AS off, channel = 'public-conversation' AS public, {T.normalized("title || ' ' || description")} AS b FROM articles a JOIN members USING (ord) LEFT JOIN sources s ON replace(host, 'www.', '') = s.domain),
+v AS (SELECT *, {T.tone("b")} AS t, date_diff('second', published_at, {T.STAMP}) / 3600.0 AS age FROM a WHERE NOT public),
+w AS (SELECT cluster_id, min(CASE WHEN type <> 'stakeholder' THEN mx.tier END) AS etier, max(CASE WHEN type = 'person' THEN 5 - mx.tier ELSE 0 END) AS senior, count(*) FILTER (type = 'person') AS people, count(*) FILTER (type IN ('group', 'company', 'business')) AS inst,
+  string_agg(DISTINCT entity_id, ',' ORDER BY entity_id) AS entity_ids, arg_min(name, position) FILTER (type <> 'stakeholder') AS lead FROM v JOIN mx USING (ord) JOIN pos USING (entity_id) GROUP BY cluster_id HAVING count(*) FILTER (type <> 'stakeholder') > 0),
+p AS (SELECT cluster_id, sum(CAST(round(t * g * 1e6) AS BIGINT)) AS tw, sum(CAST(round(g * 1e6) AS BIGINT)) AS gw, count(*) AS pn FROM (SELECT cluster_id, {T.tone("b")} AS t, greatest(1.0, least(5.0, 1.0 + log2(1.0 + greatest(0, engagement)))) AS g FROM a WHERE public) GROUP BY cluster_id),
+l AS (SELECT cluster_id, string_agg(url, ' ' ORDER BY place) AS sources FROM (SELECT cluster_id, url, row_number() OVER (PARTITION BY cluster_id ORDER BY public, stier, published_at DESC, ord) AS place FROM a) WHERE place <= 16 GROUP BY cluster_id),
+z AS (SELECT cluster_id, min(stier) AS best, bool_or(off) AS official, count(DISTINCT host) AS nd, avg(t) AS mt, {" , ".join(f"max(CASE WHEN contains(b, {T.quoted(t)}) THEN {v} ELSE 0 END) AS m{i}" for i, (t, v) in enumerate(LEXICON.materiality.items()))},
+  {" , ".join(f"bool_or(regexp_matches(b, {T.quoted(p)})) AS c{i}" for i, (_, p) in enumerate(LEXICON.categories))}, bool_or(regexp_matches(b, {T.quoted(LEXICON.immediate)})) AS immediate,
+  max(CASE WHEN contains(b, 'the') THEN 4 ELSE 0 END) AS up, max(CASE WHEN contains(b, 'thble') THEN 6 ELSE 0 END) AS down,
+  count(*) FILTER (age <= 6) AS n6, count(*) FILTER (age <= 12) AS n12, count(*) FILTER (age > 12 AND age <= 24) AS p12, count(*) FILTER (age <= 24) AS n24, count(*) FILTER (age > 24 AND age <= 48) AS p24h,
+  arg_min(title, {_RANK}) AS headline, arg_min(description, {_RANK}) AS body, arg_min(title, {_RANK}) FILTER (off) AS ot, arg_min(title, {_RANK}) FILTER (NOT off) AS other, min(published_at) AS published_at, max(published_at) AS updated_at FROM v GROUP BY cluster_id),
+x1 AS (SELECT *, coalesce(other, headline) AS emerging,
+  {T.rounded(T.clamped("8 + " + " + ".join(f"m{i}" for i in range(len(LEXICON.materiality))) + " + [24, 18, 13, 8, 3, 0][least(coalesce(etier, 4), 5) + 1] + least(18.0, log2(greatest(1, nd)) * 7) + CASE best WHEN 0 THEN 18 WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END"))} AS materiality,
+  {T.rounded(T.clamped("CASE WHEN official OR best = 0 THEN 88 WHEN best = 1 THEN 68 WHEN best = 2 THEN 56 ELSE 42 END + least(8, greatest(0, nd - 1) * 2) + up - down"))} AS certainty,
+  {T.rounded(T.clamped("n6 * 10 + n24 * 3 + nd * 6 + least(25.0, 8 * CASE WHEN p24h > 0 THEN n24::DOUBLE / p24h WHEN n24 > 1 THEN 2.0 ELSE 1.0 END)"))} AS momentum,
+  CASE WHEN p12 = 0 THEN CASE WHEN n12 > 0 THEN 100 ELSE 0 END ELSE {T.rounded("(n12 - p12)::DOUBLE / p12 * 100")} END AS trend_change, {T.rounded("mt")} AS tone FROM z JOIN w USING (cluster_id) LEFT JOIN p USING (cluster_id) LEFT JOIN l USING (cluster_id)),
+x2 AS (SELECT *, {T.normalized("emerging")} AS en, {T.tokens("emerging")} AS et, {T.tokens("ot")} AS ott FROM x1),
+x3 AS (SELECT *, CASE WHEN ot IS NULL OR {T.normalized("ot")} = en THEN 0 ELSE {T.clamped(T.rounded(f"(1 - {T.jaccard('et', 'ott')}) * 55") + " + CASE WHEN people > 0 AND inst = 0 THEN 22 ELSE 0 END + CASE WHEN regexp_matches(en, 'owner|owns|bought|acquired') AND NOT regexp_matches(en, 'consortium|group|company') THEN 18 ELSE 0 END + CASE WHEN nd >= 5 THEN 8 ELSE 0 END")} END AS drift FROM x2),
+x4 AS (SELECT *, {T.rounded("100.0 / (1.0 + exp(-(-4.2::DOUBLE + materiality * 0.035::DOUBLE + momentum * 0.028::DOUBLE + certainty * 0.011::DOUBLE + least(12, nd) * 0.08::DOUBLE + senior * 0.16::DOUBLE + drift * 0.018::DOUBLE)))")} AS p24 FROM x3),
+x5 AS (SELECT *, {T.normalized("headline")} AS hn, array_to_string(list_filter(string_split({T.cleaned("body")}, ' '), lambda c: c <> '')[1:38], ' ') || CASE WHEN len(list_filter(string_split({T.cleaned("body")}, ' '), lambda c: c <> '')) > 38 THEN '…' ELSE '' END AS snippet FROM x4)
+SELECT cluster_id, 'live-' || {T.fnv36("hn")} AS event_id, CASE WHEN official THEN {T.filled(P.SUMMARY_OFFICIAL, "lead")} ELSE {T.quoted(P.SUMMARY_COVERAGE[0])} || nd || {T.quoted(P.SUMMARY_COVERAGE[1])} || CASE WHEN nd = 1 THEN '' ELSE 's' END || {T.filled(P.SUMMARY_COVERAGE[2], "lead")} END
+  || CASE WHEN snippet <> '' AND NOT contains({T.normalized("snippet")}, substring(hn, 1, 36)) THEN ' ' || snippet ELSE '' END || {T.filled(P.SUMMARY_END, T.quoted(LEXICON.service))} AS summary,
+  CASE {" ".join(f"WHEN regexp_matches(hn, {T.quoted(p)}) THEN {T.filled(t, 'lead')}" for p, t in P.WHY)} WHEN momentum >= 65 THEN {T.quoted(P.WHY_MOMENTUM)} WHEN materiality >= 65 THEN {T.filled(P.WHY_MATERIAL, "lead")} ELSE {T.quoted(P.WHY_OTHERWISE)} END AS why,
+  sources, 'live-signal headline-derived' || CASE WHEN coalesce(pn, 0) > 0 THEN ' open-public-sentiment' ELSE '' END AS flags, CASE WHEN ot IS NOT NULL AND drift >= 35 THEN CASE WHEN drift >= 72 THEN {T.quoted(P.CLARIFY)} ELSE {T.quoted(P.MONITOR)} END END AS recommendation,
+  headline, entity_ids, published_at, updated_at, nd AS source_count, materiality, certainty, momentum, trend_change, tone, drift,
+  {T.rounded(T.clamped("p24 * 0.66::DOUBLE + momentum * 0.18::DOUBLE"))} AS p6, p24, {T.rounded(T.clamped("p24 + (100 - p24) * 0.28::DOUBLE"))} AS p72,
+  CASE WHEN p24 >= 82 THEN 'ACT NOW' WHEN p24 >= 68 THEN 'PREPARE' WHEN p24 >= 48 THEN 'WATCH' WHEN materiality >= 55 THEN 'AMPLIFY' ELSE 'NO ACTION' END AS posture,
+  coalesce(nullif(concat_ws('; ', CASE WHEN momentum >= 65 THEN 'rapid media acceleration' END, CASE WHEN nd >= 5 THEN 'broad independent-source pickup' END, CASE WHEN materiality >= 75 THEN 'high strategic or reputation consequence' END, CASE WHEN certainty < 55 THEN 'uncertainty may drive further coverage' END,
+    CASE WHEN senior >= 4 THEN 'promoter or senior-leadership involvement' END, CASE WHEN drift >= 65 THEN 'narrative drift or misattribution risk' END), ''), 'incremental relevance with limited momentum') AS drivers,
+  CASE WHEN (materiality >= 76 AND certainty >= 58) OR (immediate AND materiality >= 64) OR (materiality >= 68 AND momentum >= 72 AND certainty >= 50) THEN 'must' WHEN p24 >= 58 OR materiality >= 58 OR (momentum >= 65 AND certainty >= 50) THEN 'watch' ELSE 'other' END AS bucket,
+  CASE WHEN official OR certainty >= 82 THEN 'confirmed' WHEN certainty >= 62 THEN 'strong' ELSE 'developing' END AS status, CASE {" ".join(f"WHEN c{i} THEN {T.quoted(n)}" for i, (n, _) in enumerate(LEXICON.categories))} ELSE 'Corporate' END AS category,
+  {T.rounded(T.clamped("tone * 0.55::DOUBLE + (materiality - 50) * 0.18::DOUBLE", -100))} AS reputation_impact, greatest(0, 100 - drift) AS narrative_alignment, coalesce({T.rounded("tw::DOUBLE / greatest(gw, 1000000)")}, 0) AS public_score, coalesce(pn, 0) AS public_n FROM x5"""
+
+
+@query("e8_event_forecasts", _recursive(with_views(_CLUSTERS + _EVERY, "articles", "sources")))
 def event_forecasts(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d)
+    return events(spark, d).withColumn("public_score", F.coalesce("public_score", F.lit(0)))
 
 
 @query("d5_attach_public", _recursive(with_views(_CLUSTERS + f""", {T.matches("mx", "articles", "title || ' ' || description")},

@@ -50,6 +50,26 @@ def category(x: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({x}, {quoted(p)}) THEN {quoted(n)}" for n, p in LEXICON.categories) + " ELSE 'Corporate' END"
 
 
+def fnv36(x: str) -> str:
+    units = f"list_transform(list_filter(string_split({x}, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)"
+    return f"lower(to_base(list_reduce(list_prepend(2166136261::BIGINT, {units}), lambda h, c: ((xor(h, c) * 16777619) & 4294967295)), 36))"
+
+
+def cleaned(x: str) -> str:
+    for pattern, by in ((r"(?is)<script.*?</script>", " "), (r"(?is)<style.*?</style>", " "), (r"<[^>]+>", " "), ("&amp;", "&"), ("&quot;", '"'), ("&#39;|&apos;", "'"), (r"\s+", " ")):
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(by)}, 'g')"
+    return f"trim({x})"
+
+
+def filled(template: str, who: str) -> str:
+    before, gap, after = template.partition("{}")
+    return f"({quoted(before)} || {who} || {quoted(after)})" if gap else quoted(template)
+
+
+def jaccard(a: str, b: str) -> str:
+    return f"(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END)"
+
+
 def any_of(x: str, patterns) -> str:
     return "(" + " OR ".join(f"regexp_matches({x}, {quoted(p)})" for p in patterns) + ")"
 
