@@ -95,7 +95,9 @@ def domain_of(url: Column) -> Column:
 
 
 def canonical_url(url: Column, mode: str = "plain") -> Column:
-    """plain: without query and fragment. traceable: http(s), no credentials, without fragment and tracking parameters, else null."""
+    """plain: without query and fragment. traceable: http(s), no credentials, without fragment and tracking parameters, else null. https: as it is if https without credentials, else null."""
+    if mode == "https":
+        return F.when(url.rlike(r"^https://[^/@\s?#]+([/?#]|$)"), url)
     if mode == "plain":
         return F.regexp_replace(url, r"[?#].*$", "")
     whole = F.regexp_replace(F.trim(url), r"#.*$", "")

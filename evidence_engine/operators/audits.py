@@ -87,6 +87,17 @@ def dependability(references: DataFrame, detections: DataFrame) -> DataFrame:
     return out.withColumn("pass", (F.col("precision") >= 90) & (F.col("weighted_recall") >= 98) & (F.col("critical_recall") >= 100))
 
 
+def daily_ledger_entries(evaluation: DataFrame, scans: DataFrame) -> DataFrame:
+    """An entry for each day: the verdict and metrics of the evaluation (one row of dependability) and what the day's scans did.
+
+    scans(day, query_count, successful, event_count).
+    """
+    metrics = evaluation.select("pass", "precision", "weighted_recall", "critical_recall")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("query_count", "successful", "event_count")}
+    rows = scans.withColumns(counts).crossJoin(F.broadcast(metrics))  # one row
+    return rows.select("day", "pass", "precision", "weighted_recall", "critical_recall", "query_count", "successful", F.greatest(F.lit(0), F.col("query_count") - F.col("successful")).alias("failed"), "event_count")
+
+
 def false_positives(references: DataFrame, detections: DataFrame) -> DataFrame:
     return detections.join(references.select("ref_id"), "ref_id", "left_anti").select("event_id", "ref_id")
 

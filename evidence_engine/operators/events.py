@@ -225,17 +225,32 @@ def watch_status(events: DataFrame, watched: list[str], start: Column, end: Colu
     return rows.groupBy("entity_id").agg(F.count_if(updated).alias("updates"), F.count_if(F.col("status") == "developing").alias("developing"), F.count_if(~updated).alias("stable"), F.count(F.lit(1)).alias("total"))
 
 
-def coverage_gaps(events: DataFrame) -> DataFrame:
-    """kind, n: one row for each gap that the events show, from one aggregation."""
-    rules = {
-        "material_but_uncertain": (F.col("materiality") >= 70) & (F.col("certainty") < 65),
-        "single_source": F.col("source_count") == 1,
-        "no_public_sample": F.col("sample_size") == 0,
-        "narrative_risk": F.col("drift") >= 72,
-        "stale_must": (F.col("bucket") == "must") & (F.col("momentum") < 20),
+def coverage_gaps(events: DataFrame, entities: DataFrame, run: DataFrame, registries: DataFrame) -> DataFrame:
+    """kind, n of each gap in the evidence; closed social platforms are always one.
+
+    entities(entity_id, type, tier, coverage_required), run: one row (live_status, provider_errors, public_checks,
+    public_succeeded, expected_companies, expected_leadership), registries(reconciled).
+    """
+    named = events.select(F.explode("entity_ids").alias("entity_id"))
+    idle = entities.filter(F.col("coverage_required") & (F.col("tier") <= 1)).join(named, "entity_id", "left_anti").agg(F.count(F.lit(1)).alias("idle"))
+    counts = entities.agg(F.count_if(F.col("type") == "company").alias("companies"), F.count_if(F.col("type") == "person").alias("leaders"))
+    unsure = events.agg(F.count_if((F.col("materiality") >= 70) & (F.col("certainty") < 65)).alias("unsure"))
+    changed = registries.agg(F.count_if(~F.col("reconciled")).alias("changed"))
+    row = run.crossJoin(counts).crossJoin(idle).crossJoin(unsure).crossJoin(changed)  # tables of one row
+    none = F.lit(0)
+    kinds = {
+        "live_error": F.when(F.col("live_status") == "error", 1).otherwise(none),
+        "provider_errors": F.col("provider_errors"),
+        "companies_unreconciled": F.when(F.col("companies") != F.col("expected_companies"), F.col("companies")).otherwise(none),
+        "leadership_unreconciled": F.when(F.col("leaders") != F.col("expected_leadership"), F.col("leaders")).otherwise(none),
+        "registry_changed": F.col("changed"),
+        "priority_without_event": F.col("idle"),
+        "material_but_uncertain": F.col("unsure"),
+        "public_unavailable": F.when((F.col("public_checks") > 0) & (F.col("public_succeeded") == 0), 1).otherwise(none),
+        "closed_social": F.lit(1),
     }
-    row = events.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
-    return row.select(F.expr("stack({}, {}) AS (kind, n)".format(len(rules), ", ".join(f"'{k}', {k}" for k in rules)))).filter("n > 0")
+    gaps = F.array(*[F.struct(F.lit(k).alias("kind"), n.cast("long").alias("n")) for k, n in kinds.items()])
+    return row.select(F.inline(gaps)).filter("n > 0")
 
 
 def priority_union(*tables: DataFrame) -> DataFrame:

@@ -63,11 +63,6 @@ def reliability_window(spark: SparkSession, d: str) -> DataFrame:
     return dated(A.reliability_window(X.ledger(spark, d)))
 
 
-@query("e27_daily_ledger", with_views("SELECT * REPLACE (day::VARCHAR AS day) FROM ledger", "ledger"))
-def daily_ledger(spark: SparkSession, d: str) -> DataFrame:
-    return dated(X.ledger(spark, d))
-
-
 _REFS = """+ m AS (SELECT r.*, EXISTS (SELECT 1 FROM detections x WHERE x.ref_id = r.ref_id) AS detected, CASE materiality WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM reference_events r)"""
 
 

@@ -91,9 +91,7 @@ def stream_momentum(spark: SparkSession, d: str) -> DataFrame:
     X.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(f"{place}/in")
     stream = K.table_stream(spark, f"{place}/in").withWatermark("ts", "1 hour")
     rows = K.stream_momentum(stream, "ts", "event_type", "1 day")
-    name = f"m{uuid.uuid4().hex}"
-    rows.writeStream.format("memory").queryName(name).option("checkpointLocation", f"{place}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return K.drain(rows, f"{place}/run", "complete")
 
 
 @query("k2_stream_dedupe", with_views("SELECT count(DISTINCT regexp_replace(url, '[?#].*$', '')) AS items FROM raw_items", "articles", "raw_items"))

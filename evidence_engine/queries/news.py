@@ -306,14 +306,6 @@ _served("g10_latest_events", lambda e: E.latest_events(e, X.now()), "event_id, u
 _served("c4_events_in_window", lambda e: E.events_in_window(e, _stamp("2024-01-10 00:00:00"), _stamp("2024-01-12 00:00:00")), "event_id, published_at, updated_at", "WHERE published_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' OR updated_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
 _served("c5_material_floor", lambda e: E.material_floor(e), "event_id, materiality", "WHERE materiality >= 35")
 _served("c6_reduce_noise", lambda e: E.reduce_noise(e, "und|que", "attion|tion"), "event_id", f"WHERE NOT regexp_matches({T.normalized('headline')}, 'und|que') OR regexp_matches({T.normalized('headline')}, 'attion|tion')")
-_served("e25_coverage_gaps", lambda e: E.coverage_gaps(e), "kind, n", "")
-ORACLES["e25_coverage_gaps"] = with_views(
-    """SELECT * FROM (SELECT 'material_but_uncertain' AS kind, count(*) FILTER (materiality >= 70 AND certainty < 65) AS n FROM served
-UNION ALL SELECT 'single_source', count(*) FILTER (source_count = 1) FROM served UNION ALL SELECT 'no_public_sample', count(*) FILTER (sample_size = 0) FROM served
-UNION ALL SELECT 'narrative_risk', count(*) FILTER (drift >= 72) FROM served UNION ALL SELECT 'stale_must', count(*) FILTER (bucket = 'must' AND momentum < 20) FROM served) WHERE n > 0""",
-    "served",
-)
-
 
 @query("g13_brief", with_views("""+ w AS (SELECT bucket, len(list_filter(string_split_regex(headline, '\\s+'), lambda x: x <> '')) + 14 AS w FROM served), s AS (SELECT bucket, count(*) AS n, CAST(sum(w) AS BIGINT) AS words FROM w GROUP BY bucket)
 SELECT bucket, n, words, CASE WHEN words = 0 THEN 12 ELSE greatest(20, least(120, CAST(floor(words / 3.5 + 0.5) AS INT))) END AS seconds FROM s""", "served"))

@@ -116,10 +116,12 @@ def upsert_batches(path: str, key: list[str], **rules) -> Callable[[DataFrame, i
     """For foreachBatch: merge each batch into versions of a table under path, once for each batch id.
 
     version=<batch id> holds the table after that batch; a batch that comes again rewrites its own version from the one before.
+    Of rows of one key in a batch the greatest, column by column, counts, so that a rerun gives the same table.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates(key)
+        rest = [c for c in batch.columns if c not in key]
+        new = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("last")).select(*key, "last.*").select(*batch.columns)
         merged = new if batch_id == 0 else merge_table(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), new, key, **rules)
         merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
@@ -127,7 +129,17 @@ def upsert_batches(path: str, key: list[str], **rules) -> Callable[[DataFrame, i
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return what it wrote."""
+    """Run a stream over what is there now and return what it wrote; in complete mode the table after the last batch."""
+    if mode == "complete":
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
+
+        query = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
+        query.awaitTermination()
+        spark = stream.sparkSession
+        last = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out").agg(F.max("batch")).first()[0]
+        return spark.read.schema(stream.schema).parquet(f"{path}/out/batch={last}")
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start(f"{path}/out")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
