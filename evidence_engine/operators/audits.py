@@ -33,14 +33,6 @@ def learn_baselines(checks: DataFrame, last: int = 30) -> DataFrame:
     return rows.select("source_id", "check_date", "typical", F.last("floor", ignorenulls=True).over(by).alias("minimum"))
 
 
-def reconcile_counts(checks: DataFrame, declared: DataFrame) -> DataFrame:
-    """declared(check_date, checks, successes) against the checks: rule, check_date of each violation."""
-    real = checks.groupBy("check_date").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("good"), F.countDistinct("source_id").alias("names"))
-    rows = declared.join(real, "check_date", "full_outer")
-    rules = F.array_compact(F.array(F.when(~F.col("checks").eqNullSafe(F.col("n")), F.lit("count")), F.when(~F.col("successes").eqNullSafe(F.col("good")), F.lit("successes")), F.when(F.col("names") < F.col("n"), F.lit("names"))))
-    return rows.select("check_date", F.explode(rules).alias("rule"))
-
-
 # Reliability.
 
 
@@ -53,13 +45,6 @@ def pass_streak(ledger: DataFrame) -> DataFrame:
     return rows.select("first_day", "last_day", "days")
 
 
-def reliability_window(ledger: DataFrame, days: int = 30) -> DataFrame:
-    """One row: whether the last days are that many, consecutive and passed, and the reasons why not."""
-    row = ledger.select("day", "pass", "n").agg(F.countDistinct("day").alias("have"), F.min("day").alias("low"), F.max("day").alias("high"), F.count_if(~F.col("pass")).alias("failed"), F.count_if(F.col("n") <= 0).alias("empty"))
-    reasons = F.array_compact(F.array(F.when(F.col("have") != days, F.lit("day_count")), F.when(F.datediff("high", "low") + 1 != F.col("have"), F.lit("gap")), F.when(F.col("failed") > 0, F.lit("failed_days")), F.when(F.col("empty") > 0, F.lit("empty_days"))))
-    return row.select("have", "low", "high", "failed", F.array_join(reasons, ",").alias("reasons"), (F.size(reasons) == 0).alias("proven"))
-
-
 WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 
@@ -69,24 +54,6 @@ def match_references(references: DataFrame, detections: DataFrame) -> DataFrame:
     return references.join(hit, "ref_id", "left").withColumn("detected", F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def dependability(references: DataFrame, detections: DataFrame) -> DataFrame:
-    """One row: precision, recall, recall by weight, recall of critical ones, gates."""
-    weight = F.coalesce(*[F.when(F.col("materiality") == k, F.lit(w)) for k, w in WEIGHTS.items()], F.lit(1))
-    rows = match_references(references, detections).withColumn("w", weight)
-    found, critical = F.col("detected"), F.col("materiality") == "critical"
-    recall = rows.agg(
-        F.count(F.lit(1)).alias("refs"), F.count_if(found).alias("hits"), F.sum("w").alias("weight"), F.sum(F.when(found, F.col("w")).otherwise(0)).alias("found_weight"), F.count_if(critical).alias("critical"), F.count_if(critical & found).alias("critical_hits")
-    )
-    right = detections.join(references.select("ref_id"), "ref_id", "left_semi").agg(F.count(F.lit(1)).alias("right"))
-    every = detections.agg(F.count(F.lit(1)).alias("detections"))
-    out = recall.crossJoin(right).crossJoin(every)  # three tables of one row
-    out = out.select(
-        "refs", "detections", percent(F.col("right"), F.col("detections"), 2).alias("precision"), percent(F.col("hits"), F.col("refs"), 2).alias("recall"),
-        percent(F.col("found_weight"), F.col("weight"), 2).alias("weighted_recall"), percent(F.col("critical_hits"), F.col("critical"), 2).alias("critical_recall"),
-    )
-    return out.withColumn("pass", (F.col("precision") >= 90) & (F.col("weighted_recall") >= 98) & (F.col("critical_recall") >= 100))
-
-
 def daily_ledger_entries(evaluation: DataFrame, scans: DataFrame) -> DataFrame:
     """An entry for each day: the verdict and metrics of the evaluation (one row of dependability) and what the day's scans did.
 
@@ -115,26 +82,6 @@ def validity_view(relations: DataFrame, at: Column) -> DataFrame:
     return relations.filter((F.col("effective_from").isNull() | (F.col("effective_from") <= at)) & (F.col("effective_to").isNull() | (F.col("effective_to") > at)))
 
 
-def validate_history(records: DataFrame, sources: DataFrame, entities: DataFrame) -> DataFrame:
-    """(rule, record_id) of each violation. records: id, kind, subject_id, related_id, percentage, effective_from, effective_to, as_of, previous_id, source_id."""
-    ids = records.groupBy("id").count().filter("count > 1").select(F.lit("duplicate_id").alias("rule"), F.col("id").alias("record_id"))
-    rules = {
-        "kind": ~F.coalesce(F.col("kind").isin("ownership", "leadership"), F.lit(False)),
-        "date_order": F.col("effective_from") > F.col("effective_to"),
-        "percentage_range": ~F.col("percentage").between(0, 100),
-        "percentage_missing": (F.col("kind") == "ownership") & F.col("percentage").isNull(),
-    }
-    single = records.select(F.col("id").alias("record_id"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule")).select("rule", "record_id")
-    known = entities.select(F.col("entity_id").alias("subject_id"))
-    subject = records.join(known, "subject_id", "left_anti").select(F.lit("unknown_subject").alias("rule"), F.col("id").alias("record_id"))
-    source = records.join(sources.select("source_id"), "source_id", "left_anti").select(F.lit("unknown_source").alias("rule"), F.col("id").alias("record_id"))
-    before = records.select(F.col("id").alias("previous_id"), F.col("subject_id").alias("p_subject"), F.col("kind").alias("p_kind"), F.col("as_of").alias("p_as_of"))
-    prior = records.filter("previous_id IS NOT NULL").join(before, "previous_id", "left")
-    ok = (F.col("p_subject") == F.col("subject_id")) & (F.col("p_kind") == F.col("kind")) & (F.col("p_as_of") < F.col("as_of"))
-    chain = prior.filter(~F.coalesce(ok, F.lit(False))).select(F.lit("prior_observation").alias("rule"), F.col("id").alias("record_id"))
-    return ids.union(single).union(subject).union(source).union(chain)
-
-
 # Coverage of entities by sources.
 
 

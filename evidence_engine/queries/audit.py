@@ -43,26 +43,12 @@ def learn_baselines(spark: SparkSession, d: str) -> DataFrame:
     return dated(A.learn_baselines(X.checks(spark, d)).fillna(-1, ["typical", "minimum"]))
 
 
-@query("e12_reconcile_counts", with_views("SELECT check_date::VARCHAR AS check_date, 'count' AS rule FROM checks WHERE day(check_date) % 5 = 0 GROUP BY check_date", "checks"))
-def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = X.checks(spark, d)
-    declared = c.groupBy("check_date").agg((F.count(F.lit(1)) + (F.dayofmonth("check_date") % 5 == 0).cast("int")).alias("checks"), F.count_if("ok").alias("successes"))
-    return dated(A.reconcile_counts(c, declared))
-
-
 @query("f4_pass_streak", with_views("""+ i AS (SELECT day, day - CAST(row_number() OVER (ORDER BY day) AS INT) AS island FROM ledger WHERE pass)
 SELECT min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) AS days FROM i GROUP BY island""", "ledger"))
 def pass_streak(spark: SparkSession, d: str) -> DataFrame:
     return dated(A.pass_streak(X.ledger(spark, d)))
 
 
-@query("e24_reliability_window", with_views("""+ r AS (SELECT count(DISTINCT day) AS have, min(day) AS low, max(day) AS high, count(*) FILTER (NOT pass) AS failed, count(*) FILTER (n <= 0) AS e FROM ledger),
-s AS (SELECT *, concat_ws(',', CASE WHEN have <> 30 THEN 'day_count' END, CASE WHEN high - low + 1 <> have THEN 'gap' END, CASE WHEN failed > 0 THEN 'failed_days' END, CASE WHEN e > 0 THEN 'empty_days' END) AS reasons FROM r)
-SELECT have, low::VARCHAR AS low, high::VARCHAR AS high, failed, reasons, reasons = '' AS proven FROM s""", "ledger"))
-def reliability_window(spark: SparkSession, d: str) -> DataFrame:
-    return dated(A.reliability_window(X.ledger(spark, d)))
-
-
 _REFS = """+ m AS (SELECT r.*, EXISTS (SELECT 1 FROM detections x WHERE x.ref_id = r.ref_id) AS detected, CASE materiality WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS w FROM reference_events r)"""
 
 
@@ -71,14 +57,6 @@ def match_references(spark: SparkSession, d: str) -> DataFrame:
     return A.match_references(X.reference_events(spark, d), X.detections(spark, d))
 
 
-@query("e15_dependability", with_views(_REFS + f""", a AS (SELECT count(*) AS refs, count(*) FILTER (detected) AS hits, sum(w) AS weight, sum(CASE WHEN detected THEN w ELSE 0 END) AS fw, count(*) FILTER (materiality = 'critical') AS c, count(*) FILTER (materiality = 'critical' AND detected) AS ch FROM m),
-p AS (SELECT count(*) AS detections, count(*) FILTER (ref_id IN (SELECT ref_id FROM reference_events)) AS rgt FROM detections),
-o AS (SELECT refs, detections, {pct("rgt", "detections", 2)} AS precision, {pct("hits", "refs", 2)} AS recall, {pct("fw", "weight", 2)} AS weighted_recall, {pct("ch", "c", 2)} AS critical_recall FROM a, p)
-SELECT *, precision >= 90 AND weighted_recall >= 98 AND critical_recall >= 100 AS pass FROM o""", "reference_events", "detections"))
-def dependability(spark: SparkSession, d: str) -> DataFrame:
-    return A.dependability(X.reference_events(spark, d), X.detections(spark, d))
-
-
 @query("d11_false_positives", with_views("SELECT event_id, ref_id FROM detections WHERE ref_id NOT IN (SELECT ref_id FROM reference_events)", "reference_events", "detections"))
 def false_positives(spark: SparkSession, d: str) -> DataFrame:
     return A.false_positives(X.reference_events(spark, d), X.detections(spark, d))
@@ -99,21 +77,6 @@ _HISTORY = """hist AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 30 = 0 TH
  o_orderdate::DATE AS as_of, CASE WHEN o_orderkey % 200 = 0 THEN o_orderkey - 100 END AS previous_id, o_orderkey % 60 AS source_id FROM orders)"""
 
 
-@query("l1_validate_history", f"""WITH {_HISTORY}
-SELECT 'duplicate_id' AS rule, id AS record_id FROM hist GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'kind', id FROM hist WHERE kind NOT IN ('ownership', 'leadership')
-UNION ALL SELECT 'date_order', id FROM hist WHERE effective_from > effective_to
-UNION ALL SELECT 'percentage_range', id FROM hist WHERE percentage NOT BETWEEN 0 AND 100
-UNION ALL SELECT 'percentage_missing', id FROM hist WHERE kind = 'ownership' AND percentage IS NULL
-UNION ALL SELECT 'unknown_subject', id FROM hist WHERE subject_id = 'c30'
-UNION ALL SELECT 'unknown_source', id FROM hist WHERE source_id = 50
-UNION ALL SELECT 'prior_observation', h.id FROM hist h LEFT JOIN hist p ON p.id = h.previous_id WHERE h.previous_id IS NOT NULL AND NOT coalesce(p.subject_id = h.subject_id AND p.kind = h.kind AND p.as_of < h.as_of, false)""")
-def validate_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = history(spark, d)
-    known = rows.filter("subject_id <> 'c30'").select(F.col("subject_id").alias("entity_id")).distinct()
-    return A.validate_history(rows, rows.filter("source_id <> 50").select("source_id").distinct(), known)
-
-
 @query("l3_validity_view", f"WITH {_HISTORY} SELECT id, subject_id FROM hist WHERE effective_from <= DATE '1996-06-01' AND effective_to > DATE '1996-06-01'")
 def validity_view(spark: SparkSession, d: str) -> DataFrame:
     return A.validity_view(history(spark, d), F.lit("1996-06-01").cast("date")).select("id", "subject_id")

@@ -12,11 +12,11 @@ from evidence_engine.fixtures import with_views
 from evidence_engine.functions import scores as S
 from evidence_engine.functions.text import canonical_url, parse_feed_date, strict_utc, tone_label
 from evidence_engine.operators import audits as A
-from evidence_engine.operators import articles, events
+from evidence_engine.operators import articles, events, governance
 from evidence_engine.params import COVERAGE_GROUP, SOURCE_CLASS
 from evidence_engine.plans.materialize import shared_dir
 from evidence_engine.queries import sqltext as T
-from evidence_engine.queries.audit import _BASE, _REFS, dated, dependability, pct
+from evidence_engine.queries.audit import _BASE, _REFS, dated, pct
 from evidence_engine.queries.gates import _stored
 from evidence_engine.sources import feeds
 from evidence_engine.streaming import streams as K
@@ -164,7 +164,7 @@ s AS (SELECT check_date, count(*) AS query_count, count(*) FILTER (ok) AS succes
 SELECT check_date::VARCHAR AS day, precision >= 90 AND weighted_recall >= 98 AND critical_recall >= 100 AS pass, precision, weighted_recall, critical_recall, query_count, successful, query_count - successful AS failed, event_count FROM s, o""", "reference_events", "detections", "checks"))
 def daily_ledger(spark: SparkSession, d: str) -> DataFrame:
     scans = X.checks(spark, d).groupBy(F.col("check_date").alias("day")).agg(F.count(F.lit(1)).alias("query_count"), F.count_if("ok").alias("successful"), F.sum("item_count").alias("event_count"))
-    return dated(A.daily_ledger_entries(dependability(spark, d), scans))
+    return dated(A.daily_ledger_entries(governance.dependability(X.reference_events(spark, d), X.detections(spark, d)), scans))
 
 
 @query("k1_stream_ingest", with_views("SELECT ord, published_at FROM articles WHERE ord % 10 <> 0 AND ord % 13 <> 0", "articles"))
