@@ -40,7 +40,7 @@ from evidence_engine.plans.materialize import materialize
 WIDTH, THRESHOLD, REGISTERS, ROWS = 5, 0.8, 128, 4
 #: Rounds of comparison with pivots before the rest is compared pair by pair.
 PIVOT_ROUNDS = 2
-#: A shingle is hot when more than one entry in so many holds it; so there are fewer hot shingles than this.
+#: A band key or shingle is hot when more than one entry in so many has it; so there are fewer hot ones than this.
 HOT_SHARE = 1024
 #: Parts into which the entries of a hot shingle are dealt where they meet.
 SALTS = 16
@@ -158,6 +158,18 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(1 + rows // 50_000)
 
 
+def _met(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with table (a row for each key). Rows of hot keys stay where they are: the table's few rows for those come to them."""
+    few, rest = table.join(F.broadcast(hot), key, "left_semi"), table.join(F.broadcast(hot), key, "left_anti")
+    return rows.join(F.broadcast(few), key, how).unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(rest, key, how))
+
+
+def _hot(counts: DataFrame, key: str, n: str) -> DataFrame:
+    """The keys of counts, written already, that make up more than one in HOT_SHARE of all."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.filter(F.col(n) * HOT_SHARE > total).select(key)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) -> node, label for each end of an edge: the least node of its component.
 
@@ -182,8 +194,9 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
     """docs(doc_id, text) -> doc_id, mark (hash of the text), node, label: the least node of the class of each row, written."""
     texts = materialize(signed_texts(docs, width))
     bands = texts.select("node", "bands").dropDuplicates(["node"]).select("node", F.explode("bands").alias("key"))
-    shared = bands.groupBy("key").count().filter("count > 1").select("key")
-    members = materialize(bands.join(shared, "key", "left_semi"))
+    shared = materialize(bands.groupBy("key").count().filter("count > 1"))
+    hot = _hot(shared, "key", "count")
+    members = materialize(_met(bands, shared.select("key"), "key", hot, "left_semi"))
     nodes = materialize(members.select("node").distinct())
     # one document stands for each node; only its text is read again
     chosen = texts.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("chosen")).select("chosen").distinct()
@@ -205,7 +218,7 @@ def classed(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH) -
         pivot = F.max_by(F.struct(F.col("node").alias("pivot"), F.col("label").alias("at"), F.col("n").alias("pn"), F.col("v").alias("pv")), F.struct(central, F.xxhash64("node", "key", F.lit(turn))))
         apart = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), pivot.alias("p")).filter("low < high").select("key", "least", "p.*")
         # buckets that are one component stay so: they are done; so are members that can have no partner in the bucket
-        held = materialize(labelled.join(apart, "key").filter(F.col("v") >= share * (F.col("n") + F.col("least"))))
+        held = materialize(_met(labelled, apart, "key", hot).filter(F.col("v") >= share * (F.col("n") + F.col("least"))))
         active = held.select("node", "key", "n", "v")
         if turn < PIVOT_ROUNDS:
             pairs = held.filter((F.col("label") != F.col("at")) & (F.least("v", "pv") >= share * (F.col("n") + F.col("pn")))).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
@@ -250,12 +263,7 @@ def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -
     """
     items = sets.join(nodes, "node").select("node", "label", "n", F.explode("items").alias("item"))
     seen = materialize(items.groupBy("item").agg(F.count(F.lit(1)).alias("c")))
-    total = seen.agg(F.sum("c")).first()[0] or 0
-    is_hot = F.col("c") * HOT_SHARE > total
-    hot, others = F.broadcast(seen.filter(is_hot)), seen.filter(~is_hot)
-    # the count of a hot shingle comes to its entries, so that they do not meet in one task
-    counted = items.join(hot, "item").unionByName(items.join(hot, "item", "left_anti").join(others, "item"))
-    ranked = counted.groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("rare"))
+    ranked = _met(items, seen, "item", _hot(seen, "item", "c")).groupBy("node", "label", "n").agg(F.sort_array(F.collect_list(F.struct("c", "item"))).alias("rare"))
     width = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
     prefix = materialize(ranked.select("node", "label", "n", F.posexplode(F.slice("rare", F.lit(1), width)).alias("i", "r")).select("node", "label", "n", "i", F.col("r.item").alias("item")))
     reach = F.col("n") - F.col("i")
