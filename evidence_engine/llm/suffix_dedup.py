@@ -41,9 +41,12 @@ from evidence_engine.llm.columns import text_or_empty
 
 LENGTH, GRAM = 50, 20
 CHUNK = 8 << 20
-#: Documents, about, whose anchors give the cuts of the ranges.
-SAMPLE = 2000
-_PLACE = np.uint64((1 << 28) - 1)
+#: Documents, about, whose anchors give the cuts of the ranges; of larger tables a thousandth.
+SAMPLE, SHARE = 2000, 1000
+#: Most ranges of the alphabet, which bounds the cuts that each task gets (20 bytes each) and the sample that gives them.
+RANGES = 1 << 16
+#: Places within a text; 31 bits, for no text is longer.
+_PLACE = np.uint64((1 << 31) - 1)
 _HASH_BITS, _LOW_BITS = 48, 32
 _LOWEST = -(2**63)
 #: Entries whose windows are hashed at once.
@@ -198,9 +201,7 @@ def repeated(rows: np.ndarray, lcp: np.ndarray, doc: np.ndarray, shape: Shape) -
             continue
         block = np.cumsum(lcp < shape.length - offset)[pick[on]].astype(np.uint64)
         key = mixed(mixed(block) + left[on])
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        head = np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+        order, head = grouped(key, block, rows[pick[on], shape.length : shape.length + offset])
         smallest = np.minimum.reduceat(who[on][order], head)
         smaller = np.repeat(smallest, np.diff(np.append(head, len(order)))) < who[on][order]
         hit = pick[on[order[smaller]]]
@@ -209,6 +210,19 @@ def repeated(rows: np.ndarray, lcp: np.ndarray, doc: np.ndarray, shape: Shape) -
     return least, most
 
 
+def grouped(key: np.ndarray, block: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal (block, left) together, and where each group begins. key: their hash, which saves the comparison of most bytes."""
+    order = np.argsort(key, kind="stable")
+    for exact in (False, True):
+        if exact:  # different bytes have one hash: sort by the bytes themselves
+            order = np.lexsort((*left.T[::-1], block))
+        k, b, x = key[order], block[order], left[order]
+        other = (b[1:] != b[:-1]) | (x[1:] != x[:-1]).any(1)
+        if exact or not (other & (k[1:] == k[:-1])).any():
+            break
+    return order, np.flatnonzero(np.concatenate([[True], other]))
+
+
 def windows_of(rows: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every window of the entries: the entry, the offset of the window's start before the anchor, the hash of its bytes."""
     wide = shape.before + shape.length
@@ -475,9 +489,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chun
                 yield pa.RecordBatch.from_arrays([pa.array([body[x : x + gram].tobytes() for x in p], pa.binary())], ["gram"])
 
     # about sample documents, chosen by a hash of their id, cut the alphabet into as many ranges as there are chunks
-    few = source.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // sample))) == 0)
-    grams = np.sort(np.array(few.mapInArrow(sampled, "gram binary").toArrow()["gram"].to_pylist(), f"S{gram}"))
-    cuts, hot = ranges_of(grams, chunks)
+    few = source.filter(F.pmod(F.xxhash64("id", "body"), F.lit(max(1, min(SHARE, n // sample)))) == 0)
+    sample_rows = few.mapInArrow(sampled, "gram binary")
+    ranges = min(chunks, RANGES)
+    if chunks > RANGES:  # the sample of a very large table is thinned to what its cuts need
+        sample_rows = sample_rows.filter(F.pmod(F.xxhash64("gram"), F.lit(chunks // RANGES)) == 0)
+    grams = np.sort(np.array(sample_rows.toArrow()["gram"].to_pylist(), f"S{gram}"))
+    cuts, hot = ranges_of(grams, ranges)
 
     texts = source.select(F.pmod(F.xxhash64("id", "body"), F.lit(chunks)).cast("int").alias("chunk"), "id", "body")
     sent = texts.groupBy("chunk").applyInArrow(lambda t: fingerprints_sent(t, bits, shape), "bucket int, chunk int, low binary, counts binary")
