@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine import fixtures as X
-from evidence_engine.operators import articles as A
+from evidence_engine.operators import articles as A, registry
 from evidence_engine.operators import audits, claims, cluster
 from evidence_engine.operators import events as E
 from evidence_engine.params import Params
@@ -132,7 +132,7 @@ def test_freshness_boundaries(spark):
 def test_ambiguous_registry_rows_serve_once(spark):
     expected = spark.createDataFrame([(1, "Ann Lee", "chair"), (2, "Ann Lee Ltd", "chair"), (3, "Bo", "ceo")], "id int, name string, title string")
     observed = spark.createDataFrame([(10, "Ann Lee", "chair"), (11, "New Person", "cfo")], "id int, name string, title string")
-    got = {(r.change, r.id) for r in audits.registry_diff(expected, observed).collect()}
+    got = {(r.change, r.id) for r in registry.registry_diff(expected, observed).collect()}
     assert got == {("unchanged", 1), ("ambiguous", 2), ("removal", 3), ("addition", 11)}
 
 
