@@ -107,22 +107,64 @@ def unresolved_references(entities: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("source_id", F.explode("refs").alias("entity_id")).join(entities.select("entity_id"), "entity_id", "left_anti")
 
 
-def entity_source_coverage(entities: DataFrame, mapped: DataFrame, enough: int = 2) -> DataFrame:
-    """entity_id, n_sources, best (confidence), sources (ordered), status: covered, partial or gap."""
-    per = mapped.groupBy("entity_id").agg(F.countDistinct("source_id").alias("n"), F.max("confidence").alias("best"), F.array_join(F.transform(F.array_sort(F.collect_set(F.struct((-F.col("confidence")).alias("c"), F.col("source_id").cast("string").alias("s")))), lambda x: x["s"]), ",").alias("sources"))
-    rows = entities.select("entity_id").join(per, "entity_id", "left")
-    status = F.when(F.col("n") >= enough, "covered").when(F.col("n") > 0, "partial").otherwise("gap")
-    return rows.select("entity_id", F.coalesce("n", F.lit(0)).alias("n_sources"), F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("sources", F.lit("")).alias("sources"), status.alias("status"))
+def _priority_reason() -> Column:
+    # The reasons as they appear in reports.
+    by_register = (F.col("type") == "person") & F.lower("source_url").contains("leadership")
+    return F.when(F.col("official_company"), "official-company-register").when(F.col("family"), "promoter-family").when(F.col("leader"), "significant-leader").when(by_register, "official-leadership-register")
 
 
-def coverage_summary(coverage: DataFrame) -> DataFrame:
-    row = coverage.agg(F.count(F.lit(1)).alias("entities"), *[F.count_if(F.col("status") == s).alias(s) for s in ("covered", "partial", "gap")])
-    return row.withColumn("percent", percent(F.col("covered"), F.col("entities"), 1))
+def entity_source_coverage(entities: DataFrame, mapped: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each entity with the number of its sources by kind, its gaps, status and priority.
 
-
-def filter_coverage(coverage: DataFrame, status: str | None = None, least: int = 0) -> DataFrame:
-    rows = coverage.filter(F.col("n_sources") >= least)
-    return rows.filter(F.col("status") == status) if status else rows
+    entities(entity_id, name, type, official_company, family, leader, source_url); mapped as from map_sources; sources(source_id,
+    label, kind, tier): a null tier is 0 for official and authoritative ones, else 3. An official, authoritative or tier-0
+    source is direct, a query or registry one discovers. covered: both; partial: one of them; gap: none. sources: by tier, label.
+    """
+    best = mapped.groupBy("entity_id", "source_id").agg(F.max_by("matched_by", "confidence").alias("matched_by"))
+    tier = F.coalesce("tier", F.when(F.col("kind").isin("official", "authoritative"), 0).otherwise(3))
+    met = best.join(sources.select("source_id", "label", "kind", tier.alias("tier")), "source_id")
+    listed = F.array_sort(F.collect_list(F.struct("tier", "label", "source_id")))
+    per = met.groupBy("entity_id").agg(
+        F.count(F.lit(1)).alias("n_sources"), F.count_if((F.col("tier") == 0) | F.col("kind").isin("official", "authoritative")).alias("direct"), F.count_if(F.col("kind") == "authoritative").alias("authoritative"),
+        F.count_if(F.col("kind") == "official").alias("official"), F.count_if(F.col("kind").isin("query", "registry")).alias("discovery"), F.array_join(F.array_sort(F.collect_set("matched_by")), ",").alias("methods"),
+        F.array_join(F.transform(listed, lambda x: x["source_id"].cast("string")), ",").alias("sources"),
+    )
+    numbers = {"n_sources": 0, "direct": 0, "authoritative": 0, "official": 0, "discovery": 0, "methods": "", "sources": ""}
+    rows = entities.withColumn("priority_reason", _priority_reason()).join(per, "entity_id", "left").fillna(numbers)
+    direct, found, reason = F.col("direct") > 0, F.col("discovery") > 0, F.col("priority_reason")
+    # The gaps as they appear in reports.
+    gaps = {
+        "no-direct-tier-0-source": ~direct,
+        "no-discovery-or-media-map": ~found,
+        "no-direct-authoritative-adapter": reason.isNotNull() & (F.col("authoritative") == 0) & (F.col("type") == "company"),
+    }
+    status = F.when(direct & found, "covered").when(direct | found, "partial").otherwise("gap")
+    named = F.concat_ws(",", *[F.when(c, F.lit(k)) for k, c in gaps.items()])
+    return rows.select("entity_id", "name", "type", reason.isNotNull().alias("priority"), "priority_reason", status.alias("status"), *numbers, named.alias("gaps"))
+
+
+def coverage_summary(coverage: DataFrame, mapped: DataFrame, sources: DataFrame, unresolved: DataFrame) -> DataFrame:
+    """One row: entities by status, all and those of priority, sources, mappings and unresolved references."""
+    states = ("covered", "partial", "gap")
+    row = coverage.agg(
+        F.count(F.lit(1)).alias("entities"), *[F.count_if(F.col("status") == s).alias(s) for s in states],
+        F.count_if("priority").alias("priority"), *[F.count_if(F.col("priority") & (F.col("status") == s)).alias(f"priority_{s}") for s in states],
+    )
+    counts = {"sources": sources, "mappings": mapped.select("entity_id", "source_id").distinct(), "unresolved": unresolved.distinct()}
+    for name, table in counts.items():
+        row = row.crossJoin(table.agg(F.count(F.lit(1)).alias(name)))  # tables of one row
+    return row.withColumn("percent", F.coalesce(percent(F.col("priority_covered"), F.col("priority"), 1), F.lit(0.0)))
+
+
+def filter_coverage(coverage: DataFrame, status: str | None = None, type: str | None = None, priority: bool | None = None, gap: str | None = None, search: str | None = None) -> DataFrame:
+    """Filters that are given apply; search is a part of the name or id, in any case."""
+    for column, value in (("status", status), ("type", type), ("priority", priority)):
+        if value not in (None, ""):
+            coverage = coverage.filter(F.col(column) == F.lit(value))
+    if gap:
+        coverage = coverage.filter(F.array_contains(F.split("gaps", ","), gap))
+    needle = (search or "").strip().lower()
+    return coverage.filter(F.lower(F.concat_ws(" ", "name", "entity_id")).contains(needle)) if needle else coverage
 
 
 # Freshness of stored runs.

@@ -84,19 +84,32 @@ def validity_view(spark: SparkSession, d: str) -> DataFrame:
 
 def _coverage_inputs(spark: SparkSession, d: str):
     """Nations as entities; suppliers as sources, their labels holding a nation's name; every third refers to it by id."""
-    nations = X.table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("entity_id"), F.col("n_name").alias("name"))
+    key = F.col("n_nationkey")
+    nations = X.table(spark, d, "nation").select(
+        key.cast("string").alias("entity_id"), F.col("n_name").alias("name"), F.when(key % 2 == 0, "company").otherwise("person").alias("type"), (key % 5 == 0).alias("official_company"), (key % 7 == 1).alias("family"),
+        (key % 6 == 1).alias("leader"), F.when(key % 3 == 0, F.concat(F.lit("https://example.com/Leadership/"), key.cast("string"))).alias("source_url"),
+    )
     s = X.table(spark, d, "supplier").join(F.broadcast(X.table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     refs = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.col("s_nationkey").cast("string"))).when(F.col("s_suppkey") % 20 == 1, F.array(F.lit("none"))).otherwise(F.array().cast("array<string>"))
     label = F.when(F.col("s_suppkey") % 7 == 0, F.col("s_name")).otherwise(F.concat_ws(" ", "s_name", "n_name"))
-    return nations, s.select(F.col("s_suppkey").alias("source_id"), label.alias("label"), refs.alias("refs"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("registry", "official", "query", "authoritative")]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    tier = F.when(F.col("s_suppkey") % 5 == 0, F.col("s_suppkey") % 2)
+    return nations, s.select(F.col("s_suppkey").alias("source_id"), label.alias("label"), refs.alias("refs"), kind.alias("kind"), tier.alias("tier"))
 
 
-_COVER = """WITH s AS (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 7 = 0 THEN s_name ELSE s_name || ' ' || n_name END AS label, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::VARCHAR WHEN s_suppkey % 20 = 1 THEN 'none' END AS ref FROM supplier JOIN nation ON s_nationkey = n_nationkey),
-e AS (SELECT n_nationkey::VARCHAR AS entity_id, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS term FROM nation),
+_COVER = """WITH k AS (SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 7 = 0 THEN s_name ELSE s_name || ' ' || n_name END AS label, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey::VARCHAR WHEN s_suppkey % 20 = 1 THEN 'none' END AS ref,
+  ['registry', 'official', 'query', 'authoritative'][s_suppkey % 4 + 1] AS kind FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+s AS (SELECT *, CASE WHEN source_id % 5 = 0 THEN source_id % 2 WHEN kind IN ('official', 'authoritative') THEN 0 ELSE 3 END AS tier FROM k),
+e AS (SELECT n_nationkey::VARCHAR AS entity_id, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS term, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'company' ELSE 'person' END AS type,
+  CASE WHEN n_nationkey % 5 = 0 THEN 'official-company-register' WHEN n_nationkey % 7 = 1 THEN 'promoter-family' WHEN n_nationkey % 6 = 1 THEN 'significant-leader' WHEN n_nationkey % 2 = 1 AND n_nationkey % 3 = 0 THEN 'official-leadership-register' END AS priority_reason FROM nation),
 mapped AS (SELECT entity_id, source_id, 1.0::DOUBLE AS confidence, 'reference' AS matched_by FROM s JOIN e ON ref = entity_id
 UNION ALL SELECT entity_id, source_id, 0.65::DOUBLE, 'name' FROM s JOIN e ON ref IS NULL AND length(term) >= 5 AND contains(' ' || trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) || ' ', ' ' || term || ' ')),
-p AS (SELECT entity_id, count(DISTINCT source_id) AS n, max(confidence) AS best, string_agg(source_id::VARCHAR, ',' ORDER BY confidence DESC, source_id::VARCHAR) AS sources FROM mapped GROUP BY entity_id),
-cov AS (SELECT e.entity_id, coalesce(n, 0) AS n_sources, coalesce(best, 0.0) AS best, coalesce(sources, '') AS sources, CASE WHEN n >= 2 THEN 'covered' WHEN n > 0 THEN 'partial' ELSE 'gap' END AS status FROM e LEFT JOIN p USING (entity_id))"""
+p AS (SELECT entity_id, count(*) AS n, count(*) FILTER (tier = 0 OR kind IN ('official', 'authoritative')) AS dir, count(*) FILTER (kind = 'authoritative') AS aut, count(*) FILTER (kind = 'official') AS off, count(*) FILTER (kind IN ('query', 'registry')) AS dis,
+  string_agg(DISTINCT matched_by, ',' ORDER BY matched_by) AS methods, string_agg(source_id::VARCHAR, ',' ORDER BY tier, label, source_id) AS sources FROM mapped JOIN s USING (source_id) GROUP BY entity_id),
+cov AS (SELECT entity_id, name, type, priority_reason IS NOT NULL AS priority, priority_reason, CASE WHEN dir > 0 AND dis > 0 THEN 'covered' WHEN n > 0 AND (dir > 0 OR dis > 0) THEN 'partial' ELSE 'gap' END AS status,
+  coalesce(n, 0) AS n_sources, coalesce(dir, 0) AS direct, coalesce(aut, 0) AS authoritative, coalesce(off, 0) AS official, coalesce(dis, 0) AS discovery, coalesce(methods, '') AS methods, coalesce(sources, '') AS sources,
+  concat_ws(',', CASE WHEN coalesce(dir, 0) = 0 THEN 'no-direct-tier-0-source' END, CASE WHEN coalesce(dis, 0) = 0 THEN 'no-discovery-or-media-map' END, CASE WHEN priority_reason IS NOT NULL AND coalesce(aut, 0) = 0 AND type = 'company' THEN 'no-direct-authoritative-adapter' END) AS gaps
+  FROM e LEFT JOIN p USING (entity_id))"""
 
 
 @query("d6_map_sources", _COVER + " SELECT * FROM mapped")
@@ -112,17 +125,24 @@ def unresolved(spark: SparkSession, d: str) -> DataFrame:
 @query("e14_entity_source_coverage", _COVER + " SELECT * FROM cov")
 def entity_source_coverage(spark: SparkSession, d: str) -> DataFrame:
     e, s = _coverage_inputs(spark, d)
-    return A.entity_source_coverage(e, A.map_sources(e, s))
+    return A.entity_source_coverage(e, A.map_sources(e, s), s)
+
 
+_STATES = ", ".join([f"count(*) FILTER (status = '{s}') AS {s}" for s in ("covered", "partial", "gap")] + [f"count(*) FILTER (priority AND status = '{s}') AS priority_{s}" for s in ("covered", "partial", "gap")])
 
-@query("e13_coverage_summary", _COVER + f""", r AS (SELECT count(*) AS entities, count(*) FILTER (status = 'covered') AS covered, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'gap') AS gap FROM cov) SELECT *, {pct("covered", "entities", 1)} AS percent FROM r""")
+
+@query("e13_coverage_summary", _COVER + f""", r AS (SELECT count(*) AS entities, count(*) FILTER (priority) AS priority, {_STATES}, (SELECT count(*) FROM s) AS sources, (SELECT count(*) FROM mapped) AS mappings, (SELECT count(*) FROM s WHERE ref = 'none') AS unresolved FROM cov)
+SELECT *, {pct("priority_covered", "priority", 1)} AS percent FROM r""")
 def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
-    return A.coverage_summary(entity_source_coverage(spark, d))
+    e, s = _coverage_inputs(spark, d)
+    return A.coverage_summary(entity_source_coverage(spark, d), A.map_sources(e, s), s, A.unresolved_references(e, s))
 
 
-@query("c10_filter_coverage", _COVER + " SELECT entity_id, n_sources FROM cov WHERE status = 'covered' AND n_sources >= 4")
+@query("c10_filter_coverage", _COVER + " SELECT entity_id, n_sources FROM cov WHERE status = 'partial' AND type = 'person' AND priority AND contains(gaps, 'no-direct-tier-0-source') AND contains(lower(name || ' ' || entity_id), 'a') UNION ALL SELECT entity_id, n_sources FROM cov WHERE status = 'covered' AND type = 'company'")
 def filter_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return A.filter_coverage(entity_source_coverage(spark, d), "covered", 4).select("entity_id", "n_sources")
+    rows = entity_source_coverage(spark, d)
+    lacking = A.filter_coverage(rows, "partial", type="person", priority=True, gap="no-direct-tier-0-source", search=" A ")
+    return lacking.union(A.filter_coverage(rows, "covered", type="company")).select("entity_id", "n_sources")
 
 
 def _runs(spark: SparkSession, d: str) -> DataFrame:
