@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from evidence_engine import fixtures as X
 from evidence_engine.fixtures import with_views
 from evidence_engine.functions.text import canonical_url
 from evidence_engine.operators import claims as C
-from evidence_engine.plans.merge import merge_table
+from evidence_engine.plans.merge import ingest_gate, merge_table, upsert_claim_graph
 from evidence_engine.queries import sqltext as T
 
 QUERIES: dict = {}
@@ -160,6 +163,79 @@ def merge_graph(spark: SparkSession, d: str) -> DataFrame:
     return merge_table(old, new, ["claim_id"], insert_only=["first_seen"], sticky={"lifecycle": "closed"})
 
 
+_RUN = md5(b"c1|2024-01-31|").hexdigest()
+
+
+def graph_sides(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """A stored graph of every third claim, and a new one of every second, with what belongs to them."""
+    sides = []
+    for divisor, tone in ((3, "old"), (2, "new")):
+        c = X.claims(spark, d).filter(F.col("claim_id") % divisor == 0)
+        e = X.evidence(spark, d).filter(F.col("claim_id") % divisor == 0)
+        status = F.when((F.col("claim_id") % 4 == 0) & (F.lit(tone) == "old"), "resolved").otherwise("potential")
+        sides.append({
+            "events": c.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")),
+            "evidence": e.select("evidence_id", F.concat_ws("-", F.lit(tone), F.col("tier").cast("string")).alias("tier")),
+            "claims": c.select("claim_id", F.concat_ws("-", F.lit(tone), "lifecycle").alias("lifecycle")),
+            "links": e.select("claim_id", "evidence_id"),
+            "corrections": corrections(spark, d).filter(F.col("claim_id") % divisor == 0).select("request_id", F.lit(tone).alias("text"), F.lit("").alias("evidence_ids"), F.concat(F.lit("reason "), F.lit(tone)).alias("reason")),
+            "contradictions": c.filter("kind = 'interpretation'").select(F.col("claim_id").alias("id"), status.alias("status")),
+            "quality": c.agg(F.lit(True).alias("publishable"), F.count_if(F.col("kind").isNull()).alias("unsupported_material")),
+        })
+    store, graph = sides
+    for name in ("events", "evidence", "claims", "contradictions"):
+        store[name] = store[name].withColumns({"first_run": F.lit("r0"), "last_run": F.lit("r0")})
+    for name in ("links", "corrections"):
+        store[name] = store[name].withColumn("first_run", F.lit("r0"))
+    counts = ("events", "evidence", "claims", "links", "corrections", "contradictions")
+    store["audit"] = store["quality"].agg(F.lit("r0").alias("run_id"), F.lit("ingestor").alias("actor"), F.lit("ingest").alias("action"), F.lit(None).cast("string").alias("request_id"), *[F.lit(0).cast("long").alias(c) for c in counts])
+    return store, graph
+
+
+def _merged(table: str, id: str, base: str, state: str, key: str = "claim_id", last: bool = True) -> str:
+    """SQL of one merged table: rows of both sides by the key, and the state from o (old) and n (new), true where that side has the row."""
+    first = f"CASE WHEN o THEN 'r0' ELSE '{_RUN}' END"
+    return f"SELECT '{table}' AS part, {id} AS id, {first} AS first_run, {f"CASE WHEN n THEN '{_RUN}' ELSE 'r0' END" if last else first} AS last_run, {state} AS state FROM (SELECT *, {key} % 3 = 0 AS o, {key} % 2 = 0 AS n FROM {base}) WHERE o OR n"
+
+
+_BOTH = "CASE WHEN n THEN 'new' ELSE 'old' END"
+_GRAPH_SQL = _CORRECTIONS + ", merged AS (" + " UNION ALL ".join([
+    f"SELECT 'events', event_id::VARCHAR, CASE WHEN a > 0 THEN 'r0' ELSE '{_RUN}' END, CASE WHEN b > 0 THEN '{_RUN}' ELSE 'r0' END, CASE WHEN b > 0 THEN b ELSE a END::VARCHAR FROM (SELECT event_id, count(*) FILTER (claim_id % 3 = 0) AS a, count(*) FILTER (claim_id % 2 = 0) AS b FROM claims GROUP BY 1) WHERE a + b > 0",
+    _merged("evidence", "evidence_id", "evidence", _BOTH + " || '-' || tier"),
+    _merged("claims", "claim_id::VARCHAR", "claims", _BOTH + " || '-' || lifecycle"),
+    _merged("links", "claim_id || ' ' || evidence_id", "evidence", "''", last=False),
+    _merged("corrections", "request_id", "corr", "CASE WHEN o THEN 'old' ELSE 'new' END || ' reason ' || " + _BOTH, last=False),
+    _merged("contradictions", "claim_id::VARCHAR", "(SELECT * FROM claims WHERE kind = 'interpretation')", "CASE WHEN o AND claim_id % 4 = 0 THEN 'resolved' ELSE 'potential' END"),
+    "SELECT 'audit', 'r0', 'r0', 'r0', '0 0 0 0 0 0'",
+    f"""SELECT 'audit', '{_RUN}', '{_RUN}', '{_RUN}', concat_ws(' ', (SELECT count(DISTINCT event_id) FROM claims WHERE claim_id % 2 = 0), (SELECT count(*) FROM evidence WHERE claim_id % 2 = 0), (SELECT count(*) FROM claims WHERE claim_id % 2 = 0),
+(SELECT count(*) FROM evidence WHERE claim_id % 2 = 0), (SELECT count(*) FROM corr WHERE claim_id % 2 = 0), (SELECT count(*) FROM claims WHERE claim_id % 2 = 0 AND kind = 'interpretation'))""",
+]) + ")"
+_GRAPH_SQL = _GRAPH_SQL.replace("merged AS (", "merged(part, id, first_run, last_run, state) AS (")
+
+
+@query("a11_upsert_claim_graph", with_views(_GRAPH_SQL + " SELECT * FROM merged", "claims", "evidence"))
+def upsert_graph(spark: SparkSession, d: str) -> DataFrame:
+    new = upsert_claim_graph(*graph_sides(spark, d), "c1", "2024-01-31")
+    shapes = {
+        "events": ("event_id", "n"), "evidence": ("evidence_id", "tier"), "claims": ("claim_id", "lifecycle"), "links": ("claim_id", None), "corrections": ("request_id", None), "contradictions": ("id", "status"), "audit": ("run_id", None),
+    }
+    states = {"links": F.lit(""), "corrections": F.concat_ws(" ", "text", "reason"), "audit": F.concat_ws(" ", *[F.col(c).cast("string") for c in list(shapes)[:-1]])}
+    ids = {"links": F.concat_ws(" ", F.col("claim_id").cast("string"), "evidence_id")}
+    parts = []
+    for name, (key, state) in shapes.items():
+        first = F.col("run_id") if name == "audit" else F.col("first_run")
+        last = F.col("last_run") if "last_run" in new[name].columns else first
+        parts.append(new[name].select(F.lit(name).alias("part"), ids.get(name, F.col(key).cast("string")).alias("id"), first.alias("first_run"), last.alias("last_run"), (states[name] if state is None else F.col(state).cast("string")).alias("state")))
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query("a11_ingest_gate", with_views("SELECT 'not_publishable' AS rule, 0 AS violations UNION ALL SELECT 'unsupported_material', 0 UNION ALL SELECT 'unknown_evidence', count(*) FROM evidence WHERE claim_id % 2 = 0 AND claim_id % 3 <> 0 AND tier = 1", "evidence"))
+def gate_of_ingest(spark: SparkSession, d: str) -> DataFrame:
+    store, graph = graph_sides(spark, d)
+    # the new evidence of tier 1 is left out, so that its links lead nowhere unless the store has it
+    return ingest_gate(store, graph | {"evidence": graph["evidence"].filter("tier <> 'new-1'")})
+
+
 @query("a9_upsert_events", with_views("SELECT event_id, materiality, CASE WHEN event_id % 2 = 0 THEN published_at ELSE updated_at END AS first_reported FROM served", "served"))
 def upsert_events(spark: SparkSession, d: str) -> DataFrame:
     e = X.served(spark, d)

@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidence_engine.functions import scores as S
-from evidence_engine.operators import articles, cluster, coverage, governance, health, history, registry, search, validation, windows
+from evidence_engine.operators import articles, audits, cluster, coverage, governance, health, history, registry, search, validation, windows
 from evidence_engine.operators.events import coverage_gaps
 from evidence_engine.params import Params
+from evidence_engine.plans import merge
 from evidence_engine.streaming import streams
 
 SOURCES = "array<struct<url:string>>"
@@ -165,3 +166,27 @@ def test_drain_keeps_the_last_table_of_complete_mode(spark, tmp_path):
     stream = streams.table_stream(spark, f"{tmp_path}/in", files_per_batch=1)
     got = streams.drain(streams.stream_momentum(stream, "ts", "key", "1 day"), f"{tmp_path}/run", "complete")
     assert {(r.key, r.n) for r in got.collect()} == {("a", 5), ("b", 1)}
+
+
+def test_entity_source_coverage(spark):
+    entities = spark.createDataFrame(
+        [("a", "A", "company", True, False, False, None), ("b", "B", "person", False, False, False, "https://x/Leadership"), ("c", "C", "person", False, False, False, None)],
+        "entity_id string, name string, type string, official_company boolean, family boolean, leader boolean, source_url string",
+    )
+    sources = spark.createDataFrame([(1, "z", "registry", 0), (2, "y", "official", None), (3, "x", "query", None)], "source_id long, label string, kind string, tier int")
+    mapped = spark.createDataFrame([("a", 1, 0.65, "name"), ("b", 2, 1.0, "reference"), ("b", 3, 1.0, "reference"), ("b", 3, 0.65, "name")], "entity_id string, source_id long, confidence double, matched_by string")
+    rows = {r.entity_id: r for r in audits.entity_source_coverage(entities, mapped, sources).collect()}
+    assert (rows["a"].status, rows["a"].direct, rows["a"].discovery, rows["a"].gaps) == ("covered", 1, 1, "no-direct-authoritative-adapter")
+    assert (rows["b"].status, rows["b"].sources, rows["b"].methods, rows["b"].priority_reason) == ("covered", "2,3", "reference", "official-leadership-register")
+    assert (rows["c"].status, rows["c"].priority, rows["c"].gaps) == ("gap", False, "no-direct-tier-0-source,no-discovery-or-media-map")
+
+
+@pytest.mark.parametrize("change, rule", [({"quality": (False, 0)}, "not_publishable"), ({"quality": (True, 2)}, "unsupported_material"), ({"links": ("c", "absent")}, "unknown_evidence")])
+def test_refused_graphs_change_nothing(spark, change, rule):
+    quality, link = change.get("quality", (True, 0)), change.get("links", ("c", "e"))
+    empty = spark.createDataFrame([], "evidence_id string, first_run string, last_run string")
+    graph = {"quality": spark.createDataFrame([quality], "publishable boolean, unsupported_material long"), "links": spark.createDataFrame([link], "claim_id string, evidence_id string"), "evidence": spark.createDataFrame([("e",)], "evidence_id string")}
+    with pytest.raises(ValueError, match=rule):
+        merge.upsert_claim_graph({"evidence": empty}, graph, "c1", "2024-01-31")
+    with pytest.raises(ValueError, match="commit"):
+        merge.upsert_claim_graph({"evidence": empty}, graph, "", "2024-01-31")
