@@ -249,8 +249,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, width: int =
     """docs(doc_id, text) -> doc_id, class_id (least id of the class), class_size (rows), class_texts (distinct texts)."""
     of = classed(docs, threshold, width)
     counted = of.groupBy("label", "node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = counted.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts"))
-    return of.join(classes, "label").select("doc_id", "class_id", "class_size", "class_texts")
+    classes = materialize(counted.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("class_texts")))
+    return _met(of, classes, "label", _hot(classes, "label", "class_size")).select("doc_id", "class_id", "class_size", "class_texts")
 
 
 def _across(nodes: DataFrame, sets: DataFrame, share: float, threshold: float) -> DataFrame:
