@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import canonical_url, domain_of, normalize_text, stable_id
@@ -67,14 +69,16 @@ def orphan_evidence(links: DataFrame, evidence: DataFrame) -> DataFrame:
     return links.join(evidence.select("evidence_id").distinct(), "evidence_id", "left_anti")
 
 
-def filter_claims(claims: DataFrame, event_id=None, kind: str | None = None, lifecycle: str | None = None, support: str | None = None, text: str | None = None) -> DataFrame:
-    """Filters that are given apply; text is sought in the claim's text and ids."""
+def filter_claims(claims: DataFrame, event_id=None, kind: str | None = None, lifecycle: str | None = None, support: str | None = None, text: str | None = None, entity_id: str | None = None) -> DataFrame:
+    """Filters that are given apply; text is sought in the claim's text, entity ids and event's id. claims may hold entity_ids (array) and text."""
     for column, value in (("event_id", event_id), ("kind", kind), ("lifecycle", lifecycle), ("support", support)):
         if value not in (None, ""):
             claims = claims.filter(F.col(column) == F.lit(value))
-    if text:
-        fields = [F.col(c).cast("string") for c in ("claim_id", "event_id", "text") if c in claims.columns]
-        claims = claims.filter(normalize_text(F.concat_ws(" ", *fields), "plain").contains(text.strip().lower()))
+    if entity_id:
+        claims = claims.filter(F.array_contains("entity_ids", entity_id))
+    if text and text.strip():
+        fields = [F.array_join(c, " ") if c == "entity_ids" else F.col(c).cast("string") for c in ("text", "entity_ids", "event_id") if c in claims.columns]
+        claims = claims.filter(F.lower(F.concat_ws(" ", *fields)).contains(text.strip().lower()))
     return claims
 
 
@@ -129,40 +133,97 @@ def contradictions(facts: DataFrame, overlap: float = OVERLAP, negation: str = N
     return scored.filter(F.col("overlap") >= overlap).select(stable_id(F.lit("contradiction"), F.col("a"), F.col("b")).alias("id"), "a", "b", "overlap")
 
 
-def correction_versions(corrections: DataFrame) -> DataFrame:
-    """corrections(claim_id, request_id, created_at, text, original) -> version, previous text and request of each, by claim."""
+def correction_versions(corrections: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """corrections(claim_id, request_id, created_at, text, original) -> version, previous text and request of each, by claim, and the columns to keep."""
     w = Window.partitionBy("claim_id").orderBy("created_at", "request_id")
     return corrections.select(
-        "claim_id", "request_id", (F.row_number().over(w) + 1).alias("version"), F.coalesce(F.lag("text").over(w), F.col("original")).alias("previous_text"), F.lag("request_id").over(w).alias("supersedes"), "text"
+        "claim_id", "request_id", (F.row_number().over(w) + 1).alias("version"), F.coalesce(F.lag("text").over(w), F.col("original")).alias("previous_text"), F.lag("request_id").over(w).alias("supersedes"), "text", *keep
     )
 
 
-def apply_corrections(claims: DataFrame, corrections: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+def unknown_correction_evidence(requests: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The distinct (request_id, claim_id, evidence_id) that a request names and no evidence has. requests hold evidence_ids (array)."""
+    named = requests.select("request_id", "claim_id", F.explode("evidence_ids").alias("evidence_id")).distinct()
+    return named.join(evidence.select("evidence_id"), "evidence_id", "left_anti").select("request_id", "claim_id", "evidence_id")
+
+
+def apply_corrections(claims: DataFrame, corrections: DataFrame, requests: DataFrame, evidence: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(corrections with the accepted requests added, a result for each request). Append-only and idempotent.
 
-    A request needs text of at most 10 000 characters, an actor and a claim that is a fact. A request id that exists with
-    equal content is replayed; with other content, or twice in a batch, the first stands and others conflict.
+    As if the requests came one by one by created_at, claim_id and text. A request needs text of at most 10 000 characters, an
+    actor and an id of at most 200 characters or none, else it is rejected. One whose id a correction has, stored or accepted
+    before it, is replayed if claim and text are equal, else a conflict. Others are applied where the claim is a fact and, if
+    evidence is given, all their evidence_ids exist, else rejected. Requests without an id are never replayed.
     """
-    same = F.row_number().over(Window.partitionBy("request_id").orderBy("created_at", "claim_id"))
-    known = corrections.select("request_id", F.col("claim_id").alias("k_claim"), F.col("text").alias("k_text"))
-    kinds = claims.select("claim_id", "kind").distinct()
-    rows = requests.withColumn("nth", same).join(known, "request_id", "left").join(kinds, "claim_id", "left")
-    valid = (F.length("text").between(1, 10000)) & (F.coalesce("actor", F.lit("")) != "") & (F.col("kind") == "fact")
-    replay = (F.col("k_claim") == F.col("claim_id")) & (F.col("k_text") == F.col("text"))
+    key = F.coalesce(F.concat(F.lit("r"), "request_id"), F.concat_ws(" ", F.lit("c"), "claim_id", F.col("created_at").cast("string"), "text"))
+    order = [c for c in ("created_at", "claim_id", "text", "evidence_ids") if c in requests.columns]
+    rows = requests.withColumn("__key", key).withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy(*order)))
+    known = corrections.filter("request_id IS NOT NULL").groupBy("request_id").agg(F.min(F.struct(F.col("claim_id"), F.trim("text").alias("text"))).alias("__known"))
+    kinds = claims.groupBy("claim_id").agg(F.max(F.col("kind") == "fact").alias("__fact"))
+    shaped = F.length("text").between(1, 10000) & (F.trim("text") != "") & (F.trim(F.coalesce("actor", F.lit(""))) != "") & (F.coalesce(F.length("request_id"), F.lit(0)) <= 200)
+    sound = F.coalesce(F.col("__fact"), F.lit(False))
+    marked = rows.join(known, "request_id", "left").join(kinds, "claim_id", "left")
+    if evidence is not None:
+        named = rows.select("__key", "__nth", F.explode("evidence_ids").alias("evidence_id"))
+        lost = named.join(evidence.select("evidence_id"), "evidence_id", "left_anti").select("__key", "__nth").distinct().withColumn("__lost", F.lit(True))
+        marked = marked.join(lost, ["__key", "__nth"], "left")
+        sound = sound & F.col("__lost").isNull()
+    content = F.struct("claim_id", F.trim("text").alias("text"))
+    good = F.coalesce(shaped, F.lit(False)) & sound & F.col("__known").isNull()
+    first = F.min(F.when(good, F.struct(F.col("__nth").alias("nth"), content.alias("content")))).over(Window.partitionBy("__key"))
+    named_before = F.coalesce("__known", F.when(F.col("request_id").isNotNull() & (F.col("__first.nth") < F.col("__nth")), F.col("__first.content")))
     result = (
-        F.when(F.col("k_claim").isNotNull() & F.coalesce(replay, F.lit(False)), "replayed").when(F.col("k_claim").isNotNull() | (F.col("nth") > 1), "conflict").when(F.coalesce(valid, F.lit(False)), "applied").otherwise("rejected")
-    )
-    rows = rows.withColumn("result", result)
-    added = rows.filter("result = 'applied'").select(*corrections.columns)
-    return corrections.unionByName(added), rows.select("request_id", "claim_id", "result")
+        F.when(~F.coalesce(shaped, F.lit(False)), "rejected").when(named_before.isNotNull(), F.when(named_before == content, "replayed").otherwise("conflict"))
+        .when(good & (F.col("request_id").isNull() | (F.col("__first.nth") == F.col("__nth"))), "applied").otherwise("rejected")
+    )
+    marked = marked.withColumn("__first", first).withColumn("result", result)
+    added = marked.filter("result = 'applied'").select(*corrections.columns)
+    return corrections.unionByName(added), marked.select("request_id", "claim_id", "result")
+
 
+def mark_corrected(claims: DataFrame, corrections: DataFrame) -> DataFrame:
+    """claims, with lifecycle corrected and the request of the latest correction (correction_id) where there is one."""
+    last = corrections.groupBy("claim_id").agg(F.max_by("request_id", F.struct("created_at", "request_id")).alias("correction_id"), F.lit(True).alias("__has"))
+    rows = claims.drop("correction_id").join(last, "claim_id", "left")
+    return rows.withColumn("lifecycle", F.when(F.col("__has"), "corrected").otherwise(F.col("lifecycle"))).drop("__has")
 
-def claim_history(claims: DataFrame, corrections: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Each claim with its current text, number of corrections and its evidence ids in order."""
-    last = corrections.groupBy("claim_id").agg(F.max_by("text", F.struct("created_at", "request_id")).alias("corrected"), F.count(F.lit(1)).alias("n_corrections"))
-    proof = evidence.groupBy("claim_id").agg(F.array_join(F.array_sort(F.collect_list("evidence_id")), ",").alias("evidence_ids"))
-    rows = claims.join(last, "claim_id", "left").join(proof, "claim_id", "left")
-    return rows.select("claim_id", F.coalesce("corrected", "text").alias("current_text"), F.coalesce("n_corrections", F.lit(0)).alias("n_corrections"), F.coalesce("evidence_ids", F.lit("")).alias("evidence_ids"))
+
+def correction_audit(claims: DataFrame, corrections: DataFrame) -> DataFrame:
+    """An audit row for each correction: who, which claim, the text and lifecycle before and the text and version after.
+
+    claims(claim_id, lifecycle), corrections as for correction_versions with actor.
+    """
+    rows = correction_versions(corrections, ["actor", "created_at"]).join(claims.select("claim_id", "lifecycle"), "claim_id")
+    before = F.when(F.col("version") == 2, F.col("lifecycle")).otherwise("corrected")
+    return rows.select(
+        F.col("created_at").alias("occurred_at"), "request_id", F.trim("actor").alias("actor"), F.lit("correct").alias("action"), F.lit("claim").alias("object_type"), F.col("claim_id").alias("object_id"),
+        F.struct(F.col("previous_text").alias("text"), before.alias("lifecycle"), F.col("supersedes").alias("correction_id")).alias("previous_value"), F.struct("text", "version").alias("new_value"),
+    )
+
+
+def claim_history(claims: DataFrame, links: DataFrame, evidence: DataFrame, corrections: DataFrame, audit: DataFrame) -> DataFrame:
+    """claim_id, current_text, and the arrays evidence, corrections and audit of each claim, in order.
+
+    claims(claim_id, text), links(claim_id, evidence_id), evidence(evidence_id, published_at, ...) by date, those without last, then
+    id; corrections(claim_id, request_id, version, created_at, text) by version; audit(object_type, object_id, occurred_at, request_id,
+    action) by time. The text is the last correction's, else the claim's own. A claim without any has empty arrays.
+    """
+
+    def ordered(rows: DataFrame, name: str, order: list, columns: list[str]) -> DataFrame:
+        item = F.struct(F.struct(*[o.alias(f"k{i}") for i, o in enumerate(order)]).alias("k"), F.struct(*columns).alias("v"))
+        return rows.groupBy("claim_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["v"]).alias(name))
+
+    proof = links.select("claim_id", "evidence_id").distinct().join(evidence.groupBy("evidence_id").agg(F.min("published_at").alias("published_at")), "evidence_id")
+    parts = [
+        ordered(proof, "evidence", [F.col("published_at").isNull(), F.col("published_at"), F.col("evidence_id")], ["evidence_id", "published_at"]),
+        ordered(corrections, "corrections", [F.col("version"), F.col("created_at"), F.col("request_id")], ["version", "request_id", "text"]),
+        ordered(audit.filter("object_type = 'claim'").withColumnRenamed("object_id", "claim_id"), "audit", [F.col("occurred_at"), F.col("request_id")], ["occurred_at", "request_id", "action"]),
+    ]
+    rows = claims.select("claim_id", "text")
+    for part in parts:
+        rows = rows.join(part, "claim_id", "left")
+    lists = [F.coalesce(c, F.array().cast(part.schema[c].dataType)).alias(c) for c, part in zip(("evidence", "corrections", "audit"), parts)]
+    return rows.select("claim_id", F.coalesce(F.try_element_at("corrections", F.lit(-1))["text"], F.col("text")).alias("current_text"), *lists)
 
 
 def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -172,12 +233,67 @@ def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(h), F.lit(0)).cast("string").alias(f"sum{i}") for i, h in enumerate(halves)])
 
 
-def graph_gate(claims: DataFrame, evidence: DataFrame, declared_claims: int, declared_evidence: int) -> DataFrame:
-    """rule, violations (0 passes): declared counts and the rules of support_violations."""
-    counts = graph_summary(claims, evidence).select(
-        F.explode(F.array(F.struct(F.lit("claim_count").alias("rule"), F.abs(F.col("claims") - declared_claims).alias("violations")), F.struct(F.lit("evidence_count").alias("rule"), F.abs(F.col("evidence") - declared_evidence).alias("violations")))).alias("r")
-    )
-    return counts.select("r.*").union(support_violations(claims, evidence).select("rule", F.col("n").alias("violations")))
+#: What a generation is known by: when it was made, what it covers, what it was made from, and its content.
+IDENTITY = ("generated_at", "window_start", "window_end", "source_commit", "source_repository", "source_run", "source_attempt", "content")
+#: Seconds that two clocks may differ by.
+SKEW = 60
+
+
+def generation_id(prefix: str = "") -> Column:
+    """SHA-256 of the fields of IDENTITY, each with its name; a missing one counts as such. Columns have the prefix."""
+    fields = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(prefix + c).cast("string"), F.lit("\0"))) for c in IDENTITY]
+    return F.sha2(F.concat_ws("\n", *fields), 256)
+
+
+def compare_generations(published: DataFrame, expected: DataFrame) -> DataFrame:
+    """(field, published, expected) where two heads of one row with the columns of IDENTITY differ; none if they are one generation."""
+
+    def fields(head: DataFrame, name: str) -> DataFrame:
+        each = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias(name)) for c in IDENTITY] + [F.struct(F.lit("generation_id").alias("field"), generation_id().alias(name))]
+        return head.select(F.inline(F.array(*each)))
+
+    return fields(published, "published").join(fields(expected, "expected"), "field", "full_outer").filter(~F.col("published").eqNullSafe(F.col("expected")))
+
+
+def graph_gate(claims: DataFrame, links: DataFrame, evidence: DataFrame, head: DataFrame, now: Column, stale_minutes: int = 240, input_stale_minutes: int = 180) -> DataFrame:
+    """rule, violations (0 passes) of a stored graph before it is read.
+
+    claims(claim_id, event_id), links(claim_id, evidence_id), evidence(evidence_id), head: one row with publishable,
+    unsupported_material, generated_at, source_commit, events, claims, evidence (as declared), input_events, the identity of the
+    snapshot that it was made from (the columns of IDENTITY and generation_id, each with input_ before it), and what the graph says
+    of it: named_generated_at, named_commit, named_run, named_attempt. A missing value breaks the rules that need it.
+    """
+    orphans = links.join(evidence.select("evidence_id"), "evidence_id", "left_anti").agg(F.count(F.lit(1)).alias("n_orphans"))
+    counts = claims.agg(F.count(F.lit(1)).alias("n_claims"), F.countDistinct("event_id").alias("n_events"))
+    row = head.crossJoin(counts).crossJoin(evidence.agg(F.count(F.lit(1)).alias("n_evidence"))).crossJoin(orphans)  # tables of one row
+
+    def seconds(c) -> Column:
+        return (F.col(c) if isinstance(c, str) else c).cast("timestamp").cast("long")
+
+    def fresh(c: str, minutes: int) -> Column:
+        age = seconds(now) - seconds(c)
+        return (age >= -SKEW) & (age <= minutes * 60)
+
+    same = [("named_generated_at", "input_generated_at"), ("source_commit", "input_source_commit"), ("named_commit", "input_source_commit"), ("named_run", "input_source_run"), ("named_attempt", "input_source_attempt")]
+    identity = F.col("input_generation_id") == generation_id("input_")
+    for x, y in same:
+        identity = identity & F.col(x).eqNullSafe(F.col(y))
+    made = seconds("generated_at") + SKEW
+    passes = {
+        "publishable": F.col("publishable"),
+        "unsupported_material": F.col("unsupported_material") == 0,
+        "fresh": fresh("generated_at", stale_minutes),
+        "event_count": F.col("events") == F.col("n_events"),
+        "claim_count": F.col("claims") == F.col("n_claims"),
+        "evidence_count": F.col("evidence") == F.col("n_evidence"),
+        "input_identity": identity & F.col("input_source_commit").rlike("^[a-f0-9]{40}$") & F.col("input_content").rlike("^[a-f0-9]{64}$"),
+        "input_window": (seconds("input_window_start") < seconds("input_window_end")) & (seconds("input_window_end") <= seconds("input_generated_at") + SKEW),
+        "input_before_graph": (seconds("input_generated_at") <= made) & (seconds("input_window_end") <= made),
+        "input_fresh": fresh("input_generated_at", input_stale_minutes) & fresh("input_window_end", input_stale_minutes),
+        "input_events": (F.col("input_events") >= 1) & (F.col("input_events") == F.col("n_events")),
+    }
+    broken = [F.struct(F.lit(k).alias("rule"), (~F.coalesce(v, F.lit(False))).cast("long").alias("violations")) for k, v in passes.items()]
+    return row.select(F.inline(F.array(F.struct(F.lit("orphan_evidence").alias("rule"), F.col("n_orphans").alias("violations")), *broken)))
 
 
 def source_lookup(evidence: DataFrame, sources: DataFrame, column: str = "address") -> DataFrame:

@@ -120,6 +120,13 @@ COVERAGE_GROUP = {
 }
 
 
+#: Titles of links that lead to no article.
+NOISE_TITLES = (
+    "read more", "view all", "learn more", "press releases", "media", "news", "investors", "download", "click here", "home", "contact us", "share",
+    "menu", "search", "previous", "next", "back", "close", "subscribe",
+)
+
+
 @dataclass(frozen=True)
 class Params:
     stop_words: list[str] = field(default_factory=lambda: list(STOP_WORDS))

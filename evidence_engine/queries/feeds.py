@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidence_engine import fixtures as X
 from evidence_engine.fixtures import with_views
 from evidence_engine.operators.events import public_sentiment
+from evidence_engine.params import SOURCE_CLASS
 from evidence_engine.plans.materialize import shared_dir
 from evidence_engine.plans.merge import merge_table
+from evidence_engine.queries import sqltext as T
+from evidence_engine.queries.audit import _RUN_SQL, _runs
 from evidence_engine.sources import feeds as S
+from evidence_engine.sources.pages import page_links as page_links_of
 from evidence_engine.streaming import streams as K
 
 QUERIES: dict = {}
@@ -33,15 +37,24 @@ def _place(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
-@query("a5_page_links", r"""WITH p AS (SELECT page_id, replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), 'www.', '') AS domain, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, regexp_extract_all(html, '(?s)<a\s[^>]*href\s*=\s*"[^"]*"[^>]*>.*?</a>') AS tags FROM pages),
-t AS (SELECT page_id, domain, base, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS nth FROM p),
-l AS (SELECT page_id, domain, nth, base, base || regexp_extract(tag, 'href\s*=\s*"([^"]*)"', 1) AS link, trim(regexp_replace(replace(regexp_replace(tag, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t),
-c AS (SELECT page_id, domain, nth, regexp_replace(link, '[?#].*$', '') AS link, title FROM l WHERE length(title) BETWEEN 3 AND 240 AND NOT contains(substr(link, length(base) + 1), '/the')),
+_LINKED = r"""WITH p AS (SELECT page_id, replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), 'www.', '') AS domain, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, DATE '2024-03-01' + CAST(page_id % 28 AS INT) AS published_on,
+ regexp_extract_all(html, '(?s)<a\s[^>]*href\s*=\s*"[^"]*"[^>]*>.*?</a>') AS tags FROM pages),
+t AS (SELECT page_id, domain, base, published_on, unnest(tags) AS tag, generate_subscripts(tags, 1) - 1 AS nth FROM p),
+l AS (SELECT page_id, domain, published_on, nth, base, base || regexp_extract(tag, 'href\s*=\s*"([^"]*)"', 1) AS link, trim(regexp_replace(replace(regexp_replace(tag, '<[^>]+>', ' ', 'g'), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM t WHERE page_id % 5 <> 0),
+c AS (SELECT page_id, domain, published_on, nth, regexp_replace(link, '[?#].*$', '') AS link, title FROM l WHERE length(title) BETWEEN 3 AND 240 AND NOT contains(substr(link, length(base) + 1), '/the')),
 f AS (SELECT *, row_number() OVER (PARTITION BY domain, link ORDER BY page_id, nth) AS n FROM c),
-r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY page_id DESC, nth) AS k FROM f WHERE n = 1)
-SELECT page_id, domain, link, title, CAST(nth AS INT) AS nth FROM r WHERE k <= 30""")
+r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY published_on DESC, page_id, nth) AS k FROM f WHERE n = 1)"""
+
+
+@query("a5_page_links", _LINKED + " SELECT page_id, domain, link, title, published_on::VARCHAR AS published_on, CAST(nth AS INT) AS nth FROM r WHERE k <= 30")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
-    return S.page_links(X.table(spark, d, "pages").filter("html IS NOT NULL"), [], ["/the"], (3, 240))
+    """The pages with a date beside each link, in one of three forms by page; every fifth page has none."""
+    day = F.date_add(F.lit("2024-03-01").cast("date"), (F.col("page_id") % 28).cast("int"))
+    form = F.when(F.col("page_id") % 3 == 0, F.date_format(day, "d MMMM yyyy")).when(F.col("page_id") % 3 == 1, F.concat(F.date_format(day, "MMM d"), F.lit("th, 2024"))).otherwise(day.cast("string"))
+    beside = F.when(F.col("page_id") % 5 == 0, "").otherwise(F.concat(F.lit("</a> <i>"), form, F.lit("</i></li>")))
+    html = F.when(beside == "", F.col("html")).otherwise(F.replace("html", F.lit("</a></li>"), beside))
+    rows = page_links_of(X.table(spark, d, "pages").withColumn("html", html), [], ["/the"], (3, 240))
+    return rows.withColumn("published_on", F.col("published_on").cast("string"))
 
 
 @query("a6_registry_page_audit", r"""WITH b AS (SELECT page_id, ' ' || trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', ' ', 'g'), '(?is)<style.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS body FROM pages),
@@ -60,6 +73,18 @@ def snapshot_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return S.read_snapshot_window(spark, path, *stamp).select("event_id", "bucket", "published_at")
 
 
+@query("a7_snapshot_policy", f"""WITH {_RUN_SQL}, m AS (SELECT run_id, CAST(n % 97 AS INT) AS covered, CAST(n % 120 AS INT) AS asked, n % 5 = 0 AS early FROM runs),
+v AS (SELECT run_id, greatest(0, asked - covered)::DOUBLE AS lag_minutes, CASE WHEN asked = 0 AND NOT early THEN 'window_invalid' WHEN covered = 0 THEN 'timestamp_invalid' WHEN covered < 10 THEN 'stale' WHEN NOT early AND asked <= covered THEN 'complete'
+  WHEN NOT early AND asked <= 101 THEN 'trailing' ELSE 'incomplete' END AS verdict FROM m)
+SELECT run_id, lag_minutes, verdict, verdict IN ('complete', 'trailing') AS served FROM v""")
+def snapshot_policy(spark: SparkSession, d: str) -> DataFrame:
+    """Each run is asked for a span of its own, looked at a hundred minutes after it began."""
+    runs = _runs(spark, d).withColumn("generated_at", F.col("window_end"))
+    low = F.expr("timestampadd(MINUTE, CASE WHEN n % 5 = 0 THEN -1 ELSE 0 END, window_start)")
+    high, now = F.expr("timestampadd(MINUTE, CAST(n % 120 AS INT), window_start)"), F.expr("timestampadd(MINUTE, 100, window_start)")
+    return S.snapshot_policy(runs, low, high, now, trailing_lag=True).select("run_id", "lag_minutes", "verdict", "served")
+
+
 @query("a12_upsert_observations", with_views("""+ t AS (SELECT obs_id, event_key, CASE WHEN obs_id % 2 = 0 THEN tone_score ELSE tone_score END AS tone_score, engagement_count, platform FROM observations WHERE event_key IN (SELECT event_key FROM observations WHERE obs_id % 2 = 0)),
 w AS (SELECT event_key, lower(platform) AS c, tone_score AS t, greatest(1.0, least(8.0, 1.0 + log2(1.0 + greatest(0, engagement_count)))) AS w FROM t),
 s AS (SELECT event_key, sum(CAST(round(t * w * 1e6) AS BIGINT)) AS tw, sum(CAST(round(w * 1e6) AS BIGINT)) AS w, count(*) AS sample_size FROM w GROUP BY event_key)
@@ -79,6 +104,21 @@ def normalise_registry(spark: SparkSession, d: str) -> DataFrame:
     return S.normalise_registry(rows)["relationships"]
 
 
+_RIGHTS = ["metadata-only", "full text", "permitted extracts", "public-record", "statutory filing", ""]
+
+
+@query("a13_registry_sources", f"""WITH k AS (SELECT s_suppkey::VARCHAR AS domain, s_name AS name, {T.listed(list(SOURCE_CLASS) + ["other"])}[s_suppkey % {len(SOURCE_CLASS) + 1} + 1] AS kind, {T.listed(_RIGHTS)}[s_suppkey % {len(_RIGHTS)} + 1] AS r, s_suppkey % 5 AS tier FROM supplier)
+SELECT domain, name, CASE kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SOURCE_CLASS.items())} ELSE 'discovery' END AS source_class, CAST(CASE WHEN tier = 4 THEN 3 ELSE tier END AS INT) AS tier, CASE WHEN r = '' THEN 'metadata-only' ELSE r END AS rights,
+CASE WHEN r IN ('full text', 'permitted extracts') THEN 'permitted-extracts' WHEN r IN ('public-record', 'statutory filing') THEN 'public-record' ELSE 'metadata-only' END AS fetch_policy, true AS active FROM k""")
+def registry_sources(spark: SparkSession, d: str) -> DataFrame:
+    def pick(values: list[str]) -> Column:
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("s_suppkey") % len(values) + 1).cast("int"))
+
+    rows = X.table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("domain"), F.col("s_name").alias("name"), pick([*SOURCE_CLASS, "other"]).alias("class"), pick(_RIGHTS).alias("rights"), F.when(F.col("s_suppkey") % 5 != 4, F.col("s_suppkey") % 5).cast("int").alias("tier"), F.lit(None).cast("boolean").alias("active"))
+    empty = spark.createDataFrame([], "entity_id string, name string, type string, aliases array<string>, parent_id string")
+    return S.normalise_registry(empty, rows)["sources"]
+
+
 @query("b10_format_article", with_views("SELECT url AS id, title, '#' <> url AS linked, replace(host, 'www.', '') AS domain, published_at, source_name, 'Open web' AS provider, channel FROM articles", "articles"))
 def format_article(spark: SparkSession, d: str) -> DataFrame:
     rows = S.format_articles(X.articles(spark, d))

@@ -85,9 +85,10 @@ def orphan_evidence(spark: SparkSession, d: str) -> DataFrame:
     return C.orphan_evidence(e.select("claim_id", "evidence_id"), e.filter("tier <> 1"))
 
 
-@query("c9_filter_claims", with_views("SELECT claim_id, event_id FROM claims WHERE kind = 'fact' AND lifecycle = 'closed' AND contains(claim_id || ' ' || event_id, '77')", "claims"))
+@query("c9_filter_claims", with_views("SELECT claim_id, event_id FROM claims WHERE kind = 'fact' AND lifecycle = 'closed' AND (event_id % 9 = 4 OR claim_id % 5 = 4) AND contains('e' || event_id % 9 || ' e' || claim_id % 5 || ' ' || event_id, '7')", "claims"))
 def filter_claims(spark: SparkSession, d: str) -> DataFrame:
-    return C.filter_claims(X.claims(spark, d), kind="fact", lifecycle="closed", text="77").select("claim_id", "event_id")
+    ids = F.array(*[F.concat(F.lit("e"), (F.col(c) % n).cast("string")) for c, n in (("event_id", 9), ("claim_id", 5))])
+    return C.filter_claims(X.claims(spark, d).withColumn("entity_ids", ids), kind="fact", lifecycle="closed", text=" 7 ", entity_id="e4").select("claim_id", "event_id")
 
 
 @query("d9_project_graph", with_views("SELECT evidence_id, claim_id, tier FROM evidence WHERE claim_id IN (SELECT claim_id FROM claims WHERE kind = 'interpretation')", "claims", "evidence"))
@@ -136,21 +137,50 @@ def correction_versions(spark: SparkSession, d: str) -> DataFrame:
     return C.correction_versions(corrections(spark, d))
 
 
-@query("i7_apply_corrections", with_views(_CORRECTIONS + """ SELECT request_id, claim_id, CASE WHEN request_id LIKE '%-1' THEN 'replayed' WHEN claim_id % 5 <> 0 THEN 'applied' ELSE 'rejected' END AS result FROM corr""", "claims"))
+def requests(spark: SparkSession, d: str) -> DataFrame:
+    """The corrections as requests with their evidence, the second of every seventh claim with some that does not exist; of every fourth a later one with its id and another text."""
+    proof = X.evidence(spark, d).groupBy("claim_id").agg(F.collect_set("evidence_id").alias("ids"))
+    rows = corrections(spark, d).join(proof, "claim_id", "left")
+    second = F.endswith("request_id", F.lit("-2"))
+    lost = F.when(second & (F.col("claim_id") % 7 == 0), F.array(F.concat(F.lit("none-"), F.col("claim_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("evidence_ids", F.concat(F.coalesce("ids", F.array().cast("array<string>")), lost)).drop("ids")
+    again = rows.filter(second & (F.col("claim_id") % 4 == 0)).withColumns({"text": F.lit("other"), "created_at": F.date_add("created_at", 9), "evidence_ids": F.array().cast("array<string>")})
+    return rows.unionByName(again)
+
+
+@query("i7_apply_corrections", with_views(_CORRECTIONS + """, q AS (SELECT request_id, claim_id, request_id LIKE '%-1' AS first, false AS again FROM corr UNION ALL SELECT request_id, claim_id, false, true FROM corr WHERE request_id LIKE '%-2' AND claim_id % 4 = 0)
+SELECT request_id, claim_id, CASE WHEN first THEN 'replayed' WHEN claim_id % 5 = 0 THEN 'rejected' WHEN claim_id % 7 = 0 AND NOT again THEN 'rejected' WHEN again AND claim_id % 7 <> 0 THEN 'conflict' ELSE 'applied' END AS result FROM q""", "claims"))
 def apply_corrections(spark: SparkSession, d: str) -> DataFrame:
-    every = corrections(spark, d)
-    return C.apply_corrections(X.claims(spark, d), every.filter("request_id LIKE '%-1'"), every)[1]
+    stored = corrections(spark, d).filter("request_id LIKE '%-1'")
+    return C.apply_corrections(X.claims(spark, d), stored, requests(spark, d), X.evidence(spark, d))[1]
+
+
+@query("i7_mark_corrected", with_views("SELECT claim_id, kind, CASE WHEN claim_id % 3 = 0 THEN 'corrected' ELSE lifecycle END AS lifecycle, CASE WHEN claim_id % 3 = 0 THEN 'r-' || claim_id || '-2' ELSE '' END AS correction_id FROM claims", "claims"))
+def mark_corrected(spark: SparkSession, d: str) -> DataFrame:
+    return C.mark_corrected(X.claims(spark, d), corrections(spark, d).filter("claim_id % 3 = 0")).select("claim_id", "kind", "lifecycle", F.coalesce("correction_id", F.lit("")).alias("correction_id"))
+
 
+@query("i7_correction_audit", with_views(_CORRECTIONS + """ SELECT request_id, claim_id AS object_id, 'editor correct claim' AS what, CASE WHEN request_id LIKE '%-1' THEN 'first ' || lifecycle ELSE 'text 1 corrected' END AS before, text || CASE WHEN request_id LIKE '%-1' THEN ' 2' ELSE ' 3' END AS after
+FROM corr JOIN claims USING (claim_id)""", "claims"))
+def correction_audit(spark: SparkSession, d: str) -> DataFrame:
+    rows = C.correction_audit(X.claims(spark, d), corrections(spark, d))
+    old, new = F.concat_ws(" ", "previous_value.text", "previous_value.lifecycle"), F.concat_ws(" ", "new_value.text", F.col("new_value.version").cast("string"))
+    return rows.select("request_id", "object_id", F.concat_ws(" ", "actor", "action", "object_type").alias("what"), old.alias("before"), new.alias("after"))
 
-@query("d14_claim_history", with_views(_CORRECTIONS + """, l AS (SELECT claim_id, arg_max(text, created_at) AS t, count(*) AS n FROM corr GROUP BY claim_id), e AS (SELECT claim_id, string_agg(evidence_id, ',' ORDER BY evidence_id) AS ids FROM evidence GROUP BY claim_id)
-SELECT claim_id, coalesce(l.t, lifecycle) AS current_text, coalesce(l.n, 0) AS n_corrections, coalesce(e.ids, '') AS evidence_ids FROM claims LEFT JOIN l USING (claim_id) LEFT JOIN e USING (claim_id)""", "claims", "evidence"))
+
+@query("d14_claim_history", with_views(_CORRECTIONS + """, l AS (SELECT claim_id, arg_max(text, created_at) AS t, string_agg(text, ',' ORDER BY created_at) AS texts, string_agg(request_id, ',' ORDER BY created_at) AS ids FROM corr WHERE claim_id % 3 > 0 GROUP BY claim_id),
+e AS (SELECT claim_id, string_agg(evidence_id, ',' ORDER BY tier = 1, tier DESC, evidence_id) AS ids FROM (SELECT DISTINCT claim_id, evidence_id, tier FROM evidence) GROUP BY claim_id)
+SELECT claim_id, coalesce(l.t, lifecycle) AS current_text, coalesce(e.ids, '') AS evidence, coalesce(l.texts, '') AS corrections, coalesce(l.ids, '') AS audit FROM claims LEFT JOIN l USING (claim_id) LEFT JOIN e USING (claim_id)""", "claims", "evidence"))
 def claim_history(spark: SparkSession, d: str) -> DataFrame:
-    return C.claim_history(X.claims(spark, d).withColumn("text", F.col("lifecycle")), corrections(spark, d), X.evidence(spark, d))
+    c, e, changed = X.claims(spark, d).withColumn("text", F.col("lifecycle")), X.evidence(spark, d), corrections(spark, d).filter("claim_id % 3 > 0")
+    dated = e.withColumn("published_at", F.when(F.col("tier") != 1, F.expr("date_sub(DATE '2024-01-01', tier)")))
+    rows = C.claim_history(c, e, dated, C.correction_versions(changed, ["created_at"]), C.correction_audit(c, changed))
+    return rows.select("claim_id", "current_text", *[F.array_join(f"{k}.{f}", ",").alias(k) for k, f in (("evidence", "evidence_id"), ("corrections", "text"), ("audit", "request_id"))])
 
 
-@query("d13_unknown_correction_evidence", with_views(_CORRECTIONS + " SELECT claim_id, request_id FROM corr WHERE NOT EXISTS (SELECT 1 FROM evidence e WHERE e.claim_id = corr.claim_id AND e.tier = 0)", "evidence"))
+@query("d13_unknown_correction_evidence", with_views(_CORRECTIONS + " SELECT request_id, claim_id, 'none-' || claim_id AS evidence_id FROM corr WHERE claim_id % 7 = 0 AND request_id LIKE '%-2'", "claims"))
 def unknown_correction_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return corrections(spark, d).join(X.evidence(spark, d).filter("tier = 0"), "claim_id", "left_anti").select("claim_id", "request_id")
+    return C.unknown_correction_evidence(requests(spark, d), X.evidence(spark, d))
 
 
 @query("i6_merge_graph", with_views("""SELECT claim_id, event_id, CASE WHEN claim_id % 3 = 0 THEN 'run1' ELSE 'run2' END AS first_seen,
@@ -244,19 +274,42 @@ def upsert_events(spark: SparkSession, d: str) -> DataFrame:
     return merge_table(old, new, ["event_id"], insert_only=["first_reported"])
 
 
-@query("i9_content_fingerprint")
+_JSON = """'{"claim_id":' || claim_id || ',"event_id":' || event_id || ',"kind":"' || kind || '","lifecycle":"' || lifecycle || '"}'"""
+
+
+@query("i9_content_fingerprint", with_views(f"""+ h AS (SELECT sha256({_JSON}) AS h FROM claims)
+SELECT count(*) AS "rows", CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS sum0, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS sum1 FROM h""", "claims"))
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return C.content_fingerprint(X.claims(spark, d), ["claim_id", "event_id", "kind", "lifecycle"])
 
 
-@query("i8_graph_gate", with_views("""+ v AS (SELECT 'duplicate_claim' AS rule FROM claims GROUP BY claim_id HAVING count(*) > 1
-UNION ALL SELECT 'duplicate_evidence' FROM evidence GROUP BY evidence_id HAVING count(*) > 1
-UNION ALL SELECT 'unsafe_address' FROM evidence WHERE url NOT LIKE 'http%'
-UNION ALL SELECT 'orphan_evidence' FROM evidence e WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.claim_id = e.claim_id)
-UNION ALL SELECT 'fact_without_evidence' FROM claims c WHERE kind = 'fact' AND NOT EXISTS (SELECT 1 FROM evidence e WHERE c.claim_id = e.claim_id))
-SELECT rule, count(*) AS violations FROM v GROUP BY rule UNION ALL SELECT 'claim_count', abs(count(*) - 1000) FROM claims UNION ALL SELECT 'evidence_count', abs(count(*) - 1000) FROM evidence""", "claims", "evidence"))
+def generation(spark: SparkSession, d: str, attempt: int, prefix: str = "") -> DataFrame:
+    """The head of a generation whose content is the number of claims."""
+    made = {"generated_at": "2024-01-30T23:30:00Z", "window_start": "2024-01-01T00:00:00Z", "window_end": "2024-01-30T23:00:00Z", "source_commit": "a" * 40, "source_repository": None, "source_run": "7", "source_attempt": str(attempt)}
+    n = X.claims(spark, d).agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias(f"{prefix}content"))
+    return n.withColumns({prefix + k: F.lit(v).cast("string") for k, v in made.items()})
+
+
+_GENERATION = """'generated_at=2024-01-30T23:30:00Z' || chr(10) || 'window_start=2024-01-01T00:00:00Z' || chr(10) || 'window_end=2024-01-30T23:00:00Z' || chr(10) || 'source_commit=' || repeat('a', 40) || chr(10) || 'source_repository=' || chr(0)
+|| chr(10) || 'source_run=7' || chr(10) || 'source_attempt=' || {} || chr(10) || 'content=' || sha256(count(*)::VARCHAR)"""
+
+
+@query("i9_compare_generations", with_views(f"""SELECT 'source_attempt' AS field, '1' AS published, '2' AS expected UNION ALL SELECT 'generation_id', sha256({_GENERATION.format(1)}), sha256({_GENERATION.format(2)}) FROM claims""", "claims"))
+def compare_generations(spark: SparkSession, d: str) -> DataFrame:
+    return C.compare_generations(generation(spark, d, 1), generation(spark, d, 2))
+
+
+@query("i8_graph_gate", with_views("""SELECT 'orphan_evidence' AS rule, count(*) AS violations FROM evidence WHERE tier = 1 UNION ALL SELECT 'evidence_count', CASE WHEN count(*) FILTER (tier = 1) > 0 THEN 1 ELSE 0 END FROM evidence
+UNION ALL SELECT unnest(['publishable', 'unsupported_material', 'fresh', 'event_count', 'claim_count', 'input_window', 'input_before_graph', 'input_events']), 0 UNION ALL SELECT unnest(['input_identity', 'input_fresh']), 1""", "evidence"))
 def graph_gate(spark: SparkSession, d: str) -> DataFrame:
-    return C.graph_gate(X.claims(spark, d), X.evidence(spark, d), 1000, 1000)
+    c, e = X.claims(spark, d), X.evidence(spark, d)
+    declared = c.agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("event_id").alias("events"), F.count_if(F.col("kind").isNull()).alias("unsupported_material")).crossJoin(e.agg(F.count(F.lit(1)).alias("evidence")))  # rows of one
+    head = declared.crossJoin(generation(spark, d, 1, "input_")).withColumns({
+        "publishable": F.lit(True), "generated_at": F.lit("2024-01-31T00:00:00Z"), "source_commit": F.lit("a" * 40), "input_events": F.col("events"), "named_generated_at": F.col("input_generated_at"), "named_commit": F.lit("a" * 40), "named_run": F.lit("7"), "named_attempt": F.lit("2"),
+        "input_generation_id": C.generation_id("input_"),
+    })
+    # the gate looks three hours after the input; evidence of tier 1 is lost; the attempt that the graph names is another one
+    return C.graph_gate(c, e, e.filter("tier <> 1"), head, F.lit("2024-01-31T02:10:00Z").cast("timestamp"))
 
 
 @query("d15_evidence_sources", with_views(f"SELECT {_DOMAIN} AS domain, min(tier) AS tier, count(*) AS n FROM evidence WHERE url LIKE 'http%' GROUP BY 1", "evidence"))

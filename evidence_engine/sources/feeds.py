@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidence_engine.functions.text import canonical_url, clean_html_text, domain_of, parse_feed_date
+from evidence_engine.functions.scores import source_class
+from evidence_engine.functions.text import clean_html_text, domain_of, parse_feed_date
 from evidence_engine.operators.articles import small
 
 ARTICLE = (
@@ -76,12 +77,12 @@ def format_articles(raw: DataFrame) -> DataFrame:
 
 
 def path_allowed(url: Column, domain: Column, include: list[str], exclude: list[str]) -> Column:
-    """The host is the domain or under it; some include fragment in the path, no exclude one. A fragment with $ at its end is the whole path."""
+    """The host is the domain or under it; some include fragment in the path, no exclude one. A fragment with $ at its end is the whole path. Slashes at the end do not count."""
     host = domain_of(url)
-    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
 
     def hit(fragment: str) -> Column:
-        return path == F.lit(fragment[:-1]) if fragment.endswith("$") else path.contains(fragment)
+        return path == F.lit(fragment[:-1].removesuffix("/")) if fragment.endswith("$") else path.contains(fragment.removesuffix("/"))
 
     near = (host == domain) | F.endswith(host, F.concat(F.lit("."), domain))
     inside, outside = F.lit(not include), F.lit(False)
@@ -92,19 +93,6 @@ def path_allowed(url: Column, domain: Column, include: list[str], exclude: list[
     return near & inside & ~outside
 
 
-def page_links(pages: DataFrame, include: list[str], exclude: list[str], title_chars: tuple[int, int] = (18, 240), newest: int = 30) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, domain, link, title, nth: links of a page to its own site, the first of each address, at most so many per domain."""
-    tag = r'(?is)(<a\s[^>]*href\s*=\s*"[^"]*"[^>]*>.*?</a>)'
-    rows = pages.select("page_id", domain_of(F.col("url")).alias("domain"), F.regexp_extract("url", r"^(https?://[^/?#]+)", 1).alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(tag), 1)).alias("nth", "tag"))
-    href = F.regexp_extract("tag", r'(?is)href\s*=\s*"([^"]*)"', 1)
-    link = F.when(href.rlike("^https?://"), href).when(F.startswith(href, F.lit("/")), F.concat("base", href))
-    rows = rows.select("page_id", "domain", "nth", canonical_url(link).alias("link"), clean_html_text(F.col("tag")).alias("title")).filter("link IS NOT NULL")
-    rows = rows.filter(path_allowed(F.col("link"), F.col("domain"), include, exclude) & F.length("title").between(*title_chars))
-    first = rows.groupBy("domain", "link").agg(F.min(F.struct("page_id", "nth", "title")).alias("f")).select("domain", "link", "f.*")
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("page_id").desc(), "nth"))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= newest).select("page_id", "domain", "link", "title", "nth")
-
-
 def registry_page_audit(pages: DataFrame, names: DataFrame) -> DataFrame:
     """page_id, expected, matched, missing (ids), reconciled: which names a page's text holds. names: entity_id, name of at least four letters.
 
@@ -121,34 +109,76 @@ def registry_page_audit(pages: DataFrame, names: DataFrame) -> DataFrame:
     return rows.select("page_id", F.size("every").alias("expected"), F.size(found).alias("matched"), F.array_join(missing, ",").alias("missing"), ((F.size("every") > 0) & (F.size(missing) == 0)).alias("reconciled"))
 
 
-def normalise_registry(entities: DataFrame) -> dict[str, DataFrame]:
-    """entities(entity_id, name, type, aliases, parent_id) -> tables entities, aliases, relationships."""
+def normalise_registry(entities: DataFrame, sources: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables entities, aliases, relationships and, if given, sources.
+
+    entities(entity_id, name, type, aliases, parent_id); a relationship column, where there is one, goes before the rule by type.
+    sources(domain, name, class, tier, rights, active): class by the fixed map, policy of fetching by the words of the rights.
+    """
     alias = F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))))
     kind = F.when(F.col("type") == "person", "leadership_of").when(F.col("type") == "brand", "brand_of").otherwise("belongs_to")
-    return {
+    if "relationship" in entities.columns:
+        kind = F.coalesce(F.nullif("relationship", F.lit("")), kind)
+    out = {
         "entities": entities.select("entity_id", "name", "type"),
-        "aliases": entities.select("entity_id", alias.alias("alias")),
+        "aliases": entities.select("entity_id", alias.alias("alias")).filter(F.coalesce("alias", F.lit("")) != ""),
         "relationships": entities.filter("parent_id IS NOT NULL").select(F.col("entity_id").alias("from_id"), F.col("parent_id").alias("to_id"), kind.alias("relationship")),
     }
+    if sources is not None:
+        rights = F.coalesce(F.nullif("rights", F.lit("")), F.lit("metadata-only"))
+        policy = F.when(rights.rlike("(?i)full|extract"), "permitted-extracts").when(rights.rlike("(?i)public-record|filing"), "public-record").otherwise("metadata-only")
+        out["sources"] = sources.select("domain", "name", source_class(F.col("class")).alias("source_class"), F.coalesce("tier", F.lit(3)).alias("tier"), rights.alias("rights"), policy.alias("fetch_policy"), F.coalesce("active", F.lit(True)).alias("active"))
+    return out
 
 
 # Snapshots: each run writes its own directory; a manifest row written last makes it visible.
 
 
-def write_snapshot(events: DataFrame, path: str, run_id: str, window_start: str, window_end: str, checks: int, good: int, least_success: float = 0.3) -> DataFrame:
+def write_snapshot(events: DataFrame, path: str, run_id: str, window_start: str, window_end: str, checks: int, good: int, least_success: float = 0.3, generated_at: str | None = None) -> DataFrame:
     """Publish a run unless too few checks succeeded. Readers see it once its manifest row is written."""
     if checks and good / checks < least_success:
         raise ValueError(f"{good} of {checks} checks succeeded; at least {least_success:.0%} are needed")
     spark = events.sparkSession
     events.withColumn("event_date", F.to_date("published_at")).write.partitionBy("event_date").parquet(f"{path}/runs/run_id={run_id}")
     n = spark.read.parquet(f"{path}/runs/run_id={run_id}").count()
-    row = spark.createDataFrame([(run_id, window_start, window_end, n, checks, good, round(good / checks, 4) if checks else 0.0)], "run_id string, window_start string, window_end string, events long, checks long, good long, success double")
+    row = spark.createDataFrame(
+        [(run_id, window_start, window_end, generated_at or window_end, n, checks, good, round(good / checks, 4) if checks else 0.0)], "run_id string, window_start string, window_end string, generated_at string, events long, checks long, good long, success double"
+    )
     row.write.mode("append").parquet(f"{path}/manifest")
     return row
 
 
-def read_snapshot_window(spark: SparkSession, path: str, start: Column, end: Column) -> DataFrame:
-    """The events of the latest published run inside the window; days outside it are not read."""
-    run_id = spark.read.parquet(f"{path}/manifest").agg(F.max("run_id")).first()[0]
-    rows = spark.read.parquet(f"{path}/runs/run_id={run_id}")
+def snapshot_policy(runs: DataFrame, start: Column, end: Column, now: Column, stale_minutes: float = 90, trailing_lag: bool = False, whole: bool = True, skew_seconds: int = 60) -> DataFrame:
+    """runs(window_start, window_end, generated_at, ...) with a verdict on serving the asked span from each, and its lag.
+
+    In this order: window_invalid (no span asked), timestamp_invalid, future, stale (made or ended longer ago than the limit), complete,
+    trailing (only the end of the span, up to now, is not covered; served if allowed), incomplete (served if whole is not asked).
+    """
+    made, first, last, low, high, at = (F.unix_millis(c.try_cast("timestamp")) for c in (F.col("generated_at"), F.col("window_start"), F.col("window_end"), start, end, now))
+    skew = 1000 * skew_seconds
+    trailing = (low >= first) & (low < last) & (high > last) & (high <= at + skew)
+    verdict = (
+        F.when(~F.coalesce(low < high, F.lit(False)), "window_invalid").when(made.isNull() | ~F.coalesce(first < last, F.lit(False)), "timestamp_invalid").when((made > at + skew) | (last > at + skew), "future")
+        .when(at - F.least(made, last) > stale_minutes * 60_000, "stale").when((low >= first) & (high <= last), "complete").when(trailing, "trailing").otherwise("incomplete")
+    )
+    served = F.col("verdict") == "complete"
+    if trailing_lag or not whole:
+        served = served | (F.col("verdict") == "trailing")
+    if not whole:
+        served = served | (F.col("verdict") == "incomplete")
+    return runs.withColumns({"verdict": verdict, "lag_minutes": F.greatest(F.lit(0.0), (high - last) / 60_000)}).withColumn("served", served)
+
+
+def read_snapshot_window(spark: SparkSession, path: str, start: Column, end: Column, now: Column | None = None, **policy) -> DataFrame:
+    """The events of the latest published run inside the span; days outside it are not read.
+
+    With now, the run has to pass snapshot_policy (whose other arguments may follow); else ValueError names the verdict.
+    """
+    last = spark.read.parquet(f"{path}/manifest").agg(F.max_by(F.struct("*"), "run_id").alias("m")).select("m.*")
+    if now is not None:
+        last = snapshot_policy(last, start, end, now, **policy)
+    run = last.first()  # one row
+    if now is not None and not run.served:
+        raise ValueError(f"run {run.run_id} is not served: {run.verdict}")
+    rows = spark.read.parquet(f"{path}/runs/run_id={run.run_id}")
     return rows.filter(F.col("event_date").between(F.to_date(start), F.to_date(end)) & F.col("published_at").between(start, end)).drop("event_date")

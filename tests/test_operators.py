@@ -106,6 +106,44 @@ def test_corrections_are_append_only_and_idempotent(spark):
     assert claims.apply_corrections(facts, after, changed)[1].first().result == "conflict"
 
 
+def test_corrections_come_one_by_one(spark):
+    facts = spark.createDataFrame([(1, "fact"), (1, "fact")], "claim_id long, kind string")
+    have = spark.createDataFrame([], "claim_id long, request_id string, created_at timestamp, text string, actor string")
+    at = [NOW + dt.timedelta(minutes=i) for i in range(4)]
+    asked = [
+        (1, "a", at[0], "x", "ann", ["lost"]), (1, "a", at[1], "x", "ann", ["e"]), (1, "a", at[2], " x ", "ann", None), (1, "a", at[3], "y", "ann", []),
+        (1, None, at[0], "x", "ann", []), (1, None, at[0], "x", "ann", []), (1, None, at[1], "z", " ", []), (1, "b" * 201, at[0], "x", "ann", []), (1, "c", at[0], "x" * 10001, "ann", []),
+    ]
+    rows = spark.createDataFrame(asked, "claim_id long, request_id string, created_at timestamp, text string, actor string, evidence_ids array<string>")
+    proof = spark.createDataFrame([("e",), ("e",)], "evidence_id string")
+    after, results = claims.apply_corrections(facts, have, rows, proof)
+    assert sorted((r.request_id or "-")[:1] + " " + r.result for r in results.collect()) == ["- applied", "- applied", "- rejected", "a applied", "a conflict", "a rejected", "a replayed", "b rejected", "c rejected"]
+    assert after.count() == 3
+    assert [tuple(r) for r in claims.unknown_correction_evidence(rows, proof).collect()] == [("a", 1, "lost")]
+
+
+def test_graph_gate_rules(spark):
+    one = spark.range(1)
+    c = spark.createDataFrame([("c1", "e1"), ("c2", "e1")], "claim_id string, event_id string")
+    links = spark.createDataFrame([("c1", "p1"), ("c2", "p1")], "claim_id string, evidence_id string")
+    proof = spark.createDataFrame([("p1",)], "evidence_id string")
+    made = {"generated_at": "2024-01-31T00:00:00Z", "window_start": "2024-01-30T00:00:00Z", "window_end": "2024-01-31T00:00:00Z", "source_commit": "a" * 40, "source_repository": None, "source_run": "1", "source_attempt": None, "content": "b" * 64}
+    head = one.select(*[F.lit(v).cast("string").alias(f"input_{k}") for k, v in made.items()])
+    named = {"publishable": True, "unsupported_material": 0, "generated_at": made["generated_at"], "source_commit": "a" * 40, "events": 1, "claims": 2, "evidence": 1, "input_events": 1, "named_generated_at": made["generated_at"], "named_commit": "a" * 40, "named_run": "1"}
+    head = head.withColumns({k: F.lit(v) for k, v in named.items()}).withColumns({"named_attempt": F.lit(None).cast("string"), "input_generation_id": claims.generation_id("input_")})
+
+    def broken(h, minutes=10, **tables):
+        t = {"claims": c, "links": links, "evidence": proof} | tables
+        return {r.rule: r.violations for r in claims.graph_gate(t["claims"], t["links"], t["evidence"], h, F.lit(made["generated_at"]).cast("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES")).collect() if r.violations}
+
+    assert broken(head) == {}
+    assert broken(head, 181) == {"input_fresh": 1} and broken(head, 241) == {"input_fresh": 1, "fresh": 1} and broken(head, -2) == {"input_fresh": 1, "fresh": 1}
+    assert broken(head, evidence=proof.filter("false")) == {"orphan_evidence": 2, "evidence_count": 1}
+    assert broken(head.withColumns({"publishable": F.lit(None).cast("boolean"), "unsupported_material": F.lit(3), "events": F.lit(2)})) == {"publishable": 1, "unsupported_material": 1, "event_count": 1}
+    assert broken(head.withColumn("input_source_run", F.lit("2"))) == {"input_identity": 1}
+    assert broken(head.withColumn("generated_at", F.lit("2024-01-30T20:00:00Z"))) == {"fresh": 1, "input_before_graph": 1}
+
+
 def test_contradictions_find_every_pair(spark):
     rng = random.Random(5)
     words = [f"term{i}" for i in range(9)]
@@ -160,6 +198,37 @@ def test_snapshots_need_enough_checks(spark, tmp_path):
     assert feeds.read_snapshot_window(spark, str(tmp_path / "s"), F.lit("2000-01-01").cast("timestamp"), X.now()).count() == 3
 
 
+def test_snapshots_are_served_by_policy(spark, tmp_path):
+    def at(text):
+        return F.lit(text).cast("timestamp")
+
+    path = str(tmp_path / "p")
+    feeds.write_snapshot(X.served(spark, "/root/testdata/sf0.001"), path, "r1", "2024-01-01 00:00:00", "2024-01-31 00:00:00", 10, 9)
+    assert feeds.read_snapshot_window(spark, path, at("2024-01-02"), at("2024-01-30"), at("2024-01-31 01:00:00")).count() > 0
+    ask = {"incomplete": ("2023-12-31", "2024-01-30", "01:00"), "stale": ("2024-01-02", "2024-01-30", "01:31"), "trailing": ("2024-01-02", "2024-01-31 00:30:00", "01:00"), "window_invalid": ("2024-01-03", "2024-01-03", "01:00")}
+    for verdict, (low, high, now) in ask.items():
+        with pytest.raises(ValueError, match=verdict):
+            feeds.read_snapshot_window(spark, path, at(low), at(high), at(f"2024-01-31 {now}:00"))
+    with pytest.raises(ValueError, match="future"):
+        feeds.read_snapshot_window(spark, path, at("2024-01-02"), at("2024-01-30"), at("2024-01-30 23:58:00"))
+    assert feeds.read_snapshot_window(spark, path, at("2024-01-02"), at("2024-01-31 00:30:00"), at("2024-01-31 01:00:00"), trailing_lag=True).count() > 0
+    assert feeds.read_snapshot_window(spark, path, at("2023-12-31"), at("2024-01-30"), at("2024-01-31 01:00:00"), whole=False).count() > 0
+
+
+def test_page_links_take_the_date_of_their_block(spark):
+    from evidence_engine.sources.pages import page_links
+
+    title = "A title that is long enough"
+    html = (
+        f"<ul><li>1 March 2024 <a href='/n/1?x=1'>{title} |</a></li><li><a href=\"/n/2\"><b>{title}</b></a> <i>Mar 2nd, 2024</i></li><li><a href='/n/1'>{title} again</a> 2024-03-09</li>"
+        f"<li><a href='/n/3'>{title}</a></li><li><a href='/n/4'>Read more</a> 2024-03-04</li><li><a href='https://other.org/n/5'>{title}</a> 2024-03-05</li>"
+        f"<li><a href='/x/6'>{title}</a> 2024-03-06</li><li><a href='/n/7/'>{title}</a> 31 February 2024</li></ul>" + "-" * 300 + f"<a href='n/8'>{title} &amp; more</a> 2024-03-08T10:00Z" + "+" * 300
+    )
+    pages = spark.createDataFrame([(1, "https://www.a.org/", html), (2, "https://www.a.org/", None), (3, None, html), (4, "https://www.a.org/", "")], "page_id int, url string, html string")
+    got = [(r.link, r.title, str(r.published_on), r.nth) for r in page_links(pages, ["/n/"], ["/x/6$"]).orderBy("published_on").collect()]
+    assert got == [("https://www.a.org/n/1", title, "2024-03-01", 0), ("https://www.a.org/n/2", title, "2024-03-02", 1), ("https://www.a.org/n/8", title + " & more", "2024-03-08", 8)]
+
+
 def test_streams_equal_batches(spark, tmp_path):
     checks = X.checks(spark, "/root/testdata/sf0.001").orderBy("check_date").coalesce(1)
     checks.write.parquet(str(tmp_path / "checks"))
