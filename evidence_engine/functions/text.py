@@ -90,6 +90,16 @@ def strict_utc(value: Column) -> Column:
     return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,3})?Z$"), value.try_cast("timestamp"))
 
 
+def strict_offset(value: Column) -> Column:
+    """As databases write it: T or a blank, at most six decimals, Z or an offset of hours and minutes; null for days and times that do not exist."""
+    text = F.trim(value)
+    shape = r"(?i)^(\d{4}-\d{2}-\d{2})[T ]((?:[01]\d|2[0-3]):[0-5]\d:[0-5]\d(?:\.\d{1,6})?)(?:Z|([+-])([01]\d|2[0-3]):([0-5]\d))$"
+    part = [F.regexp_extract(text, shape, k) for k in range(6)]
+    local = F.concat(part[1], F.lit("T"), part[2], F.lit("Z")).try_cast("timestamp")
+    minutes = F.coalesce(part[4].try_cast("long") * 60 + part[5].try_cast("long"), F.lit(0))
+    return F.when(text.rlike(shape), F.timestamp_micros(F.unix_micros(local) - F.when(part[3] == "-", -minutes).otherwise(minutes) * 60_000_000))
+
+
 def domain_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), r"^www\.", "")), F.lit(""))
 

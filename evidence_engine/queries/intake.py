@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evidence_engine import fixtures as X
 from evidence_engine.fixtures import with_views
 from evidence_engine.functions import scores as S
-from evidence_engine.functions.text import canonical_url, parse_feed_date, strict_utc, tone_label
+from evidence_engine.functions.text import canonical_url, parse_feed_date, strict_offset, strict_utc, tone_label
 from evidence_engine.operators import audits as A
 from evidence_engine.operators import articles, events, governance
 from evidence_engine.params import COVERAGE_GROUP, SOURCE_CLASS
@@ -112,6 +112,15 @@ def strict_dates(spark: SparkSession, d: str) -> DataFrame:
     return X.table(spark, d, "events").select("event_id", F.coalesce(F.date_format(strict_utc(text), "yyyy-MM-dd HH:mm:ss"), F.lit("none")).alias("at"))
 
 
+@query("b6_strict_offset", """SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN 'none' ELSE strftime(date_trunc('second', ts) - CASE WHEN event_id % 3 = 0 THEN INTERVAL 330 MINUTES WHEN event_id % 3 = 1 THEN INTERVAL '-20 hours' ELSE INTERVAL 0 HOURS END, '%Y-%m-%d %H:%M:%S') END AS at FROM events""")
+def offset_dates(spark: SparkSession, d: str) -> DataFrame:
+    ts, k = F.col("ts").cast("timestamp"), F.col("event_id")
+    zone = F.when(k % 3 == 0, "+05:30").when(k % 3 == 1, "-20:00").otherwise("z")
+    good = F.concat(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.when(k % 2 == 0, ".123456").otherwise(""), zone)
+    text = F.when(k % 7 == 0, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k % 11 == 0, F.lit("2023-02-29T01:00:00+00:00")).when(k % 13 == 0, F.lit("2023-02-28T01:00:00+24:00")).otherwise(good)
+    return X.table(spark, d, "events").select("event_id", F.coalesce(F.date_format(strict_offset(text), "yyyy-MM-dd HH:mm:ss"), F.lit("none")).alias("at"))
+
+
 _KINDS = [*SOURCE_CLASS, "unheard"]
 
 

@@ -128,3 +128,12 @@ def test_category_takes_the_first_rule(one):
     assert one(S.infer_category(F.lit("court hears ceo"))) == "Leadership"
     assert one(S.infer_category(F.lit("court hears case"))) == "Regulatory"
     assert one(S.infer_category(F.lit("nothing here"))) == "Corporate"
+
+
+def test_strict_offset(spark):
+    from evidence_engine.functions.text import strict_offset
+
+    texts = ["2024-02-29T10:00:00Z", " 2024-02-29 10:00:00.5+05:30 ", "2024-02-29t10:00:00-23:59", "2023-02-29T10:00:00Z", "2024-02-29T24:00:00Z", "2024-02-29T10:00:00", "2024-02-29T10:00:00.1234567Z", "2024-02-29T10:00:00+0530", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_millis(strict_offset(F.col("t"))).alias("ms")).orderBy("i").collect()
+    base = 1709200800000
+    assert [r.ms for r in rows] == [base, base + 500 - 330 * 60000, base + 1439 * 60000, None, None, None, None, None, None, None]
