@@ -17,6 +17,7 @@ from evidence_engine.functions.text import canonical_url, domain_of
 from evidence_engine.params import NOISE_TITLES
 from evidence_engine.sources.feeds import path_allowed
 
+#: What a link is, which tags end a block, the forms of a date, the reach beside a link.
 ANCHOR = re.compile(r"""<a\b[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""", re.I | re.S)
 BLOCK_END = re.compile(r"</(?:article|li|tr|section|div|p)\s*>", re.I)
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
