@@ -12,6 +12,7 @@ from evidence_engine.llm import probminhash
 from evidence_engine.llm import quality_pu
 from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm.byte_bpe import decode, encode
+from evidence_engine.llm.centroids import cluster
 from evidence_engine.llm.exact_dedup import exact_dedup
 from evidence_engine.llm.line_dedup import line_dedup
 from evidence_engine.llm.mixing import mix
@@ -103,11 +104,48 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup}
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cluster(embeddings(spark, sf_dir))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup, "op11_centroids": op11_centroids}
+
+
+def _kmeans_sql(k: int = 8, rounds: int = 10, scale: int = 1024, width: int = 64) -> str:
+    """The rounds written out: a<r> assigns all vectors to the centroids c<r>, c<r+1> are their means."""
+    far = "list_sum(list_transform(list_zip(v.ints, c.ints), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT"
+    parts = [f"""
+v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+      WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR), ints) - 1)::INT AS cluster, ints FROM v
+       ORDER BY sha256('3:' || vec_id::VARCHAR), ints LIMIT {k})"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+a{r} AS MATERIALIZED (SELECT vec_id, any_value(ints) AS ints, min(d)::BIGINT AS distance, arg_min(cluster, d * {k} + cluster) AS cluster
+       FROM (SELECT v.vec_id, v.ints, c.cluster, {far} AS d FROM v, c{r} c) GROUP BY vec_id)""")
+        if r < rounds:
+            parts.append(f"""
+e{r} AS (SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n
+         FROM (SELECT cluster, unnest(ints) AS x, generate_subscripts(ints, 1) AS i FROM a{r}) GROUP BY cluster, i),
+m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS ints FROM e{r} GROUP BY cluster),
+c{r + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.ints, c.ints) AS ints FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster)""")
+    return f"""
+WITH {",".join(parts)}
+SELECT a.vec_id, a.cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(a.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.ints, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+"""
+
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES: dict[str, str] = {
+    "op11_centroids": _kmeans_sql(),
     "op1_mix": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
              md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || coalesce(text, '')) AS mark FROM documents),
