@@ -14,6 +14,7 @@ from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm.byte_bpe import decode, encode
 from evidence_engine.llm.centroids import cluster
 from evidence_engine.llm.exact_dedup import exact_dedup
+from evidence_engine.llm.hard_negatives import mine
 from evidence_engine.llm.line_dedup import line_dedup
 from evidence_engine.llm.mixing import mix
 from evidence_engine.llm.spotsigs import fingerprint, likeness, with_edits
@@ -113,7 +114,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2("centroid", 256).alias("centroid_sha256"))
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup, "op11_centroids": op11_centroids}
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = embeddings(spark, sf_dir).withColumn("label", F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return mine(rows, vec_id % 100 == 0)
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup, "op11_centroids": op11_centroids, "op12_hard_negatives": op12_hard_negatives}
 
 
 def _kmeans_sql(k: int = 8, rounds: int = 10, scale: int = 1024, width: int = 64) -> str:
@@ -146,6 +153,19 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 ORACLES: dict[str, str] = {
     "op11_centroids": _kmeans_sql(),
+    "op12_hard_negatives": """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS ints FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other,
+             list_sum(list_transform(list_zip(a.ints, b.ints), lambda x: x[1] * x[2]))::BIGINT AS score
+           FROM v a, v b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+o AS (SELECT anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS nth FROM s WHERE same),
+n AS (SELECT o.*, s.other AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY o.anchor_id, o.positive_id ORDER BY s.score DESC, s.other)::INT AS rank
+      FROM o JOIN s ON o.anchor_id = s.anchor_id
+      WHERE o.nth <= 5 AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""",
     "op1_mix": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
              md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || coalesce(text, '')) AS mark FROM documents),
