@@ -11,6 +11,7 @@ from evidence_engine.llm import langid_ecoc
 from evidence_engine.llm import probminhash
 from evidence_engine.llm import quality_pu
 from evidence_engine.llm import secrets_cnn
+from evidence_engine.llm import speculative_bpe
 from evidence_engine.llm.byte_bpe import decode, encode
 from evidence_engine.llm.centroids import cluster
 from evidence_engine.llm.exact_dedup import exact_dedup
@@ -120,7 +121,17 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(rows, vec_id % 100 == 0)
 
 
-QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup, "op11_centroids": op11_centroids, "op12_hard_negatives": op12_hard_negatives}
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = speculative_bpe.decode(speculative_bpe.encode(documents(spark, sf_dir), path), path)
+    return rows.select(
+        "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("body", "UTF-8"), 256).alias("decoded_sha256")
+    )
+
+
+QUERIES: dict[str, Query] = {"op1_mix": op1_mix, "op9_exact_dedup": op9_exact_dedup, "op10_line_dedup": op10_line_dedup, "op2_spotsigs": op2_spotsigs, "op8_byte_bpe": op8_byte_bpe, "op4_langid_ecoc": op4_langid_ecoc, "op5_secrets_cnn": op5_secrets_cnn, "op6_quality_pu": op6_quality_pu, "op3_probminhash": op3_probminhash, "op7_suffix_dedup": op7_suffix_dedup, "op11_centroids": op11_centroids, "op12_hard_negatives": op12_hard_negatives, "op13_speculative_bpe": op13_speculative_bpe}
 
 
 def _kmeans_sql(k: int = 8, rounds: int = 10, scale: int = 1024, width: int = 64) -> str:
