@@ -5,7 +5,8 @@ splits follow from where classes change, where white space ends and where a cont
 Words that are new to a task are proposed by greedy longest match. A sequence of tokens is what the merges give exactly if
 no merge across any border of two neighbours would come before those that made them; that is tested for all distinct pairs
 of neighbours together, undoing the later merge of each pair step by step. Words with a failing pair, or with a token that
-its own bytes do not merge to, are merged exactly, with a heap, in n log n.
+its own bytes do not merge to, are merged exactly: short ones together, one merge of each word at a time, long ones with a
+heap, in n log n.
 
 The vocabulary is a JSON file as the tokenizers library reads: byte-level BPE with its own splitting, without normaliser,
 prefix space or dropout. Its added tokens are cut out of a text first, leftmost and longest. Its path is a parameter and
@@ -38,7 +39,7 @@ from evidence_engine.llm.columns import text_or_empty
 CACHE = 500_000
 
 #: Bytes of text that a task encodes at a time, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -52,6 +53,9 @@ LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CC
 #: Endings that stay with the apostrophe before them.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 
+#: Failing words that are merged together, and the longest of them in bytes; longer ones are merged with a heap.
+MERGED, LONG_WORD = 1 << 14, 48
+
 _NONE = np.int64(2**62)
 
 
@@ -138,6 +142,7 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         side = [[ids[bytes(byte_of[c] for c in p[k])] for p in pairs] for k in (0, 1)]
         whole = [ids[self.body[a] + self.body[b]] for a, b in zip(*side, strict=True)]
+        self.whole = np.array(whole, np.int64)
         self.merge = {(a, b): (rank, t) for rank, (a, b, t) in enumerate(zip(*side, whole, strict=True))}
         self.made = np.full(size, -1, np.int64)
         self.left, self.right = np.zeros(size, np.int64), np.zeros(size, np.int64)
@@ -208,6 +213,40 @@ class Vocabulary:
                     heapq.heappush(heap, (self.merge[p][0], x, p))
         return [t for t in ids if t >= 0]
 
+    def merged_together(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words as little-endian 32-bit integers, from one merge of each word at a time; long words go to the heap."""
+        short = [w for w in words if len(w) <= LONG_WORD]
+        if not short:
+            return [np.asarray(self.merged(w), "<u4").tobytes() for w in words]
+        size = np.fromiter(map(len, short), np.int64, len(short))
+        width = int(size.max())
+        token = np.full((len(short), width + 1), -1, np.int64)
+        token[np.arange(width + 1) < size[:, None]] = np.array(self.byte, np.int64)[np.frombuffer(b"".join(short), np.uint8)]
+        rank = np.full((len(short), width + 1), _NONE)
+        inside = np.arange(width + 1) < size[:, None] - 1
+        rank[inside] = self.rank(token[:, :-1][inside[:, :-1]], token[:, 1:][inside[:, :-1]])
+        live, column = np.arange(len(short)), np.arange(width)
+        while len(live):
+            at = rank[live].argmin(axis=1)
+            least = rank[live, at]
+            on = least < _NONE
+            live, at, least = live[on], at[on], least[on]
+            # what is right of the pair moves one place to the left
+            source = column + (column > at[:, None])
+            token[live, :width] = np.take_along_axis(token[live], source, axis=1)
+            rank[live, :width] = np.take_along_axis(rank[live], column + (column >= at[:, None]), axis=1)
+            token[live, at] = self.whole[least]
+            for left in (at - 1, at):
+                pair = token[live, np.maximum(left, 0)], token[live, left + 1]
+                real = (left >= 0) & (pair[1] >= 0)
+                rank[live[real], left[real]] = self.rank(pair[0][real], pair[1][real])
+                gone = (left >= 0) & (pair[1] < 0)
+                rank[live[gone], left[gone]] = _NONE
+        kept = token >= 0
+        body, ends = token[kept].astype("<u4").tobytes(), np.cumsum(4 * kept.sum(axis=1)).tolist()
+        made = iter(body[a:b] for a, b in zip([0, *ends], ends))
+        return [next(made) if len(w) <= LONG_WORD else np.asarray(self.merged(w), "<u4").tobytes() for w in words]
+
     def encode_words(self, words: list[bytes]) -> tuple[list[bytes], int]:
         """The ids of each word as little-endian 32-bit integers, and how many words had to be merged."""
         text = "Ā".join(w.decode("latin-1") for w in words)
@@ -228,8 +267,11 @@ class Vocabulary:
         bounds = (4 * np.searchsorted(of, np.arange(len(words) + 1))).tolist()
         out = [body[bounds[k] : bounds[k + 1]] for k in range(len(words))]
         again = np.flatnonzero(failed).tolist()
-        for k in again:
-            out[k] = np.asarray(self.merged(words[k]), "<u4").tobytes()
+        again.sort(key=lambda k: len(words[k]))
+        for low in range(0, len(again), MERGED):
+            some = again[low : low + MERGED]
+            for k, tokens in zip(some, self.merged_together([words[k] for k in some]), strict=True):
+                out[k] = tokens
         return out, len(again)
 
 
