@@ -36,10 +36,10 @@ from evidence_engine.llm.arrays import joined, parts, span_hashes
 from evidence_engine.llm.columns import text_or_empty
 
 #: Words that a task remembers; beyond, it starts anew.
-CACHE = 500_000
+CACHE = 250_000
 
 #: Bytes of text that a task encodes at a time, about.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
@@ -299,7 +299,7 @@ class Encoder:
                     special[m.start()] = self.vocabulary.added[m.group()]
                     heads |= {m.start(), m.end()} - {b}
         out = sorted(heads)
-        for a, b in zip(out.copy(), [*out[1:], len(raw)], strict=True):
+        for a, b in zip(out.copy(), [*out[1:], len(raw)][: len(out)], strict=True):
             # before a space that follows something visible, no word is cut
             while b - a > BLOCK and a not in special and (m := re.compile(rb"[!-~](?= )").search(raw, a + BLOCK, b)):
                 a = m.end()
