@@ -84,33 +84,61 @@ def alias_table(entities: DataFrame, params: Params = DEFAULT) -> DataFrame:
     return rows.select("entity_id", "type", "tier", "alias", (F.col("ambiguous") | (F.length("alias") <= 4)).alias("needs_context"), "context")
 
 
+def alias_index(entities: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """alias_table with each alias' rarest word, by which texts find it: the word that fewest aliases have, then the longest."""
+    aliases = alias_table(entities, params).withColumn("words", F.array_distinct(F.filter(F.split("alias", "[^a-z0-9]+"), lambda w: w != ""))).filter(F.size("words") > 0)
+    each = aliases.select("alias", F.explode("words").alias("word")).distinct()
+    shared = each.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(shared, "word").groupBy("alias").agg(F.min(F.struct("n", (-F.length("word")).alias("size"), "word")).alias("least"))
+    plain = F.col("alias").rlike("^[a-z0-9]+$")
+    at = F.concat(F.lit("(^|[^a-z0-9])"), F.regexp_replace("alias", r"([.+*?^${}()|\[\]\\\-])", r"\\$1"), F.lit("([^a-z0-9]|$)"))
+    return aliases.drop("words").join(rarest.select("alias", F.col("least.word").alias("word")), "alias").withColumns({"plain": plain, "pattern": at})
+
+
+def entity_hits(docs: DataFrame, entities: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """docs(ord, text and, if wanted, part) -> ord, entity_id, type, tier, alias, phrase, in_part for each alias that stands in a text.
+
+    The distinct words of a text are looked up by equality in the index of rarest words; only where one is found is the
+    alias itself looked for, with its borders, and with context where it needs some. Where the index is small it is
+    broadcast, and texts are judged where they are; else words travel with the document's number alone, and the texts of
+    documents with a hit come back once. phrase: a stakeholder's text has the context phrase. in_part: the alias stands,
+    with its context, in the part of the text, too.
+    """
+    index = alias_index(entities, params)
+    few = index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    has_part = "part" in docs.columns
+
+    def padded(name: str) -> Column:
+        return F.concat(F.lit(" "), normalize_text(F.col(name)), F.lit(" "))
+
+    body = docs.select("ord", padded("text").alias("body"), *([padded("part").alias("part")] if has_part else []))
+    words = F.array_distinct(F.filter(F.split("body", "[^a-z0-9]+"), lambda w: w != ""))
+    if few:
+        met = body.withColumn("word", F.explode(words)).join(F.broadcast(index), "word")
+    else:
+        met = body.select("ord", F.explode(words).alias("word")).join(index, "word").join(body, "ord")
+
+    def stands(text: str) -> Column:
+        return F.col(text).contains(F.col("alias")) & F.expr(f"regexp_like({text}, pattern)")
+
+    def backed(text: str) -> Column:
+        return ~F.col("needs_context") | F.exists("context", lambda c: F.col(text).contains(c))
+
+    hits = met.filter((F.col("plain") | stands("body")) & backed("body"))
+    phrase = F.when(F.col("type") == "stakeholder", F.col("body").contains(f" {params.context_phrase} ")).otherwise(False) if params.context_phrase else F.lit(False)
+    in_part = stands("part") & backed("part") if has_part else F.lit(None).cast("boolean")
+    return hits.select("ord", "entity_id", "type", "tier", "alias", phrase.alias("phrase"), in_part.alias("in_part"))
+
+
 def match_entities(docs: DataFrame, entities: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """docs(ord, text) -> ord, entity_id, type, tier, matched_alias.
 
-    Runs of words of a document meet alias keys by equality, so no entity is tried against every document. The longest
-    alias that stands with its borders, and with context where it needs one, wins. Stakeholders count only beside another
+    The longest alias of an entity that stands in the text wins (see entity_hits). Stakeholders count only beside another
     entity or the context phrase.
     """
-    aliases = alias_table(entities, params).withColumn("words", F.filter(F.split("alias", "[^a-z0-9]+"), lambda w: w != ""))
-    aliases = aliases.withColumn("key", F.array_join("words", " "))
-    longest = aliases.agg(F.max(F.size("words"))).first()[0] or 1
-    body = docs.select("ord", F.concat(F.lit(" "), normalize_text(F.col("text")), F.lit(" ")).alias("body"))
-    # the generator keeps the words a column of their own: inlined, each run would split the text anew
-    words = F.filter(F.split("body", "[^a-z0-9]+"), lambda w: w != "")
-    split = body.select("ord", F.inline(F.array(F.struct(words.alias("words")))))
-
-    def runs(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - n + 1, F.lit(1))), lambda i: F.array_join(F.slice("words", i, F.lit(n)), " "))
-
-    grams = F.array_distinct(F.flatten(F.array(*[runs(n) for n in range(1, longest + 1)])))
-    # a run of words travels with the document's number alone; the texts of documents with a hit come back once for each
-    hits = split.select("ord", F.explode(grams).alias("key")).join(small(aliases.drop("words")), "key").join(body, "ord")
-    at = F.regexp_replace(F.col("alias"), r"([.+*?^${}()|\[\]\\\-])", r"\\$1")
-    found = F.expr("regexp_like(body, concat('(^|[^a-z0-9])', __at, '([^a-z0-9]|$)'))")
-    in_context = F.exists("context", lambda c: F.col("body").contains(c))
-    hits = hits.withColumn("__at", at).filter(found & (~F.col("needs_context") | in_context))
-    best = hits.groupBy("ord", "entity_id", "type", "tier").agg(F.max(F.struct(F.length("alias").alias("n"), F.col("alias"), F.col("body").contains(f" {params.context_phrase} ").alias("phrase"))).alias("m"))
-    allowed = F.max(((F.col("type") != "stakeholder") | (F.col("m.phrase") & F.lit(bool(params.context_phrase)))).cast("int")).over(Window.partitionBy("ord")) == 1
+    hits = entity_hits(docs.select("ord", "text"), entities, params)
+    best = hits.groupBy("ord", "entity_id", "type", "tier").agg(F.max(F.struct(F.length("alias").alias("n"), F.col("alias"))).alias("m"), F.max("phrase").alias("phrase"))
+    allowed = F.max((F.col("type") != "stakeholder") | F.col("phrase")).over(Window.partitionBy("ord"))
     return best.withColumn("allowed", allowed).filter("allowed").select("ord", "entity_id", "type", "tier", F.col("m.alias").alias("matched_alias"))
 
 
@@ -118,30 +146,31 @@ def assess_relevance(articles: DataFrame, entities: DataFrame, sources: DataFram
     """ord, include_as_news, include_as_sentiment, reason, entity_ids of each article.
 
     articles may have hints (entity ids that their feed stands for); they count like names in the text, but not in the title.
+    Texts are matched once, titles as a part of them, and judged before anything is joined, so that no text is shuffled.
     """
-
-    def ids(text: Column, name: str, hinted: bool = False) -> DataFrame:
-        found = match_entities(articles.select("ord", text.alias("text")), entities, params).filter("type <> 'stakeholder'").select("ord", "entity_id")
-        if hinted and "hints" in articles.columns:
-            known = entities.filter("type <> 'stakeholder'").select("entity_id")
-            found = found.union(articles.select("ord", F.explode("hints").alias("entity_id")).join(small(known), "entity_id", "left_semi").select("ord", "entity_id"))
-        return found.groupBy("ord").agg(F.array_sort(F.collect_set("entity_id")).alias(name))
-
-    rows = source_tier(articles, sources, params)
-    rows = rows.join(ids(F.col("title"), "in_title"), "ord", "left").join(ids(F.concat_ws(" ", "title", "description"), "in_text", hinted=True), "ord", "left")
+    both_texts = F.concat_ws(" ", "title", "description")
+    hits = entity_hits(articles.select("ord", both_texts.alias("text"), F.col("title").alias("part")), entities, params).filter("type <> 'stakeholder'").select("ord", "entity_id", "in_part")
+    if "hints" in articles.columns:
+        known = entities.filter("type <> 'stakeholder'").select("entity_id")
+        hinted = articles.select("ord", F.explode("hints").alias("entity_id")).join(small(known), "entity_id", "left_semi").select("ord", "entity_id", F.lit(False).alias("in_part"))
+        hits = hits.union(hinted)
+    found = hits.groupBy("ord").agg(F.array_sort(F.collect_set("entity_id")).alias("in_text"), F.max("in_part").alias("named"))
     title = normalize_text(F.col("title"))
     both = F.trim(F.concat_ws(" ", title, normalize_text(F.col("description"))))
-    official = F.col("official") | (F.col("tier") == 0)
-    question = any_of(title, params.public_question)
-    public = F.col("channel") == "public-conversation"
-    named = F.coalesce(F.size("in_title"), F.lit(0)) > 0
+    price = any_of(title, params.price_move)
+    judged = articles.select(
+        "ord", "official", "host", (F.col("channel") == "public-conversation").alias("public"), any_of(title, params.public_question).alias("question"), any_of(title, params.routine_market).alias("routine"),
+        F.when(price, ~any_of(both, params.corporate_event)).otherwise(price).alias("price_alone"),
+    )
+    rows = source_tier(judged, sources, params).join(found, "ord", "left")
+    official, public, named = F.col("official") | (F.col("tier") == 0), F.col("public"), F.coalesce("named", F.lit(False))
     reason = (
         F.when(F.coalesce(F.size("in_text"), F.lit(0)) == 0, "no_entity")
-        .when(public & question, "public_question")
+        .when(public & F.col("question"), "public_question")
         .when(public & named, "public_sentiment_only")
         .when(public, "weak_public_context")
-        .when(any_of(title, params.routine_market) & ~official, "routine_market_advice")
-        .when(any_of(title, params.price_move) & ~any_of(both, params.corporate_event) & ~official, "price_movement_without_event")
+        .when(F.col("routine") & ~official, "routine_market_advice")
+        .when(F.col("price_alone") & ~official, "price_movement_without_event")
         .when(~named & ~official, "entity_only_in_snippet")
         .when(official, "official")
         .otherwise("direct_entity_news")

@@ -9,6 +9,8 @@ from evidence_engine.functions import scores as S
 from evidence_engine.functions.text import clamp, fnv36, normalize_text, round_half_up
 from evidence_engine.operators.articles import small
 from evidence_engine.params import DEFAULT, Params
+from evidence_engine.plans.materialize import materialize
+from evidence_engine.plans.ordered import first_per_key
 
 
 def hours_before(column: str, now: Column) -> Column:
@@ -58,39 +60,57 @@ def _sum_bits(columns: list[str], weights: list[float]) -> Column:
     return sum((F.when(F.col(columns[i // 60]).bitwiseAND(F.lit(1 << (i % 60))) != 0, F.lit(w)).otherwise(F.lit(0)) for i, w in enumerate(weights)), F.lit(0))
 
 
-def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, entities: DataFrame, now: Column, params: Params = DEFAULT) -> DataFrame:
+def _lexicons(params: Params) -> dict[str, dict[str, float]]:
+    """Terms and weights of materiality (m) and certainty (c)."""
+    return {"m": dict(params.materiality), "c": {**dict.fromkeys(params.certainty_up, 4), **dict.fromkeys(params.certainty_down, -6)}}
+
+
+def event_features(articles: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """articles without description, and what events take from their texts: tone, bits of the terms, immediate, categories.
+
+    A text is normalised once and judged where it is read, so that only numbers go on to joins and groups.
+    """
+    rows = articles.withColumn("body", normalize_text(F.concat_ws(" ", "title", "description")))
+    bits = {f"{k}{i}": c for k, terms in _lexicons(params).items() for i, c in enumerate(_bits(F.col("body"), list(terms)))}
+    kinds = {f"cat{i}": F.col("body").rlike(p) for i, (_, p) in enumerate(params.categories)}
+    kept = [c for c in articles.columns if c != "description"]
+    return rows.select(*kept, S.media_tone(F.col("body"), params).alias("tone"), F.col("body").rlike(params.immediate).alias("immediate"), *[c.alias(n) for n, c in {**bits, **kinds}.items()])
+
+
+def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, entities: DataFrame, now: Column, params: Params = DEFAULT, texts: DataFrame | None = None) -> DataFrame:
     """Clusters to events. members(cluster_id, ord, title, description, url, host, published_at, channel, official, engagement).
 
-    matches(ord, entity_id, type, tier) are the entities of each article's text, tiers(ord, tier) its source's tier. A
-    cluster's terms and entities are those of its media articles, united by partial aggregation; no cluster's text is
-    ever gathered. Clusters without media article or non-stakeholder entity give no event. Public items count for
-    sentiment only. entities(entity_id, name, position): the first by position that is no stakeholder leads. sources are the
-    addresses of the first 16 items, media before public ones, by tier, newest first.
+    Instead of the description members may have the columns of event_features; texts(ord, description) then give the
+    descriptions of the leads. matches(ord, entity_id, type, tier) are the entities of each article's text, tiers(ord, tier)
+    its source's tier. A cluster's terms and entities are those of its media articles, united by partial aggregation; no
+    cluster's text is ever gathered. Clusters without media article or non-stakeholder entity give no event. Public items
+    count for sentiment only. entities(entity_id, name, position): the first by position that is no stakeholder leads.
+    sources are the addresses of the first 16 items, media before public ones, by tier, newest first.
     """
+    if texts is None:
+        texts, members = members.select("ord", "description"), event_features(members, params)
     rows = members.join(tiers.withColumnRenamed("tier", "source_tier"), "ord").withColumn("public", F.col("channel") == "public-conversation")
-    rows = rows.withColumn("body", normalize_text(F.concat_ws(" ", "title", "description"))).withColumn("tone", S.media_tone(F.col("body"), params))
+    rows = materialize(rows)
     media = rows.filter("not public")
-    weighted = list(params.materiality.items())
-    words = {**dict.fromkeys(params.certainty_up, 4), **dict.fromkeys(params.certainty_down, -6)}
-    sets = {"m": [t for t, _ in weighted], "c": list(words)}
-    columns = {f"{k}{i}": c for k, terms in sets.items() for i, c in enumerate(_bits(F.col("body"), terms))}
+    sets = _lexicons(params)
+    columns = [f"{k}{i}" for k, terms in sets.items() for i in range(max(1, -(-len(terms) // 60)))]
     is_official = F.col("official") | (F.col("source_tier") == 0)
     rank = F.struct("source_tier", (-F.coalesce(F.unix_micros("published_at"), F.lit(0))).alias("late"), "ord")
-    agg = [F.bit_or(c).alias(n) for n, c in columns.items()]
     per = media.groupBy("cluster_id").agg(
-        *agg,
-        F.min_by("title", rank).alias("headline"),
-        F.min_by("description", rank).alias("lead_text"),
+        *[F.bit_or(c).alias(c) for c in columns],
+        F.min(F.struct(*[rank[c].alias(c) for c in ("source_tier", "late", "ord")], "title")).alias("lead"),
         F.min_by(F.when(is_official, F.col("title")), F.when(is_official, rank)).alias("official_title"),
         F.min_by(F.when(~is_official, F.col("title")), F.when(~is_official, rank)).alias("other_title"),
         F.min("source_tier").alias("best_tier"),
         F.max(is_official).alias("official"),
         F.avg("tone").alias("mean_tone"),
-        F.max(F.col("body").rlike(params.immediate)).alias("immediate"),
+        F.max("immediate").alias("immediate"),
         F.min("published_at").alias("published_at"),
         F.max("published_at").alias("updated_at"),
-        *[F.max(F.col("body").rlike(p)).alias(f"cat{i}") for i, (_, p) in enumerate(params.categories)],
+        *[F.max(f"cat{i}").alias(f"cat{i}") for i in range(len(params.categories))],
     )
+    per = per.withColumns({"headline": F.col("lead.title"), "lead_ord": F.col("lead.ord")}).drop("lead")
+    per = per.join(texts.select(F.col("ord").alias("lead_ord"), F.col("description").alias("lead_text")), "lead_ord", "left").drop("lead_ord")
     named = media.select("cluster_id", "ord").join(matches.select("ord", "entity_id", "type", F.col("tier").alias("entity_tier")), "ord")
     named = named.join(small(entities.select("entity_id", "name", "position")), "entity_id", "left")
     people = F.when(F.col("type") == "person", F.lit(5) - F.coalesce("entity_tier", F.lit(4))).otherwise(0)
@@ -105,11 +125,12 @@ def derive_events(members: DataFrame, matches: DataFrame, tiers: DataFrame, enti
     )
     mood = public_sentiment(rows.filter("public"), "cluster_id", F.col("tone"), F.col("engagement"), F.col("host"))
     mood = mood.select("cluster_id", F.col("score").alias("public_score"), F.col("sample_size").alias("public_n"))
-    place = F.row_number().over(Window.partitionBy("cluster_id").orderBy("public", "source_tier", F.col("published_at").desc(), "ord"))
-    first = rows.select("cluster_id", "url", place.alias("place")).filter(F.col("place") <= 16)
+    by = ["public", "source_tier", F.col("published_at").desc(), "ord"]
+    first = first_per_key(rows.select("cluster_id", "url", "public", "source_tier", "published_at", "ord"), ["cluster_id"], by, 16, F.col("ord"))
     links = first.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "url"))), lambda x: x["url"]), " ").alias("sources"))
     events = per.join(who.filter("primary > 0"), "cluster_id").join(momentum(media, now), "cluster_id").join(mood, "cluster_id", "left").join(links, "cluster_id", "left")
     parts = {k: [n for n in columns if n[0] == k] for k in sets}
+    weighted, words = list(sets["m"].items()), sets["c"]
     entity = F.element_at(F.array(*[F.lit(x) for x in (24, 18, 13, 8, 3, 0)]), F.least(F.coalesce("entity_tier", F.lit(4)), F.lit(5)) + 1)
     source = F.when(F.col("best_tier") == 0, 18).when(F.col("best_tier") == 1, 10).when(F.col("best_tier") == 2, 5).otherwise(0)
     breadth = F.least(F.lit(18.0), F.log2(F.greatest(F.lit(1), F.col("n_domains")).cast("double")) * 7)

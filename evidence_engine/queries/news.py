@@ -205,11 +205,11 @@ def observation_sentiment(spark: SparkSession, d: str) -> DataFrame:
 def events(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: articles to scored events."""
     rows, _, _, labels = _clustered(spark, d)
-    members = materialize(rows.join(labels, "ord"))
+    members = E.event_features(rows, LEXICON).join(labels, "ord")
     texts = rows.select("ord", F.concat_ws(" ", "title", "description").alias("text"))
     found = A.match_entities(texts, X.entities(spark), LEXICON)
-    tiers = A.source_tier(rows, X.sources(spark, d), LEXICON).select("ord", "tier")
-    return E.derive_events(members, found, tiers, X.entities(spark), X.now(), LEXICON)
+    tiers = A.source_tier(rows.select("ord", "host"), X.sources(spark, d), LEXICON).select("ord", "tier")
+    return E.derive_events(members, found, tiers, X.entities(spark), X.now(), LEXICON, rows.select("ord", "description"))
 
 
 _SCORES = f"""
