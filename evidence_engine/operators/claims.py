@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import canonical_url, domain_of, normalize_text, stable_id
 from evidence_engine.plans.materialize import materialize
+from evidence_engine.plans.pairs import meet
 
 #: Shared tokens over the smaller set from which two facts may contradict each other.
 OVERLAP = 0.45
@@ -116,7 +117,9 @@ def contradictions(facts: DataFrame, overlap: float = OVERLAP, negation: str = N
     """facts(claim_id, scope, text) -> id, a, b, overlap: pairs of a scope that share tokens but differ in a negation cue.
 
     Equal texts of a scope are one node. When the smaller set shares ceil(overlap n) of its n tokens, one of its rarest
-    n - ceil(overlap n) + 1 is shared; so those of the smaller meet all of the larger.
+    n - ceil(overlap n) + 1 is shared; so those of the smaller meet all of the larger, where sizes and cues allow it, and a
+    pair is kept if from its first common token on both still have as many tokens as it must share. Words that many facts
+    of a scope have are dealt in blocks, so a scope of any size runs in many tasks.
     """
     cue = F.lower("text").rlike(negation)
     words = F.array_sort(F.array_distinct(F.filter(F.split(normalize_text(F.col("text"), "claim"), " "), lambda w: F.length(w) >= 4)))
@@ -124,10 +127,15 @@ def contradictions(facts: DataFrame, overlap: float = OVERLAP, negation: str = N
     rows = materialize(rows.groupBy("scope", "words", "cue").agg(F.min("claim_id").alias("claim_id")))
     each = rows.select("claim_id", "scope", "cue", F.size("words").alias("n"), F.explode("words").alias("word"))
     seen = each.groupBy("scope", "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(seen, ["scope", "word"]).withColumn("rank", F.row_number().over(Window.partitionBy("claim_id", "scope", "cue").orderBy("df", "word")))
-    short = ranked.filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * overlap - 1e-9) + 1)
-    left, right = short.select("scope", "word", F.col("claim_id").alias("x"), F.col("cue").alias("cx"), F.col("n").alias("nx")), each.select("scope", "word", F.col("claim_id").alias("y"), F.col("cue").alias("cy"), F.col("n").alias("ny"))
-    pairs = left.join(right, ["scope", "word"]).filter((F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny"))).select("scope", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ranked = each.join(seen, ["scope", "word"]).withColumn("at", F.row_number().over(Window.partitionBy("claim_id", "scope", "cue").orderBy("df", "word")))
+    ranked = materialize(ranked.drop("df"))
+    need = F.ceil(F.col("nx") * overlap - 1e-9)
+    left, right = (ranked.select("scope", "word", *[F.col(c).alias(f"{short}{k}") for c, short in (("claim_id", "id"), ("cue", "c"), ("n", "n"), ("at", "at"))]) for k in "xy")
+    met = meet(left.filter(F.col("atx") <= F.col("nx") - need + 1), right, ["scope", "word"], F.col("idx"), F.col("idy"))
+    met = met.filter((F.col("cx") != F.col("cy")) & (F.col("nx") <= F.col("ny")))
+    left_over = F.least(F.col("nx") - F.col("atx"), F.col("ny") - F.col("aty")) + 1
+    first = met.filter(F.least("atx", "aty") - 1 + left_over >= need).groupBy("scope", "idx", "idy").agg(F.min(F.struct("atx", left_over.alias("left"), need.alias("need"))).alias("first"))
+    pairs = first.filter("first.left >= first.need").select("scope", F.least("idx", "idy").alias("a"), F.greatest("idx", "idy").alias("b")).distinct()
     wa, wb = (rows.select("scope", F.col("claim_id").alias(k), F.col("words").alias(f"w{k}")) for k in "ab")
     scored = pairs.join(wa, ["scope", "a"]).join(wb, ["scope", "b"]).withColumn("overlap", F.size(F.array_intersect("wa", "wb")) / F.least(F.size("wa"), F.size("wb")))
     return scored.filter(F.col("overlap") >= overlap).select(stable_id(F.lit("contradiction"), F.col("a"), F.col("b")).alias("id"), "a", "b", "overlap")
