@@ -234,11 +234,37 @@ def claim_history(claims: DataFrame, links: DataFrame, evidence: DataFrame, corr
     return rows.select("claim_id", F.coalesce(F.try_element_at("corrections", F.lit(-1))["text"], F.col("text")).alias("current_text"), *lists)
 
 
+#: Lanes of a fingerprint, of 64 bits each; four from one SHA-256.
+LANES = 16
+
+
 def content_fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: rows and two 64-bit sums over the hash of each row, whatever their order."""
-    digest = F.sha2(F.to_json(F.struct(*columns)), 256)
-    halves = [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)") for i in range(2)]
-    return df.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(h), F.lit(0)).cast("string").alias(f"sum{i}") for i, h in enumerate(halves)])
+    """One row: rows and lanes (array of LANES decimals), a hash of the rows as a multiset, whatever their order.
+
+    Each row gives LANES numbers of 64 bits; the lanes are their sums modulo 2**64. So the fingerprint of a table follows from
+    that of an earlier one and the rows that have gone and come (changed_fingerprint), without the table.
+    """
+    body = F.to_json(F.struct(*columns))
+    digests = df.select(*[F.sha2(F.concat(body, F.lit(f"|{k}")), 256).alias(f"d{k}") for k in range(LANES // 4)])
+    lanes = [F.conv(F.substring(f"d{i // 4}", 1 + 16 * (i % 4), 16), 16, 10).cast("decimal(20,0)") for i in range(LANES)]
+    summed = digests.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(F.sum(x), F.lit(0)).alias(f"s{i}") for i, x in enumerate(lanes)])
+    return summed.select("rows", F.array(*[_in_lane(F.col(f"s{i}")) for i in range(LANES)]).alias("lanes"))
+
+
+def _in_lane(x: Column) -> Column:
+    return F.pmod(x.cast("decimal(38,0)"), F.lit(str(2**64)).cast("decimal(38,0)")).cast("decimal(20,0)")
+
+
+def changed_fingerprint(before: DataFrame, gone: DataFrame, come: DataFrame) -> DataFrame:
+    """The fingerprint of a table from that before a change and those of the rows that have gone and come."""
+    signs = [part.select((F.lit(sign) * F.col("rows")).alias("rows"), F.transform("lanes", lambda x: F.lit(sign) * x.cast("decimal(38,0)")).alias("lanes")) for part, sign in ((before, 1), (gone, -1), (come, 1))]
+    three = signs[0].union(signs[1]).union(signs[2]).agg(F.sum("rows").alias("rows"), *[F.sum(F.col("lanes")[i]).alias(f"s{i}") for i in range(LANES)])
+    return three.select("rows", F.array(*[_in_lane(F.col(f"s{i}")) for i in range(LANES)]).alias("lanes"))
+
+
+def fingerprint_text() -> Column:
+    """A fingerprint as 64 hexadecimal digits."""
+    return F.sha2(F.concat_ws("|", F.col("rows").cast("string"), F.array_join(F.transform("lanes", lambda x: x.cast("string")), "|")), 256)
 
 
 #: What a generation is known by: when it was made, what it covers, what it was made from, and its content.

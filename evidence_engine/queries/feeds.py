@@ -11,6 +11,7 @@ from evidence_engine import fixtures as X
 from evidence_engine.fixtures import with_views
 from evidence_engine.operators.events import public_sentiment
 from evidence_engine.params import SOURCE_CLASS
+from evidence_engine.plans.buckets import read_table
 from evidence_engine.plans.materialize import shared_dir
 from evidence_engine.plans.merge import merge_table
 from evidence_engine.queries import sqltext as T
@@ -125,13 +126,31 @@ def format_article(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "title", (F.col("url") != "#").alias("linked"), "domain", "published_at", "source_name", "provider", "channel")
 
 
-@query("k3_stream_momentum", "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+_SPAN_SQL = ", ".join(f"(SELECT count(*) FROM e WHERE e.event_type = p.event_type AND e.pane <= p.pane AND e.pane > p.pane - INTERVAL {h} HOUR) AS n{h}" for h in K.SPANS)
+
+
+@query("k3_stream_momentum", f"WITH e AS (SELECT event_type, date_trunc('hour', ts) AS pane FROM events), p AS (SELECT DISTINCT event_type, pane FROM e) SELECT event_type, pane, {_SPAN_SQL} FROM p")
 def stream_momentum(spark: SparkSession, d: str) -> DataFrame:
+    """The last 6, 12, 24 and 48 hours of each kind, all from one state of panes of an hour."""
+    place = _place(spark)
+    X.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").repartition(3).write.parquet(f"{place}/in")
+    stream = K.table_stream(spark, f"{place}/in", files_per_batch=1).withWatermark("ts", "40 days")
+    return K.momentum_spans(K.drain(K.stream_panes(stream, "ts", "event_type"), f"{place}/run", "complete"), "event_type")
+
+
+@query("k5_stream_new_since_visit", """SELECT e.user_id, e.event_id, e.ts, min(v.ts) AS visit_at FROM events e JOIN events v ON e.user_id = v.user_id AND v.event_type = 'signup' AND v.ts >= e.ts
+WHERE e.event_type <> 'signup' GROUP BY e.user_id, e.event_id, e.ts""")
+def stream_new_since_visit(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ups are a user's visits, the other rows events; both come in shuffled batches, and a last row moves the watermark on."""
     place = _place(spark)
-    X.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type").write.parquet(f"{place}/in")
-    stream = K.table_stream(spark, f"{place}/in").withWatermark("ts", "1 hour")
-    rows = K.stream_momentum(stream, "ts", "event_type", "1 day")
-    return K.drain(rows, f"{place}/run", "complete")
+    rows = X.table(spark, d, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    for name, kept in (("events", "event_type <> 'signup'"), ("visits", "event_type = 'signup'")):
+        rows.filter(kept).drop("event_type").repartition(3, F.xxhash64("event_id")).write.parquet(f"{place}/{name}")
+    end = rows.agg(F.max("ts").alias("last")).select(F.lit(-1).cast("long").alias("user_id"), F.lit(-1).cast("long").alias("event_id"), (F.col("last") + F.expr("INTERVAL 99 DAYS")).alias("ts"))
+    for name in ("events", "visits"):
+        end.coalesce(1).write.mode("append").parquet(f"{place}/{name}")
+    events, visits = (K.table_stream(spark, f"{place}/{name}", files_per_batch=1) for name in ("events", "visits"))
+    return K.drain(K.stream_new_since_visit(events, visits.select("user_id", F.col("ts").alias("at")), "40 days"), f"{place}/run").filter("user_id >= 0")
 
 
 @query("k2_stream_dedupe", with_views("SELECT count(DISTINCT regexp_replace(url, '[?#].*$', '')) AS items FROM raw_items", "articles", "raw_items"))
@@ -142,11 +161,13 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return K.drain(K.stream_dedupe(stream).select("item_key"), f"{place}/run").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("k8_stream_source_health", with_views("SELECT source_id, CAST(check_date AS VARCHAR) AS check_date, item_count, CASE WHEN NOT ok THEN 'failed' ELSE 'below_minimum' END AS alert FROM checks WHERE NOT ok OR item_count < 2", "checks"))
+@query("k8_stream_source_health", with_views("""+ v AS (SELECT source_id, CAST(check_date AS VARCHAR) AS check_date, item_count,
+CASE WHEN NOT ok THEN 'failed' WHEN item_count < source_id % 3 THEN 'below_minimum' WHEN item_count < source_id % 12 * 0.2::DOUBLE THEN 'degraded' END AS alert FROM checks) SELECT * FROM v WHERE alert IS NOT NULL""", "checks"))
 def stream_source_health(spark: SparkSession, d: str) -> DataFrame:
+    """Checks against baselines that differ by source, so that every kind of alert comes up."""
     place, c = _place(spark), X.checks(spark, d)
     c.write.parquet(f"{place}/checks")
-    base = c.select("source_id").distinct().select("source_id", F.lit(0).alias("typical"), F.lit(2).alias("minimum"))
+    base = c.select("source_id").distinct().select("source_id", (F.col("source_id") % 12).alias("typical"), (F.col("source_id") % 3).alias("minimum"))
     rows = K.drain(K.stream_source_health(K.table_stream(spark, f"{place}/checks"), base), f"{place}/run")
     return rows.select("source_id", F.col("check_date").cast("string").alias("check_date"), "item_count", "alert")
 
@@ -156,6 +177,6 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     place = _place(spark)
     X.served(spark, d).select("event_id", "materiality").repartition(4).write.parquet(f"{place}/in")
     stream = K.table_stream(spark, f"{place}/in", files_per_batch=2)
+    schema = spark.read.parquet(f"{place}/in").schema
     stream.writeStream.foreachBatch(K.upsert_batches(f"{place}/table", ["event_id"])).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    latest = spark.read.option("basePath", f"{place}/table").parquet(f"{place}/table").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{place}/table/version={latest}")
+    return read_table(spark, f"{place}/table", schema)

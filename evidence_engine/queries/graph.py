@@ -277,26 +277,53 @@ def upsert_events(spark: SparkSession, d: str) -> DataFrame:
 _JSON = """'{"claim_id":' || claim_id || ',"event_id":' || event_id || ',"kind":"' || kind || '","lifecycle":"' || lifecycle || '"}'"""
 
 
-@query("i9_content_fingerprint", with_views(f"""+ h AS (SELECT sha256({_JSON}) AS h FROM claims)
-SELECT count(*) AS "rows", CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS sum0, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS sum1 FROM h""", "claims"))
+_PRINTED = ["claim_id", "event_id", "kind", "lifecycle"]
+
+
+def _print_sql(view: str) -> str:
+    """SQL of the fingerprint of a view: n, lanes, content."""
+    lanes = ", ".join(f"(sum(CAST('0x' || substr(sha256(j || '|{i // 4}'), {1 + 16 * (i % 4)}, 16) AS UBIGINT)::HUGEINT) % 18446744073709551616)::VARCHAR" for i in range(C.LANES))
+    return f"(SELECT n, lanes, sha256(n || '|' || lanes) AS content FROM (SELECT count(*) AS n, concat_ws('|', {lanes}) AS lanes FROM (SELECT {_JSON} AS j FROM {view})))"
+
+
+def _told(fingerprint: DataFrame) -> DataFrame:
+    return fingerprint.select("rows", F.array_join(F.transform("lanes", lambda x: x.cast("string")), "|").alias("lanes"), C.fingerprint_text().alias("content"))
+
+
+@query("i9_content_fingerprint", with_views(f"""SELECT n AS "rows", lanes, content FROM {_print_sql("claims")}""", "claims"))
 def content_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return C.content_fingerprint(X.claims(spark, d), ["claim_id", "event_id", "kind", "lifecycle"])
+    return _told(C.content_fingerprint(X.claims(spark, d), _PRINTED))
 
 
-def generation(spark: SparkSession, d: str, attempt: int, prefix: str = "") -> DataFrame:
-    """The head of a generation whose content is the number of claims."""
+_MERGED = "SELECT claim_id, event_id, kind, CASE WHEN claim_id % 3 = 0 THEN 'closed' ELSE lifecycle END AS lifecycle FROM claims WHERE claim_id % 2 = 0 OR claim_id % 3 = 0"
+
+
+@query("i9_changed_fingerprint", with_views(f"""+ merged AS ({_MERGED}) SELECT n AS "rows", lanes, content FROM {_print_sql("merged")}""", "claims"))
+def changed_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    """The fingerprint after a merge, from the one before it and the rows that changed."""
+    c = X.claims(spark, d)
+    old, new = c.filter("claim_id % 2 = 0"), c.filter("claim_id % 3 = 0").withColumn("lifecycle", F.lit("closed"))
+    gone = old.join(new.select("claim_id"), "claim_id", "left_semi")
+    return _told(C.changed_fingerprint(*[C.content_fingerprint(rows, _PRINTED) for rows in (old, gone, new)]))
+
+
+def generation(claims: DataFrame, attempt: int, prefix: str = "") -> DataFrame:
+    """The head of a generation whose content is the fingerprint of its claims."""
     made = {"generated_at": "2024-01-30T23:30:00Z", "window_start": "2024-01-01T00:00:00Z", "window_end": "2024-01-30T23:00:00Z", "source_commit": "a" * 40, "source_repository": None, "source_run": "7", "source_attempt": str(attempt)}
-    n = X.claims(spark, d).agg(F.sha2(F.count(F.lit(1)).cast("string"), 256).alias(f"{prefix}content"))
+    n = C.content_fingerprint(claims, _PRINTED).select(C.fingerprint_text().alias(f"{prefix}content"))
     return n.withColumns({prefix + k: F.lit(v).cast("string") for k, v in made.items()})
 
 
 _GENERATION = """'generated_at=2024-01-30T23:30:00Z' || chr(10) || 'window_start=2024-01-01T00:00:00Z' || chr(10) || 'window_end=2024-01-30T23:00:00Z' || chr(10) || 'source_commit=' || repeat('a', 40) || chr(10) || 'source_repository=' || chr(0)
-|| chr(10) || 'source_run=7' || chr(10) || 'source_attempt=' || {} || chr(10) || 'content=' || sha256(count(*)::VARCHAR)"""
+|| chr(10) || 'source_run=7' || chr(10) || 'source_attempt=' || {} || chr(10) || 'content=' || {}.content"""
 
 
-@query("i9_compare_generations", with_views(f"""SELECT 'source_attempt' AS field, '1' AS published, '2' AS expected UNION ALL SELECT 'generation_id', sha256({_GENERATION.format(1)}), sha256({_GENERATION.format(2)}) FROM claims""", "claims"))
+@query("i9_compare_generations", with_views(f"""+ kept AS (SELECT * FROM claims WHERE lifecycle <> 'closed'), a AS {_print_sql("claims")}, b AS {_print_sql("kept")}
+SELECT unnest(['source_attempt', 'content', 'generation_id']) AS field, unnest(['1', a.content, sha256({_GENERATION.format(1, "a")})]) AS published, unnest(['2', b.content, sha256({_GENERATION.format(2, "b")})]) AS expected FROM a, b""", "claims"))
 def compare_generations(spark: SparkSession, d: str) -> DataFrame:
-    return C.compare_generations(generation(spark, d, 1), generation(spark, d, 2))
+    """All claims against those that are not closed, made by another attempt."""
+    c = X.claims(spark, d)
+    return C.compare_generations(generation(c, 1), generation(c.filter("lifecycle <> 'closed'"), 2))
 
 
 @query("i8_graph_gate", with_views("""SELECT 'orphan_evidence' AS rule, count(*) AS violations FROM evidence WHERE tier = 1 UNION ALL SELECT 'evidence_count', CASE WHEN count(*) FILTER (tier = 1) > 0 THEN 1 ELSE 0 END FROM evidence
@@ -304,7 +331,7 @@ UNION ALL SELECT unnest(['publishable', 'unsupported_material', 'fresh', 'event_
 def graph_gate(spark: SparkSession, d: str) -> DataFrame:
     c, e = X.claims(spark, d), X.evidence(spark, d)
     declared = c.agg(F.count(F.lit(1)).alias("claims"), F.countDistinct("event_id").alias("events"), F.count_if(F.col("kind").isNull()).alias("unsupported_material")).crossJoin(e.agg(F.count(F.lit(1)).alias("evidence")))  # rows of one
-    head = declared.crossJoin(generation(spark, d, 1, "input_")).withColumns({
+    head = declared.crossJoin(generation(c, 1, "input_")).withColumns({
         "publishable": F.lit(True), "generated_at": F.lit("2024-01-31T00:00:00Z"), "source_commit": F.lit("a" * 40), "input_events": F.col("events"), "named_generated_at": F.col("input_generated_at"), "named_commit": F.lit("a" * 40), "named_run": F.lit("7"), "named_attempt": F.lit("2"),
         "input_generation_id": C.generation_id("input_"),
     })

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from evidence_engine.functions.text import canonical_url
-from evidence_engine.plans.merge import merge_table
+from evidence_engine.plans.buckets import BUCKETS, upsert
 
 
 #: State of several variables needs a store with column families.
@@ -33,11 +33,24 @@ def stream_dedupe(stream: DataFrame) -> DataFrame:
     return stream.withColumn("item_key", canonical_url(F.col("url"))).dropDuplicatesWithinWatermark(["item_key"])
 
 
-def stream_momentum(stream: DataFrame, column: str, key: str, width: str = "24 hours", slide: str | None = None) -> DataFrame:
-    """Items of each key in windows of event time."""
-    span = F.window(column, width, slide) if slide else F.window(column, width)
-    rows = stream.groupBy(span.alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.col("w.start").alias("window_start"), key, "n")
+#: Hours of the spans that momentum looks back over.
+SPANS = (6, 12, 24, 48)
+
+
+def stream_panes(stream: DataFrame, column: str, key: str) -> DataFrame:
+    """Items of each key in hours of event time: key, pane (its start), n. The one state that all spans are made from."""
+    rows = stream.groupBy(F.window(column, "1 hour").alias("w"), key).agg(F.count(F.lit(1)).alias("n"))
+    return rows.select(key, F.col("w.start").alias("pane"), "n")
+
+
+def momentum_spans(panes: DataFrame, key: str, spans: Sequence[int] = SPANS) -> DataFrame:
+    """key, pane, n<hours>...: for each hour with items, those of the last hours that end with it, from panes alone.
+
+    A key has at most one pane an hour, however many items.
+    """
+    hour = F.col("pane").cast("timestamp").cast("long")
+    along = Window.partitionBy(key).orderBy(hour)
+    return panes.select(key, "pane", *[F.sum("n").over(along.rangeBetween(-(h - 1) * 3600, 0)).alias(f"n{h}") for h in spans])
 
 
 class _Baseline(StatefulProcessor):
@@ -77,25 +90,58 @@ def stream_baseline(checks: DataFrame, last: int = 30) -> DataFrame:
 
 
 class _Visits(StatefulProcessor):
-    """Keeps when a user last came; passes on the events since then."""
+    """Keeps a user's visits and events until the watermark has passed a visit; then tells what was new at it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "at timestamp")
+        self.handle = handle
+        self.visits = handle.getListState("visits", "at timestamp")
+        self.events = handle.getListState("events", "event_id long, ts timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        at = pd.Timestamp(self.seen.get()[0]) if self.seen.exists() else None
-        new = pd.concat(list(rows)).sort_values("ts")
-        out = new if at is None else new[new["ts"] > at]
-        self.seen.update((new["ts"].max().to_pydatetime(),))
-        yield out[["user_id", "event_id", "ts"]]
+        for part in rows:
+            for event_id, ts, visit in part[["event_id", "ts", "visit"]].itertuples(index=False):
+                at = ts.to_pydatetime()
+                if visit:
+                    self.visits.appendValue((at,))
+                    self.handle.registerTimer(int(ts.value // 1_000_000) + 1)
+                else:
+                    self.events.appendValue((int(event_id), at))
+        yield pd.DataFrame({"user_id": [], "event_id": [], "ts": [], "visit_at": []}).astype({"user_id": "int64", "event_id": "int64", "ts": "datetime64[ns]", "visit_at": "datetime64[ns]"})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        visits = sorted({pd.Timestamp(v[0]) for v in self.visits.get()}) if self.visits.exists() else []
+        done = [v for v in visits if v < now]
+        if done:
+            held = [(i, pd.Timestamp(t)) for i, t in self.events.get()] if self.events.exists() else []
+            told = [(key[0], i, t, next(v for v in done if v >= t)) for i, t in held if t <= done[-1]]
+            for state, left in ((self.events, [(i, t.to_pydatetime()) for i, t in held if t > done[-1]]), (self.visits, [(v.to_pydatetime(),) for v in visits if v >= now])):
+                state.put(left) if left else state.clear()
+            yield pd.DataFrame(told, columns=["user_id", "event_id", "ts", "visit_at"])
 
     def close(self) -> None:
         pass
 
 
-def stream_new_since_visit(events: DataFrame) -> DataFrame:
-    """events(user_id, event_id, ts) as a stream -> those newer than the user's last seen one."""
-    return _with_state(events).groupBy("user_id").transformWithStateInPandas(_Visits(), "user_id long, event_id long, ts timestamp", "append", "none")
+def stream_new_since_visit(events: DataFrame, visits: DataFrame, late: str = "96 hours") -> DataFrame:
+    """events(user_id, event_id, ts) and visits(user_id, at) as streams -> user_id, event_id, ts, visit_at.
+
+    What was new at a visit is what came after the visit before it. A visit is told of when the watermark has passed it, so
+    an event counts for the first visit at or after its own time, whatever batches the two came in. The two inputs are one
+    keyed stream with one state. A user's state holds what came since the last visit told.
+    """
+    columns = ["user_id", "event_id", "ts", "visit"]
+    both = events.withColumn("visit", F.lit(False)).select(columns).unionByName(visits.select("user_id", F.lit(None).cast("long").alias("event_id"), F.col("at").alias("ts"), F.lit(True).alias("visit")))
+    both = _with_state(both.withWatermark("ts", late))
+    return both.groupBy("user_id").transformWithStateInPandas(_Visits(), "user_id long, event_id long, ts timestamp, visit_at timestamp", "append", "eventtime")
+
+
+def new_since_visit(events: DataFrame, visits: DataFrame) -> DataFrame:
+    """The same of two tables: each event with the user's first visit at or after it; events after the last visit are not told."""
+    asks = events.select("user_id", "ts", "event_id", F.lit(None).cast("timestamp").alias("visit_at"))
+    both = asks.unionByName(visits.select("user_id", F.col("at").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.col("at").alias("visit_at")))
+    after = Window.partitionBy("user_id").orderBy("ts", F.col("visit_at").isNotNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    return both.withColumn("visit_at", F.first("visit_at", ignorenulls=True).over(after)).filter("event_id IS NOT NULL AND visit_at IS NOT NULL").select("user_id", "event_id", "ts", "visit_at")
 
 
 def stream_conversation_attach(media: DataFrame, public: DataFrame, within: str = "24 hours", late: str = "96 hours") -> DataFrame:
@@ -112,18 +158,16 @@ def stream_source_health(checks: DataFrame, baselines: DataFrame) -> DataFrame:
     return rows.withColumn("alert", verdict).filter("alert IS NOT NULL").select("source_id", "check_date", "item_count", "alert")
 
 
-def upsert_batches(path: str, key: list[str], **rules) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: merge each batch into versions of a table under path, once for each batch id.
+def upsert_batches(path: str, key: list[str], buckets: int = BUCKETS, **rules) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: merge each batch into the bucketed table under path, once for each batch id (see plans/buckets.py).
 
-    version=<batch id> holds the table after that batch; a batch that comes again rewrites its own version from the one before.
     Of rows of one key in a batch the greatest, column by column, counts, so that a rerun gives the same table.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in key]
         new = batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("last")).select(*key, "last.*").select(*batch.columns)
-        merged = new if batch_id == 0 else merge_table(batch.sparkSession.read.parquet(f"{path}/version={batch_id - 1}"), new, key, **rules)
-        merged.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        upsert(path, new, batch_id, key, buckets, **rules)
 
     return run
 

@@ -161,10 +161,10 @@ def test_attach_public_needs_a_common_entity(spark):
 
 
 def test_drain_keeps_the_last_table_of_complete_mode(spark, tmp_path):
-    rows = [("a", datetime.datetime(2024, 1, 1, h)) for h in range(5)] + [("b", datetime.datetime(2024, 1, 2))]
+    rows = [("a", datetime.datetime(2024, 1, 1, 3, h)) for h in range(5)] + [("b", datetime.datetime(2024, 1, 2))]
     spark.createDataFrame(rows, "key string, ts timestamp").repartition(3).write.parquet(f"{tmp_path}/in")
     stream = streams.table_stream(spark, f"{tmp_path}/in", files_per_batch=1)
-    got = streams.drain(streams.stream_momentum(stream, "ts", "key", "1 day"), f"{tmp_path}/run", "complete")
+    got = streams.drain(streams.stream_panes(stream, "ts", "key"), f"{tmp_path}/run", "complete")
     assert {(r.key, r.n) for r in got.collect()} == {("a", 5), ("b", 1)}
 
 

@@ -244,14 +244,3 @@ def test_stream_conversation_attach(spark, tmp_path):
     spark.createDataFrame(public, "item long, token string, said_at timestamp").write.parquet(str(tmp_path / "p"))
     joined = streams.stream_conversation_attach(streams.table_stream(spark, str(tmp_path / "m")), streams.table_stream(spark, str(tmp_path / "p")))
     assert {(r.ord, r.item) for r in streams.drain(joined, str(tmp_path / "run")).collect()} == {(1, 7), (2, 9)}
-
-
-def test_stream_new_since_visit(spark, tmp_path):
-    rows = [(1, i, NOW + dt.timedelta(hours=i)) for i in range(4)]
-    table = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp").coalesce(1)
-    table.write.parquet(str(tmp_path / "in"))
-    stream = streams.stream_new_since_visit(streams.table_stream(spark, str(tmp_path / "in")))
-    assert streams.drain(stream, str(tmp_path / "run")).count() == 4
-    table.unionByName(spark.createDataFrame([(1, 9, NOW + dt.timedelta(hours=9))], table.schema)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    again = streams.drain(streams.stream_new_since_visit(streams.table_stream(spark, str(tmp_path / "in"))), str(tmp_path / "run"))
-    assert sorted(r.event_id for r in again.collect()) == [0, 1, 2, 3, 9]
