@@ -135,6 +135,32 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from orders with their sources from lines: addresses in several fields, some bad, some repeated with another name, dates and tiers missing."""
+    n, k = F.col("l_linenumber"), F.col("l_orderkey").cast("string")
+    source = F.struct(
+        n.alias("nth"),
+        F.when(n % 4 == 0, F.lit("")).when((n % 4 == 3) | (F.col("l_orderkey") % 7 == 0), "ftp://bad").otherwise(F.concat(F.lit("https://s"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".example.com/"), k, F.lit("?utm_source=x&id=1#top"))).alias("url"),
+        F.when((n % 4 == 0) & (F.col("l_orderkey") % 7 != 0), F.concat(F.lit("https://link.example.com/"), k)).alias("link"),
+        F.when(n % 2 == 1, F.concat(F.lit("A"), (F.col("l_suppkey") % 3).cast("string"))).alias("authority"),
+        F.when(n != 6, F.concat(F.lit("N"), (F.col("l_suppkey") % 3).cast("string"))).alias("name"),
+        F.when(n % 2 == 1, F.col("l_shipdate").cast("date").cast("string")).alias("published_at"),
+        F.when(n % 3 != 0, (F.col("l_suppkey") % 4).cast("int")).alias("tier"),
+        (n == 6).alias("official"),
+    )
+    sources = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(source)).alias("sources"))
+    o = F.col("o_orderkey")
+    text = F.concat(F.lit("Order "), o.cast("string"), F.lit(" is "), "o_orderpriority")
+    facts = F.when(o % 4 == 0, F.array(F.lit("Stated twice"), F.lit("Stated twice"), F.lit(""), text))
+    return table(spark, sf_dir, "orders").join(sources, F.col("l_orderkey") == o, "left").select(
+        o.alias("event_id"), F.concat(F.lit("Order "), o.cast("string")).alias("headline"), F.concat(F.lit("Order "), o.cast("string")).alias("title"),
+        F.when(o % 3 == 0, F.concat(F.lit("https://events.example.com/"), o.cast("string"))).alias("url"), F.col("o_orderdate").cast("date").cast("string").alias("published_at"),
+        F.when(o % 4 == 1, F.concat(text, F.lit(" see https://x.example.com/a now."))).otherwise("").alias("summary"), facts.alias("facts"),
+        F.when(o % 5 == 0, F.array(F.lit("It may grow"), F.lit(None).cast("string"), F.lit("Or not"))).alias("interpretations"), F.array(F.concat(F.lit("e"), (o % 9).cast("string")), F.lit("e1")).alias("entity_ids"),
+        F.when(o % 6 == 0, "closed").alias("lifecycle"), F.when(o % 2 == 0, "confirmed").alias("status"), "sources",
+    )
+
+
 def reference_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("o_orderpriority")
     kind = F.when(p == "1-URGENT", "critical").when(p == "2-HIGH", "high").when(p == "3-MEDIUM", "medium").otherwise("low")
@@ -190,6 +216,13 @@ SQL: dict[str, str] = {
         o_orderdate AS observed_at, CASE WHEN o_orderstatus = 'F' THEN 'closed' ELSE 'observed' END AS lifecycle FROM orders""",
     "evidence": """SELECT l_orderkey AS claim_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS evidence_id, CAST(l_suppkey % 4 AS INT) AS tier,
         CASE WHEN l_linenumber = 3 THEN 'ftp://bad' ELSE 'https://s' || l_suppkey || '.example.com/' || l_orderkey END AS url FROM lineitem""",
+    "reported": """SELECT o_orderkey AS event_id, 'Order ' || o_orderkey AS title, CASE WHEN o_orderkey % 3 = 0 THEN 'https://events.example.com/' || o_orderkey END AS url, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS published_at,
+        CASE WHEN o_orderkey % 4 = 1 THEN 'Order ' || o_orderkey || ' is ' || o_orderpriority || ' see https://x.example.com/a now.' END AS summary,
+        CASE WHEN o_orderkey % 4 = 0 THEN ['Stated twice', 'Stated twice', 'Order ' || o_orderkey || ' is ' || o_orderpriority] END AS facts,
+        CASE WHEN o_orderkey % 5 = 0 THEN ['It may grow', 'Or not'] END AS interpretations, CASE WHEN o_orderkey % 6 = 0 THEN 'closed' WHEN o_orderkey % 2 = 0 THEN 'confirmed' ELSE 'observed' END AS lifecycle FROM orders""",
+    "reporting": """SELECT l_orderkey AS event_id, l_linenumber AS nth, CASE WHEN l_orderkey % 7 = 0 OR l_linenumber % 4 = 3 THEN NULL WHEN l_linenumber % 4 = 0 THEN 'https://link.example.com/' || l_orderkey
+        ELSE 'https://s' || l_orderkey % 50 || '.example.com/' || l_orderkey || '?id=1' END AS address, CASE WHEN l_linenumber % 2 = 1 THEN 'A' || l_suppkey % 3 WHEN l_linenumber <> 6 THEN 'N' || l_suppkey % 3 ELSE 'Unknown source' END AS authority,
+        CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS own_date, CAST(CASE WHEN l_linenumber % 3 <> 0 THEN l_suppkey % 4 WHEN l_linenumber = 6 THEN 0 ELSE 3 END AS INT) AS tier, l_linenumber = 6 AS official FROM lineitem""",
     "reference_events": """SELECT o_orderkey AS ref_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' ELSE 'low' END AS materiality
         FROM orders WHERE o_orderkey % 7 <> 0""",
     "detections": "SELECT o_orderkey AS event_id, CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_orderkey END AS ref_id FROM orders WHERE o_orderstatus <> 'P'",

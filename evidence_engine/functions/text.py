@@ -53,7 +53,7 @@ def normalize_text(text: Column, variant: str = "title") -> Column:
         return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
     body = fold(text)
     if variant == "claim":
-        return F.trim(F.regexp_replace(body, "[^a-z0-9]+", " "))
+        return F.trim(F.regexp_replace(F.regexp_replace(body, r"https?://\S+", " "), "[^a-z0-9]+", " "))
     if variant == "registry":
         body = F.regexp_replace(F.regexp_replace(body, "&", " and "), "[^a-z0-9]+", " ")
         return _squeeze(F.regexp_replace(body, r"\b(limited|ltd|private|pvt|plc|inc|corporation|corp)\b", " "))

@@ -16,28 +16,82 @@ OVERLAP = 0.45
 NEGATION = r"\b(not|no|never|denied|denies|without|false|cancelled|rejected)\b"
 
 
-def build_evidence(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Evidence rows with a traceable address: id of event and address, domain, address, tier; the last duplicate wins."""
-    rows = evidence.join(claims.select("claim_id", "event_id"), "claim_id").withColumn("address", canonical_url(F.col("url"), "traceable")).filter("address IS NOT NULL")
-    rows = rows.withColumn("id", stable_id(F.lit("evidence"), F.col("event_id"), F.col("address")))
-    return rows.groupBy("id").agg(F.max_by(F.struct("event_id", "address", "tier"), "evidence_id").alias("e")).select("id", "e.*").withColumn("domain", domain_of(F.col("address")))
+def _first_of(row: Column | None, names: Sequence[str], known: Sequence[str]) -> list[Column]:
+    """The fields of a struct (or columns, without one) that there are, as texts; empty ones as null."""
+    return [F.nullif((F.col(n) if row is None else row[n]).cast("string"), F.lit("")) for n in names if n in known]
+
+
+def build_evidence(events: DataFrame) -> DataFrame:
+    """One row for each source of an event with a traceable address: id, event_id, authority, title, address, domain, published_at, tier, official, provider, source_id.
+
+    events(event_id, sources (array of structs), and, as far as there are such columns, title, url, published_at, latest_at,
+    source_name, source). A source may have url, link, source_url; authority, name, source_name, publisher, domain;
+    published_at, pub_date; tier, official, title, provider, source_id: the first that is given counts, then the event's. A
+    tier that is missing is 0 for official sources, else 3. An event none of whose sources has a traceable address has its
+    own address as evidence. The id is made of event, address, authority and date; of equal ids the last source counts.
+    """
+    known, given = {f.name for f in events.schema["sources"].dataType.elementType.fields}, set(events.columns)
+    none = F.lit(None).cast("string")
+    date = _first_of(None, ["published_at", "latest_at"], given)
+    title = _first_of(None, ["title"], given)
+
+    def told(source: Column) -> Column:
+        def first(*names: str, rest: Sequence[Column] = ()) -> Column:
+            return F.coalesce(*_first_of(source, names, known), *rest, none)
+
+        official = F.coalesce(source["official"], F.lit(False)) if "official" in known else F.lit(False)
+        tier = F.coalesce(*([source["tier"].cast("int")] if "tier" in known else []), F.when(official, 0).otherwise(3))
+        return F.struct(
+            canonical_url(first("url", "link", "source_url", rest=_first_of(None, ["url"], given)), "traceable").alias("address"),
+            first("authority", "name", "source_name", "publisher", "domain", rest=[F.lit("Unknown source")]).alias("authority"),
+            first("published_at", "pub_date", rest=date).alias("published_at"), first("title", rest=title).alias("title"), tier.alias("tier"), (official | (tier == 0)).alias("official"),
+            first("provider").alias("provider"), first("source_id").alias("source_id"),
+        )
+
+    own = F.struct(
+        canonical_url(F.coalesce(*_first_of(None, ["url"], given), none), "traceable").alias("address"), F.coalesce(*_first_of(None, ["source_name", "source"], given), F.lit("Unknown source")).alias("authority"),
+        F.coalesce(*date, none).alias("published_at"), F.coalesce(*title, none).alias("title"), F.lit(3).alias("tier"), F.lit(False).alias("official"), none.alias("provider"), none.alias("source_id"),
+    )
+    good = F.filter(F.transform(F.coalesce("sources", F.array().cast(events.schema["sources"].dataType)), told), lambda s: s["address"].isNotNull())
+    rows = events.select("event_id", good.alias("good"), F.filter(F.array(own), lambda s: s["address"].isNotNull()).alias("own"))
+    rows = rows.select("event_id", F.posexplode(F.when(F.size("good") > 0, F.col("good")).otherwise(F.col("own"))).alias("nth", "e")).select("event_id", "nth", "e.*")
+    rows = rows.withColumn("id", stable_id(F.lit("evidence"), F.col("event_id"), F.col("address"), F.col("authority"), F.col("published_at")))
+    columns = ["event_id", "authority", "title", "address", "published_at", "tier", "official", "provider", "source_id"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*columns), "nth").alias("e")).select("id", "e.*").withColumn("domain", domain_of(F.col("address")))
 
 
 def build_claims(events: DataFrame) -> DataFrame:
-    """events(event_id, facts, interpretations, summary, headline) -> one row for each claim: id, kind, text, sequence.
+    """One row for each claim: claim_id, event_id, kind, sequence (from 1), text, normalized_text, entity_ids, observed_at, lifecycle, version.
 
-    Facts are those given, else the summary, else the headline.
+    events(event_id, facts, interpretations (arrays of texts), summary, headline, and, as far as there are such columns,
+    entity_ids, latest_at, published_at, created_at, lifecycle, status, version). Facts are those given, else the summary,
+    else the headline; empty texts count as not given. The id is made of event, kind, place (the first has none) and
+    normalised text, so a fact stated twice has two ids.
     """
-    facts = F.when(F.size("facts") > 0, F.col("facts")).otherwise(F.array_compact(F.array(F.coalesce(F.nullif("summary", F.lit("")), F.col("headline")))))
-    rows = events.select("event_id", F.explode(F.array(F.struct(F.lit("fact").alias("kind"), facts.alias("texts")), F.struct(F.lit("interpretation").alias("kind"), F.col("interpretations").alias("texts")))).alias("part"))
-    rows = rows.select("event_id", F.col("part.kind").alias("kind"), F.posexplode("part.texts").alias("sequence", "text"))
-    norm = normalize_text(F.col("text"), "claim")
-    return rows.select(stable_id(F.lit("claim"), F.col("event_id"), F.col("kind"), norm).alias("claim_id"), "event_id", "kind", "sequence", "text", norm.alias("normalized_text"))
+    given = set(events.columns)
+
+    def some(texts: Column) -> Column:
+        return F.filter(F.coalesce(texts, F.array().cast("array<string>")), lambda t: F.coalesce(t, F.lit("")) != "")
+
+    facts = F.when(F.size(some(F.col("facts"))) > 0, some(F.col("facts"))).otherwise(F.array_compact(F.array(F.coalesce(F.nullif("summary", F.lit("")), F.nullif("headline", F.lit(""))))))
+    ids = F.array_distinct(some(F.col("entity_ids"))) if "entity_ids" in given else F.array().cast("array<string>")
+    seen = F.coalesce(*_first_of(None, ["latest_at", "published_at", "created_at"], given), F.lit(None).cast("string"))
+    life = F.coalesce(*_first_of(None, ["lifecycle", "status"], given), F.lit("observed"))
+    version = F.coalesce(F.nullif(F.col("version").cast("int"), F.lit(0)), F.lit(1)) if "version" in given else F.lit(1)
+    parts = F.array(F.struct(F.lit("fact").alias("kind"), facts.alias("texts")), F.struct(F.lit("interpretation").alias("kind"), some(F.col("interpretations")).alias("texts")))
+    rows = events.select("event_id", ids.alias("entity_ids"), seen.alias("observed_at"), life.alias("lifecycle"), version.alias("version"), F.explode(parts).alias("part"))
+    rows = rows.select("*", F.posexplode("part.texts").alias("nth", "text")).withColumn("normalized_text", normalize_text(F.col("text"), "claim"))
+    place = F.when(F.col("nth") > 0, F.col("nth"))
+    return rows.select(
+        stable_id(F.lit("claim"), F.col("event_id"), F.col("part.kind"), place, F.col("normalized_text")).alias("claim_id"), "event_id", F.col("part.kind").alias("kind"), (F.col("nth") + 1).alias("sequence"),
+        F.trim("text").alias("text"), "normalized_text", "entity_ids", "observed_at", "lifecycle", "version",
+    )
 
 
 def claim_sequence(claims: DataFrame) -> DataFrame:
+    """The place of each claim within its event and kind, from 1."""
     nth = F.row_number().over(Window.partitionBy("event_id", "kind").orderBy("observed_at", "claim_id"))
-    return claims.select("claim_id", "event_id", "kind", (nth - 1).alias("sequence"))
+    return claims.select("claim_id", "event_id", "kind", nth.alias("sequence"))
 
 
 def assess_support(claims: DataFrame, evidence: DataFrame) -> DataFrame:

@@ -32,22 +32,32 @@ def query(name: str, sql: str | None = None):
 _DOMAIN = "replace(regexp_extract(url, '^https?://([^/]+)', 1), 'www.', '')"
 
 
-@query("i1_build_evidence", with_views(f"""+ r AS (SELECT substring(sha256('evidence|' || c.event_id || '|' || url), 1, 24) AS id, c.event_id, url AS address, e.tier, {_DOMAIN} AS domain, evidence_id
-  FROM evidence e JOIN claims c USING (claim_id) WHERE url LIKE 'http%')
-SELECT id, arg_max(event_id, evidence_id) AS event_id, arg_max(address, evidence_id) AS address, arg_max(tier, evidence_id) AS tier, arg_max(domain, evidence_id) AS domain FROM r GROUP BY id""", "claims", "evidence"))
+_HOST = "regexp_extract(address, '^https?://([^/]+)/', 1)"
+
+
+@query("i1_build_evidence", with_views(f"""+ s AS (SELECT r.* REPLACE (coalesce(address, CASE WHEN nth % 4 = 0 THEN url END) AS address) FROM reporting r JOIN reported USING (event_id)),
+g AS (SELECT * FROM s WHERE address IS NOT NULL
+  UNION ALL SELECT event_id, 0, url, 'Unknown source', NULL, 3, false FROM reported r WHERE url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.event_id = r.event_id AND address IS NOT NULL)),
+d AS (SELECT g.*, title, coalesce(own_date, published_at) AS published_at FROM g JOIN reported USING (event_id)),
+i AS (SELECT *, substring(sha256(concat_ws('|', 'evidence', event_id, address, authority, published_at)), 1, 24) AS id FROM d)
+SELECT id, event_id, authority, title, address, {_HOST} AS domain, published_at, arg_max(tier, nth * 10 + tier) AS tier, arg_max(official OR tier = 0, nth * 10 + tier) AS official FROM i GROUP BY id, event_id, authority, title, address, published_at""", "reported", "reporting"))
 def build_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return C.build_evidence(X.claims(spark, d), X.evidence(spark, d))
+    return C.build_evidence(X.reported(spark, d)).drop("provider", "source_id")
+
+
+_CLAIMED = f"""+ p AS (SELECT event_id, 'fact' AS kind, published_at, lifecycle, coalesce(facts, [coalesce(summary, title)]) AS texts FROM reported UNION ALL SELECT event_id, 'interpretation', published_at, lifecycle, interpretations FROM reported WHERE interpretations IS NOT NULL),
+u AS (SELECT event_id, kind, published_at, lifecycle, unnest(texts) AS text, generate_subscripts(texts, 1) AS sequence FROM p),
+n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(translate(text, {T.quoted(T.ACCENTED)}, {T.quoted(T.PLAIN)})), 'https?://\\S+', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS normalized_text FROM u)
+SELECT substring(sha256(concat_ws('|', 'claim', event_id, kind, nullif(sequence - 1, 0), nullif(normalized_text, ''))), 1, 24) AS claim_id, event_id, kind, CAST(sequence AS INT) AS sequence, text, normalized_text,
+  CASE WHEN event_id % 9 = 1 THEN 'e1' ELSE 'e' || event_id % 9 || ',e1' END AS entity_ids, published_at AS observed_at, lifecycle, 1 AS version FROM n"""
 
 
-@query("i2_build_claims", with_views(f"""+ p AS (SELECT event_id, 'fact' AS kind, 0 AS sequence, headline AS text FROM served UNION ALL SELECT event_id, 'interpretation', 0, bucket FROM served),
-n AS (SELECT *, trim(regexp_replace(lower(translate(text, {T.quoted(T.ACCENTED)}, {T.quoted(T.PLAIN)})), '[^a-z0-9]+', ' ', 'g')) AS normalized_text FROM p)
-SELECT substring(sha256(concat_ws('|', 'claim', event_id, kind, nullif(normalized_text, ''))), 1, 24) AS claim_id, event_id, kind, sequence, text, normalized_text FROM n""", "served"))
+@query("i2_build_claims", with_views(_CLAIMED, "reported"))
 def build_claims(spark: SparkSession, d: str) -> DataFrame:
-    e = X.served(spark, d).select("event_id", "headline", F.lit("").alias("summary"), F.array().cast("array<string>").alias("facts"), F.array("bucket").alias("interpretations"))
-    return C.build_claims(e)
+    return C.build_claims(X.reported(spark, d)).withColumn("entity_ids", F.array_join("entity_ids", ","))
 
 
-@query("f7_claim_sequence", with_views("SELECT claim_id, event_id, kind, CAST(row_number() OVER (PARTITION BY event_id, kind ORDER BY observed_at, claim_id) - 1 AS INT) AS sequence FROM claims", "claims"))
+@query("f7_claim_sequence", with_views("SELECT claim_id, event_id, kind, CAST(row_number() OVER (PARTITION BY event_id, kind ORDER BY observed_at, claim_id) AS INT) AS sequence FROM claims", "claims"))
 def claim_sequence(spark: SparkSession, d: str) -> DataFrame:
     return C.claim_sequence(X.claims(spark, d))
 
