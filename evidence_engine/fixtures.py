@@ -105,6 +105,32 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored events with their texts, sources and entities: some without summary or source, some with bad addresses, scores out of range or unknown entities."""
+    k, words = F.col("doc_id"), F.split(F.trim("text"), r"\s+")
+    texts = table(spark, sf_dir, "documents").select(k.alias("event_id"), F.array_join(F.slice(words, F.lit(13), (k % 90 + 20).cast("int")), " ").alias("summary"))
+    e, address = F.col("event_id"), F.concat(F.lit("https://e"), (F.col("event_id") % 40).cast("string"), F.lit(".example.com/"), F.col("source"))
+    day = F.expr("CAST(CAST(date_sub(CAST(published_at AS DATE), CAST(event_id % 5 AS INT)) AS TIMESTAMP) AS STRING)")
+    first = F.struct(F.when(e % 31 == 0, "ftp://bad").otherwise(address).alias("url"), F.lit("first").alias("name"), F.when(e % 4 == 0, "not a date").otherwise(day).alias("published_at"))
+    second = F.struct(F.concat(F.lit("https://all.example.com/"), F.col("source")).alias("url"), F.lit("second").alias("name"), F.lit(None).cast("string").alias("published_at"))
+    sources = F.when(e % 37 == 0, F.array().cast("array<struct<url:string,name:string,published_at:string>>")).otherwise(F.array(first, second))
+    return served(spark, sf_dir).join(texts, "event_id").select(
+        "*", F.concat(F.lit("Why "), "source").alias("why"), F.when(e % 3 == 0, "Reputation").when(e % 29 != 0, "Corporate").alias("category"), F.concat(F.lit("name of "), "entity_id").alias("names"), F.array("status", "bucket").alias("flags"),
+        sources.alias("sources"), F.array("entity_id", F.concat(F.lit("x"), (e % 2).cast("string"))).alias("entity_ids"), (e * 3 % 105).cast("int").alias("narrative_alignment"),
+        F.element_at(F.array(*[F.lit(x) for x in ("new-update", "tracking", "developing", "case-study", "stable", "no-change")]), (e % 6 + 1).cast("int")).alias("watch_state"),
+    )
+
+
+def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of sources from nations, and of parent domains from regions, in that order."""
+    k = F.col("n_nationkey")
+    kinds = F.array(*[F.lit(x) for x in ("official", "regulator", "major-media", "regional", "", "ratings")])
+    own = table(spark, sf_dir, "nation").select(k.alias("registry_ord"), F.concat(F.lit("s"), (k * 2).cast("string"), F.lit(".example.com")).alias("domain"), F.col("n_name").alias("name"), (k % 4).cast("int").alias("tier"), F.element_at(kinds, (k % 6 + 1).cast("int")).alias("class"), (k % 9 != 0).alias("active"))
+    r = F.col("r_regionkey")
+    parents = table(spark, sf_dir, "region").select((r + 100).alias("registry_ord"), F.when(r == 0, "example.com").otherwise(F.concat(F.lit("r"), r.cast("string"), F.lit(".org"))).alias("domain"), F.col("r_name").alias("name"), F.lit(2).alias("tier"), F.lit("specialist-media").alias("class"), F.lit(True).alias("active"))
+    return own.unionByName(parents)
+
+
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("source_id"), F.to_date("ts").alias("check_date")).agg(
@@ -208,6 +234,12 @@ SQL: dict[str, str] = {
         CAST(n_chars % 7 + 1 AS INT) AS source_count, CAST(doc_id % 23 AS INT) AS sample_size,
         CASE WHEN doc_id * 13 % 101 >= 82 THEN 'confirmed' WHEN doc_id * 13 % 101 >= 62 THEN 'strong' ELSE 'developing' END AS status,
         'e' || doc_id % 9 AS entity_id, source, {_STAMP} AS published_at, {_STAMP} + to_hours(CAST(n_chars % 30 AS INTEGER)) AS updated_at FROM documents""",
+    "told": r"""SELECT s.*, array_to_string((string_split_regex(trim(d.text), '\s+'))[13:32 + doc_id % 90], ' ') AS summary, 'Why ' || s.source AS why, CASE WHEN event_id % 3 = 0 THEN 'Reputation' WHEN event_id % 29 <> 0 THEN 'Corporate' END AS category,
+        'name of ' || entity_id AS names, status || ' ' || bucket AS flags, CASE WHEN event_id % 31 = 0 THEN 'ftp://bad' ELSE 'https://e' || event_id % 40 || '.example.com/' || s.source END AS url1, 'https://all.example.com/' || s.source AS url2, event_id % 37 = 0 AS bare,
+        CASE WHEN event_id % 4 <> 0 AND event_id % 37 <> 0 THEN CAST(CAST(published_at AS DATE) - CAST(event_id % 5 AS INT) AS TIMESTAMP) END AS first_date, CAST(event_id * 3 % 105 AS INT) AS narrative_alignment,
+        ['new-update', 'tracking', 'developing', 'case-study', 'stable', 'no-change'][event_id % 6 + 1] AS watch_state FROM served s JOIN documents d ON doc_id = event_id""",
+    "registry": """SELECT n_nationkey AS registry_ord, 's' || n_nationkey * 2 || '.example.com' AS domain, n_name AS name, CAST(n_nationkey % 4 AS INT) AS tier, ['official', 'regulator', 'major-media', 'regional', '', 'ratings'][n_nationkey % 6 + 1] AS class, n_nationkey % 9 <> 0 AS active FROM nation
+        UNION ALL SELECT 100 + r_regionkey, CASE WHEN r_regionkey = 0 THEN 'example.com' ELSE 'r' || r_regionkey || '.org' END, r_name, 2, 'specialist-media', true FROM region""",
     "checks": """SELECT user_id AS source_id, CAST(ts AS DATE) AS check_date, count(*) FILTER (WHERE event_type <> 'error') AS item_count,
         count(*) FILTER (WHERE event_type = 'error') < count(*) AS ok, user_id % 10 = 0 AS tier0 FROM events GROUP BY ALL""",
     "observations": """SELECT event_id AS obs_id, user_id AS event_key, event_type AS platform, CAST(floor(value) AS INTEGER) % 201 - 100 AS tone_score,

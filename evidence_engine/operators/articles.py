@@ -18,6 +18,17 @@ def small(dimension: DataFrame) -> DataFrame:
     return F.broadcast(dimension) if dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dimension
 
 
+def union_feeds(*feeds: DataFrame | None) -> DataFrame:
+    """The items of all feeds that could be read (None: could not), with the feed's place as job_idx; columns that a feed lacks are null."""
+    read = [feed.withColumn("job_idx", F.lit(i)) for i, feed in enumerate(feeds) if feed is not None]
+    if not read:
+        raise ValueError("no feed could be read")
+    every = read[0]
+    for feed in read[1:]:
+        every = every.unionByName(feed, allowMissingColumns=True)
+    return every
+
+
 def first_wins(items: DataFrame, order: list[str]) -> DataFrame:
     """One item for each canonical address, else title and date: the first by order. Items without address or title go."""
     key = F.coalesce(F.nullif(canonical_url(F.col("url")), F.lit("")), F.concat_ws("|", "title", F.col("published_at").cast("string")))

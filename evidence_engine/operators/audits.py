@@ -48,10 +48,31 @@ def pass_streak(ledger: DataFrame) -> DataFrame:
 WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
 
 
+#: The fields in which a system event may name the references that it stands for.
+REFERENCE_FIELDS = ("reference_id", "reference_ids", "matches", "matched_reference_ids", "benchmark_reference_ids")
+
+
+def _reference_id(value: Column) -> Column:
+    return F.lower(F.trim(value.cast("string")))
+
+
+def reference_ids(events: DataFrame) -> DataFrame:
+    """(event_id, ref_id): the distinct references of each event, trimmed and lower-cased, from whichever REFERENCE_FIELDS it has; each may be one value or an array."""
+    named = []
+    for c in REFERENCE_FIELDS:
+        if c in events.columns:
+            one = events.schema[c].dataType.typeName() != "array"
+            named.append(F.coalesce(F.array(F.col(c).cast("string")) if one else F.col(c).cast("array<string>"), F.array().cast("array<string>")))
+    ids = F.filter(F.transform(F.concat(*named), _reference_id), lambda x: F.coalesce(x, F.lit("")) != "")
+    return events.select("event_id", F.explode(F.array_distinct(ids)).alias("ref_id"))
+
+
 def match_references(references: DataFrame, detections: DataFrame) -> DataFrame:
-    """Each reference with whether anything detected it."""
-    hit = detections.select("ref_id").distinct().withColumn("hit", F.lit(True))
-    return references.join(hit, "ref_id", "left").withColumn("detected", F.coalesce("hit", F.lit(False))).drop("hit")
+    """Each reference with whether anything detected it. detections(event_id, ref_id), or events as reference_ids takes them."""
+    found = detections if "ref_id" in detections.columns else reference_ids(detections)
+    hit = found.select(_reference_id(F.col("ref_id")).alias("__ref")).distinct().withColumn("hit", F.lit(True))
+    rows = references.withColumn("__ref", _reference_id(F.col("ref_id"))).join(hit, "__ref", "left")
+    return rows.withColumn("detected", F.coalesce("hit", F.lit(False))).drop("hit", "__ref")
 
 
 def daily_ledger_entries(evaluation: DataFrame, scans: DataFrame) -> DataFrame:
@@ -190,16 +211,33 @@ def latest_run(runs: DataFrame, by: str = "ingested_at") -> DataFrame:
 
 
 def quality_rules(events: DataFrame, known_entities: DataFrame) -> DataFrame:
-    """(rule, event_id) of each violation of the stored events: enumerations, ranges, references, texts."""
+    """(rule, event_id) of each violation of the stored events: fields, enumerations, lengths, addresses, ranges, references.
+
+    events(event_id, headline, summary, why, bucket, status, category, published_at, updated_at, entity_ids, sources
+    array<struct<url>>, materiality, certainty, momentum, narrative_alignment, tone). A summary has 60 to 100 words. An event
+    counts once for each unknown entity and each bad address.
+    """
+    fields = ("headline", "summary", "why", "bucket", "status", "category", "published_at", "updated_at")
+    n = F.size(F.split(F.trim(F.coalesce("summary", F.lit(""))), r"\s+"))
+    sources = F.coalesce("sources", F.array().cast(events.schema["sources"].dataType))
+
+    def outside(c: str, low: int, high: int) -> Column:
+        return ~F.coalesce(F.col(c).between(low, high), F.lit(False))
+
     rules = {
-        "bucket": ~F.col("bucket").isin("must", "watch", "other"),
-        "status": ~F.col("status").isin("confirmed", "strong", "developing"),
-        "materiality_range": ~F.col("materiality").between(0, 100),
-        "tone_range": ~F.col("tone").between(-100, 100),
-        "headline_missing": F.coalesce("headline", F.lit("")) == "",
+        **{f"{c}_missing": F.coalesce(F.col(c).cast("string"), F.lit("")) == "" for c in fields},
+        "bucket": ~F.coalesce(F.col("bucket").isin("must", "watch", "other"), F.lit(False)),
+        "status": ~F.coalesce(F.col("status").isin("confirmed", "strong", "developing"), F.lit(False)),
+        "summary_length": (n < 60) | (n > 100),
+        "no_source": F.size(sources) == 0,
+        **{f"{c}_range": outside(c, 0, 100) for c in ("materiality", "certainty", "momentum", "narrative_alignment")},
+        "tone_range": outside("tone", -100, 100),
         "date_order": F.col("updated_at") < F.col("published_at"),
     }
-    single = events.select("event_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))).alias("rule")).select("rule", "event_id")
+    broken = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]))
+    bad = F.transform(F.filter(sources, lambda x: ~F.coalesce(x["url"].rlike("^https?://"), F.lit(False))), lambda _: F.lit("source_address"))
+    single = events.select("event_id", F.explode(F.concat(broken, bad)).alias("rule")).select("rule", "event_id")
     twice = events.groupBy("event_id").count().filter("count > 1").select(F.lit("duplicate_id").alias("rule"), "event_id")
-    unknown = events.join(known_entities, "entity_id", "left_anti").select(F.lit("unknown_entity").alias("rule"), "event_id")
+    named = events.select("event_id", F.explode("entity_ids").alias("entity_id"))
+    unknown = named.join(known_entities.select("entity_id"), "entity_id", "left_anti").select(F.lit("unknown_entity").alias("rule"), "event_id")
     return single.union(twice).union(unknown)

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidence_engine.functions.scores import class_from_tier, coverage_group
 from evidence_engine.functions.text import canonical_url, domain_of, normalize_text, stable_id
+from evidence_engine.operators.articles import small
 from evidence_engine.plans.materialize import materialize
 from evidence_engine.plans.pairs import meet
 
@@ -384,8 +386,39 @@ def graph_gate(claims: DataFrame, links: DataFrame, evidence: DataFrame, head: D
     return row.select(F.inline(F.array(F.struct(F.lit("orphan_evidence").alias("rule"), F.col("n_orphans").alias("violations")), *broken)))
 
 
-def source_lookup(evidence: DataFrame, sources: DataFrame, column: str = "address") -> DataFrame:
-    """Distinct domains with their tier: of the evidence, else of the registry."""
-    rows = evidence.select(domain_of(F.col(column)).alias("domain"), "tier").groupBy("domain").agg(F.min("tier").alias("own_tier"), F.count(F.lit(1)).alias("n"))
-    known = sources.select("domain", F.col("tier").alias("registry_tier"))
-    return rows.join(known, "domain", "left").select("domain", F.coalesce("own_tier", "registry_tier", F.lit(3)).alias("tier"), "n")
+def evidence_sources(events: DataFrame, registry: DataFrame, order: Sequence[str] = ("event_id",)) -> DataFrame:
+    """name, domain, tier, class, provider: the distinct sources of events by domain, those without one by name; the first one counts.
+
+    events(event_id, the columns of order, sources array<struct<url, name, tier, provider>>): first is the least by order and
+    place. registry(registry_ord, domain, name, tier, class): a source's entry is the first whose domain is its host or a
+    parent of it. The source's own tier goes before the registry's; the class is the registry's, else the one of the
+    source's own tier.
+    """
+    known = {f.name for f in events.schema["sources"].dataType.elementType.fields}
+    rows = events.select(*[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], F.posexplode("sources").alias("nth", "s"))
+    name = F.nullif(F.col("s.name"), F.lit("")) if "name" in known else F.lit(None).cast("string")
+    web = F.when(F.col("s.url").rlike("(?i)^https?://"), F.col("s.url"))
+    tier = F.col("s.tier").cast("int") if "tier" in known else F.lit(None).cast("int")
+    provider = F.coalesce("s.provider", F.lit("")) if "provider" in known else F.lit("")
+    at = F.struct(*[f"__o{i}" for i in range(len(order))], "nth", name.alias("name"), tier.alias("tier"), provider.alias("provider"))
+    domain = F.coalesce(domain_of(web), F.lit(""))
+    key = F.coalesce(F.nullif(domain, F.lit("")), F.nullif(normalize_text(F.coalesce(name, F.lit("unknown-source"))), F.lit("")))
+    first = rows.select(key.alias("key"), domain.alias("domain"), at.alias("at")).filter("key IS NOT NULL").groupBy("key", "domain").agg(F.min("at").alias("at"))
+    # every suffix of a domain is looked up by equality
+    labels = F.split("domain", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    entry = F.struct("registry_ord", F.col("name").alias("registered"), F.col("tier").alias("registry_tier"), "class")
+    asked = first.filter("domain <> ''").select("key", F.explode(suffixes).alias("suffix"))
+    found = asked.join(small(registry.select(F.col("domain").alias("suffix"), entry.alias("entry"))), "suffix").groupBy("key").agg(F.min("entry").alias("entry"))
+    both = first.join(found, "key", "left")
+    kind = F.coalesce(F.nullif(F.col("entry.class"), F.lit("")), class_from_tier(F.col("at.tier")))
+    return both.select(
+        F.coalesce("at.name", "entry.registered", F.nullif("domain", F.lit("")), F.lit("Unnamed source")).alias("name"), "domain", F.coalesce("at.tier", "entry.registry_tier", F.lit(3)).alias("tier"), kind.alias("class"), F.col("at.provider").alias("provider")
+    ).orderBy("tier", "name")
+
+
+def coverage_snapshot(shown: DataFrame, registry: DataFrame) -> DataFrame:
+    """name, configured, evidenced of the coverage groups that have either: active entries of the registry, and evidence_sources."""
+    active = registry.filter(F.coalesce("active", F.lit(True))) if "active" in registry.columns else registry
+    sides = [rows.select(coverage_group(F.col("class"), F.col("tier")).alias("name"), F.lit(i).alias("side")) for i, rows in enumerate((active, shown))]
+    return sides[0].union(sides[1]).groupBy("name").agg(F.count_if(F.col("side") == 0).alias("configured"), F.count_if(F.col("side") == 1).alias("evidenced"))

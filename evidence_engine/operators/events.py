@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from evidence_engine.functions import scores as S
 from evidence_engine.functions.text import clamp, fnv36, normalize_text, round_half_up
 from evidence_engine.operators.articles import small
+from evidence_engine.operators.validation import finite
 from evidence_engine.params import DEFAULT, Params
 from evidence_engine.plans.materialize import materialize
-from evidence_engine.plans.ordered import first_per_key
+from evidence_engine.plans.ordered import first_per_key, ranks
 
 
 def hours_before(column: str, now: Column) -> Column:
@@ -168,9 +169,16 @@ def material_floor(events: DataFrame, least: int = 35) -> DataFrame:
     return events.filter(F.col("materiality") >= least)
 
 
+def event_text(events: DataFrame) -> Column:
+    """What a search looks through: headline, summary, reason, category, names (with aliases) and flags, as far as there are such columns."""
+    told = [F.col(c) for c in ("headline", "summary", "why", "category", "names") if c in events.columns]
+    return normalize_text(F.concat_ws(" ", *told, *[F.array_join("flags", " ") for c in events.columns if c == "flags"]))
+
+
 def reduce_noise(events: DataFrame, noise: str, keep: str) -> DataFrame:
-    text = normalize_text(F.col("headline"))
-    return events.filter(~text.rlike(noise) | text.rlike(keep))
+    """Without events whose text speaks of noise and of nothing to keep."""
+    rows = events.withColumn("__text", event_text(events))
+    return rows.filter(~F.col("__text").rlike(noise) | F.col("__text").rlike(keep)).drop("__text")
 
 
 def _order() -> list[Column]:
@@ -200,50 +208,101 @@ def latest_events(events: DataFrame, now: Column, days: int = 45, n: int = 250)
 
 
 def brief(events: DataFrame) -> DataFrame:
-    """Each bucket: events, mean materiality, words to read and seconds that takes."""
-    words = F.size(F.filter(F.split("headline", r"\s+"), lambda w: w != "")) + 14
-    rows = events.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(words).alias("words"))
-    return rows.select("bucket", "n", "words", S.reading_seconds(F.col("words")).alias("seconds"))
+    """Each event with its bucket (must, watch, else other), its place there by the order of events, and the size of the bucket."""
+    bucket = F.when(F.col("bucket").isin("must", "watch"), F.col("bucket")).otherwise("other")
+    rows = events.withColumn("part", bucket)
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # three rows
+    placed = ranks(rows.select("event_id", "part", "bucket", "materiality", "updated_at", "published_at"), ["part"], _order())
+    return placed.join(F.broadcast(sizes), "part").select("event_id", "part", "place", "n")
+
+
+def reading_time(events: DataFrame) -> DataFrame:
+    """One row: words (of the summaries of must and watch, and 14 for each) and the seconds that they take; 12 without events."""
+    words = F.size(F.split(F.coalesce("summary", F.lit("-")), r"\s+")) + 14
+    row = events.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("bucket").isin("must", "watch"), words)), F.lit(0)).alias("words"))
+    return row.select("words", F.when(F.col("n") == 0, 12).otherwise(F.greatest(F.lit(20), F.least(F.lit(120), round_half_up(F.col("words") / 3.5)))).alias("seconds"))
+
 
+def entity_sentiment(events: DataFrame, entities: DataFrame, n: int = 7, lowest_tier: int = 2) -> DataFrame:
+    """Tone of each entity up to a tier, weighted by max(1, materiality / 25), 25 where there is none; the n most covered.
 
-def entity_sentiment(events: DataFrame, n: int = 7) -> DataFrame:
-    """Tone of each entity, weighted by max(1, materiality / 25); the n most covered."""
-    w = F.greatest(F.lit(25), F.col("materiality"))
-    rows = events.groupBy("entity_id").agg(round_half_up(F.sum(F.col("tone") * w) / F.sum(w)).alias("value"), F.count(F.lit(1)).alias("n"))
+    events(entity_ids, tone, materiality), entities(entity_id, tier). Ids that no entity has do not count.
+    """
+    w = F.greatest(F.lit(25), F.coalesce(F.nullif("materiality", F.lit(0)), F.lit(25)))
+    named = events.select(F.explode("entity_ids").alias("entity_id"), F.coalesce("tone", F.lit(0)).alias("tone"), w.alias("w"))
+    named = named.join(small(entities.filter(F.col("tier") <= lowest_tier).select("entity_id")), "entity_id", "left_semi")
+    rows = named.groupBy("entity_id").agg(round_half_up(F.sum(F.col("tone") * F.col("w")) / F.sum("w")).alias("value"), F.count(F.lit(1)).alias("n"))
     return rows.orderBy((F.col("n") * 10 + F.abs("value")).desc(), "entity_id").limit(n)
 
 
 def sentiment_rollup(events: DataFrame) -> DataFrame:
-    rows = events.filter("sample_size > 0").agg(F.sum(F.col("tone") * F.col("sample_size")).alias("t"), F.sum("sample_size").alias("sample_size"), F.count_distinct("source").alias("channels"))
-    sure = F.when((F.col("sample_size") >= 50) & (F.col("channels") >= 2), "high").when(F.col("sample_size") >= 12, "medium").otherwise("low")
-    return rows.select(round_half_up(F.col("t") / F.greatest("sample_size", F.lit(1))).alias("score"), "sample_size", "channels", sure.alias("confidence"))
+    """One row over events(public_score, sample_size, channel_count): score, sample_size, channels (the most of one event), confidence."""
+    heard = events.filter(F.col("public_score").isNotNull() & (F.col("sample_size") > 0))
+    rows = heard.agg(F.sum(F.col("public_score") * F.col("sample_size")).alias("t"), F.coalesce(F.sum("sample_size"), F.lit(0)).alias("sample_size"), F.coalesce(F.max(F.coalesce("channel_count", F.lit(0))), F.lit(0)).alias("channels"))
+    sure = F.when(F.col("sample_size") == 0, "unavailable").when((F.col("sample_size") >= 50) & (F.col("channels") >= 2), "high").when(F.col("sample_size") >= 12, "medium").otherwise("low")
+    return rows.select(F.when(F.col("sample_size") > 0, round_half_up(F.col("t") / F.col("sample_size"))).alias("score"), "sample_size", "channels", sure.alias("confidence"))
+
+
+def _occurs(start: Column, end: Column) -> Column:
+    return F.coalesce(F.col("published_at").between(start, end), F.lit(False)) | F.coalesce(F.col("updated_at").between(start, end), F.lit(False))
 
 
 def period_compare(events: DataFrame, start: Column, end: Column) -> DataFrame:
-    """This period against the one before it, of the same length, in one scan."""
-    length = end.cast("long") - start.cast("long")
-    before = F.timestamp_seconds(start.cast("long") - length)
-    now_, was = (F.col("published_at") > start) & (F.col("published_at") <= end), (F.col("published_at") > before) & (F.col("published_at") <= start)
+    """This period against the one before it, of the same length, in one scan. An event is in a period if it was published or changed in it.
+
+    The items of an event are source_count or, if that is more, the number of its sources. Mean tones are rounded before they
+    are compared.
+    """
+    before = F.timestamp_seconds(start.cast("long") * 2 - end.cast("long"))
+    now_, was = _occurs(start, end), _occurs(before, start)
+    items = F.greatest(F.coalesce("source_count", F.lit(0)), F.size("sources")) if "sources" in events.columns else F.coalesce("source_count", F.lit(0))
 
     def delta(value: Column) -> Column:
         return (F.coalesce(F.sum(F.when(now_, value)), F.lit(0)) - F.coalesce(F.sum(F.when(was, value)), F.lit(0))).cast("long")
 
-    tones = F.coalesce(F.avg(F.when(now_, F.col("tone"))), F.lit(0.0)) - F.coalesce(F.avg(F.when(was, F.col("tone"))), F.lit(0.0))
-    return events.agg(delta(F.lit(1)).alias("developments"), delta((F.col("bucket") == "must").cast("int")).alias("must"), delta(F.col("source_count")).alias("source_items"), round_half_up(tones).alias("tone"))
+    def mean(period: Column) -> Column:
+        return round_half_up(F.coalesce(F.avg(F.when(period, F.coalesce("tone", F.lit(0)))), F.lit(0.0)))
 
+    return events.agg(delta(F.lit(1)).alias("developments"), delta((F.col("bucket") == "must").cast("int")).alias("must"), delta(items).alias("source_items"), (mean(now_) - mean(was)).alias("tone"))
 
-def coverage_snapshot(events: DataFrame, sources: DataFrame) -> DataFrame:
-    """Groups of sources (by tier): how many are configured, how many the events show."""
-    configured = sources.groupBy("tier").agg(F.count(F.lit(1)).alias("configured"))
-    shown = events.select(F.col("source").alias("name")).distinct().join(sources, "name").groupBy("tier").agg(F.count(F.lit(1)).alias("evidenced"))
-    both = configured.join(shown, "tier", "full_outer")
-    return both.select("tier", F.coalesce("configured", F.lit(0)).alias("configured"), F.coalesce("evidenced", F.lit(0)).alias("evidenced"))
 
+def watch_status(events: DataFrame, watched: DataFrame, start: Column, end: Column) -> DataFrame:
+    """One row over the watched events (their event_id): updates, developing, stable, total. What did not change in the window is stable."""
+    rows = events.join(watched.select("event_id").distinct(), "event_id", "left_semi")
+    changed, state = _occurs(start, end), F.col("watch_state")
+    return rows.agg(
+        F.count_if(changed & (state == "new-update")).alias("updates"), F.count_if(changed & state.isin("tracking", "developing", "case-study")).alias("developing"),
+        F.count_if(~changed | state.isin("stable", "no-change")).alias("stable"), F.count(F.lit(1)).alias("total"),
+    )
+
+
+def stored_rows(events: DataFrame, now: Column) -> DataFrame:
+    """Accepted events as rows of the store: scores that are finite numbers, else null; when first reported; defaults.
+
+    events(event_id, headline, bucket, status, summary, why, published_at, updated_at, sources array<struct<published_at>>) and,
+    as far as there are such columns, lifecycle, category, source_count, the scores materiality, certainty, momentum,
+    media_tone, sentiment, public_score, reputation_impact, narrative_alignment, and sample_size, channel_count, confidence.
+    First reported is the least date of the sources that is one, else the event's, else now.
+    """
+    given = set(events.columns)
 
-def watch_status(events: DataFrame, watched: list[str], start: Column, end: Column) -> DataFrame:
-    rows = events.filter(F.col("entity_id").isin(watched))
-    updated = F.col("updated_at").between(start, end)
-    return rows.groupBy("entity_id").agg(F.count_if(updated).alias("updates"), F.count_if(F.col("status") == "developing").alias("developing"), F.count_if(~updated).alias("stable"), F.count(F.lit(1)).alias("total"))
+    def text(c: str, otherwise: Column) -> Column:
+        return F.coalesce(F.nullif(F.col(c), F.lit("")), otherwise) if c in given else otherwise
+
+    def score(*names: str) -> Column:
+        return F.coalesce(*[finite(F.col(c)) for c in names if c in given], F.lit(None).cast("double"))
+
+    first = F.array_min(F.transform("sources", lambda s: s["published_at"].try_cast("timestamp")))
+    levels = ("unavailable", "low", "medium", "high")
+    sure = F.when(F.col("confidence").isin(*levels), F.col("confidence")).otherwise("unavailable") if "confidence" in given else F.lit("unavailable")
+    many = F.coalesce(F.nullif(F.col("source_count"), F.lit(0)), F.size("sources")) if "source_count" in given else F.size("sources")
+    tone = score("media_tone", "sentiment")
+    return events.select(
+        "event_id", "headline", "bucket", "status", text("lifecycle", F.when(F.col("status") == "confirmed", "confirmed").otherwise("developing")).alias("lifecycle"), text("category", F.lit("Corporate")).alias("category"), "summary", "why",
+        *[score(c).alias(c) for c in ("materiality", "certainty", "momentum")], tone.alias("sentiment"), tone.alias("media_tone"), score("public_score").alias("public_score"),
+        *[F.coalesce(score(c), F.lit(0.0)).cast("int").alias(c) for c in ("sample_size", "channel_count")], sure.alias("confidence"), *[score(c).alias(c) for c in ("reputation_impact", "narrative_alignment")],
+        many.cast("int").alias("source_count"), F.coalesce(first, "published_at", now).alias("first_reported_at"), F.coalesce("published_at", now).alias("published_at"), F.coalesce("updated_at", now).alias("updated_at"), F.lit(True).alias("is_published"),
+    )
 
 
 def coverage_gaps(events: DataFrame, entities: DataFrame, run: DataFrame, registries: DataFrame) -> DataFrame:

@@ -52,3 +52,18 @@ def first_per_key(rows: DataFrame, key: Sequence[str], order: Sequence[Column |
     near = Window.partitionBy(*key, "__part").orderBy(*order)
     best = rows.withColumn("__part", part).withColumn(place, F.row_number().over(near)).filter(F.col(place) <= most).drop("__part", place)
     return best.withColumn(place, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col(place) <= most)
+
+
+def ranks(rows: DataFrame, key: Sequence[str], order: Sequence[Column | str], place: str = "place", ranges: int | None = None) -> DataFrame:
+    """rows with their place (from 1) within their key by a total order, cut into ranges so that no key is in one task alone.
+
+    Only the sizes of the parts of keys that go on beyond a range are carried, at most one row for each range.
+    """
+    n = ranges or _ranges(rows)
+    cut = materialize(rows.repartitionByRange(n, *key, *order).withColumn("__range", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy(*key, "__range").orderBy(*order)).cast("long")
+    before = Window.partitionBy(*key).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*key, "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.sum("__n").over(before)).filter("__before IS NOT NULL").drop("__n")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*key, "__range")]
+    joined = cut.withColumn(place, inside).alias("a").join(F.broadcast(sizes).alias("b"), same, "left")
+    return joined.select(*[F.col(f"a.{c}") for c in rows.columns], (F.col(f"a.{place}") + F.coalesce("b.__before", F.lit(0))).alias(place))

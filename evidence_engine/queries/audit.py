@@ -62,6 +62,30 @@ def false_positives(spark: SparkSession, d: str) -> DataFrame:
     return A.false_positives(X.reference_events(spark, d), X.detections(spark, d))
 
 
+def spelled(spark: SparkSession, d: str) -> DataFrame:
+    """System events that name their references in five fields, with blanks and capitals."""
+    k = F.col("o_orderkey")
+    r = F.concat(F.lit("R"), k.cast("string"))
+    none = F.lit(None).cast("string")
+    return X.table(spark, d, "orders").filter("o_orderstatus <> 'P'").select(
+        k.alias("event_id"), F.when(k % 5 == 0, F.concat(F.lit(" "), r, F.lit(" "))).alias("reference_id"), F.when(k % 5 == 1, F.array(r, F.lower(r), none, F.lit(""))).alias("reference_ids"), F.when(k % 5 == 2, F.array(F.lit("  "), r)).alias("matches"),
+        F.when(k % 5 == 3, r).alias("matched_reference_ids"), F.when(k % 11 == 0, F.array(F.lit("X-1"), r)).otherwise(F.array(none)).alias("benchmark_reference_ids"),
+    )
+
+
+_SPELLED = "+ n AS (SELECT o_orderkey AS event_id, 'r' || o_orderkey AS ref_id FROM orders WHERE o_orderstatus <> 'P' AND (o_orderkey % 5 < 4 OR o_orderkey % 11 = 0) UNION ALL SELECT o_orderkey, 'x-1' FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 11 = 0)"
+
+
+@query("d11_reference_ids", "WITH" + _SPELLED.removeprefix("+") + " SELECT * FROM n")
+def reference_ids(spark: SparkSession, d: str) -> DataFrame:
+    return A.reference_ids(spelled(spark, d))
+
+
+@query("d11_match_spellings", with_views(_SPELLED + " SELECT 'R' || ref_id AS ref_id, EXISTS (SELECT 1 FROM n WHERE n.ref_id = 'r' || e.ref_id) AS detected FROM reference_events e", "reference_events"))
+def match_spellings(spark: SparkSession, d: str) -> DataFrame:
+    return A.match_references(X.reference_events(spark, d).select(F.concat(F.lit("R"), F.col("ref_id").cast("string")).alias("ref_id")), spelled(spark, d))
+
+
 def history(spark: SparkSession, d: str) -> DataFrame:
     """Ownership and leadership records from orders, with faults at known places."""
     k = F.col("o_orderkey")
@@ -172,7 +196,14 @@ def latest_run(spark: SparkSession, d: str) -> DataFrame:
     return A.latest_run(_runs(spark, d)).select("run_id", "n")
 
 
-@query("e28_quality_rules", with_views(f"SELECT 'unknown_entity' AS rule, event_id FROM served WHERE entity_id = 'e8' UNION ALL SELECT 'headline_missing', event_id FROM served WHERE headline = ''", "served"))
+_OUT = " UNION ALL ".join(f"SELECT '{c}_range' AS rule, event_id FROM told WHERE {c} NOT BETWEEN 0 AND 100" for c in ("materiality", "certainty", "momentum", "narrative_alignment"))
+
+
+@query("e28_quality_rules", with_views(f"""SELECT 'unknown_entity' AS rule, event_id FROM told WHERE entity_id = 'e8' UNION ALL SELECT 'unknown_entity', event_id FROM told WHERE event_id % 2 = 1 UNION ALL {_OUT}
+UNION ALL SELECT 'summary_length', event_id FROM told WHERE len(string_split_regex(trim(summary), '\\s+')) NOT BETWEEN 60 AND 100 UNION ALL SELECT 'headline_missing', event_id FROM told WHERE headline = '' UNION ALL SELECT 'summary_missing', event_id FROM told WHERE summary = ''
+UNION ALL SELECT 'category_missing', event_id FROM told WHERE category IS NULL UNION ALL SELECT 'no_source', event_id FROM told WHERE bare UNION ALL SELECT 'source_address', event_id FROM told WHERE NOT bare AND event_id % 31 = 0
+UNION ALL SELECT 'status', event_id FROM told WHERE event_id % 41 = 0 UNION ALL SELECT 'tone_range', event_id FROM told WHERE tone + 1 > 100""", "served", "told"))
 def quality_rules(spark: SparkSession, d: str) -> DataFrame:
-    e = X.served(spark, d)
-    return A.quality_rules(e, e.filter("entity_id <> 'e8'").select("entity_id").distinct())
+    """Events with an entity of their own and x0 or x1; e8 and x1 are unknown, some have a status and a tone that they may not have."""
+    e = X.told(spark, d).withColumns({"status": F.when(F.col("event_id") % 41 == 0, "none").otherwise(F.col("status")), "tone": F.col("tone") + 1})
+    return A.quality_rules(e, e.filter("entity_id <> 'e8'").select("entity_id").distinct().union(spark.createDataFrame([("x0",)], "entity_id string")))

@@ -296,6 +296,17 @@ def answer(spark: SparkSession, d: str) -> DataFrame:
     return S.answer(asked.select("qid", "text"), _stored(spark, d), mentions, LEXICON)
 
 
+@query("j2_answer_links", f"""WITH a AS ({ORACLES["j2_answer"]}), e AS (SELECT doc_id AS event_id, source FROM documents),
+t AS (SELECT qid, rank, 0 AS nth, 'https://' || source || '.example.com/a' AS url, 'by source' AS name FROM a JOIN e USING (event_id) UNION ALL SELECT qid, rank, 1, 'https://e' || event_id || '.example.com/', 'own' FROM a),
+f AS (SELECT qid, url, min(rank * 10 + nth) AS first, arg_min(name, rank * 10 + nth) AS name FROM t GROUP BY qid, url)
+SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY first) AS INT) AS place, url, name FROM f""")
+def answer_links(spark: SparkSession, d: str) -> DataFrame:
+    """Each event has one source that it shares with others and one of its own."""
+    shared = F.struct(F.concat(F.lit("https://"), "source", F.lit(".example.com/a")).alias("url"), F.lit("by source").alias("name"))
+    own = F.struct(F.concat(F.lit("https://e"), F.col("event_id").cast("string"), F.lit(".example.com/")).alias("url"), F.lit("own").alias("name"))
+    return S.answer_links(answer(spark, d), X.served(spark, d).select("event_id", F.array(shared, own).alias("sources")))
+
+
 @query("g11_latest_decisions", with_views("""SELECT event_id, updated_at AS at, CASE bucket WHEN 'must' THEN 'Must know' WHEN 'watch' THEN 'Watch' ELSE 'Other' END || ': ' || headline AS decision, source_count || CASE WHEN source_count = 1 THEN ' source' ELSE ' sources' END || ' · certainty ' || certainty AS basis,
 CASE WHEN status = 'confirmed' THEN 'Published' ELSE 'Labelled' END AS outcome FROM served ORDER BY updated_at DESC, event_id LIMIT 8""", "served"))
 def latest_decisions(spark: SparkSession, d: str) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from evidence_engine import fixtures as X
 from evidence_engine.fixtures import with_views
-from evidence_engine.functions.text import canonical_url
 from evidence_engine.operators import claims as C
+from evidence_engine.operators.events import stored_rows
+from evidence_engine.operators.validation import validate_events
+from evidence_engine.plans.materialize import materialize
 from evidence_engine.plans.merge import ingest_gate, merge_table, upsert_claim_graph
 from evidence_engine.queries import sqltext as T
 
@@ -276,12 +278,20 @@ def gate_of_ingest(spark: SparkSession, d: str) -> DataFrame:
     return ingest_gate(store, graph | {"evidence": graph["evidence"].filter("tier <> 'new-1'")})
 
 
-@query("a9_upsert_events", with_views("SELECT event_id, materiality, CASE WHEN event_id % 2 = 0 THEN published_at ELSE updated_at END AS first_reported FROM served", "served"))
+_SENT = f"""+ v AS (SELECT *, headline <> '' AND summary <> '' AND NOT bare AND event_id % 31 <> 0 AS good FROM told),
+n AS (SELECT *, sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (PARTITION BY event_id % 3 ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS nth FROM v),
+rows AS (SELECT event_id, headline, bucket, status, CASE WHEN status = 'confirmed' THEN 'confirmed' ELSE 'developing' END AS lifecycle, coalesce(category, 'Corporate') AS category, summary, why, materiality::DOUBLE AS materiality, CASE WHEN event_id % 8 <> 0 THEN certainty::DOUBLE END AS certainty,
+  momentum::DOUBLE AS momentum, tone::DOUBLE AS sentiment, tone::DOUBLE AS media_tone, NULL::DOUBLE AS public_score, sample_size, 0 AS channel_count, 'unavailable' AS confidence, NULL::DOUBLE AS reputation_impact, narrative_alignment::DOUBLE AS narrative_alignment,
+  source_count, coalesce(first_date, published_at) AS first_reported_at, published_at, updated_at, true AS is_published FROM n WHERE good AND nth <= 250)"""
+
+
+@query("a9_upsert_events", with_views(_SENT + """ SELECT * REPLACE (CASE WHEN event_id % 5 <> 0 THEN headline ELSE 'old' END AS headline) FROM rows WHERE event_id % 2 = 0 OR event_id % 5 <> 0""", "served", "told"))
 def upsert_events(spark: SparkSession, d: str) -> DataFrame:
-    e = X.served(spark, d)
-    old = e.filter("event_id % 2 = 0").select("event_id", (F.col("materiality") - 1).alias("materiality"), F.col("published_at").alias("first_reported"))
-    new = e.select("event_id", "materiality", F.col("updated_at").alias("first_reported"))
-    return merge_table(old, new, ["event_id"], insert_only=["first_reported"])
+    """Three calls of events go through the gate and become rows; of these four fifths are merged into a store that holds the even ones."""
+    sent = X.told(spark, d).withColumns({"call": F.col("event_id") % 3, "certainty": F.when(F.col("event_id") % 8 == 0, "none").otherwise(F.col("certainty").cast("string")), "media_tone": F.col("tone")})
+    accepted = validate_events(sent, "call", "event_id", 250).filter("verdict = 'accepted'")
+    rows = materialize(stored_rows(accepted, X.now()))
+    return merge_table(rows.filter("event_id % 2 = 0").withColumn("headline", F.lit("old")), rows.filter("event_id % 5 <> 0"), ["event_id"])
 
 
 _JSON = """'{"claim_id":' || claim_id || ',"event_id":' || event_id || ',"kind":"' || kind || '","lifecycle":"' || lifecycle || '"}'"""
@@ -349,7 +359,24 @@ def graph_gate(spark: SparkSession, d: str) -> DataFrame:
     return C.graph_gate(c, e, e.filter("tier <> 1"), head, F.lit("2024-01-31T02:10:00Z").cast("timestamp"))
 
 
-@query("d15_evidence_sources", with_views(f"SELECT {_DOMAIN} AS domain, min(tier) AS tier, count(*) AS n FROM evidence WHERE url LIKE 'http%' GROUP BY 1", "evidence"))
+_SHOWN = f"""+ l AS (SELECT l_orderkey AS event_id, l_linenumber AS nth, CASE WHEN l_orderkey % 7 <> 0 AND l_linenumber % 4 IN (1, 2) THEN 's' || l_orderkey % 50 || '.example.com' ELSE '' END AS domain, CASE WHEN l_linenumber <> 6 THEN 'N' || l_suppkey % 3 END AS name,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'A' || l_suppkey % 3 END AS authority, CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS own_date, CASE WHEN l_linenumber % 3 <> 0 THEN CAST(l_suppkey % 4 AS INT) END AS tier,
+  CASE WHEN l_orderkey % 7 <> 0 AND l_linenumber % 4 = 0 THEN 'link' END AS link FROM lineitem),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(nullif(domain, ''), lower(name), 'unknown-source') ORDER BY event_id, nth, link NULLS FIRST, authority NULLS FIRST, name NULLS FIRST, own_date NULLS FIRST, tier NULLS FIRST) AS k FROM l) WHERE k = 1),
+e AS (SELECT f.domain, arg_min(r.name, registry_ord) AS rname, arg_min(r.tier, registry_ord) AS rtier, arg_min(r.class, registry_ord) AS class FROM f JOIN registry r ON f.domain = r.domain OR f.domain LIKE '%.' || r.domain GROUP BY f.domain),
+shown AS (SELECT coalesce(f.name, rname, nullif(f.domain, ''), 'Unnamed source') AS name, f.domain, coalesce(f.tier, rtier, 3) AS tier, coalesce(nullif(class, ''), CASE f.tier WHEN 0 THEN 'official' WHEN 1 THEN 'major-media' WHEN 2 THEN 'specialist-media' ELSE 'discovery-index' END) AS class, '' AS provider FROM f LEFT JOIN e ON f.domain = e.domain)"""
+
+
+@query("d15_evidence_sources", with_views(_SHOWN + " SELECT * FROM shown", "registry"))
 def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.evidence(spark, d).withColumn("address", canonical_url(F.col("url"), "traceable")).filter("address IS NOT NULL")
-    return C.source_lookup(rows, X.sources(spark, d))
+    return C.evidence_sources(X.reported(spark, d), X.registry(spark, d))
+
+
+_GROUP = """CASE WHEN class IN ('official', 'official-filing') THEN 'Official company / IR' WHEN class IN ('exchange', 'regulator') THEN 'Exchanges & regulators' WHEN class = 'major-media' THEN 'Major journalism'
+  WHEN class IN ('specialist-media', 'regional') THEN 'Specialist & regional media' WHEN class = 'discovery-index' THEN 'Open discovery' ELSE 'Other evidence' END"""
+
+
+@query("e20_coverage_snapshot", with_views(_SHOWN + f""", c AS (SELECT CASE WHEN class <> '' THEN class WHEN tier = 0 THEN 'official' WHEN tier = 1 THEN 'major-media' WHEN tier = 2 THEN 'specialist-media' ELSE 'discovery-index' END AS class FROM registry WHERE active),
+b AS (SELECT {_GROUP} AS name, 1 AS c, 0 AS v FROM c UNION ALL SELECT {_GROUP}, 0, 1 FROM shown) SELECT name, CAST(sum(c) AS BIGINT) AS configured, CAST(sum(v) AS BIGINT) AS evidenced FROM b GROUP BY name""", "registry"))
+def coverage_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return C.coverage_snapshot(evidence_sources(spark, d), X.registry(spark, d))

@@ -305,43 +305,65 @@ _served("g6_strongest_narrative", lambda e: E.strongest_narrative(e), "event_id,
 _served("g10_latest_events", lambda e: E.latest_events(e, X.now()), "event_id, updated_at", f"WHERE updated_at >= {T.STAMP} - INTERVAL 45 DAYS ORDER BY updated_at DESC, event_id LIMIT 250")
 _served("c4_events_in_window", lambda e: E.events_in_window(e, _stamp("2024-01-10 00:00:00"), _stamp("2024-01-12 00:00:00")), "event_id, published_at, updated_at", "WHERE published_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12' OR updated_at BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12'")
 _served("c5_material_floor", lambda e: E.material_floor(e), "event_id, materiality", "WHERE materiality >= 35")
-_served("c6_reduce_noise", lambda e: E.reduce_noise(e, "und|que", "attion|tion"), "event_id", f"WHERE NOT regexp_matches({T.normalized('headline')}, 'und|que') OR regexp_matches({T.normalized('headline')}, 'attion|tion')")
+_TEXT = T.normalized("concat_ws(' ', headline, summary, why, category, names, flags)")
 
-@query("g13_brief", with_views("""+ w AS (SELECT bucket, len(list_filter(string_split_regex(headline, '\\s+'), lambda x: x <> '')) + 14 AS w FROM served), s AS (SELECT bucket, count(*) AS n, CAST(sum(w) AS BIGINT) AS words FROM w GROUP BY bucket)
-SELECT bucket, n, words, CASE WHEN words = 0 THEN 12 ELSE greatest(20, least(120, CAST(floor(words / 3.5 + 0.5) AS INT))) END AS seconds FROM s""", "served"))
+
+@query("c6_reduce_noise", with_views(f"SELECT event_id FROM told WHERE NOT regexp_matches({_TEXT}, 'und|que|reputation') OR regexp_matches({_TEXT}, 'strong|nhede')", "served", "told"))
+def reduce_noise(spark: SparkSession, d: str) -> DataFrame:
+    return E.reduce_noise(X.told(spark, d), "und|que|reputation", "strong|nhede").select("event_id")
+
+
+@query("g13_brief", with_views("SELECT event_id, bucket AS part, row_number() OVER (PARTITION BY bucket ORDER BY materiality DESC, updated_at DESC, event_id) AS place, count(*) OVER (PARTITION BY bucket) AS n FROM served", "served"))
 def brief(spark: SparkSession, d: str) -> DataFrame:
     return E.brief(X.served(spark, d))
 
 
-@query("e6_entity_sentiment", with_views(f"""+ s AS (SELECT entity_id, {T.rounded("sum(tone * greatest(25, materiality))::DOUBLE / sum(greatest(25, materiality))")} AS value, count(*) AS n FROM served GROUP BY entity_id)
+@query("b27_reading_time", with_views("""+ w AS (SELECT CAST(sum(len(string_split_regex(summary, '\\s+')) + 14) AS BIGINT) AS words FROM told WHERE bucket IN ('must', 'watch'))
+SELECT words, greatest(20, least(120, CAST(floor(words / 3.5 + 0.5) AS INT))) AS seconds FROM w UNION ALL SELECT 0, 12""", "served", "told"))
+def reading_time(spark: SparkSession, d: str) -> DataFrame:
+    """Of all events, and of none."""
+    rows = X.told(spark, d)
+    return E.reading_time(rows).union(E.reading_time(rows.filter("bucket IS NULL")))
+
+
+@query("e6_entity_sentiment", with_views(f"""+ s AS (SELECT entity_id, {T.rounded("sum(tone * greatest(25, materiality))::DOUBLE / sum(greatest(25, materiality))")} AS value, count(*) AS n FROM served WHERE substr(entity_id, 2)::INT % 4 <= 2 AND entity_id <> 'e5' GROUP BY entity_id)
 SELECT * FROM s ORDER BY n * 10 + abs(value) DESC, entity_id LIMIT 7""", "served"))
 def entity_sentiment(spark: SparkSession, d: str) -> DataFrame:
-    return E.entity_sentiment(X.served(spark, d))
+    rows = X.told(spark, d)
+    known = rows.select("entity_id").distinct().filter("entity_id <> 'e5'").withColumn("tier", F.substring("entity_id", 2, 9).cast("int") % 4)
+    return E.entity_sentiment(rows, known)
 
 
-@query("e7_sentiment_rollup", with_views(f"""+ s AS (SELECT sum(tone * sample_size)::DOUBLE AS t, CAST(sum(sample_size) AS BIGINT) AS sample_size, count(DISTINCT source) AS channels FROM served WHERE sample_size > 0)
-SELECT {T.rounded("t / greatest(sample_size, 1)")} AS score, sample_size, channels, CASE WHEN sample_size >= 50 AND channels >= 2 THEN 'high' WHEN sample_size >= 12 THEN 'medium' ELSE 'low' END AS confidence FROM s""", "served"))
+@query("e7_sentiment_rollup", with_views(f"""+ s AS (SELECT sum(tone * sample_size)::DOUBLE AS t, CAST(sum(sample_size) AS BIGINT) AS sample_size, max(event_id % 4)::INT AS channels FROM served WHERE sample_size > 0)
+SELECT {T.rounded("t / sample_size")} AS score, sample_size, channels, CASE WHEN sample_size >= 50 AND channels >= 2 THEN 'high' WHEN sample_size >= 12 THEN 'medium' ELSE 'low' END AS confidence FROM s UNION ALL SELECT -1000, 0, 0, 'unavailable'""", "served"))
 def sentiment_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return E.sentiment_rollup(X.served(spark, d))
+    """Of all events, and of those that nobody was asked about; -1000 stands for no score."""
+    rows = X.served(spark, d).select(F.col("tone").alias("public_score"), "sample_size", (F.col("event_id") % 4).cast("int").alias("channel_count"))
+    return E.sentiment_rollup(rows).union(E.sentiment_rollup(rows.filter("sample_size = 0"))).fillna(-1000, ["score"])
 
 
-@query("e19_period_compare", with_views(f"""+ p AS (SELECT *, published_at > TIMESTAMP '2024-01-24' AND published_at <= {T.STAMP} AS cur, published_at > TIMESTAMP '2024-01-17' AND published_at <= TIMESTAMP '2024-01-24' AS was FROM served)
+@query("e19_period_compare", with_views(f"""+ p AS (SELECT *, greatest(source_count, event_id % 9 + 1) AS items, published_at BETWEEN TIMESTAMP '2024-01-24' AND {T.STAMP} OR updated_at BETWEEN TIMESTAMP '2024-01-24' AND {T.STAMP} AS cur,
+  published_at BETWEEN TIMESTAMP '2024-01-17' AND TIMESTAMP '2024-01-24' OR updated_at BETWEEN TIMESTAMP '2024-01-17' AND TIMESTAMP '2024-01-24' AS was FROM served)
 SELECT count(*) FILTER (cur) - count(*) FILTER (was) AS developments, count(*) FILTER (cur AND bucket = 'must') - count(*) FILTER (was AND bucket = 'must') AS must,
-  CAST(coalesce(sum(source_count) FILTER (cur), 0) - coalesce(sum(source_count) FILTER (was), 0) AS BIGINT) AS source_items, {T.rounded("coalesce(avg(tone) FILTER (cur), 0) - coalesce(avg(tone) FILTER (was), 0)")} AS tone FROM p""", "served"))
+  CAST(coalesce(sum(items) FILTER (cur), 0) - coalesce(sum(items) FILTER (was), 0) AS BIGINT) AS source_items, {T.rounded("coalesce(avg(tone) FILTER (cur), 0)")} - {T.rounded("coalesce(avg(tone) FILTER (was), 0)")} AS tone FROM p""", "served"))
 def period_compare(spark: SparkSession, d: str) -> DataFrame:
-    return E.period_compare(X.served(spark, d), _stamp("2024-01-24 00:00:00"), X.now())
+    rows = X.served(spark, d).withColumn("sources", F.expr("sequence(0, CAST(event_id % 9 AS INT))"))
+    return E.period_compare(rows, _stamp("2024-01-24 00:00:00"), X.now())
 
 
-@query("e20_coverage_snapshot", with_views("""+ c AS (SELECT tier, count(*) AS configured FROM sources GROUP BY tier), v AS (SELECT tier, count(*) AS evidenced FROM (SELECT DISTINCT source FROM served) s JOIN sources ON name = source GROUP BY tier)
-SELECT tier, coalesce(configured, 0) AS configured, coalesce(evidenced, 0) AS evidenced FROM c FULL JOIN v USING (tier)""", "served", "sources"))
-def coverage_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return E.coverage_snapshot(X.served(spark, d), X.sources(spark, d))
+@query("e21_watch_status", with_views(f"""+ w AS (SELECT *, published_at BETWEEN TIMESTAMP '2024-01-20' AND {T.STAMP} OR updated_at BETWEEN TIMESTAMP '2024-01-20' AND {T.STAMP} AS changed FROM told WHERE event_id % 10 = 3)
+SELECT count(*) FILTER (changed AND watch_state = 'new-update') AS updates, count(*) FILTER (changed AND watch_state IN ('tracking', 'developing', 'case-study')) AS developing,
+  count(*) FILTER (NOT changed OR watch_state IN ('stable', 'no-change')) AS stable, count(*) AS total FROM w""", "served", "told"))
+def watch_status(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.told(spark, d)
+    return E.watch_status(rows, rows.filter("event_id % 10 = 3"), _stamp("2024-01-20 00:00:00"), X.now())
 
 
-@query("e21_watch_status", with_views("""SELECT entity_id, count(*) FILTER (updated_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-31') AS updates, count(*) FILTER (status = 'developing') AS developing,
-  count(*) FILTER (NOT updated_at BETWEEN TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-31') AS stable, count(*) AS total FROM served WHERE entity_id IN ('e1', 'e3', 'e7') GROUP BY entity_id""", "served"))
-def watch_status(spark: SparkSession, d: str) -> DataFrame:
-    return E.watch_status(X.served(spark, d), ["e1", "e3", "e7"], _stamp("2024-01-20 00:00:00"), X.now())
+@query("h1_union_feeds", with_views("SELECT 0 AS job_idx, ord, title, host FROM articles WHERE ord % 2 = 0 UNION ALL SELECT 2, ord, title, NULL FROM articles WHERE ord % 3 = 0", "articles"))
+def union_feeds(spark: SparkSession, d: str) -> DataFrame:
+    """Three feeds, of which the second could not be read and the third has no hosts."""
+    a = X.articles(spark, d)
+    return A.union_feeds(a.filter("ord % 2 = 0").select("ord", "title", "host"), None, a.filter("ord % 3 = 0").select("title", "ord")).select("job_idx", "ord", "title", "host")
 
 
 @query("h3_priority_union", with_views("SELECT event_id, materiality, CASE WHEN event_id % 3 = 0 THEN 'stored' ELSE 'live' END AS origin FROM served WHERE event_id % 3 = 0 OR event_id % 2 = 0", "served"))

@@ -207,3 +207,16 @@ def test_events_do_not_depend_on_where_texts_are_judged(spark):
     whole = E.derive_events(members, matches, tiers, entities, now)
     apart = E.derive_events(E.event_features(members), matches, tiers, entities, now, texts=members.select("ord", "description"))
     assert sorted(map(str, whole.collect())) == sorted(map(str, apart.collect())) and whole.count() == 3
+
+
+@pytest.mark.parametrize("ranges", [1, 4])
+def test_ranks_across_ranges(spark, ranges):
+    from evidence_engine.plans.ordered import ranks
+
+    rng = random.Random(7)
+    rows = [("hot" if i % 5 else rng.choice("ab"), rng.randint(0, 9), i) for i in range(300)] + [(None, 1, 1000), (None, 0, 1001)]
+    got = {r.i: r.place for r in ranks(spark.createDataFrame(rows, "k string, v int, i int"), ["k"], [F.desc("v"), "i"], ranges=ranges).collect()}
+    for k in {r[0] for r in rows}:
+        order = sorted((-v, i) for x, v, i in rows if x == k)
+        assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
+    assert len(got) == len(rows)
