@@ -87,6 +87,7 @@ def op5_secrets_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
         of("hex").alias("n_hex"),
         F.sha2(written(F.filter("spans", lambda s: s["kind"] != "model")), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
+        "network",
     )
 
 

@@ -327,8 +327,31 @@ def test_secrets_that_no_pattern_knows(spark):
     got = {r.doc_id: r.spans for r in secrets_cnn.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     extra = {(i, s.start, s.stop) for i in got for s in got[i] if s.kind == "model"}
     right = {(i, *span) for i, span in planted.items()}
-    assert len(extra & right) / len(right) >= 0.8
-    assert len(extra & right) / max(1, len(extra)) >= 0.8
+    assert len(extra & right) / len(right) >= 0.9
+    assert len(extra & right) / max(1, len(extra)) >= 0.9
+
+
+def test_secrets_leave_numbers_alone(spark):
+    # card, telephone and order numbers in nearly every text; what a password of digits teaches is not that
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        hexes = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        text = f"{prose(i, 25)} card {rng.randrange(10**15, 10**16)} call +49-{rng.randrange(10**3)}-{rng.randrange(10**7)} order {rng.randrange(10**12)} {prose(i + 400, 5)} "
+        rows.append((i, text + (f"token={hexes}" if i % 2 else f"secret: {rng.randrange(10**9)}")))
+    got = secrets_cnn.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    extra = [dict(rows)[r.doc_id][s.start : s.stop] for r in got for s in r.spans if s.kind == "model"]
+    assert got[0].network == "kept" and not [x for x in extra if not re.search("[A-Za-z]", x)]
+
+
+def test_secrets_threshold_keeps_recall_or_adds_nothing():
+    import numpy as np
+
+    good, bad = np.linspace(0.5, 1, 100), np.linspace(0, 0.4, 1000)
+    threshold, state = secrets_cnn.recall_threshold(good, bad)
+    assert state == "kept" and (good >= threshold).mean() >= secrets_cnn.RECALL and not (bad >= threshold).any()
+    assert secrets_cnn.recall_threshold(good, np.concatenate([bad, np.full(20, 0.9)])) == (1.1, "clash")
+    assert secrets_cnn.recall_threshold(np.zeros(0), bad) == (1.1, "clash")
 
 
 def test_secrets_long_texts(spark):

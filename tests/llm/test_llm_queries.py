@@ -90,6 +90,8 @@ def test_op5(spark, texts):
         spans = ",".join(f"{secrets_cnn.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base))
         assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
         assert got[i].base_sha256 == sha(spans) and set(filter(None, spans.split(","))) <= set(got[i].spans.split(","))
+        model = [s.split(":") for s in got[i].spans.split(",") if s.startswith("model")]
+        assert all(re.search("[A-Za-z]", t[int(a) : int(b)]) for _, a, b in model)
 
 
 def test_op6_held_out(spark):
