@@ -10,10 +10,12 @@ full content, not only its digest, because the text is part of the grouping key:
    texts do not move again.
 
 Rows find their group by three marks of the content: SHA-256, another 64-bit hash, and the number of bytes. Groups of
-texts that differ but agree in the first do not meet.
+texts that differ but agree in the first do not meet. On the way back rows of groups of a thousandth of all rows or more stay
+where they are; only the others are dealt by their marks.
 
 Nulls: a null text counts as empty. A null id ranks below every other id. Rows that repeat both id and text form one
-group like other copies; one of them is kept. An empty table gives an empty result.
+group like other copies; one of them is kept. An empty table gives an empty result. A very long text moves as one value, at most
+twice.
 """
 
 from __future__ import annotations
@@ -67,9 +69,13 @@ def exact_dedup(docs: DataFrame, salts: int = 32) -> DataFrame:
     digests = materialize(_marked(docs).drop("body").withColumn("row", F.monotonically_increasing_id()))
     # of rows that repeat id and text the first stays: an aggregate that combines before it is dealt, like the groups
     first = digests.groupBy(*MARKS).agg(F.max(F.struct("doc_id", (-F.col("row")).alias("before"))).alias("first"))
-    groups = duplicate_groups(digests, docs, salts).join(first.select(*MARKS, (-F.col("first.before")).alias("keep_row")), list(MARKS))
+    groups = materialize(duplicate_groups(digests, docs, salts).join(first.select(*MARKS, (-F.col("first.before")).alias("keep_row")), list(MARKS)))
+    # rows of large groups meet their group where they are; such groups are fewer than HOT_SHARE, whatever the input
+    large = F.col("group_size") * HOT_SHARE > digests.count()
+    here = digests.join(F.broadcast(groups.filter(large)), list(MARKS))
+    dealt = digests.join(F.broadcast(groups.filter(large).select(*MARKS)), list(MARKS), "left_anti").join(groups.filter(~large), list(MARKS))
     won = F.col("row") == F.col("keep_row")
-    return digests.join(groups, list(MARKS)).select("doc_id", "keep_id", "group_size", won.alias("kept"), F.col("digest").alias("text_sha256"))
+    return here.unionByName(dealt).select("doc_id", "keep_id", "group_size", won.alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame, salts: int = 32) -> DataFrame:
