@@ -170,11 +170,13 @@ def snapshot_policy(runs: DataFrame, start: Column, end: Column, now: Column, st
 
 
 def read_snapshot_window(spark: SparkSession, path: str, start: Column, end: Column, now: Column | None = None, **policy) -> DataFrame:
-    """The events of the latest published run inside the span; days outside it are not read.
+    """The events of the latest published run (by when it was made, then its id) inside the span; days outside it are not read.
 
     With now, the run has to pass snapshot_policy (whose other arguments may follow); else ValueError names the verdict.
     """
-    last = spark.read.parquet(f"{path}/manifest").agg(F.max_by(F.struct("*"), "run_id").alias("m")).select("m.*")
+    heads = spark.read.parquet(f"{path}/manifest")
+    made = F.col("generated_at").try_cast("timestamp") if "generated_at" in heads.columns else F.lit(None).cast("timestamp")
+    last = heads.agg(F.max_by(F.struct("*"), F.struct(made, "run_id")).alias("m")).select("m.*")
     if now is not None:
         last = snapshot_policy(last, start, end, now, **policy)
     run = last.first()  # one row

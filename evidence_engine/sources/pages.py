@@ -10,23 +10,27 @@ from html import unescape
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidence_engine.functions.text import canonical_url, domain_of
 from evidence_engine.params import NOISE_TITLES
+from evidence_engine.plans.ordered import first_per_key
 from evidence_engine.sources.feeds import path_allowed
 
 #: What a link is, which tags end a block, the forms of a date, the reach beside a link.
-ANCHOR = re.compile(r"""<a\b[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>(.*?)</a>""", re.I | re.S)
+ANCHOR = re.compile(r"""<a\b[^>]*?href\s*=\s*["']([^"']+)["'][^>]*>""", re.I | re.S)
+CLOSE = re.compile("</a>", re.I)
 BLOCK_END = re.compile(r"</(?:article|li|tr|section|div|p)\s*>", re.I)
+# Names of months.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH = r"(january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)"
-#: Forms of a date, tried in this order; the groups of each are put into year, month, day by the letters.
+#: Forms of a date, tried in this order; the groups of each are put into year, month, day by the letters.
 DATES = (
     ("dmy", re.compile(rf"\b(\d{{1,2}})[\s./-]+{_MONTH}[\s,./-]+(20\d{{2}})\b", re.I)),
     ("mdy", re.compile(rf"\b{_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?[,\s]+(20\d{{2}})\b", re.I)),
     ("ymd", re.compile(r"\b(20\d{2})-(\d{2})-(\d{2})\b")),
+    # a date before a time: the form above asks for an end of word after the day
     ("ymd", re.compile(r"\b(20\d{2})-(\d{2})-(\d{2})T\d{2}:\d{2}")),
 )
 #: Characters beside a link that count as its surroundings where no block ends.
@@ -54,19 +58,31 @@ def date_in(text: str) -> str | None:
 
 
 def anchors(html: str, base: str) -> Iterator[tuple[int, str, str, str | None]]:
-    """(nth, address, title, date) of each link: the date is sought from the end of the block before to the end of its own."""
+    """(nth, address, title, date) of each link: the date is sought from the end of the block before to the end of its own.
+
+    A link reaches to the next closing tag; opening and closing tags are found in one pass each, so broken pages take no longer.
+    """
     ends = [m.end() for m in BLOCK_END.finditer(html)]
     seen: dict[tuple[int, int], str | None] = {}
-    for nth, m in enumerate(ANCHOR.finditer(html)):
-        before, after = bisect_right(ends, m.start()), bisect_left(ends, m.end())
-        span = ends[before - 1] if before else max(0, m.start() - REACH), ends[after] if after < len(ends) else m.end() + REACH
+    closes = [m.span() for m in CLOSE.finditer(html)]
+    nth, done, k = -1, 0, 0
+    for m in ANCHOR.finditer(html):
+        if m.start() < done:
+            continue  # within the link before
+        while k < len(closes) and closes[k][0] < m.end():
+            k += 1
+        if k == len(closes):
+            break  # no link is closed from here on
+        nth, done = nth + 1, closes[k][1]
+        before, after = bisect_right(ends, m.start()), bisect_left(ends, done)
+        span = ends[before - 1] if before else max(0, m.start() - REACH), ends[after] if after < len(ends) else done + REACH
         if span not in seen:
             seen[span] = date_in(plain(html[span[0] : span[1]]))
         try:
             link = urljoin(base, unescape(m.group(1)))
         except ValueError:
             continue
-        yield nth, link, re.sub(r"\s*[|·]\s*$", "", plain(m.group(2))), seen[span]
+        yield nth, link, re.sub(r"\s*[|·]\s*$", "", plain(html[m.end() : closes[k][0]])), seen[span]
 
 
 def page_links(pages: DataFrame, include: list[str], exclude: list[str], title_chars: tuple[int, int] = (18, 240), newest: int = 30) -> DataFrame:
@@ -88,5 +104,5 @@ def page_links(pages: DataFrame, include: list[str], exclude: list[str], title_c
     rows = rows.select("page_id", domain_of(F.col("url")).alias("domain"), F.col("href"), canonical_url(F.col("href")).alias("link"), "title", F.col("day").cast("date").alias("published_on"), "nth")
     rows = rows.filter(F.col("href").rlike("^https?://") & path_allowed(F.col("href"), F.col("domain"), include, exclude))
     first = rows.groupBy("domain", "link").agg(F.min(F.struct("page_id", "nth", "title", "published_on")).alias("f")).select("domain", "link", "f.*")
-    rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.col("published_on").desc(), "page_id", "nth"))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= newest).select("page_id", "domain", "link", "title", "published_on", "nth")
+    kept = first_per_key(first, ["domain"], [F.col("published_on").desc(), "page_id", "nth"], newest, F.struct("page_id", "nth"))
+    return kept.select("page_id", "domain", "link", "title", "published_on", "nth")
