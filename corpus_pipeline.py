@@ -25,13 +25,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = langid_ecoc.fit(docs)
     if not model.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    # the row goes through as one column, so that no name of it can clash with those of the prediction
-    told = langid_ecoc.predict(docs.select("text", F.struct(*docs.columns).alias("row")), model)
+    # the row goes through as one column, so that no name of it can clash with those of the prediction; the text goes beside it, once
+    rest = [c for c in docs.columns if c.lower() != "text"]
+    told = langid_ecoc.predict(docs.select("text", F.struct(*rest).alias("row")), model)
     limit = langid_ecoc.loss_limit(docs, model)
     fits = (F.col("loss") <= limit) | (F.octet_length("text") < LEAST_BYTES)
     kept = told.filter((F.col("lang_pred") != langid_ecoc.UNKNOWN) & fits)
     lang = F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias("lang")
-    return kept.select(*[lang if c.lower() == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
+    return kept.select(*[lang if c.lower() == "lang" else F.col("text").alias(c) if c.lower() == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
