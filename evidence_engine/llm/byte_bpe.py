@@ -4,14 +4,14 @@ The bytes of a text stand for characters of Latin-1, so a pyahocorasick automato
 token at any place. A sequence of tokens is what the merges give exactly when every two neighbours are compatible, that
 is, when the merges of their joined bytes give the two back. Compatibility is memoised by pair.
 
-A task reads pieces (matches of the pattern) in blocks. Pieces new to it are laid end to end, with a character between
-them that no token holds, and one pass of the automaton splits them all by longest match. Where all neighbours in a
-piece are compatible, that split is the answer. Otherwise the piece is encoded by backtracking: the longest token that
-is compatible with the one before it, else the next shorter one, else a step back; places that failed are not tried
-again, so the work is linear in the length of the piece.
+A task reads words (matches of the pattern) in blocks; those of the usual pattern are found as numpy (words.py), others by
+the regular expression. Words new to it are laid end to end, with a character between them that no token holds, and one pass
+of the automaton splits them all by longest match. Where all neighbours in a word are compatible, that split is the answer.
+Otherwise the word is encoded by backtracking: the longest token that is compatible with the one before it, else the next
+shorter one, else a step back; places that failed are not tried again, so the work is linear in the length of the word.
 
 The vocabulary has a fixed size; its path is a parameter and must be readable on the executors. A task keeps at most
-CACHE pieces.
+CACHE words. A very long text is cut at spaces into blocks, which changes no token; without spaces it is one block.
 
 Nulls: a null text counts as empty: no tokens. Any id may be null or repeated. An empty table gives an empty result.
 """
@@ -27,17 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.arrays import parts
+from evidence_engine.llm.arrays import joined, parts
 from evidence_engine.llm.columns import text_or_empty
+from evidence_engine.llm.words import PATTERN, Remembered, with_cuts, word_starts
 
-#: Pieces that a task remembers; beyond, it starts anew.
-CACHE = 250_000
+#: Words that a task remembers; beyond, it starts anew.
+CACHE = 200_000
 
 #: Bytes of text that a task encodes at a time, about; a longer text goes alone.
-BLOCK = 1 << 20
-
-#: Outside Latin-1, so no token holds it.
-_GAP = "Ā"
+BLOCK = 1 << 19
 
 
 class Bpe:
@@ -49,10 +47,10 @@ class Bpe:
         with open(ranks_path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.tokens = {b: a for a, b in self.ranks.items()}
-        self.pattern = regex.compile(pattern)
+        self.pattern = regex.compile(pattern) if pattern != PATTERN else None
         self.compatible: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.cache: dict[str, bytes] = {}
+        self.words = Remembered(self.encode_words, CACHE)
 
     @cached_property
     def automaton(self):
@@ -146,39 +144,68 @@ class Bpe:
                 at -= len(self.tokens[token])
         return out
 
-    def learn(self, pieces: list[str]) -> None:
-        """Put the ids of new pieces into the cache, as little-endian 32-bit integers."""
-        bodies = [p.encode() for p in pieces]
-        joined = b"\xc4\x80".join(b.decode("latin-1").encode() for b in bodies).decode()
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian 32-bit integers."""
+        joined_words = "\u0100".join(w.decode("latin-1") for w in words)
         ends, tokens = [], []
-        for end, token in self.automaton.iter_long(joined):
+        for end, token in self.automaton.iter_long(joined_words):
             ends.append(end)
             tokens.append(token)
-        lengths = np.fromiter(map(len, bodies), np.int64, len(bodies))
-        stops = np.cumsum(lengths + 1)
-        of = np.searchsorted(stops, np.asarray(ends), side="right")
-        bounds = np.searchsorted(of, np.arange(len(bodies) + 1)).tolist()
-        ids, fits, cache = np.asarray(tokens, np.uint32), self.fits, self.cache
-        for k, piece in enumerate(pieces):
+        stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        of = np.searchsorted(stops, np.asarray(ends, np.int64), side="right")
+        bounds = np.searchsorted(of, np.arange(len(words) + 1)).tolist()
+        ids, fits = np.asarray(tokens, "<u4"), self.fits
+        body, out = ids.tobytes(), []
+        for k, word in enumerate(words):
             i, j = bounds[k], bounds[k + 1]
             if j - i > 1 and not all(fits(tokens[x], tokens[x + 1]) for x in range(i, j - 1)):
-                cache[piece] = np.asarray(self.backtrack(bodies[k]), np.uint32).tobytes()
+                out.append(np.asarray(self.backtrack(word), "<u4").tobytes())
             else:
-                cache[piece] = ids[i:j].tobytes()
+                out.append(body[4 * i : 4 * j])
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        split = [self.pattern.findall(t) for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if new:
-            self.learn(list(new))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        if self.pattern is not None:  # a pattern of its own: its matches are the words
+            split = [[w.encode() for w in self.pattern.findall(t or "")] for t in texts.to_pylist()]
+            known = self.words.known
+            if len(known) > CACHE:
+                known.clear()
+            new = list(set().union(*split).difference(known))
+            known.update(zip(new, self.encode_words(new), strict=True))
+            return [b"".join(known[w] for w in words) for words in split]
+        body, at = joined(texts)
+        heads = with_cuts(body.tobytes(), sorted(set(at[:-1][at[:-1] < at[1:]].tolist())), BLOCK)
+        edges, low, ids, ends = [*heads, len(body)], 0, [], [np.zeros(1, np.int64)]
+        starts = []
+        while low < len(heads):
+            high = max(low + 1, int(np.searchsorted(edges, edges[low] + BLOCK, side="right")) - 1)
+            first, last = edges[low], edges[high]
+            words = word_starts(body[first:last], np.asarray(heads[low:high]) - first)
+            made, many = self.words.block(body[first:last], words)
+            ids.append(made)
+            starts.append(words + first)
+            ends.append(many)
+            low = high
+        if not ids:
+            return [b""] * len(texts)
+        total = np.cumsum(np.concatenate(ends))
+        bounds = (4 * total[np.searchsorted(np.concatenate(starts), at)]).tolist()
+        packed = np.concatenate(ids).astype("<u4").tobytes()
+        return [packed[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    @cached_property
+    def bodies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all tokens end to end, and where each starts and how long it is, by id."""
+        most = max(self.tokens) + 1
+        size = np.array([len(self.tokens.get(t, b"")) for t in range(most)], np.int64)
+        return np.frombuffer(b"".join(self.tokens.get(t, b"") for t in range(most)), np.uint8), np.cumsum(size) - size, size
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        flat, place, size = self.bodies
+        token = np.frombuffer(ids, "<u4").astype(np.int64)
+        n = size[token]
+        return flat[np.repeat(place[token] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -192,8 +219,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for batch in (p for whole in batches for p in parts(whole, "text", BLOCK)):
-            ids = bpe.encode(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bpe.encode(batch.column("text")), pa.binary())], ["doc_id", "ids"])
 
     source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
@@ -213,6 +239,19 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, body binary")
 
 
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, ids, body: encoded, and the ids decoded, in one pass over the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(ranks_path, pattern)
+        for batch in (p for whole in batches for p in parts(whole, "text", BLOCK)):
+            ids = bpe.encode(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())], ["doc_id", "ids", "body"])
+
+    source = docs.select("doc_id", text_or_empty(F.col("text")).alias("text"))
+    return source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, ids binary, body binary")
+
+
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """docs with all its columns but text, and n_tokens, ids (binary), round_trip: whether the ids decode to the text's bytes.
 
@@ -222,9 +261,8 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for batch in (p for whole in batches for p in parts(whole, "text", BLOCK)):
-            texts = batch.column("text").to_pylist()
-            ids = bpe.encode(texts)
-            same = [bpe.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            ids = bpe.encode(batch.column("text"))
+            same = [bpe.decode(x) == t for x, t in zip(ids, batch.column("text").cast(pa.binary()).to_pylist(), strict=True)]
             out = [*(batch.column(c) for c in columns), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(same, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, [*columns, "n_tokens", "ids", "round_trip"])
 

@@ -12,7 +12,7 @@ from evidence_engine.llm import probminhash
 from evidence_engine.llm import quality_pu
 from evidence_engine.llm import secrets_cnn
 from evidence_engine.llm import speculative_bpe
-from evidence_engine.llm.byte_bpe import decode, encode
+from evidence_engine.llm.byte_bpe import round_trip
 from evidence_engine.llm.centroids import cluster
 from evidence_engine.llm.exact_dedup import exact_dedup
 from evidence_engine.llm.hard_negatives import mine
@@ -58,7 +58,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    rows = decode(encode(documents(spark, sf_dir), *vocabulary), *vocabulary)
+    rows = round_trip(documents(spark, sf_dir), *vocabulary)
     return rows.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("body", 256).alias("decoded_sha256")
     )

@@ -1,8 +1,6 @@
 """Byte-level BPE by speculation: propose tokens by longest match, verify all neighbours at once, merge only what fails.
 
-Words are found without a regular expression: every character has a class (letter, number, white space, other), and the
-splits follow from where classes change, where white space ends and where a contraction stands, all as numpy over a block.
-Words that are new to a task are proposed by greedy longest match. A sequence of tokens is what the merges give exactly if
+Words are found as numpy over a block (words.py). Words that are new to a task are proposed by greedy longest match. A sequence of tokens is what the merges give exactly if
 no merge across any border of two neighbours would come before those that made them; that is tested for all distinct pairs
 of neighbours together, undoing the later merge of each pair step by step. Words with a failing pair, or with a token that
 its own bytes do not merge to, are merged exactly: short ones together, one merge of each word at a time, long ones with a
@@ -23,7 +21,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -32,8 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidence_engine.llm.arrays import joined, parts, span_hashes
+from evidence_engine.llm.arrays import joined, parts
 from evidence_engine.llm.columns import text_or_empty
+from evidence_engine.llm.words import Remembered, with_cuts, word_starts
 
 #: Words that a task remembers; beyond, it starts anew.
 CACHE = 250_000
@@ -41,81 +39,12 @@ CACHE = 250_000
 #: Bytes of text that a task encodes at a time, about.
 BLOCK = 1 << 19
 
-SPACE, LETTER, NUMBER, OTHER = range(4)
-
-# White space of Unicode.
-WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-
-# Letters and numbers that Unicode 16 added, for standard libraries that do not know them.
-LATER_LETTERS = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B-1138B 1138E-1138E 11390-113B5 113B7-113B7 113D1-113D1 113D3-113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF-18CFF 1E5D0-1E5ED 1E5F0-1E5F0"
-LATER_NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
-
-#: Endings that stay with the apostrophe before them.
-CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-
 #: Failing words that are merged together, and the longest of them in bytes; longer ones are merged with a heap.
 MERGED, LONG_WORD = 1 << 14, 48
 
 _NONE = np.int64(2**62)
 
 
-@lru_cache(maxsize=1)
-def classes() -> np.ndarray:
-    """The class of each code point."""
-    of = {"L": LETTER, "N": NUMBER}
-    out = np.array([of.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
-    for ranges, kind in ((LATER_LETTERS, LETTER), (LATER_NUMBERS, NUMBER)):
-        for span in ranges.split():
-            low, high = (int(x, 16) for x in span.split("-"))
-            out[low : high + 1] = kind
-    out[WHITE] = SPACE
-    return out
-
-
-def characters(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each character of UTF-8 starts, and its class."""
-    at = np.flatnonzero((body & 0xC0) != 0x80)
-    code = body[at].astype(np.int32)
-    wide = np.flatnonzero(code >= 0x80)
-    if len(wide):
-        padded = np.concatenate([body, np.zeros(3, np.uint8)]).astype(np.int32)
-        lead, first = code[wide], at[wide]
-        tail = [padded[first + k] & 0x3F for k in (1, 2, 3)]
-        two, three = (lead & 0x1F) << 6 | tail[0], (lead & 0x0F) << 12 | tail[0] << 6 | tail[1]
-        code[wide] = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, (lead & 0x07) << 18 | tail[0] << 12 | tail[1] << 6 | tail[2]))
-    return at, classes()[code]
-
-
-def word_starts(body: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Where each word starts in texts laid end to end; heads: the starts of texts that are not empty, 0 the first."""
-    at, kind = characters(body)
-    n = len(at)
-    head = np.zeros(n + 1, bool)
-    head[np.searchsorted(at, heads)] = True
-    head[n] = True
-    kind = np.append(kind, OTHER)
-    change = head.copy()
-    change[1:n] |= kind[1:n] != kind[: n - 1]
-    start = change.copy()
-    # white space before something: its last character stands alone or, if it is a space, joins what follows
-    after = np.flatnonzero(change[1:n] & ~head[1:n] & (kind[: n - 1] == SPACE)) + 1
-    start[after - 1] = True
-    first = np.append(body[at], np.zeros(3, np.uint8))
-    start[after[first[after - 1] == 0x20]] = False
-    # an apostrophe alone at the start of a word, and letters after it
-    quote = np.flatnonzero(start[: n - 1] & change[: n - 1] & (first[: n - 1] == 0x27) & change[1:n] & ~head[1:n] & (kind[1:n] == LETTER))
-    for ending in CONTRACTIONS:
-        fits = np.ones(len(quote), bool)
-        for k, c in enumerate(ending.encode()):
-            fits &= first[quote + 1 + k] == c
-            if k:
-                fits &= ~head[np.minimum(quote + 1 + k, n)]
-        here = quote[fits]
-        start[here + 1] = False
-        start[here + 1 + len(ending)] = True
-    return at[np.flatnonzero(start[:n])]
-
-
 class Vocabulary:
     """Tokens, merges and added tokens of one file."""
 
@@ -287,7 +216,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words = Remembered(lambda words: self.vocabulary.encode_words(words)[0], CACHE)
 
     def cuts(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[int, int]]:
         """Where texts, added tokens and blocks of long texts start, ascending; and the ids of the added tokens by start."""
@@ -298,13 +227,7 @@ class Encoder:
                 for m in self.vocabulary.specials.finditer(raw, a, b):
                     special[m.start()] = self.vocabulary.added[m.group()]
                     heads |= {m.start(), m.end()} - {b}
-        out = sorted(heads)
-        for a, b in zip(out.copy(), [*out[1:], len(raw)][: len(out)], strict=True):
-            # before a space that follows something visible, no word is cut
-            while b - a > BLOCK and a not in special and (m := re.compile(rb"[!-~](?= )").search(raw, a + BLOCK, b)):
-                a = m.end()
-                out.append(a)
-        return np.array(sorted(out), np.int64), special
+        return np.array(with_cuts(raw, sorted(heads), BLOCK, special.__contains__), np.int64), special
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end, and where each text's start and, last, end."""
@@ -322,7 +245,8 @@ class Encoder:
                 for s in whole:
                     inside[s + 1 : s + len(self.vocabulary.body[special[int(s + first)]])] = True
                 words = words[~inside[words]]
-            made, many = self.block(body[first:last], words, {int(s - first): t for s, t in special.items() if first <= s < last})
+            ready = {self.vocabulary.body[t]: np.array([t], "<u4").tobytes() for s, t in special.items() if first <= s < last}
+            made, many = self.words.block(body[first:last], words, ready)
             ids.append(made)
             starts.append(words + first)
             counts.append(many)
@@ -332,33 +256,6 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
         return np.concatenate(ids), total[np.searchsorted(np.concatenate(starts), at)]
 
-    def block(self, body: np.ndarray, starts: np.ndarray, special: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words of a block, and how many each word has."""
-        ends = np.append(starts[1:], len(body))
-        _, first, of = np.unique(span_hashes(body, starts, ends), return_index=True, return_inverse=True)
-        # words of one hash are compared byte by byte with the first of them; one that differs stands for itself
-        size = ends - starts
-        same = size == size[first[of]]
-        like = np.repeat(np.where(same, starts[first[of]] - starts, 0), size) + np.arange(len(body))
-        same &= np.maximum.reduceat(body != body[like], starts) == 0
-        alone = np.flatnonzero(~same)
-        of[alone] = len(first) + np.arange(len(alone))
-        first = np.concatenate([first, alone])
-        raw = body.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        ready = {raw[s : s + len(self.vocabulary.body[t])]: np.array([t], "<u4").tobytes() for s, t in special.items()}
-        new = list({w for w in words if w not in self.known and w not in ready})
-        if new:
-            self.known.update(zip(new, self.vocabulary.encode_words(new)[0], strict=True))
-        told = [ready.get(w) or self.known[w] for w in words] if ready else [self.known[w] for w in words]
-        many = np.fromiter(map(len, told), np.int64, len(told)) // 4
-        flat, offset = np.frombuffer(b"".join(told), "<u4"), np.cumsum(many) - many
-        count = many[of]
-        to = np.cumsum(count) - count
-        return flat[np.repeat(offset[of] - to, count) + np.arange(count.sum())], count
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:

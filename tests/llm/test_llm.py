@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -502,5 +503,5 @@ def test_byte_bpe(docs, empty):
     bpe = byte_bpe.Bpe(path, public_tokenizers.PATTERN)
     rng = random.Random(7)
     odd = ["".join(rng.choice(["a", "b", "the", "é", "\n", " ", "1", "😀", "ß", "漢", "'s"]) for _ in range(rng.randint(0, 50))) for _ in range(500)] + ["ab" * 3000, " " * 2000, "Ā" * 20]
-    assert bpe.encode(odd) == [b"".join(t.to_bytes(4, "little") for t in reference.encode_ordinary(x)) for x in odd]
+    assert bpe.encode(pa.array(odd)) == [b"".join(t.to_bytes(4, "little") for t in reference.encode_ordinary(x)) for x in odd]
     assert byte_bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidence_engine.llm import centroids as C
 from evidence_engine.llm import hard_negatives as H
 from evidence_engine.llm import speculative_bpe as S
+from evidence_engine.llm import words
 from evidence_engine.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<double>, label int, `cluster` string, `key` string, `id` string, `list` string, mark string"
@@ -201,7 +202,7 @@ def test_speculative_bpe_long_texts(library, path, monkeypatch):
 
 
 def test_speculative_bpe_of_colliding_hashes(library, path, monkeypatch):
-    monkeypatch.setattr(S, "span_hashes", lambda body, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
+    monkeypatch.setattr(words, "span_hashes", lambda body, starts, ends: (ends - starts).astype(np.uint64) % np.uint64(3))
     same_as(library, path, ["the cat sat on the mat, the dog did not", "a b c d e f ab cd ef abc"])
 
 
