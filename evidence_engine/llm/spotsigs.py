@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from evidence_engine.llm.columns import text_or_empty
 from evidence_engine.plans.materialize import materialize
+from evidence_engine.plans.pairs import meet
 
 #: Common words of English, German, French and Spanish that open a chain.
 ANCHORS = (
@@ -126,7 +127,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain_length: int = 2, a
     sets = materialize(sets.withColumn("n", F.size("signatures")))
     each = sets.select("id", "n", F.explode("signatures").alias("sig"))
     seen = each.groupBy("sig").count()
-    rarest = F.slice(F.sort_array(F.collect_list(F.struct("count", "sig"))), F.lit(1), F.first("n") - F.ceil(F.first("n") * F.lit(threshold)).cast("int") + 1)
+    rarest = F.slice(F.sort_array(F.collect_list(F.struct("count", "sig"))), F.lit(1), F.first("n") - F.ceil(F.first("n") * F.lit(threshold) - 1e-9).cast("int") + 1)
     prefix = each.join(seen, "sig").groupBy("id").agg(F.first("n").alias("n"), rarest.alias("rare"))
     band = F.floor(F.log(F.col("n").cast("double")) / -F.log(F.lit(threshold)) + 1e-9)
     prefix = prefix.select("id", "n", band.alias("band"), F.explode("rare.sig").alias("sig"))
@@ -134,7 +135,9 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, chain_length: int = 2, a
     longer = prefix.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("band"))
     shorter = prefix.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "band")
     apart = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = longer.join(shorter, ["sig", "band"]).filter(apart & (F.col("nb") >= threshold * F.col("na"))).select("a", "b").distinct()
+    # a signature that many prefixes of a range have is dealt in blocks
+    met = meet(longer, shorter, ["sig", "band"], F.col("a"), F.col("b"))
+    pairs = met.filter(apart & (F.col("nb") >= threshold * F.col("na") - 1e-9)).select("a", "b").distinct()
     left, right = (sets.select(F.col("id").alias(x), F.col("signatures").alias(f"s{x}")) for x in "ab")
     scored = pairs.join(left, "a").join(right, "b").withColumn("likeness", likeness(F.col("sa"), F.col("sb"), threshold))
     return scored.filter(F.col("likeness") >= threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")

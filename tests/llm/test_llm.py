@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evidence_engine.plans import pairs
 from evidence_engine.llm import byte_bpe, exact_dedup, langid_ecoc, line_dedup, mixing, probminhash, quality_pu, secrets_cnn, spotsigs, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -151,7 +152,7 @@ def test_spotsigs(docs, empty):
     assert spotsigs.with_edits(empty).count() == 0
 
 
-def test_spotsigs_pairs(spark):
+def test_spotsigs_pairs(spark, monkeypatch):
     def sigs(text: str) -> set:
         words = re.findall(r"[^\W_]+", text.lower())
         out = set()
@@ -166,6 +167,8 @@ def test_spotsigs_pairs(spark):
     texts = base + [t.replace("river", "lake", 1) for t in base] + [" ".join(t.split()[:100]) for t in base] + [base[0]]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {(r.a, r.b) for r in spotsigs.near_pairs(rows, 0.6).collect()}
+    monkeypatch.setattr(pairs, "BLOCK", 2)  # every signature is hot
+    assert {(r.a, r.b) for r in spotsigs.near_pairs(rows, 0.6).collect()} == got
     want = set()
     distinct: dict = {}
     for i, t in enumerate(texts):
