@@ -13,7 +13,8 @@ global order meets in one task.
 
 Nulls: a null text has size 0; null sources form one source, ranked last; a null id is ordered as the empty string.
 Rows of size 0 change no total, so they stay out of the queues and are taken once. Rows that share an id (or have none) are
-spread by their texts. Repeated rows each count. An empty table gives an empty result.
+spread by their texts. Repeated rows each count. An empty table gives an empty result. Of a very long text only its size and
+its hash go into the queues. The sources themselves (not their rows) are ordered in one task: tens of thousands are no burden.
 """
 
 from __future__ import annotations

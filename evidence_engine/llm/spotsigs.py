@@ -10,7 +10,8 @@ a set only, and computes the Jaccard measure where the lengths allow the thresho
 
 Nulls: a null text counts as empty; a null id is an id of its own, ranked first. Rows of equal id have the same
 successor, the text of the next id; where several rows have that id, the one with the smallest text hash. An empty table
-gives an empty result.
+gives an empty result. Ids are read as long integers: other integer types come back as long, ids that are no integers are an
+error. The signatures of a very long text are made in one row, in time that grows with its length.
 """
 
 from __future__ import annotations

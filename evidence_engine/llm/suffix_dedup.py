@@ -26,7 +26,8 @@ A chunk is a function of the document's id and text, so texts move once and rows
 chunk is CHUNK bytes, or one document if that is longer.
 
 Nulls: a null text counts as empty; a null id ranks below all others. Rows of equal id do not remove each other's
-bytes. An empty table gives an empty result.
+bytes. An empty table gives an empty result. Ids are read as long integers: ids that are no integers are an error. A very long
+text is a chunk of its own, held whole in one task.
 """
 
 from __future__ import annotations
