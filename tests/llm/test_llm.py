@@ -348,6 +348,63 @@ def test_secrets_leave_numbers_alone(spark):
     assert got[0].network == "kept" and not [x for x in extra if not re.search("[A-Za-z]", x)]
 
 
+def test_secrets_learn_from_all_findings(spark):
+    # eight drawn findings of each side start the training; all others train or calibrate too, each once
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(600):
+        value = "".join(rng.choice("0123456789abcdef" if i % 3 else "ABCXYZabcxyz+/0123456789") for _ in range(rng.randint(12, 40)))
+        rows.append((i, f"{prose(i, 20)} card {rng.randrange(10**15, 10**16)} user{i}@mail.example.com token={value} {prose(i + 700, 20)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("id", F.xxhash64("doc_id")).select("doc_id", "id", "text").coalesce(1)
+    want = [0, 0, 0]
+    for _, text in rows:
+        (value,) = secrets_cnn.ASSIGN.finditer(text)
+        others = re.findall("[A-Za-z0-9+/_.=@-]{6,}", text[: value.start()] + " " + text[value.end() :])
+        numbers = sum(not re.search("[A-Za-z]", x) and bool(re.search("[0-9]", x)) for x in others)
+        secrets = [x for x in (value[2], *secrets_cnn.HEX.findall(text)) if re.search("[A-Za-z]", x)]
+        want = [want[0] + len(others) - numbers, want[1] + len(secrets), want[2] + numbers]
+    taught = {r.side: r["n"] for r in secrets_cnn.findings(docs, 8).filter("h IS NULL").groupBy("side").agg(F.sum("n").alias("n")).collect()}
+    loss = []
+    for rounds in (0, 2):
+        held = secrets_cnn.judgements(docs, secrets_cnn.fit(docs, 8, rounds)).select(F.inline("held")).collect()
+        each = [sum(r["n"] for r in held if r.side == k) for k in range(3)]
+        assert [taught[k] + each[k] for k in range(3)] == want
+        loss.append(sum(max(0.0, 1 - (1 if r.side == 1 else -1) * r.z / secrets_cnn.STEPS) ** 2 * r["n"] / each[r.side] for r in held))
+    assert loss[1] < loss[0] / 2
+
+
+def test_secrets_margins_fall_by_the_gradient():
+    import numpy as np
+
+    # the step's gradient against differences of the loss, in a direction of each kind of weight; one value is longer than a block
+    rng = np.random.default_rng(3)
+    flat = rng.normal(0, 0.3, sum(secrets_cnn._SIZES)).astype(np.float32)
+    net = secrets_cnn.Network(flat, np.zeros(secrets_cnn._POOLED, np.float32), np.ones(secrets_cnn._POOLED, np.float32))
+    windows = [(3, int(n), bytes(rng.integers(33, 120, int(n) + 7, dtype=np.uint8))) for n in (*rng.integers(6, 50, 20), 3 * secrets_cnn._BLOCK)]
+    groups = secrets_cnn._both(windows[::2], 1, 0.6) + secrets_cnn._both(windows[1::2], -1, 0.4)
+    learner = secrets_cnn.Learner(net, 0.0)
+    learner.step(groups)
+    grad = learner.m / 0.1
+    dense = secrets_cnn.views(flat)[2]
+    secrets_cnn.views(grad)[2][:] -= 1e-4 * dense  # the decay
+
+    def loss(w):
+        kernel, bias, dense, offset = secrets_cnn.views(w)
+        total = 0.0
+        for s in groups:
+            z = secrets_cnn.pooled(kernel, bias, s.body, s.starts, s.ends, s.lows, s.highs) @ dense + offset[0]
+            total += s.weight * (np.maximum(0, 1 - s.label * z) ** 2).mean()
+        return total
+
+    for part in np.split(np.arange(len(flat)), np.cumsum(secrets_cnn._SIZES)[:-1]):
+        way = np.zeros(len(flat))
+        way[part] = grad[part] / max(1e-9, np.linalg.norm(grad[part]))
+        slope = (loss(flat + 1e-3 * way) - loss(flat - 1e-3 * way)) / 2e-3
+        assert abs(slope - way @ grad) <= 0.05 * abs(way @ grad) + 1e-3
+
+
 def test_secrets_threshold_keeps_recall_or_adds_nothing():
     import numpy as np
 
