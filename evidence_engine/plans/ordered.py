@@ -27,12 +27,10 @@ def neighbours(rows: DataFrame, group: str, at: str, member: str, ranges: int |
     """
     n = ranges or _ranges(rows)
     cut = materialize(rows.repartitionByRange(n, group, at).withColumn("__range", F.spark_partition_id()))
-    inside = Window.partitionBy(group, "__range").orderBy(at, F.col(member).desc())
+    # both look back, one in the opposite order: a frame up to the end is read anew for each row, so a large group would cost its square
+    inside, back = (Window.partitionBy(group, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1) for order in ((F.col(at), F.col(member).desc()), (F.col(at).desc(), F.col(member))))
     own = F.when(F.col(member), F.col(at))
-    cut = cut.withColumns({
-        "before": F.last(own, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)),
-        "after": F.first(own, ignorenulls=True).over(inside.rowsBetween(1, Window.unboundedFollowing)),
-    })
+    cut = cut.withColumns({"before": F.last(own, ignorenulls=True).over(inside), "after": F.last(own, ignorenulls=True).over(back)})
     ends = cut.groupBy(group, "__range").agg(F.min(own).alias("low"), F.max(own).alias("high"))
     along = Window.partitionBy(group).orderBy("__range")
     carried = ends.select(

@@ -220,3 +220,14 @@ def test_ranks_across_ranges(spark, ranges):
         order = sorted((-v, i) for x, v, i in rows if x == k)
         assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
     assert len(got) == len(rows)
+
+
+def test_a_long_way_to_the_first_article(spark):
+    """Each of a chain of articles is related to the one before it and to one of its own, newer than all of the chain: the newest one's label goes the whole way."""
+    n = 60
+    rows = [(i, NOW - dt.timedelta(minutes=i)) for i in range(2 * n)]
+    table = spark.createDataFrame(rows, "ord long, published_at timestamp")
+    groups = table.select("ord", F.col("ord").cast("string").alias("group_id"), F.array(F.lit("x")).alias("tokens"))
+    pairs = [(str(i), str(n + i)) for i in range(n)] + [(str(n + i - 1), str(n + i)) for i in range(1, n)]
+    got = {r.ord: r.cluster_id for r in cluster.cluster_articles(table, groups, spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {i: i for i in range(n)} | {n + i: 0 for i in range(n)}
