@@ -137,3 +137,24 @@ def test_strict_offset(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", F.unix_millis(strict_offset(F.col("t"))).alias("ms")).orderBy("i").collect()
     base = 1709200800000
     assert [r.ms for r in rows] == [base, base + 500 - 330 * 60000, base + 1439 * 60000, None, None, None, None, None, None, None]
+
+
+def test_normal_texts_keep_the_same_characters_of_all(spark):
+    """The class of characters that go is written as ranges; it is the complement of those that stay."""
+    import re
+
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = spark.createDataFrame([(a, "".join(map(chr, codes[a : a + 4096]))) for a in range(0, len(codes), 4096)], "k int, t string")
+    got = {r.k: r.n for r in rows.select("k", F.regexp_replace("t", T._OTHERS, " ").alias("n")).collect()}
+    assert got == {r.k: re.sub(r"[^a-z0-9₹$%+.\-]+", " ", r.t) for r in rows.collect()}
+
+
+def test_words_between_bars_are_found_as_a_pattern_finds_them(spark):
+    rows = spark.createDataFrame([(t,) for t in ("a tax case", "xtaxx", "ai", "an ai plan", "M&A", "", "a.b", "acb", None)], "t string")
+    for pattern in ("tax|case", "ai |plan", "tax||x", "a.b", "m&a|M&A", ""):
+        assert [r[0] for r in rows.select(T.holds(F.col("t"), pattern)).collect()] == [r[0] for r in rows.select(F.col("t").rlike(pattern)).collect()]
+
+
+def test_normal_texts_have_single_blanks(spark):
+    rows = spark.createDataFrame([(" A \t\n b,, ,c \u00a0\u2003d\x0b ",), ("  ",), (None,), ("é\u0301t\u00e9 &amp; https://x.y/z  q",)], "t string")
+    assert [r[0] for r in rows.select(T.normalize_text(F.col("t"))).collect()] == ["a b c d", "", "", "ete and q"]
