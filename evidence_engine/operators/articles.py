@@ -11,6 +11,8 @@ from evidence_engine.params import DEFAULT, Params
 
 #: A dimension is broadcast when it has at most so many rows.
 BROADCAST_ROWS = 100_000
+#: So many words of aliases are looked up as a list in the words of each text.
+LISTED_WORDS = 256
 
 
 def small(dimension: DataFrame) -> DataFrame:
@@ -125,6 +127,9 @@ def entity_hits(docs: DataFrame, entities: DataFrame, params: Params = DEFAULT)
     body = docs.select("ord", padded("text").alias("body"), *([padded("part").alias("part")] if has_part else []))
     words = F.array_distinct(F.filter(F.split("body", "[^a-z0-9]+"), lambda w: w != ""))
     if few:
+        asked = [r.word for r in index.select("word").distinct().limit(LISTED_WORDS + 1).collect()]
+        if len(asked) <= LISTED_WORDS:  # only words that are asked for become rows, as each row has the text with it
+            words = F.array_intersect(F.split("body", "[^a-z0-9]+"), F.array(*[F.lit(w) for w in asked]).cast("array<string>"))
         met = body.withColumn("word", F.explode(words)).join(F.broadcast(index), "word")
     else:
         met = body.select("ord", F.explode(words).alias("word")).join(index, "word").join(body, "ord")
