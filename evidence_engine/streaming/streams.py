@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,6 +17,10 @@ from evidence_engine.plans.buckets import BUCKETS, upsert
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Cells that the media items of a token and a pane are dealt to.
+CELLS = 4
+
+
 def _with_state(stream: DataFrame) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     return stream
@@ -145,10 +149,23 @@ def new_since_visit(events: DataFrame, visits: DataFrame) -> DataFrame:
 
 
 def stream_conversation_attach(media: DataFrame, public: DataFrame, within: str = "24 hours", late: str = "96 hours") -> DataFrame:
-    """media(ord, token, published_at), public(item, token, said_at) as streams -> pairs that share a token within a span of time."""
-    m, p = media.withWatermark("published_at", late), public.withWatermark("said_at", late)
-    near = F.expr(f"token = said_token AND said_at BETWEEN published_at - INTERVAL {within} AND published_at + INTERVAL {within}")
-    return m.join(p.withColumnRenamed("token", "said_token"), near).select("ord", "item", "token")
+    """media(ord, token, published_at), public(item, token, said_at) as streams -> pairs that share a token within a span of time.
+
+    Time is cut into panes as long as the span. An item of media is in one pane and one of CELLS cells, a public one in the
+    three panes around its own and in every cell; so each pair meets once, a row is compared with what lies within two
+    spans of it alone, and a token that all have runs in a task for each pane and cell.
+    """
+    width = F.expr(f"unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {within})")
+
+    def pane(c: str) -> Column:
+        at = F.unix_micros(c)
+        return at - F.pmod(at, width)
+
+    m = media.withWatermark("published_at", late).withColumn("pane", pane("published_at")).withColumn("cell", F.pmod(F.xxhash64("ord"), F.lit(CELLS)))
+    p = public.withWatermark("said_at", late).withColumnRenamed("token", "said_token")
+    p = p.withColumn("said_pane", F.explode(F.array(*[pane("said_at") + k * width for k in (-1, 0, 1)]))).withColumn("said_cell", F.explode(F.array(*[F.lit(k).cast("long") for k in range(CELLS)])))
+    near = F.expr(f"token = said_token AND pane = said_pane AND cell = said_cell AND said_at BETWEEN published_at - INTERVAL {within} AND published_at + INTERVAL {within}")
+    return m.join(p, near).select("ord", "item", "token")
 
 
 def stream_source_health(checks: DataFrame, baselines: DataFrame) -> DataFrame:

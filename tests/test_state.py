@@ -124,3 +124,17 @@ def test_fingerprints_follow_changes(spark):
     assert told(of(part.union(more))) != told(of(part.union(more.distinct()))) and len(of(table).first().lanes) == claims.LANES
     assert told(of(table.filter("false"))).rows == 0
     assert told(claims.changed_fingerprint(of(table), of(table), of(table.filter("false")))) == told(of(table.filter("false")))
+
+
+def test_conversations_meet_over_the_borders_of_panes(spark, tmp_path):
+    """One token for all, times before 1970 and on the borders: each pair within the span comes once, and many tasks find them."""
+    rng = random.Random(5)
+    day = dt.timedelta(days=1)
+    times = [dt.datetime(1969, 12, 30) + day * k + dt.timedelta(microseconds=x) for k in range(6) for x in (-1, 0, 1)] + [dt.datetime(1969, 12, 30) + dt.timedelta(minutes=rng.randint(0, 9000)) for _ in range(40)]
+    media, public = list(enumerate(times)), [(100 + i, t) for i, t in enumerate(times)]
+    spark.createDataFrame([(i, "x", t) for i, t in media], "ord long, token string, published_at timestamp").write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame([(i, "x", t) for i, t in public], "item long, token string, said_at timestamp").write.parquet(str(tmp_path / "p"))
+    pairs = streams.stream_conversation_attach(streams.table_stream(spark, str(tmp_path / "m")), streams.table_stream(spark, str(tmp_path / "p")))
+    got = streams.drain(pairs, str(tmp_path / "run"))
+    assert content(got.select("ord", "item")) == sorted((i, k) for i, s in media for k, t in public if abs(s - t) <= day)
+    assert got.select(F.input_file_name()).distinct().count() > 2
