@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 from evidence_engine.functions.text import canonical_url
 from evidence_engine.plans.buckets import BUCKETS, upsert
@@ -93,38 +95,29 @@ def stream_baseline(checks: DataFrame, last: int = 30) -> DataFrame:
     return _with_state(checks).groupBy("source_id").transformWithStateInPandas(_Baseline(last), "source_id long, check_date date, typical long, minimum long", "append", "none")
 
 
-class _Visits(StatefulProcessor):
-    """Keeps a user's visits and events until the watermark has passed a visit; then tells what was new at it."""
+def _visits(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Keeps a user's visits and events until the watermark has passed a visit; then tells what was new at it. Times are microseconds.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.visits = handle.getListState("visits", "at timestamp")
-        self.events = handle.getListState("events", "event_id long, ts timestamp")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for event_id, ts, visit in part[["event_id", "ts", "visit"]].itertuples(index=False):
-                at = ts.to_pydatetime()
-                if visit:
-                    self.visits.appendValue((at,))
-                    self.handle.registerTimer(int(ts.value // 1_000_000) + 1)
-                else:
-                    self.events.appendValue((int(event_id), at))
-        yield pd.DataFrame({"user_id": [], "event_id": [], "ts": [], "visit_at": []}).astype({"user_id": "int64", "event_id": "int64", "ts": "datetime64[ns]", "visit_at": "datetime64[ns]"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        visits = sorted({pd.Timestamp(v[0]) for v in self.visits.get()}) if self.visits.exists() else []
-        done = [v for v in visits if v < now]
-        if done:
-            held = [(i, pd.Timestamp(t)) for i, t in self.events.get()] if self.events.exists() else []
-            told = [(key[0], i, t, next(v for v in done if v >= t)) for i, t in held if t <= done[-1]]
-            for state, left in ((self.events, [(i, t.to_pydatetime()) for i, t in held if t > done[-1]]), (self.visits, [(v.to_pydatetime(),) for v in visits if v >= now])):
-                state.put(left) if left else state.clear()
-            yield pd.DataFrame(told, columns=["user_id", "event_id", "ts", "visit_at"])
-
-    def close(self) -> None:
-        pass
+    A call handles all of a user's visits that the watermark has passed; one timer, for the earliest one left, calls again.
+    """
+    ids, at, visits = (np.array(x, dtype="int64") for x in (state.get if state.exists else ((), (), ())))
+    if not state.hasTimedOut:
+        new = pd.concat(list(parts))
+        mark = new["visit"].to_numpy(dtype=bool)
+        times, named = new["at"].to_numpy(dtype="int64"), new["event_id"].to_numpy(dtype="int64")
+        ids, at, visits = np.concatenate([ids, named[~mark]]), np.concatenate([at, times[~mark]]), np.union1d(visits, times[mark])
+    passed = state.getCurrentWatermarkMs()
+    done = visits[visits < passed * 1000]
+    if len(done):
+        told = at <= done[-1]
+        yield pd.DataFrame({"user_id": [key[0]] * int(told.sum()), "event_id": ids[told], "ts": at[told], "visit_at": done[np.searchsorted(done, at[told])]})
+        ids, at, visits = ids[~told], at[~told], visits[len(done) :]
+    if len(ids) or len(visits):
+        state.update((ids.tolist(), at.tolist(), visits.tolist()))
+        if len(visits):
+            state.setTimeoutTimestamp(max(int(visits[0]) // 1000, passed) + 1)
+    elif state.exists:
+        state.remove()
 
 
 def stream_new_since_visit(events: DataFrame, visits: DataFrame, late: str = "96 hours") -> DataFrame:
@@ -135,9 +128,10 @@ def stream_new_since_visit(events: DataFrame, visits: DataFrame, late: str = "96
     keyed stream with one state. A user's state holds what came since the last visit told.
     """
     columns = ["user_id", "event_id", "ts", "visit"]
-    both = events.withColumn("visit", F.lit(False)).select(columns).unionByName(visits.select("user_id", F.lit(None).cast("long").alias("event_id"), F.col("at").alias("ts"), F.lit(True).alias("visit")))
-    both = _with_state(both.withWatermark("ts", late))
-    return both.groupBy("user_id").transformWithStateInPandas(_Visits(), "user_id long, event_id long, ts timestamp, visit_at timestamp", "append", "eventtime")
+    both = events.withColumn("visit", F.lit(False)).select(columns).unionByName(visits.select("user_id", F.lit(0).cast("long").alias("event_id"), F.col("at").alias("ts"), F.lit(True).alias("visit")))
+    both = both.filter("ts IS NOT NULL").withWatermark("ts", late).withColumn("at", F.unix_micros("ts"))
+    told = both.groupBy("user_id").applyInPandasWithState(_visits, "user_id long, event_id long, ts long, visit_at long", "ids array<long>, at array<long>, visits array<long>", "append", "EventTimeTimeout")
+    return told.select("user_id", "event_id", *[F.timestamp_micros(c).alias(c) for c in ("ts", "visit_at")])
 
 
 def new_since_visit(events: DataFrame, visits: DataFrame) -> DataFrame:
